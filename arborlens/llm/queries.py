@@ -6,24 +6,57 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import public_tokenizers
+
 from .common import table
+from .hnsw_dedup import near_duplicates
+from .mixing import mix_sources
 from .ngram_join import jaccard_join
+from .packing import pack_documents
+from .pivot_search import top_k
+
+
+def op2_pivot_table_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op9_hnsw_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_pivot_table_search": op2_pivot_table_search,
+    "op3_best_fit_packing": op3_best_fit_packing,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
+    "op9_hnsw_near_duplicates": op9_hnsw_near_duplicates,
+    "op10_mix_sources": op10_mix_sources,
 }
 
 ORACLES: dict[str, str] = {
+    "op2_pivot_table_search": """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+           WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+""",
     "op7_ngram_jaccard_join": """
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
 g AS (SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
-        ELSE list_distinct(list_transform(range(1, len(words) - 3), i -> array_to_string(words[i:i + 4], ' '))) END AS grams FROM w),
+        ELSE list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))) END AS grams FROM w),
 n AS (SELECT doc_id, len(grams) AS n FROM g),
 e AS (SELECT doc_id, unnest(grams) AS gram FROM g),
 p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM e a JOIN e b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY 1, 2),
@@ -31,5 +64,20 @@ l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE
 s AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
 r AS (SELECT doc_id AS start, doc_id AS seen FROM n UNION SELECT r.start, s.y FROM r JOIN s ON r.seen = s.x)
 SELECT n.doc_id, CAST(n.n AS BIGINT) AS n_shingles, m.component_id FROM n JOIN (SELECT start, min(seen) AS component_id FROM r GROUP BY 1) m ON m.start = n.doc_id
+""",
+    "op10_mix_sources": """
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size FROM documents),
+t AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+w AS (SELECT *, source_size * 2.0::DOUBLE AS full_size, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight FROM t),
+f AS (SELECT *, coalesce(sum(source_size) OVER s, 0) AS c, coalesce(sum(weight) OVER s, 0) AS v FROM w
+      WINDOW s AS (ORDER BY full_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+a AS (SELECT CAST(sum(source_size) AS DOUBLE) * 1.5::DOUBLE AS total, sum(weight) AS weights FROM w),
+l AS (SELECT max((a.total - CAST(f.c AS DOUBLE) * 2.0::DOUBLE) / CAST(a.weights - f.v AS DOUBLE)) AS level FROM f, a),
+r AS (SELECT f.source, f.source_size, least(f.full_size, l.level * f.weight) AS target FROM f, l),
+u AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(round(target / source_size * 1000000000) AS BIGINT) ELSE 0 END AS rate,
+      ('0x' || substr(md5('mix' || coalesce(source, '')), 1, 8))::BIGINT % 1000000000 AS start FROM r),
+k AS (SELECT d.*, u.source_size, u.target, u.rate, u.start, row_number() OVER (PARTITION BY d.source ORDER BY d.size, d.doc_id NULLS LAST) AS n
+      FROM d JOIN u ON d.source IS NOT DISTINCT FROM u.source)
+SELECT doc_id, size, source_size, target, ((start + n * rate) // 1000000000 - (start + (n - 1) * rate) // 1000000000) * size AS taken FROM k
 """,
 }
