@@ -4,16 +4,37 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
-
 import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 from .hnsw_dedup import near_duplicates
+from .language import identify
 from .mixing import mix_sources
 from .ngram_join import jaccard_join
 from .packing import pack_documents
 from .pivot_search import top_k
+from .pseudo_likelihood import score
+from .quality import score_quality
+from .toxicity import score_toxicity
+
+
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.withColumn("keep", (F.col("score") >= 0.5).cast("int"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_masked_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score(table(spark, sf_dir, "documents"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
 
 
 def op2_pivot_table_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,8 +58,12 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_classifier": op1_quality_classifier,
     "op2_pivot_table_search": op2_pivot_table_search,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_toxicity": op4_toxicity,
+    "op5_masked_pseudo_likelihood": op5_masked_pseudo_likelihood,
+    "op6_language_id": op6_language_id,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op9_hnsw_near_duplicates": op9_hnsw_near_duplicates,
     "op10_mix_sources": op10_mix_sources,
