@@ -17,6 +17,7 @@ from .packing import pack_documents
 from .pivot_search import top_k
 from .pseudo_likelihood import score
 from .quality import score_quality
+from .token_files import token_file_digest
 from .toxicity import score_toxicity
 
 
@@ -41,6 +42,10 @@ def op2_pivot_table_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_file_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op9_hnsw_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -65,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_masked_pseudo_likelihood": op5_masked_pseudo_likelihood,
     "op6_language_id": op6_language_id,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
+    "op8_token_files": op8_token_files,
     "op9_hnsw_near_duplicates": op9_hnsw_near_duplicates,
     "op10_mix_sources": op10_mix_sources,
 }
