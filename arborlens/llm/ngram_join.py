@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from .common import U64, batches_of_texts, connected_components, materialize, mix, text_bytes, word_hashes
 
-#: Shingles in a fragment, about; documents in a block that one task compares; columns of one partial count.
-FRAGMENT, BLOCK, COLUMNS = 3_000_000, 1024, 4096
+#: Shingles in a fragment, about, once FRAGMENTS of them are full (a set has a row in each fragment); documents in a block that one task compares; columns of one partial count.
+FRAGMENT, FRAGMENTS, BLOCK, COLUMNS = 4_000_000, 64, 1024, 4096
 
 
 def shingles(texts: list[bytes], width: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -217,7 +217,7 @@ def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80, fragment: i
     """doc_id, n_shingles, component_id for every row of docs with a doc_id."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes(F.col("text")).alias("raw")).where("doc_id is not null")
     chars = docs.agg(F.sum(F.length("raw"))).first()[0] or 0
-    fragments = int(min(30_000, max(8, -(-chars // (7 * fragment)))))
+    fragments = int(min(30_000, max(FRAGMENTS, -(-chars // (7 * fragment)))))
     cut = docs.mapInPandas(lambda frames: _cut(frames, fragments, width), CUT)
     dealt = cut.repartitionById(fragments, F.pmod(F.col("fragment"), F.lit(fragments))).sortWithinPartitions("fragment")
     parts = materialize(dealt.mapInPandas(_share, SHARED))
