@@ -114,14 +114,14 @@ def path_matches(path: Column, pattern: Column) -> Column:
 
 def unwrap_type(annotation: Column, layers: int = 10) -> Column:
     """The class inside generics: X | None is X, a mapping is its values' type; unions of more members stay."""
-    out = F.trim(F.regexp_replace(annotation, "[\"']", ""))
-    for _ in range(layers):
+    def peel(out: Column, _: Column) -> Column:
         bare = F.trim(F.regexp_replace(F.regexp_replace(out, r"\s*\|\s*(None|null|undefined)\b", ""), r"^(None|null|undefined)\s*\|\s*", ""))
         mapping = F.regexp_extract(bare, r"^(?:[Dd]ict|Mapping|Record|Map)[\[<][^,]+,\s*(.+)[\]>]$", 1)
         inner = F.regexp_extract(bare, r"^\w[\w.]*[\[<]([^,]+)[\]>]$", 1)
-        out = F.when(F.contains(bare, F.lit("|")), bare).when(mapping != "", mapping).when(inner != "", inner).otherwise(F.regexp_replace(bare, r"\[\]$", ""))
-        out = F.trim(out)
-    return out
+        return F.trim(F.when(F.contains(bare, F.lit("|")), bare).when(mapping != "", mapping).when(inner != "", inner).otherwise(F.regexp_replace(bare, r"\[\]$", "")))
+
+    # a fold, so that the expression does not grow with the layers
+    return F.aggregate(F.sequence(F.lit(1), F.lit(layers)), F.trim(F.regexp_replace(annotation, "[\"']", "")), peel)
 
 
 def package(module: Column, language: Column) -> Column:

@@ -67,7 +67,7 @@ def test_scalar_functions(spark):
     got = values(spark, rows, scalars.layer(F.col("a")), scalars.directory(F.col("a")), scalars.family(F.col("b")))
     assert got == [(1, "src/services", "X"), (None, "", "PLAIN"), (None, None, None)]
     types = [(1, "Optional[User]", ""), (2, "dict[str, list[Item]]", ""), (3, "A | B", ""), (4, "'User' | None", ""), (5, "Promise<Foo[]>", "")]
-    assert [r[0] for r in values(spark, types, scalars.unwrap_type(F.col("a")))] == ["Optional[User]", "Item", "A | B", "User", "Foo"] or True
+    assert [r[0] for r in values(spark, types, scalars.unwrap_type(F.col("a")))] == ["User", "Item", "A | B", "User", "Foo"]
     versions = [(1, "^1.9.0", "1.10.0"), (2, ">=2.0", "2.0"), (3, "x", "1.0"), (4, None, "1.0")]
     assert [r[0] for r in values(spark, versions, scalars.is_outdated(F.col("a"), F.col("b")))] == [True, False, False, False]
     packages = [(1, "os.path", "python"), (2, "requests.api", "python"), (3, "@scope/pkg/x", "ts"), (4, "./rel", "ts"), (5, "lodash/fp", "ts")]
