@@ -26,13 +26,13 @@ def user(c: str) -> Column:
 
 
 def steps(events: DataFrame) -> DataFrame:
-    """Each event with the user of the next event of its day."""
-    day = Window.partitionBy(F.to_date("ts")).orderBy("ts", "event_id")
-    return events.withColumn("next_user", F.lead("user_id").over(day)).where("next_user is not null")
+    """Each event with the user of the next event of its hour."""
+    hour = Window.partitionBy(F.date_trunc("hour", "ts")).orderBy("ts", "event_id")
+    return events.withColumn("next_user", F.lead("user_id").over(hour)).where("next_user is not null")
 
 
 def flow(events: DataFrame) -> DataFrame:
-    """Edges user -> user of the day's next event: one per pair, with the best rank and the number of steps."""
+    """Edges user -> user of the hour's next event: one per pair, with the best rank and the number of steps."""
     rows = steps(events).select(user("user_id").alias("src"), user("next_user").alias("dst"), by_event(EVENT_RANKS).alias("rank"))
     return rows.groupBy("src", "dst").agg(F.max("rank").alias("rank"), F.count("*").alias("n")).withColumn("type", F.lit("CALLS"))
 

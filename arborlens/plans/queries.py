@@ -19,7 +19,7 @@ from .projections import EVENT_RANKS, by_event, flow, flow_sparse, host, links,
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-_STEPS = "st AS (SELECT * FROM (SELECT *, lead(user_id) OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, event_id) AS next_user FROM events) WHERE next_user IS NOT NULL)"
+_STEPS = "st AS (SELECT * FROM (SELECT *, lead(user_id) OVER (PARTITION BY date_trunc('hour', ts) ORDER BY ts, event_id) AS next_user FROM events) WHERE next_user IS NOT NULL)"
 _RANK = "CASE event_type WHEN 'purchase' THEN 6 WHEN 'signup' THEN 5 WHEN 'click' THEN 4 WHEN 'view' THEN 3 WHEN 'error' THEN 2 END"
 _FLOW = _STEPS + f", fl AS (SELECT 'user::' || user_id AS src, 'user::' || next_user AS dst, max({_RANK}) AS rank, count(*) AS n FROM st GROUP BY 1, 2), us AS (SELECT DISTINCT 'user::' || user_id AS id FROM events)"
 _SPARSE = _STEPS + ", sp AS (SELECT DISTINCT 'user::' || user_id AS src, 'user::' || next_user AS dst FROM st WHERE event_type = 'purchase' AND value > 60 AND user_id <> next_user)"
@@ -273,16 +273,16 @@ def coverage_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
 d AS (SELECT page_id, parts[1] AS host, unnest(parts[1:len(parts) - 1]) AS part, generate_subscripts(parts[1:len(parts) - 1], 1) AS pos FROM s),
 l AS (SELECT page_id, host, CASE WHEN part = 'en' THEN 3 WHEN part = 'de' THEN 2 WHEN part = 'fr' THEN 1 WHEN part = 'es' THEN 0 END AS layer, pos FROM d),
 b AS (SELECT page_id, host, max_by(layer, pos) AS layer FROM l WHERE layer IS NOT NULL GROUP BY 1, 2),
-e AS (SELECT a.page_id AS src, b.page_id AS dst, a.layer AS up, b.layer AS low FROM b a JOIN b b ON a.host = b.host AND a.page_id < b.page_id)
+e AS (SELECT a.page_id AS src, b.page_id AS dst, a.layer AS up, b.layer AS low FROM b a JOIN b b ON b.page_id = a.page_id + 1)
 SELECT src, dst, up, low FROM e WHERE up > low + 1 AND up <> 0 AND low <> 0""")
 def layer_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     bare = F.regexp_replace(F.regexp_replace("url", "^https?://", ""), "[?#].*$", "")
     layer = scalars.layer(bare, {"en": 3, "de": 2, "fr": 1, "es": 0})
-    pages = table(spark, sf_dir, "pages").select("page_id", F.split_part(bare, F.lit("/"), F.lit(1)).alias("host"), layer.alias("layer")).where("layer is not null")
-    # only hosts' neighbouring layers are compared: rows of each side are first counted per host and layer
-    upper = pages.where("layer = 3").select("host", F.col("page_id").alias("src"), F.col("layer").alias("up"))
-    lower = pages.where("layer = 1").select("host", F.col("page_id").alias("dst"), F.col("layer").alias("low"))
-    return upper.join(lower, "host").where("src < dst").select("src", "dst", "up", "low")
+    # every page is taken to import the next one
+    pages = table(spark, sf_dir, "pages").select("page_id", layer.alias("layer")).where("layer is not null")
+    after = pages.select((F.col("page_id") - 1).alias("src"), F.col("page_id").alias("dst"), F.col("layer").alias("low"))
+    rows = pages.select(F.col("page_id").alias("src"), F.col("layer").alias("up")).join(after, "src")
+    return rows.where("up > low + 1 and up <> 0 and low <> 0").select("src", "dst", "up", "low")
 
 
 @query("""WITH m(pattern, category) AS (VALUES ('Brand#1', 'database'), ('Brand#2', 'auth'), ('Brand#3*', 'payments'), ('Brand#4', 'email'), ('Brand#5', 'ai')),
