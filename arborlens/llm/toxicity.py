@@ -55,12 +55,15 @@ class Machine:
         return out
 
 
-def choose_terms(docs: np.ndarray, ids: np.ndarray, y: np.ndarray, most: int, bits: int = BITS, least_z: float = 3.3) -> tuple[np.ndarray, np.ndarray]:
-    """(hashed terms, their shrunk log-odds) of largest |z|; (docs, ids) are distinct pairs."""
-    up = np.bincount(ids[y[docs] == 1], minlength=1 << bits).astype(float)
-    down = np.bincount(ids[y[docs] == 0], minlength=1 << bits).astype(float)
+def choose_terms(texts: list[np.ndarray], y: np.ndarray, most: int, bits: int = BITS, least_z: float = 3.3) -> tuple[np.ndarray, np.ndarray]:
+    """(hashed terms, their shrunk log-odds) of largest |z|; texts hold the distinct terms of each text."""
+    up, down = np.zeros(1 << bits, np.int32), np.zeros(1 << bits, np.int32)
+    for label, count in ((1, up), (0, down)):
+        own = np.flatnonzero(y == label)
+        for at in range(0, len(own), 500):
+            count += np.bincount(np.concatenate([texts[k] for k in own[at : at + 500]]), minlength=1 << bits).astype(np.int32)
     seen = np.flatnonzero(up + down >= 2)
-    up, down = up[seen], down[seen]
+    up, down = up[seen].astype(float), down[seen].astype(float)
     pos, neg = y.sum(), len(y) - y.sum()
     share = (up + down + 1) / (len(y) + 2)
     a, c = up + 2 * share * pos / len(y) * 2, down + 2 * share * neg / len(y) * 2
@@ -74,17 +77,18 @@ def choose_terms(docs: np.ndarray, ids: np.ndarray, y: np.ndarray, most: int, bi
     return seen[order], np.clip(odds[order], -4, 4) * (np.abs(z[order]) / (np.abs(z[order]) + 3))
 
 
-def fit(docs: np.ndarray, ids: np.ndarray, y: np.ndarray, terms: int = TERMS, rank: int = RANK, bits: int = BITS, rounds: int = 60, ridge: float = 2e-3) -> Machine:
+def fit(texts: list[np.ndarray], y: np.ndarray, terms: int = TERMS, rank: int = RANK, bits: int = BITS, rounds: int = 60, ridge: float = 2e-3) -> Machine:
     """Logistic loss by Adagrad over batches; starts from the terms' own log-odds and small random factors."""
-    chosen, odds = choose_terms(docs, ids, y, terms, bits)
+    chosen, odds = choose_terms(texts, y, terms, bits)
     base = float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)))
     draw = np.random.Generator(np.random.PCG64(7))
     m = Machine(chosen, odds * 0.5, draw.normal(0, 0.02, (len(chosen), rank)), base)
     if not len(chosen):
         return m
-    slot = m.slots(bits)[ids]
-    docs, slot = docs[slot >= 0], slot[slot >= 0]
-    start = np.searchsorted(docs, np.arange(len(y) + 1))
+    place = m.slots(bits)
+    kept = [(s := place[t])[s >= 0] for t in texts]
+    slot, start = np.concatenate(kept), np.cumsum([0] + [len(k) for k in kept])
+    del place, kept
     gw, gv, gb = np.full(len(m.w), 1e-6), np.full(m.v.shape, 1e-6), 1e-6
     w, v, b = m.w.astype(float), m.v.astype(float), m.b
     size = 256
@@ -140,7 +144,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, ter
     y = rows["label"].to_numpy(float)
     ids = [np.frombuffer(t, np.int32) for t in rows["terms"]]
     if 0 < y.sum() < len(y):
-        machine = fit(np.repeat(np.arange(len(y)), [len(t) for t in ids]), np.concatenate(ids).astype(np.int64), y, terms)
+        machine = fit(ids, y, terms)
     else:
         machine = Machine(np.zeros(0, np.int64), np.zeros(0), np.zeros((0, 1)), 30.0 if y.sum() else -30.0)
     del ids, rows
