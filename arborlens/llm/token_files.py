@@ -5,7 +5,7 @@ in step, so their work is vectorised, and nothing is carried from block to block
 predictions: the id last seen after the same two ids (order 2), after the same id (order 1), and the frequencies of
 all ids so far (order 0). The weights of the first two are the hit rates, kept up to date, of predictions of the same
 confidence; order 0 has the rest. The mixture drives one arithmetic coding step per id (carry-less range coder, 48-bit
-window, 16-bit words, one stream per lane).
+window, 24-bit words, one stream per lane).
 
 A file is a Parquet table of such blocks in ascending order of doc_id: the documents are range-partitioned by id, every
 partition writes its blocks in order. Reading checks every block's CRC-32 and refuses a damaged one.
@@ -29,11 +29,16 @@ from .common import crc32_ids, materialize
 from .mixing import prefix_sums
 from .tokens import encoder
 
-LANES, STEPS, TOKENS = 4096, 1024, 2_000_000
+LANES, STEPS, TOKENS = 8192, 512, 4_000_000
 MAGIC, HEAD = b"ACM1", "<4sQIIIIII"
-WHOLE, ZERO, SLOTS2 = 28, 20, 18  # bits of the mixture, of order 0, of the order-2 table
-TOP, BOTTOM, WINDOW = np.uint64(1 << 32), np.uint64(1 << 28), np.uint64((1 << 48) - 1)
-_16, _32, _WORD = np.uint64(16), np.uint64(32), np.uint64(0xFFFF)
+WHOLE, ZERO, SLOTS2 = 24, 20, 18  # bits of the mixture, of order 0, of the order-2 table
+WORD, TOP, WINDOW = 24, 1 << 24, (1 << 48) - 1
+
+
+# by confidence and hit: the next confidence, in its place, and whether the guess stays
+_sure, _hit = np.arange(32) // 2, np.arange(32) % 2
+NEXT = np.where(_hit == 1, np.minimum(_sure + 1, 15), _sure >> 1) << 16
+KEPT = (_hit == 1) | (_sure > 1)
 
 
 class Damaged(ValueError):
@@ -41,12 +46,15 @@ class Damaged(ValueError):
 
 
 class Model:
-    """The mixed prediction, the same on both sides; `spread` gives the spans, `learn` takes the ids of one step."""
+    """The mixed prediction, the same on both sides; `spread` gives the spans, `learn` takes the ids of one step. All
+    arrays have one place per lane; gathers are `take`, which numpy does several times faster than indexing."""
 
-    def __init__(self, lanes: int, steps: int, ids: int) -> None:
+    def __init__(self, lanes: int, ids: int) -> None:
         self.lanes, self.ids = lanes, ids
         self.last, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-        self.seen2, self.seen1 = np.zeros(1 << SLOTS2, np.uint32), np.zeros(1 << 16, np.uint32)  # id, and confidence above it
+        # id, and confidence above it: the order-2 table, then the order-1 table
+        self.seen = np.zeros((1 << SLOTS2) + (1 << 16), np.int32)
+        self.key = np.zeros(2 * lanes, np.int64)
         self.hits = np.zeros((2, 32))  # per order: tries and hits by confidence
         self.count = np.zeros(ids, np.int64)
         self.pending: list[np.ndarray] = []
@@ -57,9 +65,10 @@ class Model:
     def _zero(self) -> None:
         total = self.count.sum()
         room = (1 << ZERO) - self.ids
-        self.freq = 1 + (self.count * room // total if total else np.full(self.ids, room // self.ids))
-        self.freq[0] += (1 << ZERO) - self.freq.sum()
-        self.start = np.cumsum(self.freq) - self.freq
+        freq = 1 + (self.count * room // total if total else np.full(self.ids, room // self.ids))
+        freq[0] += (1 << ZERO) - freq.sum()
+        self.freq = freq
+        self.place = (np.cumsum(freq) - freq) << 21 | freq  # start above size
         self.symbol = None
 
     def symbols(self) -> np.ndarray:
@@ -71,44 +80,59 @@ class Model:
         tries, hits = self.hits[:, 0::2], self.hits[:, 1::2]
         rate = (hits + 0.4) / (tries + hits + 2.0)
         whole = 1 << WHOLE
-        self.weight2 = np.clip(rate[0] * whole * 0.97, 64, whole * 0.96).astype(np.int64)
+        self.weight2 = np.clip(rate[0] * whole * 0.97, 64, whole * 0.9).astype(np.int64)
         self.weight1 = np.clip(rate[1], 1e-6, 0.95)
 
     def spread(self) -> None:
-        self.key2 = ((self.last * 0x2F0B4C47 + self.before * 0x1E35A7BD) >> 7) & ((1 << SLOTS2) - 1)
-        both = np.concatenate((self.seen2[self.key2], self.seen1[self.last])).astype(np.int64)
-        guess, sure = both & 0xFFFF, both >> 16
         n = self.lanes
-        self.p2, self.p1, self.c2, self.c1 = guess[:n], guess[n:], sure[:n], sure[n:]
-        self.guess, self.sure = guess, sure
-        self.a = self.weight2[self.c2]
-        self.b = self.a + (((1 << WHOLE) - (1 << ZERO) - self.a) * self.weight1[self.c1]).astype(np.int64)
+        key = self.key[:n]
+        np.multiply(self.last, 0x2F0B4C47, out=key)
+        key += self.before * 0x1E35A7BD
+        key >>= 7
+        key &= (1 << SLOTS2) - 1
+        np.add(self.last, 1 << SLOTS2, out=self.key[n:])
+        self.both = self.seen.take(self.key).astype(np.int64)  # the order-2 part, then the order-1 part
+        self.sure, self.guess = self.both >> 16, self.both & 0xFFFF
+        self.p2, self.p1, self.c2, self.c1 = self.guess[:n], self.guess[n:], self.sure[:n], self.sure[n:]
+        self.a = self.weight2.take(self.c2)
+        rest = ((1 << WHOLE) - (1 << ZERO) - self.a) * self.weight1.take(self.c1)
+        self.b = self.a + rest.astype(np.int64)
         self.unit = ((1 << WHOLE) - self.b) >> ZERO
 
     def span(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(start, size) of the ids in the mixture."""
-        start, size = self.b + self.start[ids] * self.unit, self.freq[ids] * self.unit
-        one = self.p1 == ids
-        start, size = np.where(one, self.a, start), np.where(one, self.b - self.a, size)
-        two = self.p2 == ids
-        return np.where(two, 0, start), np.where(two, self.a, size)
+        place = self.place.take(ids)
+        start, size = (place >> 21) * self.unit, (place & 0x1FFFFF) * self.unit
+        start += self.b
+        self.twice = np.concatenate((ids, ids))
+        self.hit = self.guess == self.twice
+        self.two, self.one = self.hit[: self.lanes], self.hit[self.lanes :]
+        np.copyto(start, self.a, where=self.one)
+        np.copyto(size, self.b - self.a, where=self.one)
+        np.copyto(start, 0, where=self.two)
+        np.copyto(size, self.a, where=self.two)
+        return start, size
 
     def find(self, slot: np.ndarray) -> np.ndarray:
         """The ids at these places of the mixture."""
-        zero = np.minimum(np.maximum(slot - self.b, 0) // self.unit, (1 << ZERO) - 1)
-        return np.where(slot < self.a, self.p2, np.where(slot < self.b, self.p1, self.symbols()[zero]))
+        zero = (np.maximum(slot - self.b, 0) / self.unit).astype(np.int64)  # below 2^24: the quotient's floor is exact
+        ids = self.symbols().take(zero, mode="clip").astype(np.int64)
+        np.copyto(ids, self.p1, where=slot < self.b)
+        np.copyto(ids, self.p2, where=slot < self.a)
+        return ids
 
     def learn(self, ids: np.ndarray) -> None:
-        n = self.lanes
-        hit = self.guess == np.concatenate((ids, ids))
-        sure, twice = self.sure, np.concatenate((ids, ids))
-        new = np.where(hit | (sure > 1), self.guess, twice) | (np.where(hit, np.minimum(sure + 1, 15), sure >> 1) << 16)
-        self.seen2[self.key2], self.seen1[self.last] = new[:n], new[n:]
-        if self.step < 16 or not self.step % 4:
-            pair = sure * 2 + hit
-            self.hits *= 0.98
-            self.hits[0] += np.bincount(pair[:n], minlength=32)
-            self.hits[1] += np.bincount(pair[n:][~hit[:n]], minlength=32)
+        """Takes the ids that `span` was asked for last."""
+        state = self.sure * 2
+        state += self.hit
+        new = np.where(KEPT.take(state), self.guess, self.twice)
+        new |= NEXT.take(state)
+        self.seen[self.key] = new
+        if self.step < 16 or not self.step % 8:
+            self.hits *= 0.97
+            n = self.lanes
+            self.hits[0] += np.bincount(state[:n], minlength=32)
+            self.hits[1] += np.bincount(state[n:][~self.two], minlength=32)
             self._weights()
         self.before, self.last = self.last, ids
         self.pending.append(ids)
@@ -121,64 +145,82 @@ class Model:
 
 
 def encode_lanes(ids: np.ndarray, vocabulary: int) -> tuple[np.ndarray, np.ndarray]:
-    """(words per lane, all words) of ids (steps x lanes)."""
+    """(words per lane, all words as 3 bytes each) of ids (steps x lanes)."""
     steps, lanes = ids.shape
-    model = Model(lanes, steps, vocabulary)
-    low, size = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 48) - 1, np.uint64)
-    out, at = np.zeros((lanes, 2 * steps + 8), np.uint16), np.zeros(lanes, np.int64)
+    model = Model(lanes, vocabulary)
+    low, size = np.zeros(lanes, np.int64), np.full(lanes, (1 << 48) - 1, np.int64)
+    width = 2 * steps + 8
+    base = np.arange(lanes) * width
+    out, at = np.zeros(lanes * width, np.int32), base.copy()
+
+    def shift_out(k: np.ndarray, tops: np.ndarray) -> None:
+        out[at.take(k)] = tops
+        at[k] += 1
+
     for row in ids:
         model.spread()
         start, span = model.span(row)
         model.learn(row)
-        r = size >> np.uint64(WHOLE)
-        low += r * start.astype(np.uint64)
-        size = r * span.astype(np.uint64)
-        _flush(low, size, lambda k, top: (out.__setitem__((k, at[k]), top), at.__setitem__(k, at[k] + 1)))
-    for shift in (32, 16, 0):
-        out[np.arange(lanes), at] = (low >> np.uint64(shift)) & _WORD
+        size >>= WHOLE
+        start *= size
+        low += start
+        size *= span
+        _flush(low, size, shift_out)
+    for shift in (WORD, 0):
+        out[at] = (low >> shift) & 0xFFFFFF
         at += 1
-    return at, np.concatenate([out[k, :n] for k, n in enumerate(at)]) if lanes else np.zeros(0, np.uint16)
+    counts = at - base
+    kept = np.arange(width)[None, :] < counts[:, None]
+    words = out.reshape(lanes, width)[kept].astype("<u4")
+    return counts, words.view(np.uint8).reshape(-1, 4)[:, :3].ravel()
 
 
 def _flush(low: np.ndarray, size: np.ndarray, shift_out) -> None:
-    """Shift out settled words until every lane has room; shift_out(lanes, top words)."""
-    settled = (low ^ (low + size)) < TOP
-    lanes = np.flatnonzero(settled | (size < BOTTOM))
+    """Shift out words until every lane has room for a step; shift_out(lanes, top words). A lane without room whose top
+    word is not settled yet gives up the part of its span beyond the next border."""
+    lanes = np.flatnonzero(size < TOP)
     while len(lanes):
-        own, span, fine = low[lanes], size[lanes], settled[lanes]
-        span = np.where(fine, span, (~own + np.uint64(1)) & (BOTTOM - np.uint64(1)))
-        shift_out(lanes, (own >> _32) & _WORD)
-        own, span = (own << _16) & WINDOW, span << _16
+        own, span = low.take(lanes), size.take(lanes)
+        open_ = (own ^ (own + span)) >= TOP
+        if open_.any():
+            np.copyto(span, -own & (TOP - 1), where=open_)
+        shift_out(lanes, own >> WORD)
+        own <<= WORD
+        own &= WINDOW
+        span <<= WORD
         low[lanes], size[lanes] = own, span
-        settled[lanes] = fine = (own ^ (own + span)) < TOP
-        lanes = lanes[fine | (span < BOTTOM)]
+        lanes = lanes[span < TOP]
 
 
 def decode_lanes(counts: np.ndarray, words: np.ndarray, steps: int, vocabulary: int) -> np.ndarray:
     lanes = len(counts)
-    model = Model(lanes, steps, vocabulary)
-    low, size = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 48) - 1, np.uint64)
+    model = Model(lanes, vocabulary)
+    low, size = np.zeros(lanes, np.int64), np.full(lanes, (1 << 48) - 1, np.int64)
     at = np.cumsum(counts) - counts
-    words = np.concatenate((words, np.zeros(8, np.uint16))).astype(np.uint64)
-    code = (words[at] << _32) | (words[at + 1] << _16) | words[at + 2]
-    at = at + 3
+    wide = np.zeros((len(words) // 3 + 8, 4), np.uint8)
+    wide[:-8, :3] = words.reshape(-1, 3)
+    words = wide.view("<u4").ravel().astype(np.int64)
+    code = (words[at] << WORD) | words[at + 1]
+    at = at + 2
     out = np.empty((steps, lanes), np.uint16)
-    most = np.uint64((1 << WHOLE) - 1)
 
     def shift_in(k: np.ndarray, _: np.ndarray) -> None:
-        code[k] = ((code[k] << _16) & WINDOW) | words[at[k]]
-        at[k] += 1
+        own = at.take(k)
+        code[k] = ((code.take(k) << WORD) & WINDOW) | words.take(own)
+        at[k] = own + 1
 
     for t in range(steps):
         model.spread()
-        r = size >> np.uint64(WHOLE)
-        slot = np.minimum(((code - low) & WINDOW) // r, most).astype(np.int64)
-        ids = model.find(slot).astype(np.int64)
+        size >>= WHOLE
+        slot = (((code - low) & WINDOW) / size).astype(np.int64)  # both below 2^48: the floor is exact below 2^24
+        np.minimum(slot, (1 << WHOLE) - 1, out=slot)
+        ids = model.find(slot)
         start, span = model.span(ids)
         model.learn(ids)
         out[t] = ids
-        low += r * start.astype(np.uint64)
-        size = r * span.astype(np.uint64)
+        start *= size
+        low += start
+        size *= span
         _flush(low, size, shift_in)
     return out
 
@@ -194,7 +236,7 @@ def write_block(doc_ids: list[int | None], documents: list[np.ndarray], vocabula
     lengths = zlib.compress(np.array([len(d) for d in documents], "<u4").tobytes(), 1)
     sizes = zlib.compress(counts.astype("<u4").tobytes(), 1)
     head = struct.pack(HEAD, MAGIC, len(ids), lanes, vocabulary, len(documents), len(keys), len(lengths), len(sizes))
-    body = head + keys + lengths + sizes + words.astype("<u2").tobytes()
+    body = head + keys + lengths + sizes + words.tobytes()
     return body + struct.pack("<I", zlib.crc32(body))
 
 
@@ -206,7 +248,7 @@ def read_block(block: bytes) -> tuple[list[int | None], list[np.ndarray]]:
         raise Damaged("not a token block")
     at = struct.calcsize(HEAD)
     keys, lengths, sizes = zlib.decompress(block[at : at + k]), zlib.decompress(block[at + k : at + k + m]), zlib.decompress(block[at + k + m : at + k + m + s])
-    words = np.frombuffer(block[at + k + m + s : -4], "<u2")
+    words = np.frombuffer(block[at + k + m + s : -4], np.uint8)
     own, none = np.frombuffer(keys[: 8 * docs], "<i8"), np.frombuffer(keys[8 * docs :], "<u1")
     ids = decode_lanes(np.frombuffer(sizes, "<u4").astype(np.int64), words, -(-n // lanes), vocabulary).T.reshape(-1)[:n]
     ends = np.cumsum(np.frombuffer(lengths, "<u4"), dtype=np.int64)
