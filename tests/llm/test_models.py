@@ -122,6 +122,27 @@ def test_pseudo_likelihood(spark):
     assert score(docs.limit(0)).count() == 0
 
 
+def test_pseudo_likelihood_tells_words_of_a_bucket_apart(spark):
+    draw = random.Random(5)
+    body = ["ka " + " ".join(draw.choices(("lomi", "turben", "silda"), (8, 3, 1), k=30)) for _ in range(200)]
+    rows = list(enumerate(body)) + [(1000, "ka lomi ka"), (1001, "ka odd ka")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    # one frequent class, all others in one bucket: the network cannot tell lomi from odd
+    def scores(head):
+        return {r["doc_id"]: r["log_prob"] for r in score(docs, words=1, buckets=1, head=head).collect()}
+
+    n = {w: sum(t.split().count(w) for _, t in rows) for w in ("lomi", "odd", "ka")}
+    most = max(("lomi", "turben", "silda", "ka"), key=lambda w: sum(t.split().count(w) for _, t in rows))
+    assert most == "lomi"
+    total = sum(len(t.split()) for _, t in rows) - n["lomi"]
+    alone = score(docs, words=0, buckets=1, rounds=0).collect()
+    want = {i: sum(np.log(sum(u.split().count(w) for _, u in rows) / (total + n["lomi"] + 1)) for w in t.split()) for i, t in rows}
+    assert all(abs(r["log_prob"] - want[r["doc_id"]]) < 1e-3 for r in alone)
+    few, many = scores(1), scores(1000)
+    assert all(abs(few[i] - many[i]) < 0.05 * abs(many[i]) for i in many)
+    assert many[1000] > many[1001] + 3
+
+
 def test_network_sums_to_one_and_sees_both_sides():
     net = Network(Network.fresh(6, 4), 6, 4)
     context = np.array([[0, 1, 2, 3]])
