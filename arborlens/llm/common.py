@@ -47,6 +47,22 @@ def text_bytes(text: Column) -> Column:
     return F.coalesce(text.cast("string"), F.lit("")).cast("binary")
 
 
+def text_key(text: Column) -> Column:
+    """Digest of a text, by which rows that share an id (or have none) are told apart; null texts count as empty."""
+    return F.md5(text_bytes(text))
+
+
+def without(docs: DataFrame, bad: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows of docs but those whose `columns` and text_key, nulls being equal, occur in bad as `columns` and `_key`."""
+    bad = bad.select(*[F.col(c).alias(f"_{k}") for k, c in enumerate([*columns, "_key"])]).distinct()
+    kinds = dict(bad.dtypes)
+    own = [F.col(c).cast(kinds[f"_{k}"]) for k, c in enumerate(columns)] + [text_key(F.col("text"))]
+    same = own[0].eqNullSafe(F.col("_0"))
+    for k, c in enumerate(own[1:], 1):
+        same = same & c.eqNullSafe(F.col(f"_{k}"))
+    return docs.join(bad, same, "left_anti")
+
+
 # ---------------------------------------------------------------- words and hashes, vectorised over bytes
 
 _SEPARATOR = np.zeros(256, bool)

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WINDOW, batches_of_texts, held_out, materialize, text_bytes, word_hashes
+from .common import WINDOW, batches_of_texts, held_out, materialize, text_bytes, text_key, without, word_hashes
 
 SAMPLE = 20_000
 _CLASSES = np.zeros((6, 256), np.float32)
@@ -108,9 +108,14 @@ def strength(groups: DataFrame, n: str, good: str, centre) -> float:
 
 def score_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, source, lang, evidence, host_posterior, path_posterior, score for every row of docs."""
+    return score_rows(docs, labels, sample).drop("_key")
+
+
+def score_rows(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
+    """score_quality with `_key`, the text_key of the row."""
     labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label")).where("doc_id is not null and label in (0, 1)")
     labels = labels.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("label").alias("label"))
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), text_bytes(F.col("text")).alias("raw"))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), text_key(F.col("text")).alias("_key"), text_bytes(F.col("text")).alias("raw"))
     learned = materialize(labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
     # the labelled side is at most `sample` rows
     schema = "label int, x array<double>"
@@ -125,7 +130,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
         z = np.clip((x - mean) / dev, -8, 8) @ w[:-1] + w[-1]
         return part.assign(evidence=np.clip(z, -20, 20))
 
-    scored = base.mapInPandas(lambda f: _frames(f, evidence), "doc_id long, source string, lang string, evidence double")
+    scored = base.mapInPandas(lambda f: _frames(f, evidence), "doc_id long, source string, lang string, _key string, evidence double")
     scored = materialize(scored)
     counted = scored.join(labels, "doc_id", "left").select("source", "lang", F.coalesce(F.col("label").cast("double"), 1 / (1 + F.exp(-F.col("evidence")))).alias("good"))
     paths = materialize(counted.groupBy("source", "lang").agg(F.count("*").alias("n"), F.sum("good").alias("good")))
@@ -142,11 +147,11 @@ def score_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
     beyond = logit(F.col("path_posterior")) - float(np.log(rate / (1 - rate)))
     same = F.col("source").eqNullSafe(F.col("_host")) & F.col("lang").eqNullSafe(F.col("_path"))
     joined = scored.join(sites, same)
-    return joined.select("doc_id", "source", "lang", "evidence", "host_posterior", "path_posterior", (1 / (1 + F.exp(-(F.col("evidence") + beyond)))).alias("score"))
+    return joined.select("doc_id", "source", "lang", "_key", "evidence", "host_posterior", "path_posterior", (1 / (1 + F.exp(-(F.col("evidence") + beyond)))).alias("score"))
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, least: float = 0.5, sample: int = SAMPLE) -> DataFrame:
     """Rows of docs whose score is at least `least`."""
-    scores = score_quality(docs, labels, sample)
-    bad = scores.groupBy("doc_id").agg(F.min("score").alias("_score")).where(F.col("_score") < least).select(F.col("doc_id").alias("_id"))
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    # a row's score depends on its text, source and lang alone
+    bad = score_rows(docs, labels, sample).where(F.col("score") < least)
+    return without(docs, bad, ["doc_id", "source", "lang"])

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TERM_GAPS, U64, batches_of_texts, held_out, materialize, mix, text_bytes, word_hashes
+from .common import TERM_GAPS, U64, batches_of_texts, held_out, materialize, mix, text_bytes, text_key, without, word_hashes
 
 SAMPLE, TERMS, BITS, RANK, STEM = 20_000, 8192, 22, 8, 5
 
@@ -126,10 +126,15 @@ def distinct_pairs(doc: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.nd
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int = TERMS, least: float = 0.3) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs."""
+    return score_rows(docs, labels, sample, terms, least).drop("_key")
+
+
+def score_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int = TERMS, least: float = 0.3) -> DataFrame:
+    """score_toxicity with `_key`, the text_key of the row."""
     labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("label")).where("doc_id is not null and label in (0, 1)")
     labels = labels.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("label").alias("label"))
     learned = materialize(labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes(F.col("text")).alias("raw"))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("_key"), text_bytes(F.col("text")).alias("raw"))
 
     def sampled(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -160,11 +165,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, ter
                 z = machine.margin(doc, slot, high - low)
                 yield part.drop(columns="raw").assign(score=1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
-    out = base.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "raw").mapInPandas(scored, "doc_id long, held_out boolean, score double")
+    out = base.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "_key", "raw").mapInPandas(scored, "doc_id long, held_out boolean, _key string, score double")
     return out.withColumn("predicted", (F.col("score") >= least).cast("int"))
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """Rows of docs that are not predicted toxic."""
-    bad = score_toxicity(docs, labels, sample).where("predicted = 1").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    return without(docs, score_rows(docs, labels, sample).where("predicted = 1"), ["doc_id"])

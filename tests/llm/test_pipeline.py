@@ -4,9 +4,11 @@ from collections import Counter
 
 import corpus_pipeline
 from arborlens.llm.mixing import mix_sources, mixed_rows, source_targets, word_count
+from arborlens.llm.quality import keep_quality
+from arborlens.llm.toxicity import keep_clean
 from pyspark.sql import functions as F
 
-from .test_models import corpus
+from .test_models import DOCS, corpus, frames
 
 
 def filling(sizes, weights, share=1.5, cap=2.0):
@@ -75,3 +77,20 @@ def test_pipeline_stages(spark, tmp_path):
     assert len(toxic & seen[1]) <= 0.1 * len(toxic) and len((known - bad - toxic) - seen[1]) <= 0.05 * len(known)
     assert copy[0] in seen[2] and not {5000 + k for k in range(6)} & seen[2]
     assert seen[3] <= seen[2] and seen[4] == seen[3]
+
+
+def test_rows_are_kept_by_their_own_text(spark):
+    docs, labels, rows, truth = frames(spark)
+    docs = docs.drop("label", "score", "x")
+    known = {i: (q, t) for i, q, t in truth}
+    # clean and bad texts under no id and under one repeated id without label
+    picked = [(i, s, *rows[i][1:]) for i in range(40, 80) for s in (None, 4242)]
+    more = spark.createDataFrame([r[1:] for r in picked], DOCS)
+    both = docs.where("doc_id is not null").unionByName(more)
+    for keep, bad in ((keep_quality, lambda i: not known[i][0]), (keep_clean, lambda i: known[i] == (1, 1))):
+        kept = Counter((r["doc_id"], r["text"]) for r in keep(both, labels).collect())
+        for shared in (None, 4242):
+            good = [r for r in picked if r[1] == shared and known[r[0]] == (1, 0)]
+            wrong = [r for r in picked if r[1] == shared and bad(r[0])]
+            assert sum((shared, r[2]) in kept for r in good) >= 0.9 * len(good) > 0
+            assert sum((shared, r[2]) in kept for r in wrong) <= 0.1 * len(wrong) and wrong
