@@ -18,8 +18,9 @@ MEMO = 1_500_000
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 #: White space other than blank and line feed: texts that hold any are cut at single blanks only.
 _RARE = re.compile(r"[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-#: Words of Latin letters: one token run each for both kinds of tokenizer, whatever stands around them.
-_PLAIN = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+").fullmatch
+#: Words of Latin letters: one token run each for both kinds of tokenizer, whatever stands around them. U+0130 is none of
+#: them: lower-cased it is two characters, of which the second is no letter.
+_PLAIN = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+").fullmatch
 
 
 def _byte_characters() -> list[str]:
@@ -46,8 +47,8 @@ class Memo(dict):
             self.clear()
             self[""] = blank
         own = self.encoder
-        # no token crosses from a letter to a lone full stop or comma
-        if len(piece) > 1 and piece[-1] in own.ends and piece[-2].isalpha():
+        # no token crosses from a letter to a lone full stop or comma; U+0130 ends with no letter once lower-cased
+        if len(piece) > 1 and piece[-1] in own.ends and piece[-2].lower()[-1].isalpha():
             found = self[piece[:-1]] + own.ends[piece[-1]]
         elif _PLAIN(piece):
             found = own.word(self.lead + piece)

@@ -104,3 +104,11 @@ def test_pack_documents(spark):
             at += n
         assert at <= 256
     assert pack_documents(frame.limit(0), BYTE).count() == 0
+
+
+def test_every_letter_of_the_fast_path_gives_the_library_ids():
+    letters = [chr(c) for c in range(0xC0, 0x250)]
+    text = " ".join(w for c in letters for w in (c, f"{c}stanbul", f"a{c}b", f"x{c},"))
+    for path, library in LIBRARY.items():
+        assert encoder(path).ids(text).tolist() == library.encode(text, add_special_tokens=False).ids
+    assert encoder(WORD).ids("İstanbul").tolist() == LIBRARY[WORD].encode("İstanbul", add_special_tokens=False).ids
