@@ -52,6 +52,15 @@ def text_key(text: Column) -> Column:
     return F.md5(text_bytes(text))
 
 
+def labelled_texts(base: DataFrame, learned: DataFrame, sample: int) -> DataFrame:
+    """label and raw of at most `sample` rows (those of least hash) of base (doc_id, _key, raw) whose id `learned` (doc_id,
+    label; small) holds: one row for each id and text, however often it is repeated."""
+    own = base.select("doc_id", "_key").join(F.broadcast(learned), "doc_id").distinct()
+    chosen = materialize(own.orderBy(F.xxhash64("doc_id", "_key"), "doc_id", "_key").limit(sample))
+    rows = base.select("doc_id", "_key", "raw").join(F.broadcast(chosen), ["doc_id", "_key"])
+    return rows.groupBy("doc_id", "_key").agg(F.min("label").alias("label"), F.first("raw").alias("raw")).select("label", "raw")
+
+
 def without(docs: DataFrame, bad: DataFrame, columns: list[str]) -> DataFrame:
     """Rows of docs but those whose `columns` and text_key, nulls being equal, occur in bad as `columns` and `_key`."""
     bad = bad.select(*[F.col(c).alias(f"_{k}") for k, c in enumerate([*columns, "_key"])]).distinct()

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batches_of_texts, held_out, materialize
+from .common import batches_of_texts, held_out, materialize, text_key
 
 SAMPLE, DOCS, SEGMENT, SHARPNESS = 32_768, 128, 512, 12.0
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -144,10 +144,13 @@ def parser(samples: dict[str, bytes], unseen: dict[str, bytes]) -> Parser:
 def learn_samples(docs: DataFrame, sample: int) -> tuple[dict[str, bytes], dict[str, bytes]]:
     """Training bytes and further bytes per language: two bounded strings each."""
     own = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.regexp_like(F.col("text"), F.lit(r"\p{L}")) & ~held_out(F.col("doc_id")))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "_key"), "doc_id", "_key"))
+    own = own.withColumn("_key", text_key(F.col("text")))
     # a limit per group: every task passes on at most DOCS ids per language
-    chosen = materialize(own.select("doc_id", "lang").withColumn("place", place).where(F.col("place") <= DOCS))
-    texts = own.select("doc_id", "lang", F.lower(F.col("text")).alias("text")).join(chosen, ["doc_id", "lang"])
+    chosen = materialize(own.select("doc_id", "lang", "_key").distinct().withColumn("place", place).where(F.col("place") <= DOCS))
+    # the sample needs no more of a text than its own size; repeated rows are one
+    texts = own.select("doc_id", "lang", "_key", F.substring(F.lower(F.col("text")), 1, sample * 5 // 4).alias("text")).join(F.broadcast(chosen), ["doc_id", "lang", "_key"])
+    texts = texts.groupBy("lang", "_key").agg(F.min("place").alias("place"), F.first("text").alias("text"))
 
     def gather(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.drop_duplicates("text").sort_values("place", kind="stable")

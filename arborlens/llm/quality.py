@@ -8,7 +8,7 @@ posterior, so a sparse site falls back to what lies above it. A document's score
 the global rate to its own evidence. All site figures are grouped sums with partial aggregation, so a host with a third
 of all documents costs no more than others.
 
-Fitting reads at most `sample` labelled rows (those of least id hash); nothing else is sampled.
+Fitting reads at most `sample` labelled rows, one for each id and text (those of least hash); nothing else is sampled.
 
 Defined results: null texts are empty; empty texts have the features of an empty text; null hosts and languages are
 sites of their own; labels of the held-out quarter (crc32 of the id mod 4 = 2) and repeated labels beyond the first
@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WINDOW, batches_of_texts, held_out, materialize, text_bytes, text_key, without, word_hashes
+from .common import WINDOW, batches_of_texts, held_out, labelled_texts, materialize, text_bytes, text_key, without, word_hashes
 
 SAMPLE = 20_000
 _CLASSES = np.zeros((6, 256), np.float32)
@@ -117,9 +117,9 @@ def score_rows(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
     labels = labels.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("label").alias("label"))
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), text_key(F.col("text")).alias("_key"), text_bytes(F.col("text")).alias("raw"))
     learned = materialize(labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
-    # the labelled side is at most `sample` rows
+    # at most `sample` rows, repeated ids or not
     schema = "label int, x array<double>"
-    rows = base.join(F.broadcast(learned), "doc_id").select("label", "raw").mapInPandas(lambda f: _frames(f, lambda part, x: part.assign(x=list(x))), schema).toPandas()
+    rows = labelled_texts(base, learned, sample).mapInPandas(lambda f: _frames(f, lambda part, x: part.assign(x=list(x))), schema).toPandas()
     y = rows["label"].to_numpy(float)
     if 0 < y.sum() < len(y):
         w, mean, dev = fit_logistic(np.stack(rows["x"].to_list()), y)

@@ -5,7 +5,7 @@ b + sum w_i + sum over pairs <v_i, v_j> over the terms of a text, so a pair such
 what neither weighs alone; additive weights cannot learn that. It knows the terms that the labelled rows tell apart
 (largest |z| of the smoothed log-odds, at most `terms` of them); others weigh nothing.
 
-Fitting reads at most `sample` labelled rows (those of least id hash) outside the held-out quarter (crc32 of the id
+Fitting reads at most `sample` labelled rows, one for each id and text (those of least hash) outside the held-out quarter (crc32 of the id
 mod 4 = 2); scoring reads every whole text. Only the text enters a score.
 
 Defined results: null and empty texts score as a text without terms, which is the base rate of the sample or, without
@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TERM_GAPS, U64, batches_of_texts, held_out, materialize, mix, text_bytes, text_key, without, word_hashes
+from .common import TERM_GAPS, U64, batches_of_texts, held_out, labelled_texts, materialize, mix, text_bytes, text_key, without, word_hashes
 
 SAMPLE, TERMS, BITS, RANK, STEM = 20_000, 8192, 22, 8, 5
 
@@ -144,8 +144,8 @@ def score_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms:
                 cut = np.searchsorted(doc, np.arange(1, high - low))
                 yield pd.DataFrame({"label": part["label"], "terms": [t.astype(np.int32).tobytes() for t in np.split(term, cut)]})
 
-    # the labelled side is at most `sample` rows
-    rows = base.join(F.broadcast(learned), "doc_id").select("label", "raw").mapInPandas(sampled, "label int, terms binary").toPandas()
+    # at most `sample` rows, repeated ids or not
+    rows = labelled_texts(base, learned, sample).mapInPandas(sampled, "label int, terms binary").toPandas()
     y = rows["label"].to_numpy(float)
     ids = [np.frombuffer(t, np.int32) for t in rows["terms"]]
     if 0 < y.sum() < len(y):

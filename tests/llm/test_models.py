@@ -4,7 +4,8 @@ import zlib
 import numpy as np
 from pyspark.sql import functions as F
 
-from arborlens.llm.language import folded, identify, suffix_automaton
+from arborlens.llm.common import labelled_texts, text_bytes, text_key
+from arborlens.llm.language import folded, identify, learn_samples, suffix_automaton
 from arborlens.llm.pseudo_likelihood import Network, classes, score, windows, word_counts
 from arborlens.llm.quality import score_quality
 from arborlens.llm.toxicity import fit, score_toxicity
@@ -152,3 +153,31 @@ def test_network_sums_to_one_and_sees_both_sides():
     assert kind[1] == 0 and kind[3] == 1 and (kind[[0, 2, 4]] >= 2).all()
     w = windows(np.array([0, 0, 0, 1]), np.array([5, 4, 3, 2]), 9)
     assert w.tolist() == [[9, 9, 4, 3], [9, 5, 3, 9], [5, 4, 9, 9], [9, 9, 9, 9]]
+
+
+def test_repeated_ids_stay_within_the_sample(spark):
+    rows = [(1, f"text {k % 700}") for k in range(1400)] + [(2, "other"), (2, "other"), (3, "unlabelled")]
+    base = spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", text_key(F.col("text")).alias("_key"), text_bytes(F.col("text")).alias("raw"))
+    learned = spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, label int")
+    few = labelled_texts(base, learned, 50).collect()
+    assert len(few) == 50 and len({bytes(r["raw"]) for r in few}) == 50
+    every = labelled_texts(base, learned, 5000).collect()
+    assert len(every) == 701 and sum(r["label"] for r in every) == 1
+    # a scorer asked for `sample` rows takes no more of them to the driver
+    assert score_toxicity(spark.createDataFrame(rows, "doc_id long, text string"), learned.select("doc_id", F.col("label").alias("toxic")), sample=60).count() == len(rows)
+
+
+def test_language_sample_of_a_repeated_id(spark, monkeypatch):
+    from arborlens.llm import language
+
+    seen = []
+    draw = random.Random(8)
+    rows = [(1, " ".join(draw.choices(("ka", "lo", "mi", "tur"), k=6)) + f" w{k}", "xx") for k in range(500)]
+    rows += [(1, rows[0][1], "xx")] * 500
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    real = language.materialize
+    monkeypatch.setattr(language, "materialize", lambda df: seen.append(real(df)) or seen[-1])
+    train, unseen = learn_samples(docs, 2000)
+    # as many different texts as the bound takes, not one text 128 times
+    assert seen[0].count() == seen[0].select("_key").distinct().count() == language.DOCS
+    assert len(train["xx"]) == 2000 and unseen["xx"]
