@@ -4,8 +4,10 @@ Per language a suffix automaton of labelled text recognises every string that oc
 a phrase goes on while it occurs in the language's text, and ends where it no longer does. The language whose automaton
 needs the fewest phrases, relative to what it needs for unseen text of its own, wins.
 
-The automata are built from at most `sample` bytes per language (whole documents of least id hash, at most DOCS of
-them, the last cut) and measured on at most `sample` / 4 further bytes; the samples travel to the tasks, which build
+The automata are built from at most `sample` bytes per language, taken in equal shares from the documents of least
+hash, `most` of them at most (what short ones leave of their shares goes to the longer ones), and measured on at most
+`sample` / 4 bytes of every fifth of these documents, which are not learned from; of a single document the last fifth is
+measured on. The samples travel to the tasks, which build
 the automata once per worker. Texts are lower-cased and parsed whole, in runs of SEGMENT bytes side by side; a phrase
 ends at the end of its run, for all languages alike.
 
@@ -141,31 +143,52 @@ def parser(samples: dict[str, bytes], unseen: dict[str, bytes]) -> Parser:
     return _built[key]
 
 
-def learn_samples(docs: DataFrame, sample: int) -> tuple[dict[str, bytes], dict[str, bytes]]:
+def shares(sizes: list[int], room: int) -> list[int]:
+    """Part of each size so that all together are at most room: equal ones, but no more than the size."""
+    out, left = [0] * len(sizes), room
+    order = sorted(range(len(sizes)), key=sizes.__getitem__)
+    for n, k in enumerate(order):
+        out[k] = min(sizes[k], left // (len(sizes) - n))
+        left -= out[k]
+    return out
+
+
+def joined(texts: list[bytes], room: int) -> bytes:
+    """A share of each text, at most room bytes together, a space between them."""
+    texts = texts[: max(1, room // 2)]
+    return b" ".join(t[:n] for t, n in zip(texts, shares([len(t) for t in texts], room - len(texts) + 1), strict=True))
+
+
+def learn_samples(docs: DataFrame, sample: int, most: int = DOCS) -> tuple[dict[str, bytes], dict[str, bytes]]:
     """Training bytes and further bytes per language: two bounded strings each."""
     own = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.regexp_like(F.col("text"), F.lit(r"\p{L}")) & ~held_out(F.col("doc_id")))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "_key"), "doc_id", "_key"))
     own = own.withColumn("_key", text_key(F.col("text")))
-    # a limit per group: every task passes on at most DOCS ids per language
-    chosen = materialize(own.select("doc_id", "lang", "_key").distinct().withColumn("place", place).where(F.col("place") <= DOCS))
+    # a limit per group: every task passes on at most `most` texts per language
+    chosen = materialize(own.select("doc_id", "lang", "_key").distinct().withColumn("place", place).where(F.col("place") <= most))
     # the sample needs no more of a text than its own size; repeated rows are one
     texts = own.select("doc_id", "lang", "_key", F.substring(F.lower(F.col("text")), 1, sample * 5 // 4).alias("text")).join(F.broadcast(chosen), ["doc_id", "lang", "_key"])
     texts = texts.groupBy("lang", "_key").agg(F.min("place").alias("place"), F.first("text").alias("text"))
 
     def gather(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.drop_duplicates("text").sort_values("place", kind="stable")
-        whole = " ".join(frame["text"]).encode()
-        train = whole[: min(sample, len(whole) * 4 // 5)]
-        return pd.DataFrame({"lang": [key[0]], "train": [train], "unseen": [whole[len(train) :][: sample // 4]]})
+        texts = [t.encode() for t in frame["text"]]
+        if len(texts) > 1:
+            far = [t for k, t in enumerate(texts) if k % 5 == min(4, len(texts) - 1)]
+            train = joined([t for k, t in enumerate(texts) if k % 5 != min(4, len(texts) - 1)], sample)
+        else:
+            cut = min(sample, len(texts[0]) * 4 // 5)
+            train, far = texts[0][:cut], [texts[0][cut:]]
+        return pd.DataFrame({"lang": [key[0]], "train": [train], "unseen": [joined(far, sample // 4)]})
 
     rows = texts.groupBy("lang").applyInPandas(gather, "lang string, train binary, unseen binary").collect()
     return {r["lang"]: bytes(r["train"]) for r in rows if r["train"]}, {r["lang"]: bytes(r["unseen"]) for r in rows if r["unseen"]}
 
 
-def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def identify(docs: DataFrame, sample: int = SAMPLE, most: int = DOCS) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every row of docs."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    samples, unseen = learn_samples(base, sample)
+    samples, unseen = learn_samples(base, sample, most)
     raw = F.when(F.regexp_like(F.col("text"), F.lit(r"\p{L}")), F.lower("text")).cast("binary")
 
     def predict(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

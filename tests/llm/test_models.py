@@ -181,3 +181,18 @@ def test_language_sample_of_a_repeated_id(spark, monkeypatch):
     # as many different texts as the bound takes, not one text 128 times
     assert seen[0].count() == seen[0].select("_key").distinct().count() == language.DOCS
     assert len(train["xx"]) == 2000 and unseen["xx"]
+
+
+def test_language_sample_takes_a_share_of_every_document(spark):
+    draw = random.Random(6)
+    rows = [(k, "same again " * 400 if k % 2 else f"doc{k} " + " ".join(draw.choices("abcdefgh", k=300)), "xx") for k in range(0, 60)]
+    rows = [(k, f"{t} end{k}", lang) for k, t, lang in rows if not held(k)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    train, unseen = learn_samples(docs, 4000)
+    names = [f"doc{k} " for k, _, _ in rows if k % 2 == 0]
+    learned = {n for n in names if n.encode() in train["xx"]}
+    apart = {n for n in names if n.encode() in unseen["xx"]}
+    assert learned and apart and not learned & apart and learned | apart == set(names)
+    assert 3500 < len(train["xx"]) <= 4000 and len(unseen["xx"]) <= 1000
+    one, rest = learn_samples(docs, 4000, most=1)
+    assert one["xx"] and rest["xx"]
