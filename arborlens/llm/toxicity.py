@@ -2,8 +2,10 @@
 
 A text's terms are its distinct words and their first STEM bytes, lower-cased and without ASCII punctuation, hashed. The machine is
 b + sum w_i + sum over pairs <v_i, v_j> over the terms of a text, so a pair such as insult and group mention can weigh
-what neither weighs alone; additive weights cannot learn that. It knows the terms that the labelled rows tell apart
-(largest |z| of the smoothed log-odds, at most `terms` of them); others weigh nothing.
+what neither weighs alone; additive weights cannot learn that. It knows every term of at least two labelled texts, whether
+or not it tells labels apart by itself; where these are more than `terms`, the ones that tell labels apart come first (half of
+the places at most), then the most frequent. A term's own weight moves the less, the smaller its |z|; its factors for pairs move
+freely. Other terms weigh nothing.
 
 Fitting reads at most `sample` labelled rows, one for each id and text (those of least hash) outside the held-out quarter (crc32 of the id
 mod 4 = 2); scoring reads every whole text. Only the text enters a score.
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import TERM_GAPS, U64, batches_of_texts, held_out, labelled_texts, materialize, mix, text_bytes, text_key, without, word_hashes
 
-SAMPLE, TERMS, BITS, RANK, STEM = 20_000, 8192, 22, 8, 5
+SAMPLE, TERMS, BITS, RANK, STEM = 20_000, 65_536, 22, 8, 5
 
 
 def term_ids(texts: list[bytes], bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
@@ -55,63 +57,69 @@ class Machine:
         return out
 
 
-def choose_terms(texts: list[np.ndarray], y: np.ndarray, most: int, bits: int = BITS, least_z: float = 3.3) -> tuple[np.ndarray, np.ndarray]:
-    """(hashed terms, their shrunk log-odds) of largest |z|; texts hold the distinct terms of each text."""
-    up, down = np.zeros(1 << bits, np.int32), np.zeros(1 << bits, np.int32)
-    for label, count in ((1, up), (0, down)):
-        own = np.flatnonzero(y == label)
-        for at in range(0, len(own), 500):
-            count += np.bincount(np.concatenate([texts[k] for k in own[at : at + 500]]), minlength=1 << bits).astype(np.int32)
-    seen = np.flatnonzero(up + down >= 2)
-    up, down = up[seen].astype(float), down[seen].astype(float)
+def choose_terms(texts: list[np.ndarray], y: np.ndarray, most: int, bits: int = BITS, strong: float = 3.3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashed terms of at least two texts, their log-odds, |z|), at most `most`; texts hold the distinct terms of each text."""
+    up, both = np.zeros(1 << bits, np.int32), np.zeros(1 << bits, np.int32)
+    for own, label in zip(texts, y, strict=True):
+        both[own] += 1
+        if label:
+            up[own] += 1
+    seen = np.flatnonzero(both >= 2)
+    up, both = up[seen].astype(float), both[seen].astype(float)
     pos, neg = y.sum(), len(y) - y.sum()
-    share = (up + down + 1) / (len(y) + 2)
-    a, c = up + 2 * share * pos / len(y) * 2, down + 2 * share * neg / len(y) * 2
-    a, c = np.maximum(a, 0.05), np.maximum(c, 0.05)
-    odds = np.log(a / np.maximum(pos - up + 1, 1)) - np.log(c / np.maximum(neg - down + 1, 1))
     # deviation from what the base rate expects, in standard errors
-    expected = (up + down) * pos / len(y)
-    z = np.sign(up - expected) * np.maximum(np.abs(up - expected) - 0.5, 0) / np.sqrt((up + down) * pos / len(y) * neg / len(y) + 1e-9)
-    order = np.argsort(-np.abs(z), kind="stable")[:most]
-    order = order[np.abs(z[order]) >= least_z]
-    return seen[order], np.clip(odds[order], -4, 4) * (np.abs(z[order]) / (np.abs(z[order]) + 3))
-
-
-def fit(texts: list[np.ndarray], y: np.ndarray, terms: int = TERMS, rank: int = RANK, bits: int = BITS, rounds: int = 60, ridge: float = 2e-3) -> Machine:
-    """Logistic loss by Adagrad over batches; starts from the terms' own log-odds and small random factors."""
-    chosen, odds = choose_terms(texts, y, terms, bits)
+    expected = both * pos / len(y)
+    z = np.maximum(np.abs(up - expected) - 0.5, 0) / np.sqrt(both * pos / len(y) * neg / len(y) + 1e-9)
+    first = np.argsort(-z, kind="stable")[: most // 2]
+    rank = both.copy()
+    rank[first[z[first] >= strong]] = np.inf
+    order = np.argsort(-rank, kind="stable")[:most]
+    seen, up, both, z = seen[order], up[order], both[order], z[order]
+    share = (both + 1) / (len(y) + 2)
+    a, c = np.maximum(up + 4 * share * pos / len(y), 0.05), np.maximum(both - up + 4 * share * neg / len(y), 0.05)
+    odds = np.log(a / np.maximum(pos - up + 1, 1)) - np.log(c / np.maximum(neg - both + up + 1, 1))
+    return seen, np.clip(odds, -4, 4), z
+
+
+def fit(texts: list[np.ndarray], y: np.ndarray, terms: int = TERMS, rank: int = RANK, bits: int = BITS, rounds: int = 30, ridge: float = 2e-3) -> Machine:
+    """Logistic loss by Adagrad over batches; starts from the terms' own shrunk log-odds and small random factors."""
+    chosen, odds, z = choose_terms(texts, y, terms, bits)
     base = float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)))
     draw = np.random.Generator(np.random.PCG64(7))
-    m = Machine(chosen, odds * 0.5, draw.normal(0, 0.02, (len(chosen), rank)), base)
+    trust = z**3 / (z**3 + 3.3**3)
+    m = Machine(chosen, odds * 0.5 * trust * z / (z + 3), draw.normal(0, 0.02, (len(chosen), rank)), base)
     if not len(chosen):
         return m
+    pace = np.maximum(0.05, trust).astype(np.float32)
     place = m.slots(bits)
-    kept = [(s := place[t])[s >= 0] for t in texts]
-    slot, start = np.concatenate(kept), np.cumsum([0] + [len(k) for k in kept])
-    del place, kept
-    gw, gv, gb = np.full(len(m.w), 1e-6), np.full(m.v.shape, 1e-6), 1e-6
-    w, v, b = m.w.astype(float), m.v.astype(float), m.b
-    size = 256
+    size = np.array([np.count_nonzero(place[t] >= 0) for t in texts])
+    start = np.concatenate(([0], np.cumsum(size)))
+    slot = np.empty(start[-1], np.int32)
+    for k, t in enumerate(texts):
+        s = place[t]
+        slot[start[k] : start[k + 1]] = s[s >= 0]
+    del place
+    w, v, b = m.w, m.v, m.b
+    gw, gv, gb = np.full(w.shape, 1e-2, np.float32), np.full(v.shape, 1e-2, np.float32), 1e-6
+    batch = 256
     for turn in range(rounds):
         order = draw.permutation(len(y))
-        for at in range(0, len(y), size):
-            some = order[at : at + size]
-            count = start[some + 1] - start[some]
-            take = np.repeat(start[some], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        for at in range(0, len(y), batch):
+            some = order[at : at + batch]
+            count = size[some]
+            take = np.repeat(start[some] - (np.cumsum(count) - count), count) + np.arange(count.sum())
             d, s = np.repeat(np.arange(len(some)), count), slot[take]
             vs = v[s]
-            total = np.zeros((len(some), v.shape[1]))
-            np.add.at(total, d, vs)
+            total = np.stack([np.bincount(d, vs[:, k], minlength=len(some)) for k in range(rank)], 1)
             square = np.bincount(d, (vs**2).sum(1), minlength=len(some))
-            z = b + np.bincount(d, w[s], minlength=len(some)) + 0.5 * ((total**2).sum(1) - square)
-            g = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[some]
-            dw = np.bincount(s, g[d], minlength=len(w)) / len(some) + ridge * w / 8
-            dv = np.zeros_like(v)
-            np.add.at(dv, s, g[d, None] * (total[d] - vs))
-            dv = dv / len(some) + ridge * v / 8
+            margin = b + np.bincount(d, w[s], minlength=len(some)) + 0.5 * ((total**2).sum(1) - square)
+            g = 1 / (1 + np.exp(-np.clip(margin, -30, 30))) - y[some]
+            dw = pace * np.bincount(s, g[d], minlength=len(w)) / len(some) + ridge * w / 8
+            x = g[d, None] * (total[d] - vs)
+            dv = np.stack([np.bincount(s, x[:, k], minlength=len(w)) for k in range(rank)], 1) / len(some) + ridge * v / 8
             gw += dw**2
             gv += dv**2
-            w -= 0.15 * dw / np.sqrt(gw)
+            w -= 0.15 * pace * dw / np.sqrt(gw)
             v -= 0.03 * dv / np.sqrt(gv)
             db = g.mean()
             gb += db**2

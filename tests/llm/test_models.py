@@ -80,6 +80,22 @@ def test_factorization_machine_learns_a_pair():
     assert pairs[0] > 0.5 > -0.5 > max(pairs[1:])
 
 
+def test_factorization_machine_learns_a_pair_without_marginal_signal():
+    draw = np.random.default_rng(3)
+    texts, y = [], []
+    for k in range(1600):
+        # 7 and 9 are each in half of the toxic and half of the clean texts; together they are toxic, alone clean
+        toxic, half = k % 4 == 0, k // 4 % 2
+        own = ([7, 9] if half else [11]) if toxic else [7 if half else 9]
+        texts.append(np.unique(np.concatenate((own, draw.integers(100, 140, 5)))).astype(np.int64))
+        y.append(float(toxic))
+    machine = fit(texts, np.array(y), bits=8)
+    slots = machine.slots(8)
+    assert slots[7] >= 0 and slots[9] >= 0
+    pairs = machine.margin(np.array([0, 0, 1, 2]), slots[[7, 9, 7, 9]], 3)
+    assert pairs[0] > 0.5 > -0.5 > max(pairs[1:])
+
+
 def test_language(spark):
     docs, _, rows, _ = frames(spark)
     out = {r["doc_id"]: r for r in identify(docs, sample=6000).collect()}
