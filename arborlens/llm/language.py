@@ -162,10 +162,12 @@ def joined(texts: list[bytes], room: int) -> bytes:
 def learn_samples(docs: DataFrame, sample: int, most: int = DOCS) -> tuple[dict[str, bytes], dict[str, bytes]]:
     """Training bytes and further bytes per language: two bounded strings each."""
     own = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.regexp_like(F.col("text"), F.lit(r"\p{L}")) & ~held_out(F.col("doc_id")))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "_key"), "doc_id", "_key"))
     own = own.withColumn("_key", text_key(F.col("text")))
-    # a limit per group: every task passes on at most `most` texts per language
-    chosen = materialize(own.select("doc_id", "lang", "_key").distinct().withColumn("place", place).where(F.col("place") <= most))
+    # the least text of each of 64 * most hash slots: repeated rows are one, and no language brings more rows to the window
+    order = F.xxhash64("doc_id", "_key")
+    least = own.groupBy("lang", F.pmod(order, F.lit(64 * most)).alias("slot")).agg(F.min(F.struct(order.alias("order"), "doc_id", "_key")).alias("d"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("order", "doc_id", "_key"))
+    chosen = materialize(least.select("lang", "d.*").withColumn("place", place).where(F.col("place") <= most).drop("order"))
     # the sample needs no more of a text than its own size; repeated rows are one
     texts = own.select("doc_id", "lang", "_key", F.substring(F.lower(F.col("text")), 1, sample * 5 // 4).alias("text")).join(F.broadcast(chosen), ["doc_id", "lang", "_key"])
     texts = texts.groupBy("lang", "_key").agg(F.min("place").alias("place"), F.first("text").alias("text"))
