@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import tempfile
 import uuid
 import zlib
@@ -19,23 +21,70 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; a new temporary one only where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Only a local session, as in tests, may leave it unset and
+    gets a new temporary one; on a cluster that folder would be another one on every machine."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         path = current.get() if current.isDefined() else None
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
 
 
+_folder: contextvars.ContextVar[str | None] = contextvars.ContextVar("folder", default=None)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: lineage ends here and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/arborlens-{uuid.uuid4().hex}"
+    path = f"{_folder.get() or shared_dir(spark)}/arborlens-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes the files of materialized tables that no later plan reads."""
+    for df in tables:
+        if getattr(df, "written", None):
+            _delete(df.sparkSession, df.written)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are materialized inside are deleted at the end; what is to stay must be read to its end or written
+    elsewhere before."""
+    path = f"{shared_dir(spark)}/arborlens-scratch-{uuid.uuid4().hex}"
+    token = _folder.set(path)
+    try:
+        yield
+    finally:
+        _folder.reset(token)
+        _delete(spark, path)
+
+
+#: A key of more than one in HOT of all rows is hot: there are fewer than HOT such keys, however many rows.
+HOT = 1000
+
+
+def join_spread(rows: DataFrame, side: DataFrame, key: str, count: str, total: int, how: str = "inner") -> DataFrame:
+    """rows joined (inner or left) with side, which has one row per key and in `count` how many of the `total` rows hold
+    it. The fewer than HOT hot keys are broadcast, so that their rows stay where they are; all others are merged by key."""
+    side = side.withColumn(count, F.col(count).cast("long"))
+    hot = F.broadcast(side.where(F.col(count) * HOT > total))
+    cold = side.where(F.col(count) * HOT <= total)
+    rest = rows.join(hot.select(key), key, "left_anti")
+    return rows.join(hot, key).unionByName(rest.join(cold, key, how))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -179,25 +228,41 @@ def crc32_ids(ids: np.ndarray) -> int:
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of the undirected edges (a, b): component is the least node it reaches.
 
-    Alternates large-star and small-star contraction; each round is two shuffled joins on aggregated minima and a
-    table in the shared folder, so no group of edges is gathered in one task. Ends when a round changes nothing.
+    Alternates large-star and small-star contraction; each round is two joins with aggregated minima, in which the rows of
+    hot nodes are not gathered, and a table in the shared folder. Ends when a round changes nothing.
     """
     pairs = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     mark = None
+    total = 2 * pairs.count()
     for _ in range(most_rounds):
         both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select("a", "b", "m")
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("k")).select("a", F.least("a", "m").alias("m"), "k")
+        large = join_spread(both, least, "a", "k", total).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("k"))
+        small = join_spread(large, low, "a", "k", total).select("a", "b", "m")
         step = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        pairs = materialize(step)
+        old, pairs = pairs, materialize(step)
+        discard(old)
         now = pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == mark:
             break
-        mark = now
+        mark, total = now, 2 * now[0]
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     return pairs.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
         pairs.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     )
+
+
+def least_members(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """Least member of each of n nodes' component under the links (a, b), within one task."""
+    parent = np.arange(n)
+    while len(a):
+        x, y = parent[a], parent[b]
+        low, high = np.minimum(x, y), np.maximum(x, y)
+        np.minimum.at(parent, high, low)
+        while not np.array_equal(up := parent[parent], parent):
+            parent = up
+        live = parent[a] != parent[b]
+        a, b = a[live], b[live]
+    return parent

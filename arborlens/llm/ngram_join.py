@@ -3,8 +3,12 @@
 The global order of shingles (their hash) is cut into fragments. Every document's set is cut with it, so a fragment
 holds all occurrences of its shingles and can tell which are shared by several distinct sets. Only shared shingles can
 lie in an intersection: the fragments' partial counts are summed per set, and a set whose shared part is below the
-threshold leaves. What remains is joined through the rarest shared shingles (prefix filter, exact for any global
-order), and inside each candidate block the overlaps are again counted fragment by fragment and summed per pair.
+threshold leaves. Pairs of what remains come from the rarest shared shingles (prefix filter, with size and position
+filters; exact for any global order). A pair's overlap is counted apart in each of a few wide fragments and summed.
+
+Components need no pair inside a component that is known already. So every shingle's sets are first compared with one of
+them (hub rounds, linear in the sets), components are drawn, and rounds go on with other hubs while many pairs across
+components are left; then all pairs that are left are compared.
 
 Defined results: equal sets are one class, collapsed before any join (a group of copies is never expanded); texts
 without words, empty and null texts have an empty set and link with nothing; texts with fewer than `width` words have
@@ -22,10 +26,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, batches_of_texts, connected_components, materialize, mix, text_bytes, word_hashes
+from .common import U64, batches_of_texts, connected_components, discard, join_spread, materialize, mix, text_bytes, word_hashes
 
-#: Shingles in a fragment, about, once FRAGMENTS of them are full (a set has a row in each fragment); documents in a block that one task compares; columns of one partial count.
-FRAGMENT, FRAGMENTS, BLOCK, COLUMNS = 4_000_000, 64, 1024, 4096
+#: Shingles in a fragment, about, once FRAGMENTS of them are full (a set has a row in each fragment); wide fragments in
+#: which pairs are counted; hub rounds at most; sets of one shingle that one task pairs; places of a hub's pairs.
+FRAGMENT, FRAGMENTS, WIDE, ROUNDS, BLOCK, SALTS = 2_000_000, 64, 8, 4, 512, 256
 
 
 def shingles(texts: list[bytes], width: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -71,7 +76,7 @@ def _cut(frames: Iterator[pd.DataFrame], fragments: int, width: int) -> Iterator
             print_ = np.zeros(n, U64)
             np.add.at(print_, doc, mix(value ^ U64(0xA0761D6478BD642F)))
             print_ = mix(print_ + size.astype(U64) * U64(0xE7037ED1A0B428DB)).view(np.int64)
-            place = (value >> U64(48)).astype(np.int64) * fragments >> 16
+            place = (value >> U64(40)).astype(np.int64) * fragments >> 24
             order = np.argsort(place * n + doc, kind="stable")
             place, doc = place[order], doc[order]
             low48 = value[order].view(np.uint8).reshape(-1, 8)[:, :6]
@@ -87,40 +92,51 @@ def _cut(frames: Iterator[pd.DataFrame], fragments: int, width: int) -> Iterator
 
 
 CUT = "fragment int, keys binary, sizes binary, counts binary, body binary"
-SHARED = "fragment int, doc_id long, fp long, n long, toks array<long>, df array<int>"
+SHARED = "fragment int, doc_id long, fp long, n long, k int, toks array<long>, df array<int>"
 
 
 def _pick(fragment: int, rows: list[tuple]) -> Iterator[pd.DataFrame]:
-    """The shared part of every set in one whole fragment, with the number of distinct sets that hold each shingle."""
+    """The shared part of every set in one whole fragment, with the number of distinct sets that hold each shingle.
+    Shingles are numbered within the fragment, which stands above the number."""
     fp = np.concatenate([np.frombuffer(r[0], np.int64) for r in rows])
     size = np.concatenate([np.frombuffer(r[1], np.int32) for r in rows])
     count = np.concatenate([np.frombuffer(r[2], np.int32) for r in rows])
     body = np.concatenate([np.frombuffer(r[3], np.uint8) for r in rows]).reshape(-1, 6)
     rows.clear()
-    wide = np.zeros((len(body), 8), np.uint8)
-    wide[:, :6] = body
-    tok = wide.view(np.int64).ravel()
-    del body
     # of equal sets one stays
     fps, first = np.unique(fp, return_index=True)
     stays = np.zeros(len(fp), bool)
     stays[first] = True
-    tok = tok[np.repeat(stays, count)]
+    body = body[np.repeat(stays, count)]
     fp, size, count = fp[stays], size[stays], count[stays]
-    _, inverse, df = np.unique(tok, return_inverse=True, return_counts=True)
-    df = df[inverse].astype(np.int32)
-    own = np.repeat(np.arange(len(fp)), count)
+    wide = np.zeros((len(body), 8), np.uint8)
+    wide[:, :6] = body
+    del body
+    key = wide.view(np.int64).ravel()
+    order = np.argsort(key, kind="stable").astype(np.int32)
+    key = key[order]
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    del key, wide
+    starts = np.flatnonzero(new)
+    number = (np.cumsum(new) - 1).astype(np.int32)
+    df_of = np.diff(np.append(starts, len(number))).astype(np.int32)
+    tok = np.empty(len(order), np.int32)
+    tok[order] = number
+    del order, number, new
+    own = np.repeat(np.arange(len(fp), dtype=np.int32), count)
+    df = df_of[tok]
     hit = df > 1
-    tok, df, own = tok[hit], df[hit], own[hit]
-    del inverse, hit
+    tok, df, own = tok[hit].astype(np.int64), df[hit], own[hit]
+    del hit
     left = np.flatnonzero(np.bincount(own, minlength=len(fp)))
-    at = np.searchsorted(own, left)
-    cuts = at[1:]
-    tok |= np.int64(fragment % 32768) << np.int64(48)
+    at = np.append(np.searchsorted(own, left), len(own))
+    tok |= np.int64(fragment) << np.int64(32)
     for a in range(0, len(left), 20_000):
         b = min(len(left), a + 20_000)
-        lo, hi = at[a], (at[b] if b < len(left) else len(tok))
-        yield pd.DataFrame({"fragment": np.int32(fragment), "doc_id": None, "fp": fp[left[a:b]], "n": size[left[a:b]].astype(np.int64), "toks": np.split(tok[lo:hi], cuts[a : b - 1] - lo), "df": np.split(df[lo:hi], cuts[a : b - 1] - lo)})
+        lo, cuts = at[a], at[a + 1 : b]
+        part = left[a:b]
+        yield pd.DataFrame({"fragment": np.int32(fragment), "doc_id": None, "fp": fp[part], "n": size[part].astype(np.int64), "k": np.diff(at[a : b + 1]).astype(np.int32), "toks": np.split(tok[lo : at[b]], cuts - lo), "df": np.split(df[lo : at[b]], cuts - lo)})
 
 
 def _share(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -128,7 +144,7 @@ def _share(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         for fragment, keys, sizes, counts, body in frame.itertuples(index=False):
             if fragment < 0:
-                yield pd.DataFrame({"fragment": np.int32(fragment), "doc_id": np.frombuffer(keys, np.int64), "fp": np.frombuffer(sizes, np.int64), "n": np.frombuffer(counts, np.int64), "toks": None, "df": None})
+                yield pd.DataFrame({"fragment": np.int32(fragment), "doc_id": np.frombuffer(keys, np.int64), "fp": np.frombuffer(sizes, np.int64), "n": np.frombuffer(counts, np.int64), "k": None, "toks": None, "df": None})
                 continue
             if fragment != now and rows:
                 yield from _pick(now, rows)
@@ -139,118 +155,96 @@ def _share(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield from _pick(now, rows)
 
 
-def _roots(parent: np.ndarray) -> np.ndarray:
-    while True:
-        up = parent[parent]
-        if np.array_equal(up, parent):
-            return parent
-        parent = up
+def count_pairs(pairs: DataFrame, wide: DataFrame) -> DataFrame:
+    """(a, b) of the distinct pairs (a, b, need) whose overlap is at least `need`: counted per wide fragment, summed per
+    pair. b may be a hub of any number of pairs: its pairs are dealt to SALTS places, and its parts go to those in use."""
+    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(SALTS)).cast("int"))
+    theirs = salted.select("b", "salt").distinct().join(wide.select(F.col("fp").alias("b"), "part", F.col("toks").alias("other")), "b")
+    mine = salted.join(wide.select(F.col("fp").alias("a"), "part", "toks"), "a")
+    partial = mine.join(theirs, ["b", "salt", "part"]).select("a", "b", "need", F.size(F.array_intersect("toks", "other")).alias("k"))
+    return partial.groupBy("a", "b").agg(F.sum("k").alias("k"), F.first("need").alias("need")).where("k >= need").select("a", "b")
 
 
-def _union(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
-    """Least member of each of n nodes' component under the links (a, b)."""
-    parent = np.arange(n)
-    while len(a):
-        x, y = parent[a], parent[b]
-        low, high = np.minimum(x, y), np.maximum(x, y)
-        np.minimum.at(parent, high, low)
-        parent = _roots(parent)
-        live = parent[a] != parent[b]
-        a, b = a[live], b[live]
-    return parent
+def _fits(percent: int):
+    """Size and position filters of a pair with columns of a and of b: n (whole size), s (shared shingles) and at (place
+    of their common shingle among these, from 0). The pair's first common shingle passes whenever the pair can link."""
+    room = F.least(F.col("s_a") - F.col("at_a"), F.col("s_b") - F.col("at_b"))  # with the common shingle itself
+    return (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent) & (room >= F.col("need"))
 
 
-def link_block(fp: np.ndarray, size: np.ndarray, toks: list[np.ndarray], side: np.ndarray, percent: int, columns: int = COLUMNS) -> list[tuple[int, int]]:
-    """Links inside one block, as (fingerprint, least linked fingerprint). Rows of side 0 and 1 are compared across
-    only, unless all are of side 0. Overlaps are counted per fragment of the shingle order and summed per pair."""
-    order = np.argsort(fp, kind="stable")
-    fp, size, side, toks = fp[order], size[order], side[order], [toks[k] for k in order]
-    n = len(fp)
-    if n == 2 and (side[0] != side[1] or not side.any()):
-        same = len(np.intersect1d(toks[0], toks[1], assume_unique=True))
-        return [(int(fp[1]), int(fp[0]))] if 100 * same >= percent * (size[0] + size[1] - same) else []
-    own = np.repeat(np.arange(n), [len(t) for t in toks])
-    _, column, df = np.unique(np.concatenate(toks), return_inverse=True, return_counts=True)
-    hit = df[column] > 1
-    own, column = own[hit], column[hit]
-    _, column = np.unique(column, return_inverse=True)
-    order = np.argsort(column, kind="stable")
-    own, column = own[order], column[order]
-    overlap = np.zeros((n, n), np.float32)
-    for a in range(0, int(column[-1]) + 1 if len(column) else 0, columns):
-        lo, hi = np.searchsorted(column, (a, a + columns))
-        part = np.zeros((n, min(columns, int(column[hi - 1]) - a + 1)), np.float32)
-        part[own[lo:hi], column[lo:hi] - a] = 1
-        overlap += part @ part.T
-    total = size[:, None] + size[None, :] - overlap
-    linked = np.triu(100 * overlap >= percent * total, 1)
-    if side.any():
-        linked &= side[:, None] != side[None, :]
-    x, y = np.nonzero(linked)
-    root = _union(x, y, n)
-    return [(int(fp[k]), int(fp[root[k]])) for k in np.flatnonzero(root != np.arange(n))]
+def _need(percent: int):
+    """Least overlap with which sets of these sizes link."""
+    return F.ceil((F.col("n_a") + F.col("n_b")) * percent / F.lit(100 + percent)).cast("long")
 
 
-def _compare(frames: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.DataFrame]:
-    """Rows come ordered by block and tile; a tile holds two parts of at most about BLOCK documents each."""
-
-    def done(rows: list) -> list[tuple[int, int]]:
-        if len(rows) < 2:
-            return []
-        return link_block(np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), [np.asarray(r[2]) for r in rows], np.array([r[3] for r in rows]), percent)
-
-    now, rows, out = None, [], []
-    for frame in frames:
-        for block, tile, fp, n, toks, side in frame.itertuples(index=False):
-            if (block, tile) != now:
-                out += done(rows)
-                now, rows = (block, tile), []
-            rows.append((fp, n, toks, side))
-            if len(out) > 50_000:
-                yield pd.DataFrame(out, columns=["a", "b"])
-                out = []
-    out += done(rows)
-    yield pd.DataFrame(out, columns=["a", "b"]).astype("int64")
-
-
-def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80, fragment: int = FRAGMENT, block: int = BLOCK) -> DataFrame:
+def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80, fragment: int = FRAGMENT, block: int = BLOCK, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs with a doc_id."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes(F.col("text")).alias("raw")).where("doc_id is not null")
     chars = docs.agg(F.sum(F.length("raw"))).first()[0] or 0
-    fragments = int(min(30_000, max(FRAGMENTS, -(-chars // (7 * fragment)))))
+    fragments = int(max(FRAGMENTS, -(-chars // (7 * fragment))))
+    tasks = min(fragments, max(512, fragments // 8))
     cut = docs.mapInPandas(lambda frames: _cut(frames, fragments, width), CUT)
-    dealt = cut.repartitionById(fragments, F.pmod(F.col("fragment"), F.lit(fragments))).sortWithinPartitions("fragment")
+    dealt = cut.repartitionById(tasks, F.pmod(F.col("fragment"), F.lit(tasks))).sortWithinPartitions("fragment")
     parts = materialize(dealt.mapInPandas(_share, SHARED))
     sets = parts.where("fragment < 0").select("doc_id", "fp", "n")
 
     # partial counts, summed per set: a set of n shingles needs percent * n / 100 shared ones to link at all
     least = F.ceil(F.col("n") * percent / F.lit(100)).cast("int")
-    whole = (
-        parts.where("fragment >= 0").groupBy("fp").agg(F.first("n").alias("n"), F.sum(F.size("toks")).alias("shared"), F.collect_list(F.arrays_zip("df", "toks")).alias("own"))
-        .where(F.col("shared") >= least)
-        .select("fp", "n", "shared", F.array_sort(F.flatten("own")).alias("own"))
-    )
-    whole = materialize(whole.select("fp", "n", F.col("own.toks").alias("toks"), (F.col("shared") - least + 1).cast("int").alias("prefix")))
-
-    rare = whole.select("fp", F.explode(F.slice("toks", 1, F.col("prefix"))).alias("tok"))
-    head = rare.groupBy("tok").agg(F.min("fp").alias("b"), F.count("*").alias("k")).where("k > 1").select("tok", "b")
-    near = connected_components(rare.join(head, "tok").select(F.col("fp").alias("a"), "b"))
-
-    # blocks of more than `block` sets are cut into parts, and every two parts meet in a tile
-    spread = near.groupBy("component").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("cuts"))
-    placed = near.join(spread, "component").select(F.col("node").alias("fp"), "component", "cuts", F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int").alias("own"))
-    tiles = whole.join(placed, "fp").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
-    tiles = tiles.select(
-        F.col("component").alias("block"), (F.least("own", "other") * F.col("cuts").cast("long") + F.greatest("own", "other")).alias("tile"),
-        "fp", "n", "toks", (F.col("own") > F.col("other")).cast("int").alias("side"),
-    )
-    links = tiles.repartition("block", "tile").sortWithinPartitions("block", "tile").mapInPandas(lambda frames: _compare(frames, percent), "a long, b long")
-    joined = connected_components(links)
+    sizes = parts.where("fragment >= 0").groupBy("fp").agg(F.first("n").alias("n"), F.sum("k").cast("int").alias("s"))
+    able = materialize(sizes.where(F.col("s") >= least).select("fp", "n", "s", (F.col("s") - least + 1).alias("prefix")))
+    rows = parts.where("fragment >= 0").select("fp", "fragment", "toks", "df").join(able, "fp")
+    rare = rows.groupBy("fp", "n", "s", "prefix").agg(F.flatten(F.collect_list(F.arrays_zip("df", "toks"))).alias("own"))
+    rare = rare.select("fp", "n", "s", F.posexplode(F.slice(F.array_sort("own"), F.lit(1), F.col("prefix"))).alias("at", "t")).select("fp", "n", "s", "at", F.col("t.toks").alias("tok"))
+    rare = materialize(rare)
+    several = rare.groupBy("tok").agg(F.count("*").alias("k")).where("k > 1")
+    total = rare.count()
+    open_ = materialize(join_spread(rare, several, "tok", "k", total).select("tok", "fp", "n", "s", "at"))
+    part = F.floor(F.col("fragment").cast("long") * WIDE / F.lit(fragments)).cast("int")
+    wide = rows.join(open_.select("fp").distinct(), "fp", "left_semi")
+    wide = materialize(wide.groupBy("fp", part.alias("part")).agg(F.flatten(F.collect_list("toks")).alias("toks")))
+    discard(rare, able)
+
+    side = lambda df, x, *more: df.select("tok", *more, *(F.col(c).alias(f"{c}_{x}") for c in ("fp", "n", "s", "at", "c")))
+    fitting = lambda met: met.where("c_a <> c_b").withColumn("need", _need(percent)).where(_fits(percent)).select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b"), "need")
+    joined = None
+    total = open_.count()
+    for turn in range(rounds + 1):
+        if joined is None:
+            placed = open_.withColumn("c", F.col("fp"))
+        else:
+            placed = materialize(open_.join(joined, F.col("fp") == F.col("node"), "left").select(*open_.columns, F.coalesce("component", "fp").alias("c")))
+            # a shingle with sets of k components has k * (k - 1) / 2 pairs of components to compare, at the least
+            groups = placed.groupBy("tok", "c").agg(F.count("*").alias("k")).groupBy("tok").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("same"))
+            left = groups.agg(F.sum((F.col("k") * F.col("k") - F.col("same")) / 2)).first()[0] or 0
+            if not left:
+                break
+        if turn < rounds and (joined is None or left > 8 * total):
+            hub = F.min_by(F.struct("fp", "n", "s", "at", "c"), F.struct(F.xxhash64("fp", F.lit(turn)), "fp"))
+            hubs = placed.groupBy("tok").agg(hub.alias("h"), F.count("*").alias("k"))
+            hubs = hubs.select("tok", "k", *(F.col(f"h.{c}").alias(f"{c}_b") for c in ("fp", "n", "s", "at", "c")))
+            met, last = join_spread(side(placed, "a"), hubs, "tok", "k", total), False
+        else:
+            # every two blocks of a shingle's sets meet once
+            many = placed.groupBy("tok").agg(F.count("*").alias("k"), F.count_distinct("c").alias("kinds")).where("kinds > 1").select("tok", "k")
+            cut_ = join_spread(placed, many, "tok", "k", total).withColumn("cuts", F.ceil(F.col("k") / F.lit(block)).cast("int"))
+            cut_ = cut_.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("cuts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+            first = side(cut_.where("own <= other").withColumnRenamed("own", "i").withColumnRenamed("other", "j"), "a", "i", "j")
+            second = side(cut_.where("own >= other").withColumnRenamed("own", "j").withColumnRenamed("other", "i"), "b", "i", "j")
+            met, last = first.join(second, ["tok", "i", "j"]).where("i < j or fp_a < fp_b"), True
+        pairs = materialize(fitting(met).distinct())
+        links = count_pairs(pairs, wide)
+        if joined is not None:
+            links = links.unionByName(joined.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        joined = connected_components(links)
+        discard(pairs, placed)
+        if last:
+            break
 
     # equal sets are one class; its least doc_id stands for it
-    classes = sets.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("low"))
+    classes = sets.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("k"))
     moved = classes.join(joined, classes["fp"] == joined["node"]).select("fp", "low", "component")
-    groups = moved.groupBy("component").agg(F.min("low").alias("component_id"))
-    moved = moved.join(groups, "component").select("fp", "component_id")
-    labels = classes.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id"))
-    return sets.join(labels, "fp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    groups = moved.groupBy("component").agg(F.min("low").alias("component_id"), F.count("*").alias("k"))
+    moved = join_spread(moved, groups, "component", "k", total).select("fp", "component_id")
+    labels = materialize(classes.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id"), "k"))
+    out = join_spread(sets, labels, "fp", "k", sets.count(), "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))

@@ -2,7 +2,9 @@
 
 Every piece is encoded by the library. Texts are cut only where no token of the vocabulary's splitting pattern can
 cross: at single blanks and line feeds between two non-space characters, and, for vocabularies that drop white space, at
-any blanks and line feeds. A worker keeps at most MEMO encoded pieces (about 300 MB).
+any blanks and line feeds. A worker remembers encoded pieces in two generations of at most ROOM bytes for each of its two
+memos (160 MB at most, about half in practice); pieces of more than LONGEST characters are encoded anew whenever they come,
+others are remembered from the second time on, since most pieces come once.
 """
 
 from __future__ import annotations
@@ -10,11 +12,14 @@ from __future__ import annotations
 import functools
 import os
 import re
+import string
 from array import array
 
 import numpy as np
 
-MEMO = 1_500_000
+#: Bytes of one generation, what a piece takes besides its characters and ids, the longest piece remembered, and the
+#: places that note which pieces have come before (by their hash; two pieces in one place do no harm).
+ROOM, EACH, LONGEST, NOTES = 64_000_000, 200, 64, 1 << 22
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 #: White space other than blank and line feed: texts that hold any are cut at single blanks only.
 _RARE = re.compile(r"[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
@@ -23,38 +28,55 @@ _RARE = re.compile(r"[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u20
 _PLAIN = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+").fullmatch
 
 
-def _byte_characters() -> list[str]:
+def _byte_characters() -> dict[int, str]:
     """The character that stands for each byte in byte-level vocabularies: printable Latin-1 ones stand for themselves,
     the others follow from U+0100 on."""
     own = [*range(33, 127), *range(161, 173), *range(174, 256)]
     spare = iter(range(256, 512))
-    return [chr(b) if b in own else chr(next(spare)) for b in range(256)]
+    return {b: chr(b) if b in own else chr(next(spare)) for b in range(256)}
 
 
 _BYTES = _byte_characters()
+_BLANK = _BYTES[32]
+PUNCTUATION = string.punctuation
 
 
 class Memo(dict):
-    """Encoded pieces, each with `lead` before it; a missing one is encoded when it is asked for."""
+    """Encoded pieces, each with `lead` before it; a missing one is encoded when it is asked for. When a generation is
+    full it becomes the old one, from which pieces that still come are taken over."""
 
     def __init__(self, encoder: Encoder, lead: str) -> None:
-        self.encoder, self.lead = encoder, lead
-        self[""] = encoder.pipeline(lead)
+        self.encoder, self.lead, self.old, self.used = encoder, lead, {}, 0
+        self.notes, self.noted = bytearray(NOTES), 0
+        self.blank = self[""] = encoder.pipeline(lead)
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= MEMO:
-            blank = self[""]
+        found = self.old.get(piece)
+        if found is None:
+            own = self.encoder
+            if piece.isalpha() and (piece.isascii() or _PLAIN(piece)):
+                found = own.word(piece, self.lead)
+            else:
+                # no token crosses from a plain letter to ASCII punctuation that nothing follows; other letters may end in a
+                # mark once they are normalised
+                head = piece.rstrip(PUNCTUATION)
+                if head and len(head) < len(piece) and _PLAIN(head[-1]):
+                    found = self[head] + own.tail(piece[len(head) :])
+                else:
+                    found = own.pipeline(self.lead + piece)
+            note = hash(piece) % NOTES
+            if len(piece) > LONGEST or not self.notes[note]:
+                self.notes[note] = 1
+                self.noted += 1
+                if self.noted > NOTES // 4:
+                    self.notes, self.noted = bytearray(NOTES), 0
+                return found
+        if self.used >= ROOM:
+            self.old, self.used = dict(self), 0
             self.clear()
-            self[""] = blank
-        own = self.encoder
-        # no token crosses from a letter to a lone full stop or comma; U+0130 ends with no letter once lower-cased
-        if len(piece) > 1 and piece[-1] in own.ends and piece[-2].lower()[-1].isalpha():
-            found = self[piece[:-1]] + own.ends[piece[-1]]
-        elif _PLAIN(piece):
-            found = own.word(self.lead + piece)
-        else:
-            found = own.pipeline(self.lead + piece)
+            self[""] = self.blank
         self[piece] = found
+        self.used += EACH + len(piece) + len(found)
         return found
 
 
@@ -64,11 +86,11 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.model = self.library.model
+        self.tokenize = self.library.model.tokenize
         self.code = "H" if self.library.get_vocab_size() <= 65_536 else "I"
         self.kind = np.dtype(self.code)
         self.folds = self.pipeline(" Ab") == self.pipeline("ab")  # lower-cases and drops white space
-        self.ends = {c: self.pipeline(c) for c in ".,"}
+        self.tails: dict[str, bytes] = {}
         self.line = self.pipeline("\n")
         self.first, self.later = Memo(self, ""), Memo(self, "" if self.folds else " ")
 
@@ -76,12 +98,22 @@ class Encoder:
         """Ids of a text by the library's whole pipeline."""
         return array(self.code, self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def word(self, word: str) -> bytes:
+    def word(self, word: str, lead: str) -> bytes:
         """Ids of a plain word by the library's model, which is all of the pipeline that such words need."""
-        word = word.lower() if self.folds else word
-        if not word.isascii() or word[0] == " ":
-            word = "".join(map(_BYTES.__getitem__, word.encode()))
-        return array(self.code, [t.id for t in self.model.tokenize(word)]).tobytes()
+        if self.folds:
+            word = word.lower()
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(_BYTES)
+        return array(self.code, [t.id for t in self.tokenize(_BLANK + word if lead else word)]).tobytes()
+
+    def tail(self, text: str) -> bytes:
+        """Ids of punctuation at the end of a word."""
+        found = self.tails.get(text)
+        if found is None:
+            found = self.pipeline(text)
+            if len(text) <= LONGEST and len(self.tails) < 100_000:
+                self.tails[text] = found
+        return found
 
     def ids(self, text: str) -> np.ndarray:
         """Ids of one whole text, without special tokens added."""
@@ -100,6 +132,6 @@ class Encoder:
         return np.frombuffer(b"".join(out[1:]), self.kind)
 
 
-@functools.lru_cache(maxsize=2)
+@functools.lru_cache(maxsize=1)
 def encoder(path: str) -> Encoder:
     return Encoder(path)

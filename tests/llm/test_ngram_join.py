@@ -5,7 +5,7 @@ from itertools import combinations
 import numpy as np
 from pyspark.sql import functions as F
 
-from arborlens.llm.ngram_join import jaccard_join, shingles
+from arborlens.llm.ngram_join import _need, jaccard_join, shingles
 
 
 def brute(rows, width=5, percent=80):
@@ -45,12 +45,38 @@ def texts(seed=5):
     return rows
 
 
-def test_same_as_brute_force_with_small_and_large_blocks(spark):
-    rows = texts()
+def chained(seed=11):
+    """Families whose members link along chains only, and many texts around one passage that do not link with each other."""
+    draw = random.Random(seed)
+    word = lambda: "".join(draw.choices("klmnop", k=4))
+    rows, at = [], 2000
+    for _ in range(4):
+        own = [word() for _ in range(90)]
+        for _ in range(12):
+            place = draw.randrange(85)
+            own = own[:place] + [word()] + own[place + 1 :]
+            rows.append((at, " ".join(own)))
+            at += 1
+    passage, extra = [word() for _ in range(60)], [[word() for _ in range(9)] for _ in range(6)]
+    for k in range(40):
+        rows.append((at, " ".join(passage + [w for e in draw.sample(extra, 3) for w in e])))
+        at += 1
+    return rows
+
+
+def test_same_as_brute_force_with_hubs_and_blocks(spark):
+    rows = texts() + chained()
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("fp", F.lit("clash")).withColumn("n", F.lit(1))
-    for block in (3, 1024):
-        got = sorted(tuple(r) for r in jaccard_join(docs, block=block).collect())
-        assert got == brute(rows)
+    want = brute(rows)
+    for block, rounds in ((3, 0), (512, 4)):
+        assert sorted(tuple(r) for r in jaccard_join(docs, block=block, rounds=rounds).collect()) == want
+
+
+def test_threshold_is_exact_for_large_counts(spark):
+    sizes = spark.createDataFrame([(6_750_004, 5_400_003 + 6_750_004 - 6_750_004)], "n_a long, n_b long")
+    n, m = sizes.first()
+    need = sizes.select(_need(80)).first()[0]
+    assert 100 * need >= 80 * (n + m - need) and 100 * (need - 1) < 80 * (n + m - need + 1)
 
 
 def test_nulls_repeats_and_empty_table(spark):
