@@ -8,8 +8,10 @@ The automata are built from at most `sample` bytes per language, taken in equal
 hash, `most` of them at most (what short ones leave of their shares goes to the longer ones), and measured on at most
 `sample` / 4 bytes of every fifth of these documents, which are not learned from; of a single document the last fifth is
 measured on. The samples travel to the tasks, which build
-the automata once per worker. Texts are lower-cased and parsed whole, in runs of SEGMENT bytes side by side; a phrase
-ends at the end of its run, for all languages alike.
+the automata once per worker. Texts are lower-cased and parsed whole. Runs of SEGMENT bytes are parsed side by side, each as
+if a phrase began with it; then every run's last phrase is followed into the next runs until a phrase of its parse begins
+where one of theirs does, from where on both are the same. So the phrases counted are those of one parse from the text's
+first byte to its last, with the longest matches.
 
 Defined results: null texts and texts without a letter are `und` with score 0, and so are all texts if no language was
 learned; rows without language and the held-out quarter (crc32 of the id mod 4 = 2) are not learned from; ties go to
@@ -105,30 +107,65 @@ class Parser:
         self.usual = np.maximum(self.usual, 1e-3)
 
     def phrases(self, texts: list[bytes]) -> np.ndarray:
-        """Phrases per text and language."""
+        """Phrases per text and language of the greedy parse of each whole text."""
         size = np.array([len(t) for t in texts])
-        buf = np.concatenate((self.kind[folded(b"".join(texts))], np.zeros(SEGMENT, np.int64)))
+        total, langs = int(size.sum()), len(self.languages)
+        buf = self.kind.astype(np.uint8)[folded(b"".join(texts))]
         runs = -(-size // SEGMENT)
         owner = np.repeat(np.arange(len(texts)), runs)
         nth = np.arange(len(owner)) - np.repeat(np.cumsum(runs) - runs, runs)
         first = np.repeat(np.cumsum(size) - size, runs) + nth * SEGMENT
         length = np.minimum(SEGMENT, size[owner] - nth * SEGMENT)
+        begins = np.zeros((langs, total + 1), np.int8)  # where a phrase begins in its run's own parse
+        begins[:, first] = 1
         order = np.argsort(-length, kind="stable")
-        owner, first, length = owner[order], first[order], length[order]
-        live = np.searchsorted(-length, -np.arange(SEGMENT), "left")  # runs longer than t
-        langs = len(self.languages)
+        live = np.searchsorted(-length[order], -np.arange(SEGMENT), "left")  # runs longer than t
         state = np.repeat(self.start[:, None], len(owner), 1)
-        count = np.ones((langs, len(owner)), np.int32)
         for t in range(SEGMENT):
             n = int(live[t])
             if not n:
                 break
-            c = buf[first[:n] + t]
+            at = first[order[:n]] + t
+            c = buf[at]
             to = self.moves[state[:, :n] * self.width + c]
             ended = to == 0
-            count[:, :n] += ended
+            begins[:, at] |= ended
             state[:, :n] = np.where(ended, self.again[:, c], to)
-        return np.stack([np.bincount(owner, row, minlength=len(texts)) for row in count], 1)
+        final = np.empty_like(state)
+        final[:, order] = state
+        end = np.cumsum(size)[owner]
+        out = np.zeros((len(texts), langs), np.int64)
+        for k in range(langs):
+            more, meets = self._follow(k, final[k], first + length, end, buf, begins[k])
+            before = np.zeros(total + 1, np.int32)  # phrases that begin before a place
+            np.cumsum(begins[k, :-1], dtype=np.int32, out=before[1:])
+            # from run to run by the places where parses meet
+            text = np.flatnonzero(size)
+            place = first[np.searchsorted(owner, text)]
+            while len(text):
+                run = np.searchsorted(first, place, "right") - 1
+                out[text, k] += before[first[run] + length[run]] - before[place] + more[run]
+                place = meets[run]
+                on = place < end[run]
+                text, place = text[on], place[on]
+        return np.maximum(out, 1)
+
+    def _follow(self, k: int, state: np.ndarray, at: np.ndarray, end: np.ndarray, buf: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(phrases begun, place met) of every run's parse beyond its end, until it meets the runs' own or the text ends."""
+        more, meets = np.zeros(len(at), np.int64), end.copy()
+        live = np.flatnonzero(at < end)
+        state, at = state[live], at[live]
+        while len(live):
+            c = buf[at]
+            to = self.moves[state * self.width + c]
+            ended = to == 0
+            met = ended & (begins[at] > 0)
+            meets[live[met]] = at[met]
+            more[live[ended & ~met]] += 1
+            state, at = np.where(ended, self.again[k, c], to), at + 1
+            on = ~met & (at < end[live])
+            live, state, at = live[on], state[on], at[on]
+        return more, meets
 
 
 _built: dict[int, Parser] = {}

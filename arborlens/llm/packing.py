@@ -5,7 +5,8 @@ sequences are a matter of piece lengths alone. Only the histogram of lengths (at
 driver: patterns of few lengths that fill a sequence exactly are enumerated, their repeat counts are fitted to the
 histogram by non-negative least squares and rounded down to what is there, and the residual histogram is packed by
 best fit decreasing, whole patterns at a time. The plan is a table of at most a few thousand intervals of ranks; every
-piece gets a rank among the pieces of its length and finds its sequence and offset there.
+piece gets a rank among the pieces of its length, by prefix sums over ranges of rows, so that a length most pieces have is
+dealt to many tasks, and finds its sequence and offset there by bisection.
 
 Defined results: null texts are empty and hold the end id alone; empty tables give no rows; repeated rows are packed as
 often as they come; rows without doc_id are packed too; other columns are ignored.
@@ -18,13 +19,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import crc32_ids, materialize
+from .mixing import prefix_sums
 from .tokens import encoder
 
-SALTS = 64
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -145,16 +146,17 @@ def tokenize_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int)
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset for every piece of every document."""
-    spark = docs.sparkSession
-    salt = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALTS)).cast("int")
-    pieces = materialize(tokenize_pieces(docs, tokenizer, capacity, end_id).withColumn("salt", salt))
-    counts = pieces.groupBy("length", "salt").agg(F.count("*").alias("k"))
-    histogram = {r["length"]: r["k"] for r in counts.groupBy("length").agg(F.sum("k").alias("k")).collect()}
-    places = intervals(plan(histogram, capacity))
-    places = spark.createDataFrame(places, "length long, low long, high long, base long, offset long")
-    before = counts.select("length", "salt", (F.sum("k").over(Window.partitionBy("length").orderBy("salt")) - F.col("k")).alias("before"))
-    rank = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")) - 1
-    ranked = pieces.withColumn("rank", rank).join(F.broadcast(before), ["length", "salt"]).withColumn("rank", F.col("rank") + F.col("before"))
-    # at most 64 * capacity counts and a few thousand intervals, whatever the number of documents
-    placed = ranked.join(F.broadcast(places), "length").where("rank >= low and rank < high")
-    return placed.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("rank") - F.col("low")).alias("sequence_id"), "offset")
+    pieces = materialize(tokenize_pieces(docs, tokenizer, capacity, end_id))
+    # at most `capacity` counts and a few thousand intervals, whatever the number of documents
+    histogram = {r["length"]: r["k"] for r in pieces.groupBy("length").agg(F.count("*").alias("k")).collect()}
+    table = np.array(sorted(intervals(plan(histogram, capacity))), np.int64).reshape(-1, 5)
+    keys = table[:, 0] << 40 | table[:, 1]
+    ranked = prefix_sums(pieces, ["length"], [F.col("doc_id").asc_nulls_first(), F.col("piece").asc(), F.col("ids_crc32").asc()], {"rank": F.lit(1)})
+
+    def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rank = frame["rank"].to_numpy(np.int64)
+            at = np.searchsorted(keys, frame["length"].to_numpy(np.int64) << 40 | rank, "right") - 1
+            yield frame.drop(columns="rank").assign(sequence_id=table[at, 3] + rank - table[at, 1], offset=table[at, 4])
+
+    return ranked.mapInPandas(place, PIECES + ", sequence_id long, offset long")

@@ -112,7 +112,7 @@ class Best:
     def rows_out(self, block: int) -> pd.DataFrame:
         n = [len(s) for s, _ in self.found]
         number = np.repeat(np.arange(len(n)), n)
-        return pd.DataFrame({"block": np.int32(block), "number": number.astype(np.int32), "query_id": self.ids[number], "vec_id": np.concatenate([i for _, i in self.found]), "score": np.concatenate([s for s, _ in self.found])})
+        return pd.DataFrame({"block": np.int64(block), "number": number.astype(np.int32), "query_id": self.ids[number], "vec_id": np.concatenate([i for _, i in self.found]), "score": np.concatenate([s for s, _ in self.found])})
 
 
 def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: float = 256, pivots: int = 32, query_block: int = 1024) -> DataFrame:
@@ -158,6 +158,6 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: float = 256, p
         if best:
             yield best.rows_out(now[0] * 65_536 + now[1])
 
-    found = met.mapInPandas(search, "block int, number int, query_id long, vec_id long, score long")
+    found = met.mapInPandas(search, "block long, number int, query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("block", "number").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -5,7 +5,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from arborlens.llm.common import labelled_texts, text_bytes, text_key
-from arborlens.llm.language import folded, identify, learn_samples, suffix_automaton
+from arborlens.llm.language import Parser, folded, identify, learn_samples, suffix_automaton
 from arborlens.llm.pseudo_likelihood import Network, classes, score, windows, word_counts
 from arborlens.llm.quality import score_quality
 from arborlens.llm.toxicity import fit, score_toxicity
@@ -126,6 +126,28 @@ def test_suffix_automaton_accepts_exactly_the_substrings():
     assert all(accepts(s) == (s in subs) for s in (tuple(draw.choices([97, 98, 99], k=draw.randint(1, 5))) for _ in range(300)))
 
 
+def test_phrases_are_those_of_one_greedy_parse_of_the_whole_text():
+    draw = random.Random(6)
+    word = lambda letters: "".join(draw.choices(letters, k=draw.randint(1, 6)))
+    samples = {k: " ".join(word(v) for _ in range(600)).encode() for k, v in {"p": "abcde", "q": "cdefé"}.items()}
+    own = Parser(samples, {})
+    automata = {k: suffix_automaton(folded(v)) for k, v in samples.items()}
+
+    def greedy(moves, text):
+        count, state = 0, 0
+        for at, c in enumerate(folded(text).tolist()):
+            to = moves[state].get(c)
+            count += at == 0 or to is None
+            state = moves[0].get(c, 0) if to is None else to
+        return max(1, count)
+
+    whole = samples["p"] * 3  # phrases of thousands of bytes, over many runs
+    texts = [whole, b"", b"a", "é".encode() * 700, *(" ".join(word("abcdefghé") for _ in range(draw.choice((3, 90, 400, 1500)))).encode() for _ in range(40)), samples["q"][:513], b"z" * 1100]
+    got = own.phrases(texts)
+    for row, text in zip(got.tolist(), texts, strict=True):
+        assert row == [greedy(automata[k], text) for k in ("p", "q")]
+
+
 def test_pseudo_likelihood(spark):
     docs, _, rows, _ = frames(spark)
     counts = {r["n"] for r in word_counts(docs).orderBy(F.desc("n")).limit(2).collect()}
