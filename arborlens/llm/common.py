@@ -79,8 +79,9 @@ HOT = 1000
 
 def join_spread(rows: DataFrame, side: DataFrame, key: str, count: str, total: int, how: str = "inner") -> DataFrame:
     """rows joined (inner or left) with side, which has one row per key and in `count` how many of the `total` rows hold
-    it. The fewer than HOT hot keys are broadcast, so that their rows stay where they are; all others are merged by key."""
-    side = side.withColumn(count, F.col(count).cast("long"))
+    it. The fewer than HOT hot keys are broadcast, so that their rows stay where they are; all others are merged by key.
+    Both frames are read several times: side is written if it is no table yet, rows should be one."""
+    side = side if getattr(side, "written", None) else materialize(side)
     hot = F.broadcast(side.where(F.col(count) * HOT > total))
     cold = side.where(F.col(count) * HOT <= total)
     rest = rows.join(hot.select(key), key, "left_anti")
@@ -228,8 +229,8 @@ def crc32_ids(ids: np.ndarray) -> int:
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of the undirected edges (a, b): component is the least node it reaches.
 
-    Alternates large-star and small-star contraction; each round is two joins with aggregated minima, in which the rows of
-    hot nodes are not gathered, and a table in the shared folder. Ends when a round changes nothing.
+    Alternates large-star and small-star contraction; each round is two joins with aggregated minima, of which the first does
+    not gather the rows of hot nodes, and tables in the shared folder. Ends when a round changes nothing.
     """
     pairs = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     mark = None
@@ -237,12 +238,13 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     for _ in range(most_rounds):
         both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("k")).select("a", F.least("a", "m").alias("m"), "k")
+        least = materialize(least)
         large = join_spread(both, least, "a", "k", total).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("k"))
-        small = join_spread(large, low, "a", "k", total).select("a", "b", "m")
-        step = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(low, "a").select("a", "b", "m")
+        step = small.select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
         old, pairs = pairs, materialize(step)
-        discard(old)
+        discard(old, least)
         now = pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == mark:
             break

@@ -241,8 +241,8 @@ def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80, fragment: i
             break
 
     # equal sets are one class; its least doc_id stands for it
-    classes = sets.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("k"))
-    moved = classes.join(joined, classes["fp"] == joined["node"]).select("fp", "low", "component")
+    classes = materialize(sets.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("k")))
+    moved = materialize(classes.join(joined, classes["fp"] == joined["node"]).select("fp", "low", "component"))
     groups = moved.groupBy("component").agg(F.min("low").alias("component_id"), F.count("*").alias("k"))
     moved = join_spread(moved, groups, "component", "k", total).select("fp", "component_id")
     labels = materialize(classes.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id"), "k"))
