@@ -7,7 +7,7 @@ threshold leaves. Pairs of what remains come from the rarest shared shingles (pr
 filters; exact for any global order). A pair's overlap is counted apart in each of a few wide fragments and summed.
 
 Components need no pair inside a component that is known already. So every shingle's sets are first compared with one of
-them (hub rounds, linear in the sets), components are drawn, and rounds go on with other hubs while many pairs across
+them, at first the one whose shingles are most widely shared (hub rounds, linear in the sets), components are drawn, and rounds go on with other hubs while many pairs across
 components are left; then all pairs that are left are compared.
 
 Defined results: equal sets are one class, collapsed before any join (a group of copies is never expanded); texts
@@ -92,7 +92,7 @@ def _cut(frames: Iterator[pd.DataFrame], fragments: int, width: int) -> Iterator
 
 
 CUT = "fragment int, keys binary, sizes binary, counts binary, body binary"
-SHARED = "fragment int, doc_id long, fp long, n long, k int, toks array<long>, df array<int>"
+SHARED = "fragment int, doc_id long, fp long, n long, k int, weight long, toks array<long>, df array<int>"
 
 
 def _pick(fragment: int, rows: list[tuple]) -> Iterator[pd.DataFrame]:
@@ -136,7 +136,7 @@ def _pick(fragment: int, rows: list[tuple]) -> Iterator[pd.DataFrame]:
         b = min(len(left), a + 20_000)
         lo, cuts = at[a], at[a + 1 : b]
         part = left[a:b]
-        yield pd.DataFrame({"fragment": np.int32(fragment), "doc_id": None, "fp": fp[part], "n": size[part].astype(np.int64), "k": np.diff(at[a : b + 1]).astype(np.int32), "toks": np.split(tok[lo : at[b]], cuts - lo), "df": np.split(df[lo : at[b]], cuts - lo)})
+        yield pd.DataFrame({"fragment": np.int32(fragment), "doc_id": None, "fp": fp[part], "n": size[part].astype(np.int64), "k": np.diff(at[a : b + 1]).astype(np.int32), "weight": np.add.reduceat(df[lo : at[b]], at[a:b] - lo, dtype=np.int64), "toks": np.split(tok[lo : at[b]], cuts - lo), "df": np.split(df[lo : at[b]], cuts - lo)})
 
 
 def _share(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -144,7 +144,7 @@ def _share(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         for fragment, keys, sizes, counts, body in frame.itertuples(index=False):
             if fragment < 0:
-                yield pd.DataFrame({"fragment": np.int32(fragment), "doc_id": np.frombuffer(keys, np.int64), "fp": np.frombuffer(sizes, np.int64), "n": np.frombuffer(counts, np.int64), "k": None, "toks": None, "df": None})
+                yield pd.DataFrame({"fragment": np.int32(fragment), "doc_id": np.frombuffer(keys, np.int64), "fp": np.frombuffer(sizes, np.int64), "n": np.frombuffer(counts, np.int64), "k": None, "weight": None, "toks": None, "df": None})
                 continue
             if fragment != now and rows:
                 yield from _pick(now, rows)
@@ -190,15 +190,16 @@ def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80, fragment: i
 
     # partial counts, summed per set: a set of n shingles needs percent * n / 100 shared ones to link at all
     least = F.ceil(F.col("n") * percent / F.lit(100)).cast("int")
-    sizes = parts.where("fragment >= 0").groupBy("fp").agg(F.first("n").alias("n"), F.sum("k").cast("int").alias("s"))
-    able = materialize(sizes.where(F.col("s") >= least).select("fp", "n", "s", (F.col("s") - least + 1).alias("prefix")))
+    sizes = parts.where("fragment >= 0").groupBy("fp").agg(F.first("n").alias("n"), F.sum("k").cast("int").alias("s"), F.sum("weight").alias("weight"))
+    # how many sets hold a shingle of the set, on average: of near copies, those nearest to what all share have most
+    able = materialize(sizes.where(F.col("s") >= least).select("fp", "n", "s", (F.col("s") - least + 1).alias("prefix"), (F.col("weight") / F.col("n")).alias("central")))
     rows = parts.where("fragment >= 0").select("fp", "fragment", "toks", "df").join(able, "fp")
-    rare = rows.groupBy("fp", "n", "s", "prefix").agg(F.flatten(F.collect_list(F.arrays_zip("df", "toks"))).alias("own"))
-    rare = rare.select("fp", "n", "s", F.posexplode(F.slice(F.array_sort("own"), F.lit(1), F.col("prefix"))).alias("at", "t")).select("fp", "n", "s", "at", F.col("t.toks").alias("tok"))
+    rare = rows.groupBy("fp", "n", "s", "prefix", "central").agg(F.flatten(F.collect_list(F.arrays_zip("df", "toks"))).alias("own"))
+    rare = rare.select("fp", "n", "s", "central", F.posexplode(F.slice(F.array_sort("own"), F.lit(1), F.col("prefix"))).alias("at", "t")).select("fp", "n", "s", "central", "at", F.col("t.toks").alias("tok"))
     rare = materialize(rare)
     several = rare.groupBy("tok").agg(F.count("*").alias("k")).where("k > 1")
     total = rare.count()
-    open_ = materialize(join_spread(rare, several, "tok", "k", total).select("tok", "fp", "n", "s", "at"))
+    open_ = materialize(join_spread(rare, several, "tok", "k", total).select("tok", "fp", "n", "s", "central", "at"))
     part = F.floor(F.col("fragment").cast("long") * WIDE / F.lit(fragments)).cast("int")
     wide = rows.join(open_.select("fp").distinct(), "fp", "left_semi")
     wide = materialize(wide.groupBy("fp", part.alias("part")).agg(F.flatten(F.collect_list("toks")).alias("toks")))
@@ -218,8 +219,8 @@ def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80, fragment: i
             left = groups.agg(F.sum((F.col("k") * F.col("k") - F.col("same")) / 2)).first()[0] or 0
             if not left:
                 break
-        if turn < rounds and (joined is None or left > 8 * total):
-            hub = F.min_by(F.struct("fp", "n", "s", "at", "c"), F.struct(F.xxhash64("fp", F.lit(turn)), "fp"))
+        if turn < rounds and (joined is None or left > total):
+            hub = F.min_by(F.struct("fp", "n", "s", "at", "c"), F.struct(F.xxhash64("fp", F.lit(turn)) if turn else -F.col("central"), "fp"))
             hubs = placed.groupBy("tok").agg(hub.alias("h"), F.count("*").alias("k"))
             hubs = hubs.select("tok", "k", *(F.col(f"h.{c}").alias(f"{c}_b") for c in ("fp", "n", "s", "at", "c")))
             met, last = join_spread(side(placed, "a"), hubs, "tok", "k", total), False
