@@ -38,10 +38,11 @@ def shared_dir(spark: SparkSession) -> str:
 _folder: contextvars.ContextVar[str | None] = contextvars.ContextVar("folder", default=None)
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: lineage ends here and survives lost executors."""
+def materialize(df: DataFrame, stays: bool = False) -> DataFrame:
+    """Write df as Parquet into the shared folder and read it back: lineage ends here and survives lost executors. With
+    `stays` the end of a scratch block leaves the table."""
     spark = df.sparkSession
-    path = f"{_folder.get() or shared_dir(spark)}/arborlens-{uuid.uuid4().hex}"
+    path = f"{_folder.get() if _folder.get() and not stays else shared_dir(spark)}/arborlens-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written = path

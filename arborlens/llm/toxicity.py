@@ -8,7 +8,7 @@ the places at most), then the most frequent. A term's own weight moves the less,
 freely. Other terms weigh nothing.
 
 Fitting reads at most `sample` labelled rows, one for each id and text (those of least hash) outside the held-out quarter (crc32 of the id
-mod 4 = 2); scoring reads every whole text. Only the text enters a score.
+mod 4 = 2), and of these so many that they hold at most `room` distinct terms together (64 MB in the driver); scoring reads every whole text. Only the text enters a score.
 
 Defined results: null and empty texts score as a text without terms, which is the base rate of the sample or, without
 labels of both kinds, 0; repeated labels beyond the first are not learned from; repeated rows are scored as rows; other
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import TERM_GAPS, U64, batches_of_texts, held_out, labelled_texts, materialize, mix, text_bytes, text_key, without, word_hashes
 
-SAMPLE, TERMS, BITS, RANK, STEM = 20_000, 65_536, 22, 8, 5
+SAMPLE, TERMS, BITS, RANK, STEM, ROOM = 20_000, 65_536, 22, 8, 5, 16_000_000
 
 
 def term_ids(texts: list[bytes], bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
@@ -137,7 +137,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, ter
     return score_rows(docs, labels, sample, terms, least).drop("_key")
 
 
-def score_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int = TERMS, least: float = 0.3) -> DataFrame:
+def score_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int = TERMS, least: float = 0.3, room: int = ROOM) -> DataFrame:
     """score_toxicity with `_key`, the text_key of the row."""
     labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("label")).where("doc_id is not null and label in (0, 1)")
     labels = labels.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("label").alias("label"))
@@ -150,10 +150,14 @@ def score_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms:
                 part = frame.iloc[low:high]
                 doc, term = distinct_pairs(*term_ids(list(part["raw"])))
                 cut = np.searchsorted(doc, np.arange(1, high - low))
-                yield pd.DataFrame({"label": part["label"], "terms": [t.astype(np.int32).tobytes() for t in np.split(term, cut)]})
-
-    # at most `sample` rows, repeated ids or not
-    rows = labelled_texts(base, learned, sample).mapInPandas(sampled, "label int, terms binary").toPandas()
+                own = np.split(term, cut)
+                yield pd.DataFrame({"label": part["label"], "n": [len(t) for t in own], "terms": [t.astype(np.int32).tobytes() for t in own]})
+
+    # at most `sample` rows, repeated ids or not, as far as their terms have room
+    found = materialize(labelled_texts(base, learned, sample).mapInPandas(sampled, "label int, n int, terms binary").withColumn("place", F.xxhash64("terms")))
+    places = found.select("place", "n").toPandas().groupby("place")["n"].sum().sort_index()
+    fits = places.index[places.cumsum() <= room]
+    rows = found.where(F.col("place") <= int(fits[-1])).orderBy("place", "label").select("label", "terms").toPandas() if len(fits) else found.select("label", "terms").limit(0).toPandas()
     y = rows["label"].to_numpy(float)
     ids = [np.frombuffer(t, np.int32) for t in rows["terms"]]
     if 0 < y.sum() < len(y):
