@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arborlens.llm.common import materialize, table
+from arborlens.llm.common import discard, materialize, scratch, table
 from arborlens.llm.mixing import mixed_rows
 from arborlens.llm.ngram_join import jaccard_join
 from arborlens.llm.packing import pack_documents
@@ -47,5 +47,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir))
+        before = docs
+        with scratch(spark):
+            docs = materialize(stage(spark, docs, sf_dir), stays=True)
+        discard(before)
     return docs
