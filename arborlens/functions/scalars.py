@@ -43,6 +43,12 @@ AUTH_DECORATORS = AUTH_WORDS[:9]
 STDLIB = "os sys re json typing pathlib datetime collections functools itertools logging asyncio dataclasses enum abc math random string time uuid hashlib base64 io copy contextlib unittest argparse subprocess threading multiprocessing shutil tempfile urllib http socket struct csv inspect warnings traceback importlib operator decimal statistics secrets types textwrap glob pickle __future__".split()
 
 
+# Generics whose second argument counts, and words of calls that write and read.
+MAPPINGS = ["dict", "map", "record", "mapping"]
+WRITE_WORDS = ["create", "insert", "save", "add", "update", "delete", "remove", "bulk_create", "upsert", "put", "write"]
+READ_WORDS = ["query", "select", "get", "find", "filter", "all", "first", "one", "fetch", "read", "exists", "count", "list"]
+
+
 def cap(items: Column, n: int) -> tuple[Column, Column]:
     """(first n items, how many are left out); a null list is empty."""
     some = F.coalesce(items, F.array().cast("array<string>"))
@@ -113,12 +119,23 @@ def path_matches(path: Column, pattern: Column) -> Column:
 
 
 def unwrap_type(annotation: Column, layers: int = 10) -> Column:
-    """The class inside generics: X | None is X, a mapping is its values' type; unions of more members stay."""
+    """The class inside generics: X | None is X, of a mapping the part behind its first comma; unions of more members stay.
+    A layer is what stands between the first opening and the last closing bracket."""
+
+    def inside(out: Column, opening: str, closing: str) -> tuple[Column, Column]:
+        at = F.instr(out, opening)
+        inner = F.trim(out.substr(at + 1, F.length(out) - at - 1))
+        mapping = F.lower(F.trim(out.substr(F.lit(1), at - 1))).isin(MAPPINGS) & F.contains(inner, F.lit(","))
+        return (at > 1) & out.endswith(closing), F.when(mapping, F.trim(F.regexp_replace(inner, "^[^,]*,", ""))).otherwise(inner)
+
     def peel(out: Column, _: Column) -> Column:
-        bare = F.trim(F.regexp_replace(F.regexp_replace(out, r"\s*\|\s*(None|null|undefined)\b", ""), r"^(None|null|undefined)\s*\|\s*", ""))
-        mapping = F.regexp_extract(bare, r"^(?:[Dd]ict|Mapping|Record|Map)[\[<][^,]+,\s*(.+)[\]>]$", 1)
-        inner = F.regexp_extract(bare, r"^\w[\w.]*[\[<]([^,]+)[\]>]$", 1)
-        return F.trim(F.when(F.contains(bare, F.lit("|")), bare).when(mapping != "", mapping).when(inner != "", inner).otherwise(F.regexp_replace(bare, r"\[\]$", "")))
+        members = F.filter(F.transform(F.split(out, r"\|"), lambda m: F.trim(m)), lambda m: ~m.isin("None", "null", "undefined"))
+        bare = F.when(F.size(members) == 1, members[0]).otherwise(out)
+        return F.element_at(F.transform(F.array(bare), unlayer), 1)
+
+    def unlayer(bare: Column) -> Column:
+        angle, square = inside(bare, "<", ">"), inside(bare, "[", "]")
+        return F.when(bare.endswith("[]"), F.trim(bare.substr(F.lit(1), F.length(bare) - 2))).when(angle[0], angle[1]).when(square[0], square[1]).otherwise(bare)
 
     # a fold, so that the expression does not grow with the layers
     return F.aggregate(F.sequence(F.lit(1), F.lit(layers)), F.trim(F.regexp_replace(annotation, "[\"']", "")), peel)
@@ -157,11 +174,13 @@ def is_outdated(version: Column, latest: Column) -> Column:
 
 
 def access_of(call: Column) -> Column:
-    """write or read by the words of the called method; a write word counts first."""
-    words = F.transform(F.regexp_extract_all(F.element_at(F.split(call, r"\."), -1), F.lit("([A-Z]?[a-z]+|[A-Z]+)")), F.lower)
-    write = F.array(*map(F.lit, ["create", "insert", "update", "upsert", "delete", "remove", "save", "add", "set", "write", "put", "destroy", "bulk"]))
-    read = F.array(*map(F.lit, ["find", "get", "select", "query", "list", "read", "fetch", "count", "search", "load", "all", "first", "filter"]))
-    return F.when(F.arrays_overlap(words, write), "write").when(F.arrays_overlap(words, read), "read")
+    """write or read by the segments of a call and the words of its last one; a write word counts first."""
+    head = F.split_part(call, F.lit("("), F.lit(1))
+    segments = F.regexp_extract_all(head, F.lit(r"(\w+)"))
+    last = F.regexp_extract_all(F.element_at(F.split(head, r"\."), -1), F.lit("([A-Z]?[a-z]+|[A-Z]+(?![a-z]))"))
+    words = F.transform(F.concat(segments, last), F.lower)
+    has = lambda known: F.arrays_overlap(words, F.array(*map(F.lit, known)))
+    return F.when(has(WRITE_WORDS), "write").when(has(READ_WORDS), "read")
 
 
 def next_route(path: Column) -> Column:

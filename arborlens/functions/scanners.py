@@ -21,12 +21,23 @@ SECRETS = [
     ("OPENAI_KEY", r"\bsk-[A-Za-z0-9]{20,}\b", "high"),
 ]
 GENERIC_SECRET = r"""(?i)(?:api[_-]?key|secret[_-]?key|password|passwd|token|auth[_-]?token|credential|client[_-]?secret)\s*[:=]\s*["'][^"']{20,}["']"""
+SECRET_HINT = r"""(?i)A3T|AKIA|AGPA|AROA|AIPA|ANPA|ANVA|ASIA|gh[pousr]_|xox[bposa]-|[sp]k_(?:live|test)_|AIza|\bAC[0-9a-f]|SG\.|_authToken=|pypi-|-----BEGIN|\bsk-|[:=]\s*["']"""
 SECRET_SKIP = r"(?i)(os\.environ|process\.env|getenv|\.env\(|^\s*#|^\s*//|^\s*\*|your[_-].*[_-]here|changeme|xxx+|TODO|REPLACE|example|placeholder|<[A-Z_]+>)"
 
 # Names of unsafe calls, and of sources and sinks of model output.
-UNSAFE_CALLS = "eval exec compile Function pickle.loads pickle.load yaml.unsafe_load yaml.load marshal.loads shelve.open os.system os.popen subprocess.call subprocess.run subprocess.Popen child_process.exec child_process.execSync child_process.spawn".split()
-LLM_SOURCES = "completions.create messages.create chat.completions cohere.generate cohere.chat chain.invoke chain.run agent.invoke llm.invoke llm.predict llm.generate model.generate_content generate_content".split()
-LLM_SINKS = "eval exec compile Function cursor.execute db.execute connection.execute session.execute execute executemany os.system os.popen subprocess.call subprocess.run child_process.exec child_process.execSync document.write render_template_string".split()
+UNSAFE_CALLS = [
+    "eval", "exec", "compile", "Function", "pickle.loads", "pickle.load", "yaml.unsafe_load", "yaml.load", "marshal.loads",
+    "shelve.open", "os.system", "os.popen", "subprocess.call", "subprocess.run", "subprocess.Popen", "child_process.exec", "child_process.execSync", "child_process.spawn",
+]
+LLM_SOURCES = [
+    "completions.create", "messages.create", "chat.completions", "cohere.generate", "cohere.chat", "chain.invoke", "chain.run", "agent.invoke", "llm.invoke",
+    "llm.predict", "llm.generate", "model.generate_content", "generate_content",
+]
+LLM_SINKS = [
+    "eval", "exec", "compile", "Function", "cursor.execute", "db.execute", "connection.execute", "session.execute", "execute",
+    "executemany", "os.system", "os.popen", "subprocess.call", "subprocess.run", "child_process.exec", "child_process.execSync", "document.write", "render_template_string",
+]
+SQL_EXECUTORS = ["execute", "executemany", "$executeRaw", "$executeRawUnsafe", "cursor.execute", "connection.execute", "db.execute", "session.execute", "query(", "$queryRaw", "raw("]
 
 # Environment lookups, kinds of documents and of config files.
 PYTHON_ENV = [r"""os\.environ\[["']([A-Z_][A-Z0-9_]*)["']\]""", r"""os\.environ\.get\(["']([A-Z_][A-Z0-9_]*)["']""", r"""os\.getenv\(["']([A-Z_][A-Z0-9_]*)["']"""]
@@ -36,10 +47,21 @@ CONFIG_NAMES = {"package.json": "package", "tsconfig.json": "tsconfig", "Dockerf
 CONFIG_PATHS = [(r"\.github/workflows/[^/]+\.ya?ml$", "ci"), (r"\.env\.(example|template|sample)$", "env_template")]
 
 # Name parts of design tokens by category.
-TOKEN_COLOR = "color bg background foreground border ring accent primary secondary muted destructive success warning info popover card input chart gradient fill stroke brand surface".split()
-TOKEN_TYPE = "font leading tracking letter weight family text".split()
-TOKEN_SPACE = "spacing space gap size width height inset margin padding breakpoint container".split()
-TOKEN_MOTION = "animate animation keyframe duration ease transition delay".split()
+TOKEN_COLOR = [
+    "color", "bg", "background", "foreground", "border", "ring", "accent", "primary", "secondary",
+    "muted", "destructive", "success", "warning", "info", "popover", "card", "input", "chart",
+    "gradient", "fill", "stroke", "brand", "surface",
+]
+TOKEN_TYPE = [
+    "font", "leading", "tracking", "letter", "weight", "family", "text",
+]
+TOKEN_SPACE = [
+    "spacing", "space", "gap", "size", "width", "height", "inset", "margin", "padding",
+    "breakpoint", "container",
+]
+TOKEN_MOTION = [
+    "animate", "animation", "keyframe", "duration", "ease", "transition", "delay",
+]
 COLOR_VALUE = r"#[0-9a-fA-F]{3,8}\b|\brgba?\(|\bhsla?\(|\boklch\(|\boklab\(|\bcolor\("
 
 
@@ -54,7 +76,8 @@ def secret(body: str | Column) -> Column:
     out = F.when(c.rlike(GENERIC_SECRET), "GENERIC_SECRET")
     for kind, pattern, _ in reversed(SECRETS):
         out = F.when(c.rlike(pattern), kind).otherwise(out)
-    return F.when(~c.rlike(SECRET_SKIP), out)
+    # one cheap look before fourteen patterns: parts that every one of them has
+    return F.when(c.rlike(SECRET_HINT), F.when(~c.rlike(SECRET_SKIP), out))
 
 
 def severity(kind: Column) -> Column:
@@ -64,6 +87,11 @@ def severity(kind: Column) -> Column:
     return out
 
 
+def runs_sql(text: Column) -> Column:
+    """Whether a file calls anything that executes SQL; lines of other files are no injections."""
+    return F.exists(F.array(*map(F.lit, SQL_EXECUTORS)), lambda e: F.contains(text, e))
+
+
 def sql_injection(body: Column, language: Column) -> Column:
     """Whether a line puts SQL together from values; comment lines do not count."""
     word = r"\b(?:SELECT|INSERT|UPDATE|DELETE|DROP)\b"
@@ -125,12 +153,30 @@ def token_category(name: Column, value: Column) -> Column:
     )
 
 
+# The namespaces of tokens that utility classes of a prefix draw from.
+UTILITY_SPACES = {
+    ("color",): ["bg", "border", "ring", "ring-offset", "fill", "stroke", "outline", "decoration", "accent", "caret", "placeholder", "divide", "from", "via", "to"],
+    ("color", "text"): ["text"], ("shadow", "color"): ["shadow"], ("radius",): ["rounded"], ("font",): ["font"], ("leading",): ["leading"], ("tracking",): ["tracking"],
+    ("z",): ["z"], ("animate", "animation"): ["animate"], ("duration",): ["duration"], ("ease",): ["ease"],
+    ("spacing",): [
+        "p", "px", "py", "pt", "pr", "pb", "pl", "ps", "pe", "m", "mx", "my", "mt", "mr", "mb", "ml", "ms", "me", "gap", "gap-x", "gap-y", "space-x", "space-y",
+        "w", "h", "size", "min-w", "max-w", "min-h", "max-h",
+    ],
+}
+
+
 def utility_tokens(name: Column) -> Column:
-    """Token names a utility class may draw from, nearest first; arbitrary values draw from none."""
-    bare = F.regexp_replace(F.regexp_replace(name, r"^(?:[\w-]+:)*", ""), r"^[!-]+", "")
-    rest = F.regexp_replace(F.regexp_replace(bare, r"^(?:bg|text|border|ring|fill|stroke|from|to|via|accent|shadow|rounded|font|p[xytblr]?|m[xytblr]?|gap|w|h|z|animate)-", ""), r"/\d+$", "")
-    kinds = F.array(*map(F.lit, ["color", "spacing", "radius", "shadow", "font", "text", "animate"]))
-    return F.when(F.contains(name, F.lit("[")), F.array().cast("array<string>")).otherwise(F.concat(F.transform(kinds, lambda k: F.concat(k, F.lit("-"), rest)), F.array(rest)))
+    """Token names a utility class may draw from, nearest first: those of its prefix's namespaces, and for colours the bare
+    name. Arbitrary values, fractions and bare utilities draw from none."""
+    spaces = {p: list(k) for k, v in UTILITY_SPACES.items() for p in v}
+    bare = F.regexp_replace(F.element_at(F.split(name, ":"), -1), "^[!-]+", "")
+    shape = "^(" + "|".join(sorted(spaces, key=len, reverse=True)) + ")-(.+)$"
+    prefix, rest = F.regexp_extract(bare, shape, 1), F.regexp_extract(bare, shape, 2)
+    own = F.element_at(F.create_map(*(x for p, k in spaces.items() for x in (F.lit(p), F.array(*map(F.lit, k))))), prefix)
+    suffix = F.split_part(rest, F.lit("/"), F.lit(1))
+    fraction = F.contains(rest, F.lit("/")) & suffix.rlike(r"^\d*\.?\d*$")
+    named = F.concat(F.transform(own, lambda k: F.concat(k, F.lit("-"), suffix)), F.when(F.array_contains(own, "color"), F.array(suffix)).otherwise(F.array().cast("array<string>")))
+    return F.when(F.contains(bare, F.lit("[")) | (prefix == "") | fraction, F.array().cast("array<string>")).otherwise(named)
 
 
 def style_drift(text: Column) -> tuple[Column, Column]:

@@ -129,16 +129,18 @@ class CodeGraph:
 
     # ------------------------------------------------------------ impact
 
-    def impact(self) -> DataFrame:
-        """Scores of every function and class at once; filter it for one."""
-        base = self.label("Function", "Class").select("id", "label", "name", "qualified_name", "file_path", "is_entry_point", "is_exported")
+    def impact(self, only: DataFrame | None = None) -> DataFrame:
+        """Scores of every function and class at once, or of those in `only` (id), from which walks start then."""
+        base = self.label("Function", "Class")
+        base = base if only is None else base.join(only.select("id").distinct(), "id", "left_semi")
+        base = base.select("id", "label", "name", "qualified_name", "file_path", "is_entry_point", "is_exported")
         direct = self._count_in(["CALLS", "RENDERS"], "n_callers")
         passers = self._count_in(["PASSED_TO"], "n_passers")
         routes = self._count_in(["HANDLES"], "n_routes")
         every = base.select(F.col("id").alias("source"), F.col("id").alias("node"))
         far = reach(self.edges, every, 3, ["CALLS"], reverse=True)
         places = far.join(self.label("Function", node="id", at="file_path"), "node").groupBy(F.col("source").alias("id")).agg(F.count_distinct("node").alias("n_far"), F.count_distinct("at").alias("n_files"))
-        tests = self.tests_for_all().groupBy("id").agg(F.count_distinct("test_file").alias("n_tests"))
+        tests = self.tests_for_all(only).groupBy("id").agg(F.count_distinct("test_file").alias("n_tests"))
         rows = self._with(base, direct, passers, routes, places, tests)
         yes = lambda c: F.coalesce(F.col(c), F.lit(False))
         scored = reports.impact_scores(rows, callers=_n("n_callers"), passers=_n("n_passers"), route=_n("n_routes") > 0, entry=yes("is_entry_point"), exported=yes("is_exported"), transitive=_n("n_far"), files=_n("n_files"), untested=_n("n_tests") == 0)
@@ -158,7 +160,7 @@ class CodeGraph:
         return found.unionByName(files)
 
     def change_impact(self, name: str) -> DataFrame:
-        rows = self.impact().where((F.col("name") == name) | (F.col("qualified_name") == name))
+        rows = self.impact(self.named(name, "Function", "Class"))
         advice = F.when(F.col("risk").isin("critical", "high"), "review all callers before the change").when(F.col("test_files") == 0, "add tests before the change").otherwise("run the covering tests")
         return rows.withColumn("recommendation", F.format_string("%s risk, blast %.1f: %s", "risk", "blast", advice))
 
@@ -170,9 +172,9 @@ class CodeGraph:
         ids = hit.select("id").distinct()
         callers = self.edge("CALLS", "RENDERS").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi").select(F.col("src").alias("id")).distinct().join(ids, "id", "left_anti").join(own, "id")
         kind = lambda df, k, c: df.select(F.lit(k).alias("kind"), F.col(c).cast("string").alias("item")).distinct()
-        tests = self.tests_for_all().join(ids, "id", "left_semi")
+        tests = self.tests_for_all(ids)
         order = F.create_map(*(F.lit(x) for p in {"low": 0, "medium": 1, "high": 2, "critical": 3}.items() for x in p))
-        worst = self.impact().join(ids, "id", "left_semi").agg(F.max_by("risk", F.element_at(order, F.col("risk"))).alias("risk")).where("risk is not null")
+        worst = self.impact(ids).agg(F.max_by("risk", F.element_at(order, F.col("risk"))).alias("risk")).where("risk is not null")
         files = callers.select("file_path").distinct().join(hit.select("file_path").distinct(), "file_path", "left_anti")
         lost = asked.join(hit.select("asked").distinct(), "asked", "left_anti")
         return reduce(DataFrame.unionByName, [kind(callers, "external_caller", "qualified_name"), kind(files, "file", "file_path"), kind(tests, "test", "test"), kind(lost, "not_found", "asked"), kind(worst, "risk", "risk")])
@@ -237,14 +239,18 @@ class CodeGraph:
             rows = rows.join(self.label("File", file_path="path", is_documentation="is_documentation").where("is_documentation <> true"), "file_path", "left_semi")
         return self._with(rows, self._count_in(["CALLS", "RENDERS"], "used_by")).select("qualified_name", "file_path", _n("used_by").alias("used_by")).orderBy(F.desc("used_by"), "qualified_name").limit(limit)
 
-    def tests_for_all(self) -> DataFrame:
-        """(id, test, test_file, via): tests of every function or class, each test once by its nearest evidence: a test
+    def tests_for_all(self, only: DataFrame | None = None) -> DataFrame:
+        """(id, test, test_file, via): tests of every function or class or, walking back from them, of those in `only` (id), each test once by its nearest evidence: a test
         edge, then a test's calls within 3 steps, then a test file of its file whose tests are not among those."""
         own = self.label("Function", "Class", id="id", at="file_path")
+        own = own if only is None else own.join(only.select("id").distinct(), "id", "left_semi")
         tests = self.nodes.where("label = 'TestCase' or coalesce(is_test, false)").select(F.col("id").alias("src"), F.coalesce("qualified_name", "name").alias("test"), F.col("file_path").alias("test_file"))
         edge = self.edge("TESTS_FUNCTION").join(tests, "src").select(F.col("dst").alias("id"), "test", "test_file", F.lit("tests_function").alias("via"), F.lit(1).alias("priority"))
-        starts = tests.select(F.col("src").alias("source"), F.col("src").alias("node"))
-        calls = reach(self.edges, starts, 3, ["CALLS"]).join(tests, F.col("source") == F.col("src")).select(F.col("node").alias("id"), "test", "test_file", F.lit("calls").alias("via"), F.lit(2).alias("priority"))
+        if only is None:
+            walks = reach(self.edges, tests.select(F.col("src").alias("source"), F.col("src").alias("node")), 3, ["CALLS"]).select(F.col("source").alias("src"), F.col("node").alias("id"))
+        else:
+            walks = reach(self.edges, own.select(F.col("id").alias("source"), F.col("id").alias("node")), 3, ["CALLS"], reverse=True).select(F.col("node").alias("src"), F.col("source").alias("id"))
+        calls = walks.join(tests, "src").select("id", "test", "test_file", F.lit("calls").alias("via"), F.lit(2).alias("priority"))
         best = edge.unionByName(calls).withColumn("k", F.row_number().over(Window.partitionBy("id", "test", "test_file").orderBy("priority"))).where("k = 1").drop("k", "priority")
         files = self.label("File", f="id", path="path")
         covered = self.edge("TESTS").join(files.select(F.col("f").alias("src"), F.col("path").alias("test_file")), "src").join(files.select(F.col("f").alias("dst"), F.col("path").alias("at")), "dst").join(own, "at").select("id", F.lit(None).cast("string").alias("test"), "test_file", F.lit("file_coverage").alias("via"))
@@ -252,7 +258,7 @@ class CodeGraph:
         return best.unionByName(more).join(own.select("id"), "id", "left_semi")
 
     def tests_for(self, name: str) -> DataFrame:
-        return self.tests_for_all().join(self.named(name, "Function", "Class").select("id"), "id", "left_semi")
+        return self.tests_for_all(self.named(name, "Function", "Class"))
 
     def function_coverage(self, name: str) -> DataFrame:
         tests = self.edge("TESTS_FUNCTION").join(self.nodes.select(F.col("id").alias("src"), F.coalesce("qualified_name", "name").alias("test")), "src").groupBy(F.col("dst").alias("id")).agg(F.array_sort(F.collect_set(F.struct("depth", "test"))).alias("tests"))
@@ -280,11 +286,11 @@ class CodeGraph:
         family = scalars.family(F.col("name"))
         rows = rows.select("*", scalars.surfaces(F.coalesce("paths", F.array().cast("array<string>"))).alias("surfaces"), family.alias("family"), scalars.flag_dependencies(F.coalesce("description", F.lit("")), F.col("name")).alias("depends_on"))
         members = F.count("*").over(Window.partitionBy("family"))
-        used = _n("gates") > 0
+        used, listed, gone = _n("gates") > 0, F.coalesce("in_registry", F.lit(False)), F.coalesce("retired", F.lit(False))
         return rows.select(
             "name", "in_registry", "in_db", "retired", "orphan", _n("gates").alias("gates"), "surfaces", F.when(members > 1, F.col("family")).alias("family"), "depends_on",
-            (~used & ~F.coalesce("retired", F.lit(False))).alias("dead"), (used & ~F.array_contains("surfaces", "server")).alias("client_only"),
-            F.coalesce(F.col("registry_default") != F.col("db_seeded_enabled"), F.col("in_registry") != F.col("in_db"), F.lit(False)).alias("config_gap"),
+            (listed & ~used & ~gone).alias("dead"), (used & (F.size("surfaces") == 1) & F.array_contains("surfaces", "client")).alias("client_only"),
+            (listed & ~F.coalesce("in_db", F.lit(False)) & ~gone & ~F.coalesce("registry_default", F.lit(True)) & used).alias("config_gap"),
         ).orderBy("name")
 
     def flag_gates(self, key: str) -> DataFrame:
@@ -537,5 +543,5 @@ class CodeGraph:
     @staticmethod
     def to_report(rows: DataFrame, cap: int = LIST_CAP) -> dict[str, object]:
         """The first rows as dictionaries and how many are left out. The only call that brings rows to the driver."""
-        shown = [r.asDict(recursive=True) for r in rows.limit(cap).collect()]
-        return {"items": shown, "omitted": max(0, rows.count() - cap)}
+        shown = [r.asDict(recursive=True) for r in rows.limit(cap + 1).collect()]
+        return {"items": shown[:cap], "omitted": rows.count() - cap if len(shown) > cap else 0}

@@ -120,9 +120,35 @@ def reexport_closure(exports: DataFrame, forwards: DataFrame, most: int = 5) ->
     return have
 
 
+def source_root_paths(paths: DataFrame) -> DataFrame:
+    """(path, target): Python files below a source root by their path without it. A source root is a top folder that is no
+    package and holds packages at any depth; paths that exist as they are stay theirs."""
+    folders = paths.where(F.col("path").endswith("/__init__.py")).select(F.regexp_replace("path", "/__init__.py$", "").alias("folder"))
+    top = F.split_part("folder", F.lit("/"), F.lit(1)).alias("top")
+    roots = folders.where(F.contains("folder", F.lit("/"))).select(top).distinct().join(folders.select(F.col("folder").alias("top")), "top", "left_anti")
+    below = paths.where(F.col("path").rlike(r"/.*\.pyi?$")).select(F.split_part("path", F.lit("/"), F.lit(1)).alias("top"), F.col("path").alias("target")).join(roots, "top")
+    below = below.select(F.regexp_replace("target", "^[^/]*/", "").alias("path"), "target").join(paths.select("path"), "path", "left_anti")
+    return below.groupBy("path").agg(F.min("target").alias("target"))
+
+
+def alias_bases(imports: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(file_path, line, place, base): paths that imports of non-relative modules may mean by aliases (pattern, target,
+    place), in which a * stands for any text. Patterns are met by every beginning of the module, without a cross join."""
+    known = aliases.select("place", "target", F.contains("pattern", F.lit("*")).alias("open"), F.split_part("pattern", F.lit("*"), F.lit(1)).alias("head"), F.when(F.contains("pattern", F.lit("*")), F.regexp_replace("pattern", r"^[^*]*\*", "")).otherwise("").alias("tail"))
+    heads = F.transform(F.sequence(F.lit(0), F.length("module_path")), lambda n: F.col("module_path").substr(F.lit(1), n))
+    met = imports.where(~F.col("module_path").startswith(".")).select("file_path", "line", "module_path", F.explode(heads).alias("head")).join(known, "head")
+    fits = F.when(F.col("open"), F.col("module_path").endswith(F.col("tail")) & (F.length("module_path") >= F.length("head") + F.length("tail"))).otherwise(F.col("head") == F.col("module_path"))
+    caught = F.col("module_path").substr(F.length("head") + 1, F.length("module_path") - F.length("head") - F.length("tail"))
+    return met.where(fits).select("file_path", "line", "place", F.replace("target", F.lit("*"), caught).alias("base"))
+
+
+ENDINGS = [".py", "/__init__.py", ".ts", ".tsx", ".js", ".jsx", "/index.ts", "/index.tsx", "/index.js"]
+
+
 def import_targets(imports: DataFrame, paths: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
-    """(file_path, line, target): the file each import names. Candidates in order: the path itself, with an extension,
-    its index or __init__ file, without a .js ending; relative ones start in the importer's folder."""
+    """(file_path, line, target): the file each import names. Candidates in order: what aliases make of it, the path itself,
+    with an extension, its index or __init__ file, without a .js ending, and these below a Python source root; relative ones
+    start in the importer's folder."""
     dots = F.length(F.regexp_extract("module_path", r"^(\.+)", 1))
     folder = F.regexp_replace("file_path", r"/?[^/]*$", "")
     python = F.col("language") == "python"
@@ -131,13 +157,16 @@ def import_targets(imports: DataFrame, paths: DataFrame, aliases: DataFrame | No
     python_path = F.when(dots > 0, F.concat_ws("/", F.array_join(up, "/"), rest)).otherwise(rest)
     parts = F.split(F.concat_ws("/", folder, "module_path"), "/")
     web_path = F.when(F.col("module_path").startswith("."), normalise(parts)).otherwise(F.regexp_replace("module_path", r"^(@|~|#)/", ""))
-    rows = imports.withColumn("base", F.regexp_replace(F.when(python, python_path).otherwise(web_path), r"^/+|/+$", ""))
+    rows = imports.select("file_path", "line", F.lit(1 << 20).alias("place"), F.when(python, python_path).otherwise(web_path).alias("base"))
+    if aliases is not None:
+        rows = rows.unionByName(alias_bases(imports.where(~python), aliases).withColumn("place", F.col("place").cast("int")))
+    rows = rows.withColumn("base", F.regexp_replace("base", r"^/+|/+$", ""))
     stems = F.array("base", F.regexp_replace("base", r"\.(js|jsx|mjs|cjs)$", ""))
-    endings = [".py", "/__init__.py", ".ts", ".tsx", ".js", ".jsx", "/index.ts", "/index.tsx", "/index.js"]
-    candidates = F.flatten(F.transform(stems, lambda s: F.concat(F.array(s), F.transform(F.array(*map(F.lit, endings)), lambda e: F.concat(s, e)))))
-    tried = rows.select("file_path", "line", F.posexplode(candidates).alias("priority", "candidate"))
-    found = tried.join(paths.select(F.col("path").alias("target")), F.col("candidate") == F.col("target"))
-    return found.groupBy("file_path", "line").agg(F.min_by("target", "priority").alias("target"))
+    candidates = F.flatten(F.transform(stems, lambda s: F.concat(F.array(s), F.transform(F.array(*map(F.lit, ENDINGS)), lambda e: F.concat(s, e)))))
+    tried = rows.select("file_path", "line", "place", F.posexplode(candidates).alias("priority", "candidate"))
+    known = paths.select(F.col("path").alias("candidate"), F.col("path").alias("target"), F.lit(0).alias("root")).unionByName(source_root_paths(paths).select(F.col("path").alias("candidate"), "target", F.lit(1).alias("root")))
+    found = tried.join(known, "candidate")
+    return found.groupBy("file_path", "line").agg(F.min_by("target", F.struct("place", "root", "priority")).alias("target"))
 
 
 def normalise(parts: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars, scanners
 from ..storage import materialize
 from .cascade import first_of, unique_names
+from .traverse import closure
 
 # Types that no class edge is made for.
 PRIMITIVES = "str int float bool bytes None Any object string number boolean void any unknown never null undefined dict list tuple set".split()
@@ -39,10 +40,10 @@ def route_auth(routes: DataFrame, patterns: DataFrame) -> DataFrame:
 
 
 def model_edges(calls: DataFrame, models: DataFrame) -> DataFrame:
-    """USES_MODEL (src, dst, access) from calls (src, call): a call whose receiver names a model (its name or table, any
-    case) and whose method has a read or write word; write outranks read."""
+    """USES_MODEL (src, dst, access) from calls (src, call): a call one of whose segments names a model (its name or
+    table, any case) and that has a read or write word; write outranks read."""
     keys = models.select(F.col("id").alias("dst"), F.explode(F.array_distinct(F.array(F.lower("name"), F.lower("table_name")))).alias("key")).where("key is not null")
-    words = F.filter(F.array_union(F.array(F.lower(F.element_at(F.split("call", r"\."), -2))), F.regexp_extract_all(F.lower("call"), F.lit(r"from:(\w+)"))), lambda w: w.isNotNull())
+    words = F.regexp_extract_all(F.lower("call"), F.lit(r"(\w+)"))
     rows = calls.where(F.contains("call", F.lit("."))).select("src", F.explode(words).alias("key"), scalars.access_of(F.col("call")).alias("access")).where("access is not null")
     return rows.join(keys, "key").groupBy("src", "dst").agg(F.max("access").alias("access"))  # write sorts after read
 
@@ -68,16 +69,11 @@ def token_usage(classes: DataFrame, tokens: DataFrame) -> DataFrame:
     return first_of([met], ["src", "name"]).select("src", F.col("target").alias("dst")).distinct()
 
 
-def orm_classes(classes: DataFrame, roots: list[str], most: int = 20) -> DataFrame:
+def orm_classes(classes: DataFrame, roots: list[str]) -> DataFrame:
     """Names of classes (name, bases) that derive from one of the roots, over any number of steps."""
     pairs = materialize(classes.select("name", F.explode("bases").alias("base")).withColumn("base", F.element_at(F.split("base", r"\."), -1)).distinct())
-    seen = now = materialize(pairs.where(F.col("base").isin(roots)).select("name").distinct())
-    for _ in range(most):
-        now = materialize(pairs.join(now.select(F.col("name").alias("base")), "base").select("name").distinct().join(seen, "name", "left_anti"))
-        if now.isEmpty():
-            break
-        seen = seen.unionByName(now)
-    return seen
+    own = pairs.where(F.col("base").isin(roots)).select(F.col("name").alias("node"))
+    return closure(pairs.select(F.col("base").alias("src"), F.col("name").alias("dst")), own).withColumnRenamed("node", "name")
 
 
 def type_edges(annotations: DataFrame, classes: DataFrame, imports: DataFrame) -> DataFrame:

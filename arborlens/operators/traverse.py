@@ -41,16 +41,18 @@ def reach(edges: DataFrame, seeds: DataFrame, most: int, types: list[str] | None
     return reduce(DataFrame.unionByName, found).groupBy("source", "node").agg(F.min("depth").alias("depth"), F.max("rank").alias("rank"))
 
 
-def closure(edges: DataFrame, seeds: DataFrame, reverse: bool = False, most: int = 100) -> DataFrame:
-    """All nodes that the seeds (node) reach, themselves included."""
-    steps = ranked(edges, None, reverse).select("a", "b")
+def closure(edges: DataFrame, seeds: DataFrame, reverse: bool = False) -> DataFrame:
+    """All nodes that the seeds (node) reach over any number of steps, themselves included."""
+    a, b = ("dst", "src") if reverse else ("src", "dst")
+    steps = materialize(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct())
     seen = now = materialize(seeds.select("node").distinct())
-    for _ in range(most):
+    turn = 0
+    while True:
         now = materialize(now.join(steps, F.col("node") == F.col("a")).select(F.col("b").alias("node")).distinct().join(seen, "node", "left_anti"))
         if now.isEmpty():
-            break
-        seen = seen.unionByName(now)
-    return seen
+            return seen
+        turn += 1
+        seen = seen.unionByName(now) if turn % 16 else materialize(seen.unionByName(now))
 
 
 def shortest_paths(edges: DataFrame, start: DataFrame, end: DataFrame, most: int = 5, limit: int = 5) -> DataFrame:

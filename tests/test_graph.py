@@ -32,7 +32,7 @@ def graph(spark):
         {"repo_id": "r", "id": "route::1", "label": "Route", "method": "GET", "path": "/u", "middleware": [], "file_path": "routes/r.py", "handler_name": "handler", "line": 1},
         {"repo_id": "r", "id": "route::2", "label": "Route", "method": "ALL", "path": "/s", "middleware": [], "file_path": "routes/r.py", "handler_name": "safe", "line": 2},
         {"repo_id": "r", "id": "model::User", "label": "Model", "name": "User", "table_name": "users", "field_count": 1}, {"repo_id": "r", "id": "mf::User::id", "label": "ModelField", "name": "id", "field_type": "Int", "line": 1},
-        {"repo_id": "r", "id": "dbfunc::f", "label": "DBFunction", "name": "f"}, {"repo_id": "r", "id": "flag::NEW_UI", "label": "Flag", "name": "NEW_UI", "in_registry": True, "in_db": False, "retired": False, "orphan": False, "registry_default": True, "db_seeded_enabled": False, "description": "Requires OLD_UI to work"},
+        {"repo_id": "r", "id": "dbfunc::f", "label": "DBFunction", "name": "f"}, {"repo_id": "r", "id": "flag::NEW_UI", "label": "Flag", "name": "NEW_UI", "in_registry": True, "in_db": False, "retired": False, "orphan": False, "registry_default": False, "db_seeded_enabled": False, "description": "Requires OLD_UI to work"},
         {"repo_id": "r", "id": "flag::NEW_UI_V2", "label": "Flag", "name": "NEW_UI_V2", "in_registry": True, "in_db": True, "retired": False, "orphan": False},
         {"repo_id": "r", "id": "token::a", "label": "Token", "name": "a", "raw_name": "--a", "category": "color"}, {"repo_id": "r", "id": "token::b", "label": "Token", "name": "b", "raw_name": "--b", "category": "color", "references": ["--a"]},
         {"repo_id": "r", "id": "dep::react", "label": "Dependency", "name": "react", "version": "17.0.0", "latest_version": "18.2.0", "is_outdated": True, "vulnerability_count": 1, "import_count": 2},

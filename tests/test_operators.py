@@ -68,6 +68,8 @@ def test_scalar_functions(spark):
     assert got == [(1, "src/services", "X"), (None, "", "PLAIN"), (None, None, None)]
     types = [(1, "Optional[User]", ""), (2, "dict[str, list[Item]]", ""), (3, "A | B", ""), (4, "'User' | None", ""), (5, "Promise<Foo[]>", "")]
     assert [r[0] for r in values(spark, types, scalars.unwrap_type(F.col("a")))] == ["User", "Item", "A | B", "User", "Foo"]
+    deep = [(1, "list[dict[str, User]]", ""), (2, "Promise<Map<string, User>>", ""), (3, "Promise<UserEntity[]>", ""), (4, "dict[str, User] | None", ""), (5, "None", "")]
+    assert [r[0] for r in values(spark, deep, scalars.unwrap_type(F.col("a")))] == ["User", "User", "UserEntity", "User", "None"]
     versions = [(1, "^1.9.0", "1.10.0"), (2, ">=2.0", "2.0"), (3, "x", "1.0"), (4, None, "1.0")]
     assert [r[0] for r in values(spark, versions, scalars.is_outdated(F.col("a"), F.col("b")))] == [True, False, False, False]
     packages = [(1, "os.path", "python"), (2, "requests.api", "python"), (3, "@scope/pkg/x", "ts"), (4, "./rel", "ts"), (5, "lodash/fp", "ts")]
@@ -76,8 +78,10 @@ def test_scalar_functions(spark):
     assert [r[0] for r in values(spark, paths, scalars.path_matches(F.col("a"), F.col("b")))] == [True, False, True, True]
     routes = [(1, "app/users/[id]/page.tsx", ""), (2, "app/(shop)/cart/page.tsx", ""), (3, "app/docs/[...slug]/page.tsx", "")]
     assert [r[0] for r in values(spark, routes, scalars.next_route(F.col("a")))] == ["/users/:id", "/cart", "/docs/*slug"]
-    access = [(1, "repo.findAndUpdate", ""), (2, "repo.getAll", ""), (3, "repo.noop", "")]
-    assert [r[0] for r in values(spark, access, scalars.access_of(F.col("a")))] == ["write", "read", None]
+    access = [(1, "repo.findAndUpdate", ""), (2, "repo.getAll", ""), (3, "repo.noop", ""), (4, "db.query.one", ""), (5, "q.exists", ""), (6, "store.setItem", ""), (7, "x.load", ""), (8, "db.insert(chat)", "")]
+    assert [r[0] for r in values(spark, access, scalars.access_of(F.col("a")))] == ["write", "read", None, "read", "read", None, None, "write"]
+    utility = [(1, "hover:bg-primary/50", ""), (2, "font-primary", ""), (3, "w-1/2", ""), (4, "border", ""), (5, "ring-offset-card", ""), (6, "-mt-4", ""), (7, "text-lg", ""), (8, "bg-[#fff]", "")]
+    assert [r[0] for r in values(spark, utility, scanners.utility_tokens(F.col("a")))] == [["color-primary", "primary"], ["font-primary"], [], [], ["color-card", "card"], ["spacing-4"], ["color-lg", "text-lg", "lg"], []]
     name = values(spark, [(1, "My Repo!", ""), (2, "x" * 60, "")], scalars.graph_name(F.col("a")))
     assert name[0][0] == "my_repo" and len(name[1][0]) == 45
     cycle = spark.createDataFrame([(["c", "a", "b"],)], "a array<string>").select(scalars.rotate_least(F.col("a"))).first()[0]
@@ -112,6 +116,19 @@ def test_resolution_pieces(spark):
     assert got == {"A": (True, False, False, False), "B": (False, False, True, False), "C": (False, False, False, True)}
 
 
+def test_source_roots_and_aliases(spark):
+    imports = spark.createDataFrame([("src/pkg/a.py", 1, "pkg.b", "python"), ("src/pkg/a.py", 2, "os", "python"), ("web/x.ts", 1, "@app/ui/card", "typescript"), ("web/x.ts", 2, "config", "typescript")], "file_path string, line int, module_path string, language string")
+    paths = spark.createDataFrame([("src/pkg/__init__.py",), ("src/pkg/a.py",), ("src/pkg/b.py",), ("web/src/ui/card.tsx",), ("web/settings.ts",), ("web/x.ts",)], "path string")
+    aliases = spark.createDataFrame([("@app/*", "web/src/*", 1), ("config", "web/settings", 2)], "pattern string, target string, place int")
+    got = {(r["file_path"], r["line"]): r["target"] for r in import_targets(imports, paths, aliases).collect()}
+    assert got == {("src/pkg/a.py", 1): "src/pkg/b.py", ("web/x.ts", 1): "web/src/ui/card.tsx", ("web/x.ts", 2): "web/settings.ts"}
+
+
+def test_closure_has_no_last_step(spark):
+    chain = spark.range(130).selectExpr("concat('n', id) AS src", "concat('n', id + 1) AS dst", "'CALLS' AS type")
+    assert closure(chain, spark.createDataFrame([("n0",)], "node string")).count() == 131
+
+
 def test_watch_applies_the_last_change_per_path(spark, tmp_path):
     folder, seen = tmp_path / "log", []
     spark.createDataFrame([("a", 1, "update", "old"), ("a", 2, "update", "new"), ("b", 1, "delete", None)], "path string, seq int, op string, content string").write.parquet(str(folder))
