@@ -64,13 +64,6 @@ def node_edge_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.counts(supply_nodes(spark, sf_dir), supply_edges(spark, sf_dir))
 
 
-@query(f"WITH {_FLOW} SELECT us.id, CAST(coalesce(sum(fl.n), 0) AS BIGINT) AS calls FROM us LEFT JOIN fl ON fl.dst = us.id GROUP BY us.id ORDER BY calls DESC, us.id LIMIT 10")
-def top_called(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events")
-    calls = flow(events).groupBy(F.col("dst").alias("id")).agg(F.sum("n").alias("calls"))
-    return users(events).join(calls, "id", "left").select("id", F.coalesce("calls", F.lit(0)).alias("calls")).orderBy(F.desc("calls"), "id").limit(10)
-
-
 @query(f"""WITH {_FLOW},
 o AS (SELECT src AS id, dst AS other, {_CONFIDENCE} AS c, row_number() OVER (PARTITION BY src ORDER BY dst) AS k FROM fl),
 i AS (SELECT dst AS id, src AS other, {_CONFIDENCE} AS c, row_number() OVER (PARTITION BY dst ORDER BY src) AS k FROM fl),
@@ -187,104 +180,9 @@ def subgraph_truncated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edges.select("src", "dst", "rank")
 
 
-# ---------------------------------------------------------------- impact, coverage, dead exports
-
-
-_IMPACT = f"""{_FLOW},
-pa AS (SELECT 'user::' || next_user AS id, count(DISTINCT user_id) AS passers FROM st WHERE event_type = 'signup' GROUP BY 1),
-en AS (SELECT DISTINCT 'user::' || user_id AS id FROM events WHERE event_type = 'purchase' AND value > 200),
-dc AS (SELECT dst AS id, count(*) AS callers FROM fl WHERE rank >= 6 GROUP BY 1),
-tc AS (SELECT b.dst AS id, count(DISTINCT a.src) AS transitive FROM fl a JOIN fl b ON a.dst = b.src WHERE a.rank >= 6 AND b.rank >= 6 GROUP BY 1),
-im AS (SELECT us.id, coalesce(callers, 0) AS callers, coalesce(transitive, 0) AS transitive, least(100, least(5 * coalesce(callers, 0), 40) + least(8 * coalesce(passers, 0), 20) + CASE WHEN en.id IS NOT NULL THEN 15 ELSE 0 END) AS direct_score,
- least(100, least(2 * coalesce(transitive, 0), 50) + least(5 * coalesce(callers, 0), 30)) AS transitive_score FROM us LEFT JOIN dc USING (id) LEFT JOIN tc USING (id) LEFT JOIN pa USING (id) LEFT JOIN en USING (id)),
-sc AS (SELECT *, round(0.6::DOUBLE * direct_score + 0.4::DOUBLE * transitive_score, 1) AS blast FROM im)"""
-_RISK = "CASE WHEN blast >= 85 THEN 'critical' WHEN blast >= 60 THEN 'high' WHEN blast >= 30 THEN 'medium' ELSE 'low' END"
-
-
-def impact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events")
-    edges = materialize(flow(events)).where("rank >= 6")
-    direct = edges.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("callers"))
-    mid = edges.select("src", F.col("dst").alias("mid")).join(edges.select(F.col("src").alias("mid"), F.col("dst").alias("id")), "mid")
-    further = mid.groupBy("id").agg(F.count_distinct("src").alias("transitive"))
-    passers = steps(events).where("event_type = 'signup'").groupBy(user("next_user").alias("id")).agg(F.count_distinct("user_id").alias("passers"))
-    entry = events.where("event_type = 'purchase' and value > 200").select(user("user_id").alias("id")).distinct().withColumn("entry", F.lit(True))
-    rows = users(events).join(direct, "id", "left").join(further, "id", "left").join(passers, "id", "left").join(entry, "id", "left")
-    n = lambda c: F.coalesce(F.col(c), F.lit(0))
-    return reports.impact_scores(rows, callers=n("callers"), passers=n("passers"), route=F.lit(False), entry=F.coalesce("entry", F.lit(False)), exported=F.lit(False), transitive=n("transitive"), files=n("callers"), untested=F.lit(False))
-
-
-@query(f"WITH {_IMPACT} SELECT id, callers, transitive, direct_score, transitive_score, blast, {_RISK} AS risk FROM sc")
-def impact_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return impact(spark, sf_dir).select("id", "callers", "transitive", "direct_score", "transitive_score", "blast", "risk")
-
-
-@query(f"WITH {_IMPACT} SELECT id, {_RISK} || ' risk: ' || callers || ' direct and ' || transitive || ' transitive callers' AS recommendation FROM sc")
-def change_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return impact(spark, sf_dir).select("id", F.format_string("%s risk: %d direct and %d transitive callers", "risk", "callers", "transitive").alias("recommendation"))
-
-
-@query(f"""WITH {_FLOW}, {_SEED}
-SELECT 'external_caller' AS kind, src AS id FROM fl JOIN sd ON fl.dst = sd.node WHERE src NOT IN (SELECT node FROM sd)
-UNION SELECT 'not_found', node FROM sd WHERE node NOT IN (SELECT dst FROM fl)
-UNION SELECT 'inside', node FROM sd""")
-def changeset_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events")
-    changed, edges = seeds_of(events).select("node"), flow(events)
-    outside = edges.join(changed, F.col("dst") == F.col("node")).select(F.col("src").alias("id")).distinct().join(changed, F.col("id") == F.col("node"), "left_anti")
-    lost = changed.join(edges, F.col("node") == F.col("dst"), "left_anti").select(F.col("node").alias("id"))
-    kind = lambda df, k: df.select(F.lit(k).alias("kind"), "id")
-    return kind(outside, "external_caller").unionByName(kind(lost, "not_found")).unionByName(kind(changed.withColumnRenamed("node", "id"), "inside"))
-
-
-@query("""SELECT p_partkey, p_name, p_brand FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity >= 49 AND l_shipdate >= TIMESTAMP '1998-01-01' AND l_shipdate < TIMESTAMP '1999-01-01')""")
-def dead_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    used = table(spark, sf_dir, "lineitem").where("l_quantity >= 49 and l_shipdate >= timestamp'1998-01-01' and l_shipdate < timestamp'1999-01-01'")
-    return table(spark, sf_dir, "part").join(used, F.col("p_partkey") == F.col("l_partkey"), "left_anti").select("p_partkey", "p_name", "p_brand")
-
-
-@query("""WITH u AS (SELECT c_custkey, count(*) AS orders, sum(CASE WHEN o_orderpriority = '1-URGENT' THEN 1 ELSE 0 END) AS urgent FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY 1)
-SELECT c_custkey, orders, c_acctbal FROM u JOIN customer USING (c_custkey) WHERE urgent = 0 ORDER BY orders DESC, c_acctbal DESC, c_custkey LIMIT 20""")
-def untested_critical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("orders"), F.count_if(F.col("o_orderpriority") == "1-URGENT").alias("urgent"))
-    rows = table(spark, sf_dir, "customer").join(orders.where("urgent = 0"), "c_custkey")
-    return rows.select("c_custkey", "orders", "c_acctbal").orderBy(F.desc("orders"), F.desc("c_acctbal"), "c_custkey").limit(20)
-
-
-@query("""SELECT s_suppkey, s_name FROM supplier WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_suppkey = s_suppkey AND l_quantity = 50 AND l_returnflag = 'R' AND l_discount >= 0.1 - 1e-9)""")
-def dark_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seen = table(spark, sf_dir, "lineitem").where("l_quantity = 50 and l_returnflag = 'R' and l_discount >= 0.1 - 1e-9")
-    return table(spark, sf_dir, "supplier").join(seen, F.col("s_suppkey") == F.col("l_suppkey"), "left_anti").select("s_suppkey", "s_name")
-
-
-@query("""WITH a AS (SELECT doc_id, 1 AS place, 'labelled' AS via FROM labels WHERE toxic = 1 UNION ALL SELECT doc_id, 2, 'quality' FROM labels WHERE quality = 1 UNION ALL SELECT doc_id, 3, 'source' FROM documents WHERE source = 'src0'),
-r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY place) AS k FROM a) SELECT via, count(*) AS n, CAST(sum(doc_id) AS BIGINT) AS ids FROM r WHERE k = 1 GROUP BY via""")
-def coverage_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labels, docs = table(spark, sf_dir, "labels"), table(spark, sf_dir, "documents")
-    make = lambda df, place, via: df.select("doc_id", F.lit(place).alias("priority"), F.lit(via).alias("via"), F.lit(0).alias("target"))
-    rows = first_of([make(labels.where("toxic = 1"), 1, "labelled"), make(labels.where("quality = 1"), 2, "quality"), make(docs.where("source = 'src0'"), 3, "source")], ["doc_id"])
-    return rows.groupBy("via").agg(F.count("*").alias("n"), F.sum("doc_id").alias("ids"))
-
-
 # ---------------------------------------------------------------- structure of pages, hosts, layers, services
 
 
-@query("""WITH s AS (SELECT page_id, url, string_split(regexp_replace(regexp_replace(url, '^https?://', ''), '[?#].*$', ''), '/') AS parts FROM pages),
-d AS (SELECT page_id, parts[1] AS host, unnest(parts[1:len(parts) - 1]) AS part, generate_subscripts(parts[1:len(parts) - 1], 1) AS pos FROM s),
-l AS (SELECT page_id, host, CASE WHEN part = 'en' THEN 3 WHEN part = 'de' THEN 2 WHEN part = 'fr' THEN 1 WHEN part = 'es' THEN 0 END AS layer, pos FROM d),
-b AS (SELECT page_id, host, max_by(layer, pos) AS layer FROM l WHERE layer IS NOT NULL GROUP BY 1, 2),
-e AS (SELECT a.page_id AS src, b.page_id AS dst, a.layer AS up, b.layer AS low FROM b a JOIN b b ON b.page_id = a.page_id + 1)
-SELECT src, dst, up, low FROM e WHERE up > low + 1 AND up <> 0 AND low <> 0""")
-def layer_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bare = F.regexp_replace(F.regexp_replace("url", "^https?://", ""), "[?#].*$", "")
-    layer = scalars.layer(bare, {"en": 3, "de": 2, "fr": 1, "es": 0})
-    # every page is taken to import the next one
-    pages = table(spark, sf_dir, "pages").select("page_id", layer.alias("layer")).where("layer is not null")
-    after = pages.select((F.col("page_id") - 1).alias("src"), F.col("page_id").alias("dst"), F.col("layer").alias("low"))
-    rows = pages.select(F.col("page_id").alias("src"), F.col("layer").alias("up")).join(after, "src")
-    return rows.where("up > low + 1 and up <> 0 and low <> 0").select("src", "dst", "up", "low")
-
-
 @query("""WITH m(pattern, category) AS (VALUES ('Brand#1', 'database'), ('Brand#2', 'auth'), ('Brand#3*', 'payments'), ('Brand#4', 'email'), ('Brand#5', 'ai')),
 b AS (SELECT p_brand, count(*) AS parts FROM part GROUP BY 1)
 SELECT p_brand, parts, coalesce(min(category), 'uncategorised') AS category FROM b LEFT JOIN m ON p_brand = pattern OR (pattern LIKE '%*' AND starts_with(p_brand, rtrim(pattern, '*'))) GROUP BY 1, 2""")
@@ -329,31 +227,6 @@ def reexport(spark: SparkSession, sf_dir: str) -> DataFrame:
     return offered.groupBy("file").agg(F.count("*").alias("names"), F.sum("target").alias("targets")).withColumnRenamed("file", "host")
 
 
-# ---------------------------------------------------------------- nested reports
-
-
-@query("""SELECT o_orderkey, count(*) AS fields, string_agg(l_linenumber || ':' || l_returnflag, ',' ORDER BY l_linenumber, l_returnflag) AS lines, max(o_orderpriority) AS priority FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1""")
-def models_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("fields"), F.array_sort(F.collect_list(F.struct("l_linenumber", "l_returnflag"))).alias("rows"))
-    text = F.array_join(F.transform("rows", lambda r: F.concat_ws(":", r["l_linenumber"].cast("string"), r["l_returnflag"])), ",")
-    return table(spark, sf_dir, "orders").join(lines, "o_orderkey").select("o_orderkey", "fields", text.alias("lines"), F.col("o_orderpriority").alias("priority"))
-
-
-@query("""SELECT n_name, count(DISTINCT c_custkey) AS inputs, (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) AS outputs FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY n_name, n_nationkey""")
-def data_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = lambda name: table(spark, sf_dir, name)
-    inputs = t("customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count_distinct("c_custkey").alias("inputs"))
-    outputs = t("supplier").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.count("*").alias("outputs"))
-    rows = t("nation").join(inputs, "n_nationkey", "left").join(outputs, "n_nationkey", "left")
-    return rows.select("n_name", F.coalesce("inputs", F.lit(0)).alias("inputs"), F.coalesce("outputs", F.lit(0)).alias("outputs"))
-
-
-@query("""WITH w AS (SELECT DISTINCT p_partkey, unnest(string_split(p_name, ' ')) AS word FROM part) SELECT word, count(*) AS used_by, min(p_partkey) AS first_part FROM w GROUP BY word""")
-def type_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = table(spark, sf_dir, "part").select("p_partkey", F.explode(F.array_distinct(F.split("p_name", " "))).alias("word"))
-    return words.groupBy("word").agg(F.count("*").alias("used_by"), F.min("p_partkey").alias("first_part"))
-
-
 # ---------------------------------------------------------------- flags, drift, scanners, text
 
 
@@ -376,16 +249,6 @@ def flag_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged.select("key", "in_registry", "in_db", "retired", "orphan", "gates_count")
 
 
-@query(f"""WITH {_FLOW}, {_FLAG}, g AS (SELECT DISTINCT key, 'user::' || user_id AS node FROM fk WHERE event_type = 'error' AND value > 200),
-r AS (SELECT DISTINCT key, node FROM g UNION SELECT g.key, fl.src FROM g JOIN fl ON fl.dst = g.node AND fl.rank >= 6)
-SELECT key, count(*) AS reached FROM r GROUP BY key""")
-def flag_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events")
-    gated = events.where("event_type = 'error' and value > 200").select(F.get_json_object("props", "$.k").cast("long").alias("source"), user("user_id").alias("node")).distinct()
-    near = reach(flow(events).where("rank >= 6"), gated, 1, reverse=True).select("source", "node")
-    return gated.unionByName(near).distinct().groupBy(F.col("source").alias("key")).agg(F.count("*").alias("reached"))
-
-
 @query("""WITH t AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '[0-9]+\\.[0-9]+\\.[0-9]+\\.[0-9]+'))) AS value FROM documents) SELECT value, count(*) AS uses, min(doc_id) AS first_doc FROM t GROUP BY value ORDER BY uses DESC, value LIMIT 25""")
 def drift_recurring(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = F.array_distinct(F.regexp_extract_all("text", F.lit(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+"), F.lit(0)))
@@ -419,12 +282,6 @@ def doc_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.count("*").alias("sections"), F.max("line").alias("lines"), F.count_if(F.col("body").rlike("[.]$")).alias("closed"))
 
 
-@query("""SELECT 'Document' AS label, doc_id AS id FROM documents WHERE contains(text, 'Apache License') UNION ALL SELECT 'Part', p_partkey FROM part WHERE contains(p_name, 'ring')""")
-def search_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where(F.contains("text", F.lit("Apache License"))).select(F.lit("Document").alias("label"), F.col("doc_id").alias("id"))
-    return docs.unionByName(table(spark, sf_dir, "part").where(F.contains("p_name", F.lit("ring"))).select(F.lit("Part").alias("label"), F.col("p_partkey").alias("id")))
-
-
 @query("""WITH r AS (SELECT event_id, user_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events),
 a AS (SELECT event_id, 1 AS priority, 'exact' AS resolution, c_custkey AS target FROM r JOIN customer ON c_custkey = user_id WHERE c_mktsegment = 'BUILDING'
  UNION ALL SELECT event_id, 2, 'file_scoped', c_custkey FROM r JOIN customer ON c_custkey = user_id WHERE c_acctbal > 5000
@@ -449,13 +306,6 @@ def resolve_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("resolution").agg(F.count("*").alias("n"), F.sum("target").alias("targets"))
 
 
-@query("""WITH d AS (SELECT CAST(ts AS DATE) AS day, count(*) AS events, count(DISTINCT user_id) AS users, CAST(count_if(event_type = 'error') AS BIGINT) AS errors FROM events GROUP BY 1)
-SELECT strftime(day, '%Y-%m-%d') AS captured_at, events, users, errors, events - lag(events) OVER (ORDER BY day) AS events_delta, users - lag(users) OVER (ORDER BY day) AS users_delta FROM d ORDER BY day DESC LIMIT 20""")
-def changelog_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    days = table(spark, sf_dir, "events").groupBy(F.to_date("ts").cast("string").alias("captured_at")).agg(F.count("*").alias("events"), F.count_distinct("user_id").alias("users"), F.count_if(F.col("event_type") == "error").alias("errors"))
-    return reports.snapshot_deltas(days, ["events", "users"], keep=20)
-
-
 # ---------------------------------------------------------------- vectors
 
 

@@ -9,12 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, else the checkpoint folder of the context, else (in tests) a new temporary folder."""
+    """spark.checkpoint.dir, else the checkpoint folder of the context. Only a local session, as in tests, may leave both unset
+    and gets a new temporary folder; on a cluster that would be another one on every machine."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         path = current.get() if current.isDefined() else None
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
@@ -26,3 +29,12 @@ def materialize(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/graph-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def exists(table: DataFrame) -> bool:
+    """Whether the files of a materialized table, or of a selection of it, are still there."""
+    spark = table.sparkSession
+    for name in table.inputFiles()[:1]:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+    return False
