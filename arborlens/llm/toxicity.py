@@ -157,7 +157,7 @@ def score_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms:
     found = materialize(labelled_texts(base, learned, sample).mapInPandas(sampled, "label int, n int, terms binary").withColumn("place", F.xxhash64("terms")))
     places = found.select("place", "n").toPandas().groupby("place")["n"].sum().sort_index()
     fits = places.index[places.cumsum() <= room]
-    rows = found.where(F.col("place") <= int(fits[-1])).orderBy("place", "label").select("label", "terms").toPandas() if len(fits) else found.select("label", "terms").limit(0).toPandas()
+    rows = found.where(F.col("place") <= (int(fits[-1]) if len(fits) else -(2**63))).toPandas().sort_values(["place", "label"], kind="stable")
     y = rows["label"].to_numpy(float)
     ids = [np.frombuffer(t, np.int32) for t in rows["terms"]]
     if 0 < y.sum() < len(y):
