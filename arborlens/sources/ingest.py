@@ -9,13 +9,41 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars, scanners
 from ..graph import CodeGraph
-from ..operators.cascade import coverage_edges, import_targets, reexport_closure, resolve_calls, unique_names
+from ..operators import links
+from ..operators.cascade import coverage_edges, import_targets, merge_flags, reexport_closure, resolve_calls, unique_names
 from ..schema import EDGES, NODES, conform
 from ..storage import materialize
 from . import files as src
 from .python_code import python_rows
 
 
+#: Decorators that make a function a route's handler, and calls that ask for a flag by its key.
+ROUTE = r"^[\w.]+\.(get|post|put|delete|patch|route)\(\s*[rf]?[\"']([^\"']*)[\"']"
+FLAG_CALL = r"(?:is_enabled|isEnabled|feature_enabled|isFeatureEnabled|useFeatureFlag|has_feature|flag_enabled)\(\s*[\"'](\w+)[\"']"
+
+
+def inside(found: DataFrame, functions: DataFrame) -> DataFrame:
+    """(id, value) of rows (path, line, value) by the innermost function of the file that holds the line."""
+    own = functions.select("id", F.col("file_path").alias("path"), "start_line", "end_line")
+    met = found.join(own, "path").where("line between start_line and end_line")
+    return met.groupBy("path", "line", "value").agg(F.max_by("id", F.struct("start_line", "id")).alias("id")).select("id", "value").distinct()
+
+
+def data_models(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(models, fields, relations (model, target, kind)) of schema files and table definitions."""
+    prisma = src.prisma_models(files)
+    names = prisma.select(F.col("model").alias("field_type")).distinct()
+    own = prisma.join(names, "field_type", "left_anti").select("path", "model", "table_name", F.lit("prisma").alias("orm"), "field", "field_type", "is_primary", "is_unique", "has_default", F.col("is_optional").alias("is_nullable"))
+    tables = src.drizzle_tables(files)
+    own = own.unionByName(tables.select("path", "model", "table_name", F.lit("drizzle").alias("orm"), "field", "field_type", "is_primary", "is_unique", "has_default", (~F.col("not_null")).alias("is_nullable")))
+    kind = F.when(F.col("is_list"), "one_to_many").otherwise("many_to_one")
+    related = prisma.join(names, "field_type", "left_semi").select("model", F.col("field_type").alias("target"), kind.alias("kind"))
+    related = related.unionByName(tables.where("`references` <> ''").select("model", F.split_part("references", F.lit("."), F.lit(1)).alias("target"), F.lit("many_to_one").alias("kind")))
+    models = own.groupBy("model").agg(F.min("path").alias("file_path"), F.first("table_name").alias("table_name"), F.first("orm").alias("orm"), F.count_distinct("field").cast("int").alias("field_count"), F.max(F.when(F.col("is_primary"), F.col("field"))).alias("primary_key"))
+    models = models.select(F.concat(F.lit("model::"), "model").alias("id"), F.lit("Model").alias("label"), F.col("model").alias("name"), "table_name", "orm", "field_count", "primary_key", "file_path")
+    return models, own.dropDuplicates(["model", "field"]), related.distinct()
+
+
 def build(spark: SparkSession, root: str, repo_id: str, ignore: list[str] | None = None) -> CodeGraph:
     return from_files(materialize(src.scan(spark, root, ignore)), repo_id)
 
@@ -31,9 +59,17 @@ def from_files(files: DataFrame, repo_id: str) -> CodeGraph:
     private = F.col("name").startswith("_")
     functions = rows.where("kind = 'function'").select(
         F.concat(F.lit("func::"), qualified).alias("id"), F.lit("Function").alias("label"), "name", qualified.alias("qualified_name"), F.col("path").alias("file_path"), "class_name", F.col("line").alias("start_line"), "end_line",
-        "signature", "docstring", "complexity", "decorators", F.col("returns").alias("return_type"), "calls", F.col("params").alias("parameters"), (~private & F.col("class_name").isNull()).alias("is_exported"), is_test.alias("is_test"), fixture.alias("is_fixture"),
-        F.lit(False).alias("is_entry_point"), F.when(private, "private").otherwise("public").alias("visibility"), scanners.unsafe_calls(F.col("calls")).alias("security_findings"),
+        "signature", "docstring", "complexity", "decorators", F.col("returns").alias("return_type"), "calls", F.col("params").alias("parameters"), "annotations", (~private & F.col("class_name").isNull()).alias("is_exported"), is_test.alias("is_test"), fixture.alias("is_fixture"),
+        (F.exists(F.coalesce("decorators", F.array().cast("array<string>")), lambda d: d.rlike(ROUTE)) | (F.col("name") == "main")).alias("is_entry_point"), F.when(private, "private").otherwise("public").alias("visibility"), F.exists("calls", lambda c: F.lower(c).rlike("auth|permission|jwt")).alias("calls_auth"),
     )
+    lines = scanners.lines(files.where("language is not null"), "path", "text")
+    risky = files.select("path", "language", scanners.runs_sql(F.col("text")).alias("sql"))
+    found = lines.select("path", "line", F.concat(F.lit("hardcoded_secret:"), scanners.secret("body")).alias("value")).where("value is not null")
+    injected = lines.join(risky.where("sql"), "path").where(scanners.sql_injection(F.col("body"), F.col("language"))).select("path", "line", F.lit("sql_injection:interpolated").alias("value"))
+    by_line = inside(found.unionByName(injected), functions).groupBy("id").agg(F.collect_set("value").alias("_lines"))
+    some = lambda c: F.coalesce(c, F.array().cast("array<string>"))
+    findings = F.array_sort(F.concat(scanners.unsafe_calls(F.col("calls")), scanners.llm_output_risks(F.col("calls")), some(F.col("_lines"))))
+    functions = materialize(functions.join(by_line, "id", "left").withColumn("security_findings", findings).drop("_lines").withColumn("security_finding_count", F.size("security_findings")))
     classes = rows.where("kind = 'class'").select(F.concat(F.lit("class::"), qualified).alias("id"), F.lit("Class").alias("label"), "name", qualified.alias("qualified_name"), F.col("path").alias("file_path"), F.col("line").alias("start_line"), "end_line", "docstring", "bases", F.lit("class").alias("kind"), (~private).alias("is_exported"), F.when(private, "private").otherwise("public").alias("visibility"))
     imports = rows.where("kind = 'import'").select("path", "line", F.col("module").alias("module_path"), "names")
     import_nodes = imports.select(F.concat_ws("::", F.lit("import"), "path", F.col("line").cast("string")).alias("id"), F.lit("Import").alias("label"), F.col("path").alias("file_path"), "line", "module_path", F.transform("names", lambda n: F.split_part(n, F.lit(" "), F.lit(1))).alias("imported_names"), F.col("module_path").startswith(".").alias("is_relative"))
@@ -67,9 +103,16 @@ def from_files(files: DataFrame, repo_id: str) -> CodeGraph:
     inherits = edge(base_rows, "INHERITS_FROM")
     refs = functions.select(F.col("id").alias("src"), "file_path", "class_name", F.explode("calls").alias("call"))
     bases = base_rows.select(F.col("src").alias("class_id"), F.col("dst").alias("base_id"), "place")
-    calls = materialize(resolve_calls(refs, entities, imported, bases))
+    notes = functions.select(F.col("id").alias("src"), "file_path", F.explode("annotations").alias("pair")).select("src", "file_path", F.split_part("pair", F.lit(" "), F.lit(1)).alias("param_name"), F.regexp_replace("pair", r"^\S+ ", "").alias("annotation"))
+    typed = notes.select("src", F.col("param_name").alias("receiver"), F.col("annotation").alias("type"))
+    calls = materialize(resolve_calls(refs, entities, imported, bases, typed))
+    notes = notes.unionByName(functions.where("return_type is not null").select(F.col("id").alias("src"), "file_path", F.lit(None).cast("string").alias("param_name"), F.col("return_type").alias("annotation")))
+    types = links.type_edges(notes, classes, imported)
+    fields = rows.where("kind = 'field'").select(F.concat(F.lit("typefield::"), "path", F.lit("::"), "class_name", F.lit("."), "name").alias("id"), F.lit("TypeField").alias("label"), "name", F.col("returns").alias("type_annotation"), F.col("returns").rlike(r"Optional\[|\bNone\b").alias("is_optional"), "line", F.col("path").alias("file_path"), F.concat(F.lit("class::"), "path", F.lit("::"), "class_name").alias("_class"))
     tests = functions.where("is_test").select("id")
     covered = materialize(coverage_edges(calls, tests, functions.where("not is_test").select("id")))
+    reached = import_edges.select(F.regexp_replace("src", "^file::", "").alias("file_path"), F.regexp_replace("dst", "^file::", "").alias("target"))
+    covered = materialize(covered.unionByName(links.import_coverage(functions.where("is_test").select("id", "file_path"), reached, functions.where("not is_test").select("id", "file_path", "is_exported"), covered.select("src").distinct())))
     tested = covered.groupBy(F.col("dst").alias("id")).agg(F.count_distinct("src").cast("int").alias("tested_by_count"))
     functions = functions.join(tested, "id", "left")
     test_files = edge(import_edges.join(file_nodes.where("is_test_file").select(F.col("id").alias("src")), "src", "left_semi").join(file_nodes.where("is_test_file").select(F.col("id").alias("dst")), "dst", "left_anti"), "TESTS")
@@ -98,8 +141,37 @@ def from_files(files: DataFrame, repo_id: str) -> CodeGraph:
     references = edge(to_entity.unionByName(to_file).distinct(), "REFERENCES")
     tokens = src.css_tokens(files).select(F.concat(F.lit("token::"), F.col("name")).alias("id"), F.lit("Token").alias("label"), "name", "raw_name", "value", "category", "references", F.col("path").alias("file_path"))
 
-    nodes = [file_nodes, functions, classes, import_nodes, deps, env_nodes, documents, section_nodes, tokens]
-    edges = [contains, methods, defined, exports, import_edges, inherits, calls, edge(covered, "TESTS_FUNCTION", "depth"), test_files, edge(fixtures, "USES_FIXTURE"), depends, uses_env, has_section, references]
+    # routes, data models, stored functions, flags, packages in use
+    marked = functions.select("id", "name", "file_path", "start_line", "decorators", F.explode(F.coalesce("decorators", F.array().cast("array<string>"))).alias("d")).where(F.col("d").rlike(ROUTE))
+    route_id = F.concat_ws("::", F.lit("route"), "file_path", F.col("start_line").cast("string"), F.upper(F.regexp_extract("d", ROUTE, 1)), F.regexp_extract("d", ROUTE, 2))
+    method = F.upper(F.regexp_extract("d", ROUTE, 1))
+    found_routes = marked.select(route_id.alias("id"), F.lit("Route").alias("label"), F.when(method == "ROUTE", "ALL").otherwise(method).alias("method"), F.regexp_extract("d", ROUTE, 2).alias("path"), F.col("name").alias("handler_name"), "file_path", F.col("start_line").alias("line"), F.array().cast("array<string>").alias("middleware"), F.filter("decorators", lambda d: ~d.rlike(ROUTE)).alias("decorators"))
+    no_patterns = files.sparkSession.createDataFrame([], "pattern string, file_path string")
+    routes = links.route_auth(found_routes, no_patterns).drop("decorators")
+    handles = edge(marked.select(route_id.alias("src"), F.col("id").alias("dst")), "HANDLES")
+    models, model_rows, related = data_models(files)
+    models = materialize(models)
+    field_id = F.concat(F.lit("mf::"), "model", F.lit("::"), "field")
+    model_fields = model_rows.select(field_id.alias("id"), F.lit("ModelField").alias("label"), F.col("field").alias("name"), "field_type", "is_primary", "is_unique", "has_default", "is_nullable", F.col("path").alias("file_path"))
+    has_field = edge(model_rows.select(F.concat(F.lit("model::"), "model").alias("src"), field_id.alias("dst")), "HAS_MODEL_FIELD")
+    relations = edge(related.select(F.concat(F.lit("model::"), "model").alias("src"), F.concat(F.lit("model::"), "target").alias("dst"), F.col("kind").alias("relation_type")), "RELATED_TO", "relation_type")
+    bodies = materialize(src.sql_functions(files))
+    stored = bodies.select("path", "name").distinct().select(F.concat(F.lit("dbfunc::"), "path", F.lit("::"), "name").alias("id"), F.lit("DBFunction").alias("label"), "name", F.col("path").alias("file_path"))
+    uses_model = edge(links.model_edges(refs, models).unionByName(links.stored_function_edges(bodies, stored, models)), "USES_MODEL", "access")
+    rpc = inside(lines.select("path", "line", F.concat(F.lit("rpc:"), F.regexp_extract("body", r"\.rpc\(\s*[\"'](\w+)[\"']", 1)).alias("value")).where("value <> 'rpc:'"), functions)
+    calls_rpc = edge(links.rpc_edges(rpc.select(F.col("id").alias("src"), F.col("value").alias("call")), stored), "CALLS_RPC")
+    gates = materialize(inside(lines.select("path", "line", F.regexp_extract("body", FLAG_CALL, 1).alias("value")).where("value <> ''"), functions).select(F.concat(F.lit("flag::"), "value").alias("src"), F.col("id").alias("dst"), F.col("value").alias("key")))
+    seeded, retired = src.flag_migrations(files)
+    flags = merge_flags(src.flag_registry(files).drop("path").dropDuplicates(["key"]), seeded, retired, gates.groupBy("key").agg(F.count_distinct("dst").cast("int").alias("gates_count")))
+    flags = flags.select(F.concat(F.lit("flag::"), "key").alias("id"), F.lit("Flag").alias("label"), F.col("key").alias("name"), "in_registry", "in_db", "retired", "orphan", "registry_default", "db_seeded_enabled", "description", "gates_count")
+    packages = imports.withColumnRenamed("path", "file_path").join(targets, ["file_path", "line"], "left_anti").select("file_path", F.explode("names").alias("pair"), scalars.package(F.col("module_path"), F.lit("python")).alias("package"))
+    packages = packages.where("package is not null").select("file_path", F.split_part(F.split_part("pair", F.lit(" "), F.lit(2)), F.lit("."), F.lit(1)).alias("name"), "package")
+    uses_package = edge(links.external_usage(refs.select("src", "file_path", "call"), refs.select("src", "call").limit(0), packages), "USES_DEPENDENCY")
+    accepts = types.select("src", "dst", "type", "param_name")
+    holds = edge(fields.select(F.col("_class").alias("src"), F.col("id").alias("dst")), "HAS_FIELD")
+
+    nodes = [file_nodes, functions, classes, import_nodes, deps, env_nodes, documents, section_nodes, tokens, routes, models, model_fields, stored, flags, fields]
+    edges = [contains, methods, defined, exports, import_edges, inherits, calls, edge(covered, "TESTS_FUNCTION", "depth"), test_files, edge(fixtures, "USES_FIXTURE"), depends, uses_env, has_section, references, handles, has_field, relations, uses_model, calls_rpc, edge(gates, "GATES"), uses_package, accepts, holds]
     own_id = lambda df: df.withColumn("repo_id", F.lit(repo_id))
     all_nodes = reduce(DataFrame.unionByName, (conform(own_id(n), NODES) for n in nodes))
     all_edges = reduce(DataFrame.unionByName, (conform(own_id(e), EDGES) for e in edges))

@@ -17,6 +17,13 @@ FILES = {
     ".env.example": "API_URL=\nMODE=dev\n",
     "node_modules/x.py": "def hidden(): pass\n",
     "gen/out.py": "def generated(): pass\n",
+    "api.py": 'import requests\nfrom pkg.models import User, Base\n\n\nclass Form(Base):\n    owner: list[User]\n    note: str | None\n\n\n@app.get("/users")\ndef list_users(form: Form, user: User) -> dict[str, User]:\n    user.rename()\n    if is_enabled("NEW_UI"):\n        prisma.account.create(form)\n    token = "ghp_abcdefghijklmnopqrstuvwxyz0123456789"\n    db.execute(f"SELECT * FROM t WHERE id={user}")\n    client.rpc("spend")\n    return requests.get("x")\n',
+    "schema.prisma": "model Account {\n  id Int @id\n  owner Person\n}\n\nmodel Person {\n  id Int @id @default(1)\n  name String? @unique\n}\n",
+    "flags.ts": "export const featureFlags = {\n  // Requires OLD_UI\n  NEW_UI: false,\n  OLD_UI: true,\n};\n",
+    "m.sql": "insert into feature_flags (key, enabled) values ('OLD_UI', true);\ncreate function public.spend() returns void as $$ begin update accounts set n = 1; end $$ language plpgsql;\n",
+    "src/lib/__init__.py": "",
+    "src/lib/util.py": "def deep():\n    return 1\n",
+    "run.py": "from lib.util import deep\n\n\ndef main():\n    return deep()\n",
     "broken.py": "def top(:\n  pass\n",
 }
 
@@ -54,7 +61,7 @@ def test_calls_through_imports_inheritance_and_aliases(graph):
 
 
 def test_other_edges(graph):
-    assert pairs(graph, "INHERITS_FROM") == [("class::pkg/models.py::User", "class::pkg/models.py::Base")]
+    assert ("class::pkg/models.py::User", "class::pkg/models.py::Base") in pairs(graph, "INHERITS_FROM")
     assert ("file::pkg/services.py", "file::pkg/models.py") in pairs(graph, "IMPORTS")
     assert ("func::tests/test_orders.py::test_create", "func::pkg/services.py::OrderService.create", 1) in pairs(graph, "TESTS_FUNCTION", "depth")
     assert ("func::tests/test_orders.py::test_create", "func::tests/test_orders.py::service") in pairs(graph, "USES_FIXTURE")
@@ -67,12 +74,30 @@ def test_other_edges(graph):
 def test_queries_on_the_ingested_graph(graph):
     assert [r["name"] for r in graph.env_vars().where("required").collect()] == ["API_URL"]
     assert {(r["name"], r["category"]) for r in graph.tokens().collect()} >= {("color-primary", "color"), ("space-1", "spacing")}
-    assert [r["finding"] for r in graph.security_issues().collect()] == ["unsafe_call:eval"]
+    assert {r["finding"] for r in graph.security_issues().collect()} == {"unsafe_call:eval", "hardcoded_secret:GITHUB_TOKEN", "sql_injection:interpolated"}
     assert [r["heading"] for r in graph.label("DocumentSection").orderBy("start_line").collect()] == ["Guide", "Use"]
     assert "pkg/services.py::unused" in [r["qualified_name"] for r in graph.dead_exports().collect()]
     assert graph.class_structure("User").first()["chain"] == ["class::pkg/models.py::User", "class::pkg/models.py::Base"]
 
 
+def test_every_report_has_rows_of_the_ingested_graph(graph):
+    user, form, handler = "class::pkg/models.py::User", "class::api.py::Form", "func::api.py::list_users"
+    assert [d for _, d in pairs(graph, "HANDLES")] == [handler]
+    assert set(pairs(graph, "ACCEPTS", "param_name")) == {(handler, form, "form"), (handler, user, "user")} and pairs(graph, "RETURNS") == [(handler, user)]
+    assert (handler, "func::pkg/models.py::User.rename", "typed_receiver") in pairs(graph, "CALLS", "resolution")
+    assert ("func::run.py::main", "func::src/lib/util.py::deep") in pairs(graph, "CALLS") and ("file::run.py", "file::src/lib/util.py") in pairs(graph, "IMPORTS")
+    assert (handler, "model::Account", "write") in pairs(graph, "USES_MODEL", "access") and ("dbfunc::m.sql::spend", "model::Account", "write") in pairs(graph, "USES_MODEL", "access")
+    assert pairs(graph, "CALLS_RPC") == [(handler, "dbfunc::m.sql::spend")] and pairs(graph, "GATES") == [("flag::NEW_UI", handler)]
+    assert pairs(graph, "RELATED_TO", "relation_type") == [("model::Account", "model::Person", "many_to_one")]
+    assert (handler, "dep::requests") in pairs(graph, "USES_DEPENDENCY")
+    assert {(s, d) for s, d in pairs(graph, "HAS_FIELD")} == {(form, "typefield::api.py::Form.owner"), (form, "typefield::api.py::Form.note")}
+    assert [r["path"] for r in graph.unauthenticated_routes().collect()] == ["/users"]
+    rows = {r["name"]: r for r in graph.flags().collect()}
+    assert rows["NEW_UI"]["config_gap"] and rows["NEW_UI"]["depends_on"] == ["OLD_UI"] and rows["OLD_UI"]["dead"]
+    reports = [graph.models(), graph.model_relationships(), graph.db_functions(), graph.routes(), graph.flag_gates("NEW_UI"), graph.flag_reach("NEW_UI"), graph.data_contract("list_users"), graph.type_usage("User"), graph.dependency_users("requests"), graph.security_overview()]
+    assert all(not r.isEmpty() for r in reports)
+
+
 def test_store_and_changes(graph, spark, tmp_path):
     store.write(store.with_snapshot(graph, "demo", "2024-01-01"), str(tmp_path / "g"))
     again = type(graph).read(spark, str(tmp_path / "g"), "demo")
