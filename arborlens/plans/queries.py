@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars, scanners
@@ -14,7 +14,7 @@ from ..operators.traverse import closure, longest_chain, reach, shortest_paths,
 from ..schema import confidence
 from ..storage import materialize
 from ..streaming.changes import latest_per_key, run_available, session_counts, tumbling_counts
-from .projections import EVENT_RANKS, by_event, flow, flow_sparse, host, links, steps, supply_edges, supply_nodes, table, turns, user, users
+from .projections import flow, flow_sparse, host, links, supply_edges, supply_nodes, table, turns, user, users
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -331,12 +331,13 @@ def embed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) SELECT user_id, event_id, event_type FROM r WHERE k = 1""")
 def stream_dedupe_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return latest_per_key(run_available(spark, f"{sf_dir}/events*.parquet", table(spark, sf_dir, "events").schema), "user_id", ["ts", "event_id"]).select("user_id", "event_id", "event_type")
+    last = lambda events: latest_per_key(events, "user_id", ["ts", "event_id"]).select("user_id", "event_id", "event_type")
+    return run_available(spark, f"{sf_dir}/events*.parquet", table(spark, sf_dir, "events").schema, last, ["user_id"])
 
 
 @query("""SELECT strftime(time_bucket(INTERVAL '1 hour', ts), '%Y-%m-%d %H:%M:%S') AS hour, event_type, count(*) AS n FROM events GROUP BY 1, 2""")
 def stream_tumbling_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return run_available(spark, f"{sf_dir}/events*.parquet", table(spark, sf_dir, "events").schema, tumbling_counts)
+    return run_available(spark, f"{sf_dir}/events*.parquet", table(spark, sf_dir, "events").schema, tumbling_counts, ["hour", "event_type"])
 
 
 @query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL '6 hours' THEN 0 ELSE 1 END AS new FROM events),

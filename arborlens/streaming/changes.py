@@ -15,9 +15,11 @@ from ..storage import shared_dir
 LATE = "1 day"
 
 
-def run_available(spark: SparkSession, path: str, schema: T.StructType, plan: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def run_available(spark: SparkSession, path: str, schema: T.StructType, plan: Callable[[DataFrame], DataFrame] | None = None, keys: list[str] | None = None) -> DataFrame:
     """All files at path as a stream, through plan, until none is left; the sink's rows as a batch. State and sink lie in
-    the shared folder. Plans keep their last result per key: the sink has the batch number, and later ones win."""
+    the shared folder. With `keys` the stream gives changed rows only (update mode, so that the watermark frees state), and
+    of each key the row of the last batch counts; without, a plan gives its whole result in every batch (session windows
+    know no update mode) and the last one counts."""
     base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     stream = spark.readStream.schema(schema).parquet(path)
     out = plan(stream) if plan else stream
@@ -27,11 +29,15 @@ def run_available(spark: SparkSession, path: str, schema: T.StructType, plan: Ca
         batch.write.mode("overwrite").parquet(f"{base}/rows/batch={number}")
         held["last"] = number
 
-    query = out.writeStream.foreachBatch(sink).option("checkpointLocation", f"{base}/state").outputMode("complete" if plan else "append").trigger(availableNow=True).start()
+    mode = "update" if keys else "complete" if plan else "append"
+    query = out.writeStream.foreachBatch(sink).option("checkpointLocation", f"{base}/state").outputMode(mode).trigger(availableNow=True).start()
     query.awaitTermination()
     target = out.schema
     if not held:
         return spark.createDataFrame([], target)
+    if keys:
+        rows = spark.read.schema(T.StructType([*target, T.StructField("batch", T.LongType())])).parquet(f"{base}/rows")
+        return rows.groupBy(*keys).agg(F.max_by(F.struct(*target.names), F.col("batch")).alias("_row")).select("_row.*")
     last = f"{base}/rows/batch={held['last']}" if plan else f"{base}/rows/batch=*"
     return spark.read.schema(target).parquet(last)
 
