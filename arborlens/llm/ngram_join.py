@@ -30,7 +30,7 @@ from .common import U64, batches_of_texts, connected_components, discard, join_s
 
 #: Shingles in a fragment, about, once FRAGMENTS of them are full (a set has a row in each fragment); wide fragments in
 #: which pairs are counted; hub rounds at most; sets of one shingle that one task pairs; places of a hub's pairs.
-FRAGMENT, FRAGMENTS, WIDE, ROUNDS, BLOCK, SALTS = 2_000_000, 64, 8, 4, 512, 256
+FRAGMENT, FRAGMENTS, WIDE, ROUNDS, BLOCK, SALTS = 2_000_000, 64, 8, 1, 512, 256
 
 
 def shingles(texts: list[bytes], width: int = 5) -> tuple[np.ndarray, np.ndarray]:
