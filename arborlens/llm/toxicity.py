@@ -8,7 +8,7 @@ the places at most), then the most frequent. A term's own weight moves the less,
 freely. Other terms weigh nothing.
 
 Fitting reads at most `sample` labelled rows, one for each id and text (those of least hash) outside the held-out quarter (crc32 of the id
-mod 4 = 2), and of these so many that they hold at most `room` distinct terms together (64 MB in the driver); scoring reads every whole text. Only the text enters a score.
+mod 4 = 2), and of these so many that they hold at most `room` distinct terms together (32 MB of slots in the driver, and 48 MB of counts at most); scoring reads every whole text. Only the text enters a score.
 
 Defined results: null and empty texts score as a text without terms, which is the base rate of the sample or, without
 labels of both kinds, 0; repeated labels beyond the first are not learned from; repeated rows are scored as rows; other
@@ -57,15 +57,9 @@ class Machine:
         return out
 
 
-def choose_terms(texts: list[np.ndarray], y: np.ndarray, most: int, bits: int = BITS, strong: float = 3.3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hashed terms of at least two texts, their log-odds, |z|), at most `most`; texts hold the distinct terms of each text."""
-    up, both = np.zeros(1 << bits, np.int32), np.zeros(1 << bits, np.int32)
-    for own, label in zip(texts, y, strict=True):
-        both[own] += 1
-        if label:
-            up[own] += 1
-    seen = np.flatnonzero(both >= 2)
-    up, both = up[seen].astype(float), both[seen].astype(float)
+def choose_terms(seen: np.ndarray, up: np.ndarray, both: np.ndarray, y: np.ndarray, most: int, strong: float = 3.3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashed terms, their log-odds, |z|), at most `most` of the terms seen, which `both` texts hold, `up` of them toxic."""
+    up, both = up.astype(float), both.astype(float)
     pos, neg = y.sum(), len(y) - y.sum()
     # deviation from what the base rate expects, in standard errors
     expected = both * pos / len(y)
@@ -81,9 +75,28 @@ def choose_terms(texts: list[np.ndarray], y: np.ndarray, most: int, bits: int =
     return seen, np.clip(odds, -4, 4), z
 
 
+def slot_type(n: int) -> type:
+    """Two bytes hold a slot of up to 65,536 terms."""
+    return np.uint16 if n <= 1 << 16 else np.int32
+
+
 def fit(texts: list[np.ndarray], y: np.ndarray, terms: int = TERMS, rank: int = RANK, bits: int = BITS, rounds: int = 30, ridge: float = 2e-3) -> Machine:
-    """Logistic loss by Adagrad over batches; starts from the terms' own shrunk log-odds and small random factors."""
-    chosen, odds, z = choose_terms(texts, y, terms, bits)
+    """The machine of texts, given as the distinct hashed terms of each."""
+    both = np.zeros(1 << bits, np.int32)
+    up = np.zeros(1 << bits, np.int32)
+    for own, label in zip(texts, y, strict=True):
+        both[own] += 1
+        up[own] += int(label)
+    seen = np.flatnonzero(both >= 2)
+    chosen = choose_terms(seen, up[seen], both[seen], y, terms)
+    place = Machine(chosen[0], np.zeros(0), np.zeros((0, 1)), 0).slots(bits)
+    own = [place[t] for t in texts]
+    return learn(*chosen, [s[s >= 0].astype(slot_type(len(chosen[0]))) for s in own], y, rank, rounds, ridge)
+
+
+def learn(chosen: np.ndarray, odds: np.ndarray, z: np.ndarray, texts: list[np.ndarray], y: np.ndarray, rank: int = RANK, rounds: int = 30, ridge: float = 2e-3) -> Machine:
+    """Logistic loss by Adagrad over batches of texts, given as the slots of their chosen terms; starts from the terms' own
+    shrunk log-odds and small random factors."""
     base = float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)))
     draw = np.random.Generator(np.random.PCG64(7))
     trust = z**3 / (z**3 + 3.3**3)
@@ -91,14 +104,6 @@ def fit(texts: list[np.ndarray], y: np.ndarray, terms: int = TERMS, rank: int =
     if not len(chosen):
         return m
     pace = np.maximum(0.05, trust).astype(np.float32)
-    place = m.slots(bits)
-    size = np.array([np.count_nonzero(place[t] >= 0) for t in texts])
-    start = np.concatenate(([0], np.cumsum(size)))
-    slot = np.empty(start[-1], np.int32)
-    for k, t in enumerate(texts):
-        s = place[t]
-        slot[start[k] : start[k + 1]] = s[s >= 0]
-    del place
     w, v, b = m.w, m.v, m.b
     gw, gv, gb = np.full(w.shape, 1e-2, np.float32), np.full(v.shape, 1e-2, np.float32), 1e-6
     batch = 256
@@ -106,17 +111,27 @@ def fit(texts: list[np.ndarray], y: np.ndarray, terms: int = TERMS, rank: int =
         order = draw.permutation(len(y))
         for at in range(0, len(y), batch):
             some = order[at : at + batch]
-            count = size[some]
-            take = np.repeat(start[some] - (np.cumsum(count) - count), count) + np.arange(count.sum())
-            d, s = np.repeat(np.arange(len(some)), count), slot[take]
-            vs = v[s]
-            total = np.stack([np.bincount(d, vs[:, k], minlength=len(some)) for k in range(rank)], 1)
-            square = np.bincount(d, (vs**2).sum(1), minlength=len(some))
+            count = np.array([len(texts[k]) for k in some])
+            s = np.concatenate([texts[k] for k in some])
+            d = np.repeat(np.arange(len(some)), count)
+            full = np.flatnonzero(count)
+            total = np.zeros((len(some), rank), np.float32)
+            if len(s):
+                total[full] = np.add.reduceat(v[s], (np.cumsum(count) - count)[full], axis=0)
+            square = np.bincount(d, (v**2).sum(1)[s], minlength=len(some))
             margin = b + np.bincount(d, w[s], minlength=len(some)) + 0.5 * ((total**2).sum(1) - square)
             g = 1 / (1 + np.exp(-np.clip(margin, -30, 30))) - y[some]
-            dw = pace * np.bincount(s, g[d], minlength=len(w)) / len(some) + ridge * w / 8
-            x = g[d, None] * (total[d] - vs)
-            dv = np.stack([np.bincount(s, x[:, k], minlength=len(w)) for k in range(rank)], 1) / len(some) + ridge * v / 8
+            # gradients by term: sums of g and of g * total over its texts; a pair of a term with itself is taken off
+            pull = np.concatenate((g[:, None] * total, g[:, None]), 1).astype(np.float32)
+            dw, dv = ridge * w / 8, ridge * v / 8
+            if len(s):
+                by = np.argsort(s, kind="stable")
+                of = s[by]
+                first = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
+                of = of[first]
+                sums = np.add.reduceat(pull[d[by]], first, axis=0) / len(some)
+                dw[of] += pace[of] * sums[:, -1]
+                dv[of] += sums[:, :-1] - sums[:, -1:] * v[of]
             gw += dw**2
             gv += dv**2
             w -= 0.15 * pace * dw / np.sqrt(gw)
@@ -151,20 +166,36 @@ def score_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms:
                 doc, term = distinct_pairs(*term_ids(list(part["raw"])))
                 cut = np.searchsorted(doc, np.arange(1, high - low))
                 own = np.split(term, cut)
-                yield pd.DataFrame({"label": part["label"], "n": [len(t) for t in own], "terms": [t.astype(np.int32).tobytes() for t in own]})
+                yield pd.DataFrame({"label": part["label"], "n": [len(t) for t in own], "terms": [t.astype(np.int32) for t in own]})
 
     # at most `sample` rows, repeated ids or not, as far as their terms have room
-    found = materialize(labelled_texts(base, learned, sample).mapInPandas(sampled, "label int, n int, terms binary").withColumn("place", F.xxhash64("terms")))
+    found = materialize(labelled_texts(base, learned, sample).mapInPandas(sampled, "label int, n int, terms array<int>").withColumn("place", F.xxhash64("terms")))
     places = found.select("place", "n").toPandas().groupby("place")["n"].sum().sort_index()
     fits = places.index[places.cumsum() <= room]
-    rows = found.where(F.col("place") <= (int(fits[-1]) if len(fits) else -(2**63))).toPandas().sort_values(["place", "label"], kind="stable")
-    y = rows["label"].to_numpy(float)
-    ids = [np.frombuffer(t, np.int32) for t in rows["terms"]]
+    found = found.where(F.col("place") <= (int(fits[-1]) if len(fits) else -(2**63)))
+    # terms are counted by Spark; the driver gets the counts of those of two texts, and the slots of the chosen ones
+    counts = found.select("label", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").cast("int").alias("both"), F.sum("label").cast("int").alias("up"))
+    counts = counts.where("both >= 2").toPandas().sort_values("term")
+    y = found.select("label").toPandas()["label"].to_numpy(float)
     if 0 < y.sum() < len(y):
-        machine = fit(ids, y, terms)
+        chosen = choose_terms(*(counts[c].to_numpy() for c in ("term", "up", "both")), y, terms)
+        known, kind = np.sort(chosen[0]), slot_type(len(chosen[0]))
+        rank_of = np.argsort(chosen[0], kind="stable").astype(kind)
+
+        def slotted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                own = []
+                for t in frame["terms"]:
+                    at = np.minimum(np.searchsorted(known, t), max(0, len(known) - 1))
+                    own.append(rank_of[at[known[at] == t]].tobytes() if len(known) else b"")
+                yield frame.drop(columns="terms").assign(slots=own)
+
+        rows = found.select("place", "label", "terms").mapInPandas(slotted, "place long, label int, slots binary").toPandas().sort_values(["place", "label"], kind="stable")
+        machine = learn(*chosen, [np.frombuffer(t, kind) for t in rows["slots"]], rows["label"].to_numpy(float))
+        del rows
     else:
         machine = Machine(np.zeros(0, np.int64), np.zeros(0), np.zeros((0, 1)), 30.0 if y.sum() else -30.0)
-    del ids, rows
+    del counts
 
     def scored(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         slots = machine.slots()
