@@ -159,16 +159,16 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-def _hash_window(raw: bytes, gaps: np.ndarray, head: int) -> tuple[np.ndarray, np.ndarray]:
+def _hash_window(raw: bytes, gaps: np.ndarray, head: int, fold: bool) -> tuple[np.ndarray, np.ndarray]:
     """(start, hash) of every word of raw, which begins and ends at word boundaries. Words are maximal runs of
-    bytes outside gaps, with A-Z lower-cased."""
+    bytes outside gaps, with `fold` A-Z lower-cased."""
     buf = np.frombuffer(raw, np.uint8)
     gap = gaps[buf]
     edge = np.flatnonzero(np.diff(np.concatenate(([True], gap, [True])).view(np.int8)))
     starts, ends = edge[::2], edge[1::2]
     power, back = _power_tables(len(buf) + 1)
     total = np.zeros(len(buf) + 1, U64)
-    np.cumsum(_BYTE[_LOWER[buf]] * power[: len(buf)], out=total[1:])
+    np.cumsum(_BYTE[_LOWER[buf] if fold else buf] * power[: len(buf)], out=total[1:])
     if head:
         ends = np.minimum(ends, starts + head)
     return starts, mix((total[ends] - total[starts]) * back[starts])
@@ -196,13 +196,14 @@ def _windows(texts: list[bytes]) -> Iterator[tuple[list[int], list[bytes]]]:
         yield numbers, pieces
 
 
-def word_hashes(texts: list[bytes], gaps: np.ndarray = _SEPARATOR, head: int = 0) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: list[bytes], gaps: np.ndarray = _SEPARATOR, head: int = 0, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """(text number, 64-bit word hash) of every word of the texts, in order. Words are runs of bytes outside gaps
-    (by default x20 and x09-x0D), which must hold these; with `head`, only so many first bytes of a word count."""
+    (by default x20 and x09-x0D), which must hold these; with `head`, only so many first bytes of a word count; without
+    `fold`, A-Z differ from a-z."""
     docs, words = [np.zeros(0, np.int64)], [np.zeros(0, U64)]
     for numbers, pieces in _windows(texts):
         offsets = np.cumsum([0] + [len(p) + 1 for p in pieces])
-        starts, hashes = _hash_window(b"\n".join(pieces), gaps, head)
+        starts, hashes = _hash_window(b"\n".join(pieces), gaps, head, fold)
         docs.append(np.asarray(numbers)[np.searchsorted(offsets, starts, "right") - 1])
         words.append(hashes)
     return np.concatenate(docs), np.concatenate(words)

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .conversation_repair import damage, repair_report
+from .filter_audit import audit_filters
 from .hnsw_dedup import near_duplicates
 from .language import identify
 from .mixing import mix_sources
@@ -17,6 +19,7 @@ from .packing import pack_documents
 from .pivot_search import top_k
 from .pseudo_likelihood import score
 from .quality import score_quality
+from .substring_dedup import remove_repeats
 from .token_files import token_file_digest
 from .toxicity import score_toxicity
 
@@ -62,6 +65,19 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_report(damage(table(spark, sf_dir, "conversations")))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = remove_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_pivot_table_search": op2_pivot_table_search,
@@ -73,6 +89,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_files": op8_token_files,
     "op9_hnsw_near_duplicates": op9_hnsw_near_duplicates,
     "op10_mix_sources": op10_mix_sources,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_substring_dedup": op13_substring_dedup,
 }
 
 ORACLES: dict[str, str] = {
@@ -110,5 +129,41 @@ u AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(round(target / source_size *
 k AS (SELECT d.*, u.source_size, u.target, u.rate, u.start, row_number() OVER (PARTITION BY d.source ORDER BY d.size, d.doc_id NULLS LAST) AS n
       FROM d JOIN u ON d.source IS NOT DISTINCT FROM u.source)
 SELECT doc_id, size, source_size, target, ((start + n * rate) // 1000000000 - (start + (n - 1) * rate) // 1000000000) * size AS taken FROM k
+""",
+    "op12_filter_audit": """
+WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS words, min(doc_id) OVER (PARTITION BY text) AS first FROM t),
+m AS (SELECT doc_id, part, CASE WHEN len(words) < 100 THEN 'A' ELSE '' END
+        || CASE WHEN 100 * len(list_distinct(words)) < 80 * len(words) THEN 'B' ELSE '' END
+        || CASE WHEN 100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 10 * length(text) THEN 'C' ELSE '' END
+        || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END
+        || CASE WHEN doc_id > first THEN 'E' ELSE '' END AS fails FROM w),
+l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY 1),
+c AS (SELECT part, fails, count(*) AS n, coalesce(sum(good), 0) AS good, coalesce(sum(toxic), 0) AS toxic FROM m LEFT JOIN l USING (doc_id) GROUP BY 1, 2),
+f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM f a JOIN f b ON b.x <> a.x JOIN f c ON c.x NOT IN (a.x, b.x)
+        JOIN f d ON d.x NOT IN (a.x, b.x, c.x) JOIN f e ON e.x NOT IN (a.x, b.x, c.x, d.x)),
+s AS (SELECT filter_order, CAST(step AS INTEGER) AS step, filter_order[step] AS x, '[' || filter_order[1:step - 1] || '_]' AS before FROM o, range(1, 6) r(step)),
+g AS (SELECT c.part, s.filter_order, s.step, s.x,
+        sum(CASE WHEN contains(fails, x) OR regexp_matches(fails, before) THEN 0 ELSE n END) AS kept,
+        sum(CASE WHEN contains(fails, x) AND NOT regexp_matches(fails, before) THEN n ELSE 0 END) AS removed,
+        sum(CASE WHEN contains(fails, x) AND regexp_matches(fails, before) THEN n ELSE 0 END) AS redundant,
+        sum(CASE WHEN fails = x THEN n ELSE 0 END) AS unique_fails,
+        sum(CASE WHEN contains(fails, x) AND NOT regexp_matches(fails, before) THEN good ELSE 0 END) AS good_lost,
+        sum(CASE WHEN contains(fails, x) AND NOT regexp_matches(fails, before) THEN toxic ELSE 0 END) AS toxic_lost
+      FROM c CROSS JOIN s GROUP BY ALL)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+  CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, x) AS BIGINT) AS shapley FROM g
+""",
+    "op13_substring_dedup": """
+WITH d AS (SELECT row_number() OVER () AS uid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+s AS (SELECT uid, unnest(range(1, len(words) - 33)) AS pos, words FROM d WHERE len(words) >= 35),
+h AS (SELECT uid, pos, md5(array_to_string(words[pos:pos + 34], ' ')) AS h FROM s),
+r AS (SELECT uid, pos FROM (SELECT uid, pos, count(*) OVER (PARTITION BY h) AS n FROM h) WHERE n > 1),
+w AS (SELECT uid, unnest(range(1, len(words) + 1)) AS pos, unnest(words) AS word FROM d),
+k AS (SELECT w.uid, w.pos, w.word, max(r.pos) OVER (PARTITION BY w.uid ORDER BY w.pos ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) IS NULL AS kept FROM w LEFT JOIN r ON r.uid = w.uid AND r.pos = w.pos),
+t AS (SELECT uid, count(*) AS n, count(*) FILTER (NOT kept) AS gone, coalesce(string_agg(word, ' ' ORDER BY pos) FILTER (kept), '') AS body FROM k GROUP BY 1)
+SELECT doc_id, coalesce(n, 0) AS n_words, coalesce(gone, 0) AS n_removed, sha256(coalesce(body, '')) AS kept_sha256 FROM d LEFT JOIN t USING (uid)
 """,
 }
