@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import contextlib
 import contextvars
-import tempfile
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
+
+from ..storage import shared_dir
 
 U64 = np.uint64
 
@@ -20,21 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir. Only a local session, as in tests, may leave it unset and
-    gets a new temporary one; on a cluster that folder would be another one on every machine."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        path = current.get() if current.isDefined() else None
-    if not path:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        path = tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
-
-
 _folder: contextvars.ContextVar[str | None] = contextvars.ContextVar("folder", default=None)
 
 
@@ -112,15 +100,22 @@ def labelled_texts(base: DataFrame, learned: DataFrame, sample: int) -> DataFram
     return rows.groupBy("doc_id", "_key").agg(F.min("label").alias("label"), F.first("raw").alias("raw")).select("label", "raw")
 
 
-def without(docs: DataFrame, bad: DataFrame, columns: list[str]) -> DataFrame:
-    """Rows of docs but those whose `columns` and text_key, nulls being equal, occur in bad as `columns` and `_key`."""
-    bad = bad.select(*[F.col(c).alias(f"_{k}") for k, c in enumerate([*columns, "_key"])]).distinct()
-    kinds = dict(bad.dtypes)
-    own = [F.col(c).cast(kinds[f"_{k}"]) for k, c in enumerate(columns)] + [text_key(F.col("text"))]
-    same = own[0].eqNullSafe(F.col("_0"))
-    for k, c in enumerate(own[1:], 1):
-        same = same & c.eqNullSafe(F.col(f"_{k}"))
-    return docs.join(bad, same, "left_anti")
+def with_text_score(docs: DataFrame, name: str, score: Callable[[], Callable[[list[bytes]], np.ndarray]]) -> DataFrame:
+    """docs with a double column of what the function that score() makes in each task gives for the texts; all other columns
+    pass through as they are, so that rows can be filtered where they lie."""
+    text = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = score()
+        for batch in batches:
+            raw = [t or b"" for t in batch.column(text).cast(pa.binary()).to_pylist()]
+            found = [np.zeros(0)]
+            for low, high in groups_of_bytes((len(t) for t in raw), WINDOW):
+                found.append(np.asarray(of(raw[low:high]), float))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(found))], names=[*batch.schema.names, name])
+
+    docs = docs.withColumn("text", F.col("text").cast("string"))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
 
 
 # ---------------------------------------------------------------- words and hashes, vectorised over bytes
@@ -209,16 +204,21 @@ def word_hashes(texts: list[bytes], gaps: np.ndarray = _SEPARATOR, head: int = 0
     return np.concatenate(docs), np.concatenate(words)
 
 
+def groups_of_bytes(sizes: Iterable[int], limit: int = WINDOW) -> Iterator[tuple[int, int]]:
+    """(from, to) ranges of items that hold about `limit` bytes together."""
+    start = held = at = 0
+    for at, size in enumerate(sizes, 1):
+        held += size
+        if held >= limit:
+            yield start, at
+            start, held = at, 0
+    if at > start:
+        yield start, at
+
+
 def batches_of_texts(frame, column: str = "raw", limit: int = WINDOW) -> Iterator[tuple[int, int]]:
     """(from, to) row ranges of a pandas frame whose texts hold about `limit` bytes together."""
-    start, held = 0, 0
-    for k, raw in enumerate(frame[column]):
-        held += len(raw) if raw is not None else 0
-        if held >= limit:
-            yield start, k + 1
-            start, held = k + 1, 0
-    if start < len(frame):
-        yield start, len(frame)
+    return groups_of_bytes((len(raw) if raw is not None else 0 for raw in frame[column]), limit)
 
 
 def crc32_ids(ids: np.ndarray) -> int:

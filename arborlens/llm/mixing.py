@@ -67,26 +67,31 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, cap
     return filled.select("source", "source_size", F.least("full", F.lit(level) * F.col("weight")).alias("target"))
 
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: str = "mix") -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, taken for every row of docs (without its text)."""
-    sizes = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size")))
+def taken_copies(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: str = "mix", order: tuple[str, ...] = ()) -> DataFrame:
+    """sizes (doc_id, source, size and more, a table) with source_size, target and copies. Rows of a source are taken in
+    order of size, doc_id and the columns of `order`."""
     targets = materialize(source_targets(sizes, weights, share, cap))
     rate = F.when(F.col("source_size") > 0, F.round(F.col("target") / F.col("source_size") * UNIT)).otherwise(0).cast("long")
     start = F.pmod(F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.coalesce(F.col("source"), F.lit("")))), 1, 8), 16, 10).cast("long"), F.lit(UNIT))
     rates = targets.select(F.col("source").alias("of"), "source_size", "target", rate.alias("rate"), start.alias("start"))
     # one row per source: sorted and merged unless it is small enough for Spark's own broadcast threshold
     expected = sizes.join(rates, sizes["source"].eqNullSafe(rates["of"])).drop("of")
-    spans = prefix_sums(expected, ["source"], [F.col("size").asc(), F.col("doc_id").asc_nulls_last()], {"sum": F.col("rate")})
+    by = [F.col("size").asc(), F.col("doc_id").asc_nulls_last(), *(F.col(c).asc() for c in order)]
+    spans = prefix_sums(expected, ["source"], by, {"sum": F.col("rate")})
     copies = F.expr(f"(sum + start + rate) div {UNIT} - (sum + start) div {UNIT}")
-    return spans.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies")).withColumn("taken", F.col("copies") * F.col("size"))
+    return spans.select(*sizes.columns, "source_size", "target", copies.alias("copies"))
+
+
+def mix_sources(docs: DataFrame, **options: object) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies, taken for every row of docs (without its text)."""
+    sizes = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size")))
+    return taken_copies(sizes, **options).withColumn("taken", F.col("copies") * F.col("size"))
 
 
 def mixed_rows(docs: DataFrame, **options: object) -> DataFrame:
-    """The mix itself: rows of docs, each as often as it was taken."""
-    chosen = mix_sources(docs, **options).where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "copies")
-    # rows equal in id, source and size are told apart by a number; which of them gets which copies does not matter
-    chosen = chosen.withColumn("_n", F.row_number().over(Window.partitionBy("_id", "_source", "_size").orderBy(F.desc("copies"))))
-    keyed = docs.withColumn("_words", word_count(F.col("text")))
-    keyed = keyed.withColumn("_row", F.row_number().over(Window.partitionBy("doc_id", "source", "_words").orderBy(F.xxhash64("text"))))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_words") == F.col("_size")) & (F.col("_row") == F.col("_n"))
-    return keyed.join(chosen, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    """The mix itself: rows of docs, each as often as it was taken. Rows go by a number of their own, so ids may repeat or
+    be missing."""
+    rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()).withColumn("_size", word_count(F.col("text"))))
+    sizes = rows.select("_row", F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("_size").alias("size"), F.xxhash64("text").alias("hash"))
+    chosen = taken_copies(sizes, order=("hash",), **options).where("copies > 0").select("_row", "copies")
+    return rows.join(chosen, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)

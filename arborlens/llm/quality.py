@@ -22,10 +22,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WINDOW, batches_of_texts, held_out, labelled_texts, materialize, text_bytes, text_key, without, word_hashes
+from .common import WINDOW, batches_of_texts, held_out, join_spread, labelled_texts, materialize, text_bytes, text_key, with_text_score, word_hashes
 
 SAMPLE = 20_000
 _CLASSES = np.zeros((6, 256), np.float32)
@@ -106,16 +106,9 @@ def strength(groups: DataFrame, n: str, good: str, centre) -> float:
     return 1e6 if between <= row["v"] / 1e6 else max(2.0, row["v"] / between - 1)
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """doc_id, source, lang, evidence, host_posterior, path_posterior, score for every row of docs."""
-    return score_rows(docs, labels, sample).drop("_key")
-
-
-def score_rows(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
-    """score_quality with `_key`, the text_key of the row."""
-    labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label")).where("doc_id is not null and label in (0, 1)")
-    labels = labels.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("label").alias("label"))
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), text_key(F.col("text")).alias("_key"), text_bytes(F.col("text")).alias("raw"))
+def fit_evidence(docs: DataFrame, labels: DataFrame, sample: int):
+    """Function that makes, in a task, the function from texts to evidence; learned from the labelled rows of docs."""
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("_key"), text_bytes(F.col("text")).alias("raw"))
     learned = materialize(labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
     # at most `sample` rows, repeated ids or not
     schema = "label int, x array<double>"
@@ -125,33 +118,48 @@ def score_rows(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
         w, mean, dev = fit_logistic(np.stack(rows["x"].to_list()), y)
     else:
         w, mean, dev = np.zeros(FEATURES + 1), np.zeros(FEATURES), np.ones(FEATURES)
-
-    def evidence(part: pd.DataFrame, x: np.ndarray) -> pd.DataFrame:
-        z = np.clip((x - mean) / dev, -8, 8) @ w[:-1] + w[-1]
-        return part.assign(evidence=np.clip(z, -20, 20))
-
-    scored = base.mapInPandas(lambda f: _frames(f, evidence), "doc_id long, source string, lang string, _key string, evidence double")
-    scored = materialize(scored)
-    counted = scored.join(labels, "doc_id", "left").select("source", "lang", F.coalesce(F.col("label").cast("double"), 1 / (1 + F.exp(-F.col("evidence")))).alias("good"))
-    paths = materialize(counted.groupBy("source", "lang").agg(F.count("*").alias("n"), F.sum("good").alias("good")))
+    return lambda: lambda texts: np.clip(np.clip((features(texts) - mean) / dev, -8, 8) @ w[:-1] + w[-1], -20, 20)
+
+
+def site_of(source: Column, lang: Column) -> Column:
+    """One value for each path; nulls are paths of their own."""
+    return F.to_json(F.struct(source.cast("string").alias("h"), lang.cast("string").alias("p")))
+
+
+def score_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """docs with _evidence, _host, _path and _score; rows stay where they are but for those of sites with few rows."""
+    labels = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("quality").cast("int").alias("label")).where("_id is not null and label in (0, 1)")
+    labels = materialize(labels.where(~held_out(F.col("_id"))).groupBy("_id").agg(F.min("label").alias("label")))
+    evidence = fit_evidence(docs, labels.withColumnRenamed("_id", "doc_id"), sample)
+    scored = materialize(with_text_score(docs, "_evidence", evidence).withColumn("_site", site_of(F.col("source"), F.col("lang"))))
+    rows = scored.select(F.col("doc_id").cast("long").alias("_id"), F.col("source").cast("string").alias("source"), "_site", "_evidence")
+    total = rows.count()
+    marked = rows.groupBy("_id").agg(F.count("*").alias("k")).join(labels, "_id")
+    good = F.coalesce(F.col("label").cast("double"), 1 / (1 + F.exp(-F.col("_evidence"))))
+    paths = join_spread(rows, marked, "_id", "k", total, "left").groupBy("_site").agg(F.count("*").alias("n"), F.sum(good).alias("good"), F.first("source").alias("source"))
+    paths = materialize(paths)
     hosts = paths.groupBy("source").agg(F.sum("n").alias("host_n"), F.sum("good").alias("host_good"))
     n, good = hosts.agg(F.sum("host_n"), F.sum("host_good")).first()
     rate = min(1 - 1e-4, max(1e-4, (good or 0.0) / n)) if n else 0.5
     k = strength(hosts, "host_n", "host_good", F.lit(rate))
-    hosts = hosts.select(F.col("source").alias("_host"), ((F.col("host_good") + k * rate) / (F.col("host_n") + k)).alias("host_posterior"))
-    sites = materialize(paths.join(hosts, F.col("source").eqNullSafe(F.col("_host"))).drop("_host"))
-    inner = strength(sites, "n", "good", F.col("host_posterior"))
-    inside = (F.col("good") + inner * F.col("host_posterior")) / (F.col("n") + inner)
-    sites = sites.select(F.col("source").alias("_host"), F.col("lang").alias("_path"), "host_posterior", F.least(F.lit(1 - 1e-6), F.greatest(F.lit(1e-6), inside)).alias("path_posterior"))
+    hosts = hosts.select(F.col("source").alias("_of"), ((F.col("host_good") + k * rate) / (F.col("host_n") + k)).alias("_host"))
+    sites = materialize(paths.join(hosts, F.col("source").eqNullSafe(F.col("_of"))).drop("_of", "source"))
+    inner = strength(sites, "n", "good", F.col("_host"))
+    inside = (F.col("good") + inner * F.col("_host")) / (F.col("n") + inner)
+    sites = materialize(sites.select("_site", F.col("n").alias("_n"), "_host", F.least(F.lit(1 - 1e-6), F.greatest(F.lit(1e-6), inside)).alias("_path")))
     # the model's intercept holds the global rate; the site adds what it has beyond it
-    beyond = logit(F.col("path_posterior")) - float(np.log(rate / (1 - rate)))
-    same = F.col("source").eqNullSafe(F.col("_host")) & F.col("lang").eqNullSafe(F.col("_path"))
-    joined = scored.join(sites, same)
-    return joined.select("doc_id", "source", "lang", "_key", "evidence", "host_posterior", "path_posterior", (1 / (1 + F.exp(-(F.col("evidence") + beyond)))).alias("score"))
+    beyond = logit(F.col("_path")) - float(np.log(rate / (1 - rate)))
+    joined = join_spread(scored, sites, "_site", "_n", total)
+    return joined.withColumn("_score", 1 / (1 + F.exp(-(F.col("_evidence") + beyond)))).select(*docs.columns, "_evidence", "_host", "_path", "_score")
+
+
+def score_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """doc_id, source, lang, evidence, host_posterior, path_posterior, score for every row of docs."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), "text")
+    names = {"_evidence": "evidence", "_host": "host_posterior", "_path": "path_posterior", "_score": "score"}
+    return score_rows(rows, labels, sample).select("doc_id", "source", "lang", *(F.col(c).alias(n) for c, n in names.items()))
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, least: float = 0.5, sample: int = SAMPLE) -> DataFrame:
     """Rows of docs whose score is at least `least`."""
-    # a row's score depends on its text, source and lang alone
-    bad = score_rows(docs, labels, sample).where(F.col("score") < least)
-    return without(docs, bad, ["doc_id", "source", "lang"])
+    return score_rows(docs, labels, sample).where(F.col("_score") >= least).select(*docs.columns)

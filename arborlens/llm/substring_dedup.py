@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _SEPARATOR, U64, WINDOW, _power_tables, discard, join_spread, materialize, mix, text_bytes, word_hashes
+from .common import _SEPARATOR, U64, WINDOW, _power_tables, discard, groups_of_bytes, join_spread, materialize, mix, text_bytes, word_hashes
 
 WIDTH, GRAM = 35, 8
 #: Distinct segments of a mark beyond which its windows are counted; segments in a shard's automaton (besides those of its last mark).
@@ -76,22 +76,11 @@ def segments(texts: list[bytes], width: int = WIDTH, gram: int = GRAM) -> tuple[
     return tuple(np.concatenate(c) for c in zip(*found))
 
 
-def _groups(sizes: Iterable[int], limit: int = WINDOW) -> Iterator[tuple[int, int]]:
-    start = held = at = 0
-    for at, size in enumerate(sizes, 1):
-        held += size
-        if held >= limit:
-            yield start, at
-            start, held = at, 0
-    if at > start:
-        yield start, at
-
-
 def _cut(width: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             uid, raw = batch.column(0).to_numpy(), batch.column(1).to_pylist()
-            for low, high in _groups(len(t) for t in raw):
+            for low, high in groups_of_bytes(len(t) for t in raw):
                 doc, at, n, mark, body = segments(raw[low:high], width, gram)
                 yield pa.RecordBatch.from_arrays([pa.array(uid[low:high][doc]), pa.array(at), pa.array(n.astype(np.int32)), pa.array(mark.view(np.int64)), pa.array(body.view(np.int64))], names=["uid", "at", "n", "mark", "body"])
 
@@ -109,7 +98,7 @@ def _contents(width: int):
             for raw, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words = raw.split()  # bytes split at x20 and x09-x0D exactly
                 rows += [(s["mark"], s["body"], s["k"], s["hot"], b" ".join(words[s["at"] : s["at"] + s["n"] + width - 1])) for s in wanted]
-            for low, high in _groups((len(r[4]) for r in rows), 8 * WINDOW):
+            for low, high in groups_of_bytes((len(r[4]) for r in rows), 8 * WINDOW):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[low:high]), types)], names=names)
 
     return run
@@ -229,7 +218,7 @@ def _windows(width: int):
         for batch in batches:
             mark, body, k = (batch.column(c).to_numpy() for c in ("mark", "body", "k"))
             text = batch.column("words").to_pylist()
-            for low, high in _groups((len(t) for t in text), WINDOW):
+            for low, high in groups_of_bytes((len(t) for t in text), WINDOW):
                 doc, word = word_hashes(text[low:high], fold=False)
                 at = np.flatnonzero(doc[: len(doc) - width + 1] == doc[width - 1 :]) if len(doc) >= width else np.zeros(0, np.int64)
                 own = doc[at]

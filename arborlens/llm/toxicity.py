@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TERM_GAPS, U64, batches_of_texts, held_out, labelled_texts, materialize, mix, text_bytes, text_key, without, word_hashes
+from .common import TERM_GAPS, U64, batches_of_texts, held_out, labelled_texts, materialize, mix, text_bytes, text_key, with_text_score, word_hashes
 
 SAMPLE, TERMS, BITS, RANK, STEM, ROOM = 20_000, 65_536, 22, 8, 5, 16_000_000
 
@@ -147,13 +147,8 @@ def distinct_pairs(doc: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.nd
     return key >> 32, key & 0xFFFFFFFF
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int = TERMS, least: float = 0.3) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row of docs."""
-    return score_rows(docs, labels, sample, terms, least).drop("_key")
-
-
-def score_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int = TERMS, least: float = 0.3, room: int = ROOM) -> DataFrame:
-    """score_toxicity with `_key`, the text_key of the row."""
+def fit_machine(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int = TERMS, room: int = ROOM) -> Machine:
+    """The machine learned from the labelled rows of docs."""
     labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("label")).where("doc_id is not null and label in (0, 1)")
     labels = labels.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("label").alias("label"))
     learned = materialize(labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
@@ -196,22 +191,35 @@ def score_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms:
     else:
         machine = Machine(np.zeros(0, np.int64), np.zeros(0), np.zeros((0, 1)), 30.0 if y.sum() else -30.0)
     del counts
+    return machine
 
-    def scored(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def scorer(machine: Machine):
+    """Function that makes, in a task, the function from texts to scores."""
+
+    def make():
         slots = machine.slots()
-        for frame in frames:
-            for low, high in batches_of_texts(frame):
-                part = frame.iloc[low:high]
-                doc, term = term_ids(list(part["raw"]))
-                slot = slots[term]
-                doc, slot = distinct_pairs(doc[slot >= 0], slot[slot >= 0].astype(np.int64))
-                z = machine.margin(doc, slot, high - low)
-                yield part.drop(columns="raw").assign(score=1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
-    out = base.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "_key", "raw").mapInPandas(scored, "doc_id long, held_out boolean, _key string, score double")
-    return out.withColumn("predicted", (F.col("score") >= least).cast("int"))
+        def score(texts: list[bytes]) -> np.ndarray:
+            doc, term = term_ids(texts)
+            slot = slots[term]
+            doc, slot = distinct_pairs(doc[slot >= 0], slot[slot >= 0].astype(np.int64))
+            return 1 / (1 + np.exp(-np.clip(machine.margin(doc, slot, len(texts)), -30, 30)))
+
+        return score
+
+    return make
+
+
+def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int = TERMS, least: float = 0.3) -> DataFrame:
+    """doc_id, held_out, score, predicted for every row of docs."""
+    machine = fit_machine(docs, labels, sample, terms)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    out = with_text_score(rows, "score", scorer(machine))
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"))
 
 
-def keep_clean(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """Rows of docs that are not predicted toxic."""
-    return without(docs, score_rows(docs, labels, sample).where("predicted = 1"), ["doc_id"])
+def keep_clean(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, least: float = 0.3) -> DataFrame:
+    """Rows of docs that are not predicted toxic, filtered where they are scored."""
+    machine = fit_machine(docs, labels, sample)
+    return with_text_score(docs, "_toxic", scorer(machine)).where(F.col("_toxic") < least).drop("_toxic")

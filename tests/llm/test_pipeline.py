@@ -94,3 +94,19 @@ def test_rows_are_kept_by_their_own_text(spark):
             wrong = [r for r in picked if r[1] == shared and bad(r[0])]
             assert sum((shared, r[2]) in kept for r in good) >= 0.9 * len(good) > 0
             assert sum((shared, r[2]) in kept for r in wrong) <= 0.1 * len(wrong) and wrong
+
+
+def test_near_duplicates_go_by_row(spark):
+    draw = random.Random(12)
+    text = lambda n: " ".join("".join(draw.choices("abcdefgh", k=5)) for _ in range(n))
+    one, two, three, four = text(60), text(60), text(60), text(60)
+    rows = [(3, one), (7, one + " more"), (7, two), (None, two), (None, three), (None, three + " more"), (9, three), (11, four), (11, four), (None, None), (4, ""), (4, ""), (None, "few words")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert kept.columns == docs.columns
+    want = [(3, one), (7, two), (9, three), (11, four), (None, None), (4, ""), (4, ""), (None, "few words")]
+    assert sorted(((r[0], r[1]) for r in kept.collect()), key=str) == sorted(want, key=str)
+    assert corpus_pipeline.near_duplicates(spark, docs.limit(0), "").count() == 0
+    # the mix takes rows of one id, or of none, by themselves
+    mixed = Counter((r["doc_id"], r["text"]) for r in mixed_rows(docs, share=2.0).collect())
+    assert set(mixed) <= {tuple(r) for r in rows} and all(n <= 2 * rows.count(r) for r, n in mixed.items())
