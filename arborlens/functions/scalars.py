@@ -37,7 +37,9 @@ FRAMEWORKS = {
 # Path fragments of server code, and decorator words of authentication.
 SERVER_MARKERS = ["supabase/functions/", "/workers/", "workers/", "/server/", "/backend/", "/api/", "/functions/"]
 AUTH_WORDS = ["auth", "login_required", "permission", "protect", "jwt", "token", "requires_auth", "authenticated", "verify", "guard", "session", "bearer", "oauth", "apikey", "api_key", "credentials"]
-AUTH_DECORATORS = AUTH_WORDS[:9]
+AUTH_DECORATORS = ["auth", "login_required", "permission", "protect", "jwt", "token", "requires_auth", "authenticated", "verify"]
+#: Words of functions that guard all paths of a pattern.
+GUARD_WORDS = ["auth", "login", "permission", "protect", "jwt", "token", "verify", "guard", "session", "bearer", "oauth", "apikey", "api_key", "credentials", "clerk", "passport", "unkey"]
 
 # Standard library modules that are no package.
 STDLIB = "os sys re json typing pathlib datetime collections functools itertools logging asyncio dataclasses enum abc math random string time uuid hashlib base64 io copy contextlib unittest argparse subprocess threading multiprocessing shutil tempfile urllib http socket struct csv inspect warnings traceback importlib operator decimal statistics secrets types textwrap glob pickle __future__".split()
@@ -183,6 +185,13 @@ def access_of(call: Column) -> Column:
     return F.when(has(WRITE_WORDS), "write").when(has(READ_WORDS), "read")
 
 
+def method_access(name: Column) -> Column:
+    """write or read by the words of a method's name (findOne, soft_delete); a write word counts first."""
+    words = F.transform(F.regexp_extract_all(name, F.lit("([A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+)")), F.lower)
+    has = lambda known: F.arrays_overlap(words, F.array(*map(F.lit, known)))
+    return F.when(has(WRITE_WORDS), "write").when(has(READ_WORDS), "read")
+
+
 def next_route(path: Column) -> Column:
     """A page or route file of a file-based router as its path."""
     inner = F.regexp_replace(F.regexp_extract(path, r"(?:^|/)(?:app|pages)/(.*)$", 1), r"(?:^|/)(?:page|route|index)\.[jt]sx?$", "")

@@ -43,6 +43,7 @@ SQL_EXECUTORS = ["execute", "executemany", "$executeRaw", "$executeRawUnsafe", "
 PYTHON_ENV = [r"""os\.environ\[["']([A-Z_][A-Z0-9_]*)["']\]""", r"""os\.environ\.get\(["']([A-Z_][A-Z0-9_]*)["']""", r"""os\.getenv\(["']([A-Z_][A-Z0-9_]*)["']"""]
 WEB_ENV = [r"process\.env\.([A-Z_][A-Z0-9_]*)", r"""process\.env\[["']([A-Z_][A-Z0-9_]*)["']\]""", r"""Deno\.env\.get\(["']([A-Z_][A-Z0-9_]*)["']"""]
 DOC_TYPES = [("readme", "readme"), ("changelog", "changelog|changes|release.?notes"), ("adr", "adr|arch.*decision"), ("architecture", "architect|design|system"), ("contributing", "contribut"), ("api", "api|endpoint|openapi|swagger"), ("guide", "guide|tutorial|howto|getting.?started|onboard")]
+SOURCE_LINK = r"\.(tsx?|jsx?|py|s?css|json|ya?ml|toml|sql)"
 CONFIG_NAMES = {"package.json": "package", "tsconfig.json": "tsconfig", "Dockerfile": "dockerfile", "docker-compose.yml": "compose", "docker-compose.yaml": "compose", "compose.yml": "compose", "compose.yaml": "compose", "requirements.txt": "package", "pyproject.toml": "package"}
 CONFIG_PATHS = [(r"\.github/workflows/[^/]+\.ya?ml$", "ci"), (r"\.env\.(example|template|sample)$", "env_template")]
 

@@ -56,7 +56,13 @@ def inherited_methods(methods: DataFrame, bases: DataFrame, most: int = 10) -> D
 
 
 def resolve_calls(refs: DataFrame, entities: DataFrame, imports: DataFrame, bases: DataFrame | None = None, fields: DataFrame | None = None) -> DataFrame:
-    """CALLS edges (src, dst, type, resolution).
+    """CALLS edges (src, dst, type, resolution) of resolve_refs."""
+    chosen = resolve_refs(refs, entities, imports, bases, fields).where(F.col("src") != F.col("dst"))
+    return keep_best_edges(chosen.select("src", "dst", F.lit("CALLS").alias("type"), "resolution"))
+
+
+def resolve_refs(refs: DataFrame, entities: DataFrame, imports: DataFrame, bases: DataFrame | None = None, fields: DataFrame | None = None) -> DataFrame:
+    """(src, call, dst, resolution) of every call that resolves within the repository, calls of the caller itself included.
 
     refs (src, file_path, class_name, call); entities (id, label, name, qualified_name, file_path, class_name);
     imports (file_path, name, target): what a file's import of a name means; bases as in inherited_methods;
@@ -102,8 +108,7 @@ def resolve_calls(refs: DataFrame, entities: DataFrame, imports: DataFrame, base
         out.append(strategy(two, typed, (two["src"] == typed["t_src"]) & (two["head"] == typed["t_head"]) & (two["tail"] == typed["t_name"]), 5, "typed_receiver"))
     alone = unique_names(callable_).withColumnRenamed("name", "u_name")
     out.append(strategy(refs, alone, refs["tail"] == alone["u_name"], 9, "unique_global"))
-    chosen = first_of(out, ["ref"]).where(F.col("src") != F.col("target"))
-    return keep_best_edges(chosen.select("src", F.col("target").alias("dst"), F.lit("CALLS").alias("type"), "resolution"))
+    return first_of(out, ["ref"]).select("src", "call", F.col("target").alias("dst"), "resolution")
 
 
 def reexport_closure(exports: DataFrame, forwards: DataFrame, most: int = 5) -> DataFrame:
@@ -133,13 +138,27 @@ def source_root_paths(paths: DataFrame) -> DataFrame:
 
 def alias_bases(imports: DataFrame, aliases: DataFrame) -> DataFrame:
     """(file_path, line, place, base): paths that imports of non-relative modules may mean by aliases (pattern, target,
-    place), in which a * stands for any text. Patterns are met by every beginning of the module, without a cross join."""
-    known = aliases.select("place", "target", F.contains("pattern", F.lit("*")).alias("open"), F.split_part("pattern", F.lit("*"), F.lit(1)).alias("head"), F.when(F.contains("pattern", F.lit("*")), F.regexp_replace("pattern", r"^[^*]*\*", "")).otherwise("").alias("tail"))
+    place and, if there is one, the folder of the file that sets it), in which a * stands for any text. Aliases of the
+    folders above the importing file come first, the nearest folder before others. Patterns are met by every beginning of
+    the module, without a cross join."""
+    folder = F.col("folder") if "folder" in aliases.columns else F.lit(None).cast("string")
+    known = aliases.select(folder.alias("_folder"), "place", "target", F.contains("pattern", F.lit("*")).alias("open"), F.split_part("pattern", F.lit("*"), F.lit(1)).alias("head"), F.when(F.contains("pattern", F.lit("*")), F.regexp_replace("pattern", r"^[^*]*\*", "")).otherwise("").alias("tail"))
     heads = F.transform(F.sequence(F.lit(0), F.length("module_path")), lambda n: F.col("module_path").substr(F.lit(1), n))
     met = imports.where(~F.col("module_path").startswith(".")).select("file_path", "line", "module_path", F.explode(heads).alias("head")).join(known, "head")
     fits = F.when(F.col("open"), F.col("module_path").endswith(F.col("tail")) & (F.length("module_path") >= F.length("head") + F.length("tail"))).otherwise(F.col("head") == F.col("module_path"))
     caught = F.col("module_path").substr(F.length("head") + 1, F.length("module_path") - F.length("head") - F.length("tail"))
-    return met.where(fits).select("file_path", "line", "place", F.replace("target", F.lit("*"), caught).alias("base"))
+    above = F.when(F.col("_folder") == "", 0).when(F.col("file_path").startswith(F.concat(F.col("_folder"), F.lit("/"))), F.size(F.split("_folder", "/"))).otherwise(-1)
+    near = F.when(F.col("_folder").isNull(), 0).otherwise(F.lit(255) - F.least(F.lit(254), above)) * 4096
+    return met.where(fits).select("file_path", "line", (near + F.col("place")).alias("place"), F.replace("target", F.lit("*"), caught).alias("base"))
+
+
+def web_roots(paths: DataFrame) -> DataFrame:
+    """(root, order): top folders that hold a tenth of the web files or more, so ten at most, the fullest first."""
+    web = paths.where(F.col("path").rlike(r"\.(tsx?|jsx?|mjs|cjs)$"))
+    counts = web.where(F.contains("path", F.lit("/"))).groupBy(F.split_part("path", F.lit("/"), F.lit(1)).alias("root")).agg(F.count("*").alias("n"))
+    total = web.count()
+    few = counts.where(F.col("n") * 10 >= total).orderBy(F.desc("n"), "root").limit(10)
+    return few.select("root", F.row_number().over(Window.orderBy(F.desc("n"), "root")).alias("order"))
 
 
 ENDINGS = [".py", "/__init__.py", ".ts", ".tsx", ".js", ".jsx", "/index.ts", "/index.tsx", "/index.js"]
@@ -156,11 +175,15 @@ def import_targets(imports: DataFrame, paths: DataFrame, aliases: DataFrame | No
     rest = F.regexp_replace(F.regexp_replace("module_path", r"^\.+", ""), r"\.", "/")
     python_path = F.when(dots > 0, F.concat_ws("/", F.array_join(up, "/"), rest)).otherwise(rest)
     parts = F.split(F.concat_ws("/", folder, "module_path"), "/")
-    web_path = F.when(F.col("module_path").startswith("."), normalise(parts)).otherwise(F.regexp_replace("module_path", r"^(@|~|#)/", ""))
-    rows = imports.select("file_path", "line", F.lit(1 << 20).alias("place"), F.when(python, python_path).otherwise(web_path).alias("base"))
+    # @/x, ~/x and #/x mean the root or a folder that holds a tenth of the web files; so does a short @name/x, other bare modules are packages
+    bare = F.when(F.col("module_path").rlike(r"^[@~#]/|^@[^/-]{1,14}/"), F.regexp_replace("module_path", "^[^/]*/", ""))
+    web_path = F.when(F.col("module_path").startswith("."), normalise(parts)).otherwise(bare)
+    rows = imports.select("file_path", "line", F.lit(1 << 24).alias("place"), F.when(python, python_path).otherwise(web_path).alias("base"))
     if aliases is not None:
         rows = rows.unionByName(alias_bases(imports.where(~python), aliases).withColumn("place", F.col("place").cast("int")))
-    rows = rows.withColumn("base", F.regexp_replace("base", r"^/+|/+$", ""))
+    rooted = imports.where(~python & ~F.col("module_path").startswith(".")).select("file_path", "line", bare.alias("rest")).where("rest is not null").withColumn("_k", F.lit(1))
+    rooted = rooted.join(web_roots(paths).withColumn("_k", F.lit(1)), "_k").select("file_path", "line", ((1 << 24) + F.col("order")).cast("int").alias("place"), F.concat_ws("/", "root", "rest").alias("base"))
+    rows = rows.unionByName(rooted).where("base is not null").withColumn("base", F.regexp_replace("base", r"^/+|/+$", ""))
     stems = F.array("base", F.regexp_replace("base", r"\.(js|jsx|mjs|cjs)$", ""))
     candidates = F.flatten(F.transform(stems, lambda s: F.concat(F.array(s), F.transform(F.array(*map(F.lit, ENDINGS)), lambda e: F.concat(s, e)))))
     tried = rows.select("file_path", "line", "place", F.posexplode(candidates).alias("priority", "candidate"))

@@ -39,13 +39,78 @@ def route_auth(routes: DataFrame, patterns: DataFrame) -> DataFrame:
     return routes.join(met, "id", "left").select(*(c for c in routes.columns if c != "has_auth"), (named | F.coalesce("covered", F.lit(False))).alias("has_auth"))
 
 
-def model_edges(calls: DataFrame, models: DataFrame) -> DataFrame:
-    """USES_MODEL (src, dst, access) from calls (src, call): a call one of whose segments names a model (its name or
-    table, any case) and that has a read or write word; write outranks read."""
-    keys = models.select(F.col("id").alias("dst"), F.explode(F.array_distinct(F.array(F.lower("name"), F.lower("table_name")))).alias("key")).where("key is not null")
-    words = F.regexp_extract_all(F.lower("call"), F.lit(r"(\w+)"))
-    rows = calls.where(F.contains("call", F.lit("."))).select("src", F.explode(words).alias("key"), scalars.access_of(F.col("call")).alias("access")).where("access is not null")
-    return rows.join(keys, "key").groupBy("src", "dst").agg(F.max("access").alias("access"))  # write sorts after read
+def _model_keys(models: DataFrame) -> DataFrame:
+    return models.where("name is not null").groupBy(F.lower("name").alias("key")).agg(F.min("id").alias("model"))
+
+
+def field_models(fields: DataFrame, models: DataFrame) -> DataFrame:
+    """(src, field, model) of annotated fields (src, field, type): the type's words name exactly one model."""
+    words = fields.select("src", "field", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("type"), F.lit("([a-z0-9_]+)")))).alias("key"))
+    met = words.join(_model_keys(models), "key").groupBy("src", "field").agg(F.min("model").alias("model"), F.count_distinct("model").alias("n"))
+    return met.where("n = 1").select("src", "field", "model")
+
+
+def model_edges(calls: DataFrame, models: DataFrame, fields: DataFrame | None = None) -> DataFrame:
+    """USES_MODEL (src, dst, access) from calls (src, call), written as chains (db.user.create), with arguments (db.insert(user)), or as
+    verb.from('table'). A quoted table is the model of that table or nothing. Else the first segment that names a model, those of
+    the chain before those of the arguments, is the model, and the chain's own segments must hold a word that reads or
+    writes. A call of a field whose type names a model (field_models of `fields`) goes to that model by the words of the
+    method's name. Write outranks read."""
+    quoted = r"^(select|insert|update|upsert|delete)\.from\('([^']+)'\)$"
+    tables = models.where("table_name is not null").groupBy(F.lower("table_name").alias("key")).agg(F.min("id").alias("dst"))
+    direct = calls.where(F.col("call").rlike(quoted)).select("src", F.lower(F.regexp_extract("call", quoted, 2)).alias("key"), F.when(F.col("call").startswith("select"), "read").otherwise("write").alias("access")).join(tables, "key").select("src", "dst", "access")
+    chains = calls.where(~F.col("call").rlike(quoted)).select("src", "call").distinct()
+    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit("([a-z0-9_]+)"))
+    head = words(F.split_part("call", F.lit("("), F.lit(1)))
+    has = lambda known: F.arrays_overlap("head", F.array(*map(F.lit, known)))
+    access = F.when(has(scalars.WRITE_WORDS), "write").when(has(scalars.READ_WORDS), "read")
+    verbs = chains.withColumn("head", head).withColumn("access", access).where("access is not null")
+    segments = verbs.select("src", "call", "access", F.posexplode(F.concat("head", words(F.regexp_extract("call", r"\((.*)$", 1)))).alias("at", "key"))
+    first = segments.join(_model_keys(models), "key").groupBy("src", "call", "access").agg(F.min_by("model", "at").alias("dst")).select("src", "dst", "access")
+    found = direct.unionByName(first)
+    if fields is not None:
+        parts = F.split("call", r"\.")
+        by_field = chains.where(F.size(parts) > 1).select("src", F.element_at(parts, -2).alias("field"), scalars.method_access(F.element_at(parts, -1)).alias("access")).where("access is not null")
+        found = found.unionByName(by_field.join(field_models(fields, models).withColumnRenamed("model", "dst"), ["src", "field"]).select("src", "dst", "access"))
+    return found.groupBy("src", "dst").agg(F.max("access").alias("access"))  # write sorts after read
+
+
+def named_targets(refs: DataFrame, entities: DataFrame, imports: DataFrame) -> DataFrame:
+    """(src, name, target) for names (src, file_path, name) that a file mentions and another may define: of the file's own
+    entities (id, name, class_name, file_path), what the file imports by the name, or the only one of the repository."""
+    plain = entities.where("class_name is null").select(F.col("id").alias("target"), "name", "file_path")
+    last = refs.withColumn("full", F.col("name")).withColumn("name", F.element_at(F.split("name", r"\."), -1))
+    key = ["src", "full", "target"]
+    same = last.join(plain, ["file_path", "name"]).select(*key, F.lit(1).alias("priority"))
+    known = last.join(imports.select("file_path", "name", "target"), ["file_path", "name"]).select(*key, F.lit(2).alias("priority"))
+    alone = last.join(unique_names(plain, target="target"), "name").select(*key, F.lit(3).alias("priority"))
+    return first_of([same, known, alone], ["src", "full"]).select("src", F.col("full").alias("name"), "target")
+
+
+# Folders that documents leave out or put before a path.
+DOC_PREFIXES = ["src/", "lib/", "app/", "packages/"]
+
+
+def document_references(refs: DataFrame, entities: DataFrame, paths: DataFrame) -> DataFrame:
+    """(src, reference, dst) for references (src, reference, kind) of documents. Every name and path is a key of an index, as it is and
+    in small letters; keys that several things share resolve to none. A file reference is tried as it is, without its
+    extension, with and without the usual first folders, and in small letters; an entity as a name, by its last segment, as a qualified name, and
+    in small letters; the first that is known counts."""
+    stem = lambda c: F.regexp_replace(c, r"\.[^./]*$", "")
+    name = entities.select(F.explode(F.array_distinct(F.array("name", "qualified_name", F.element_at(F.split("qualified_name", "::"), -1)))).alias("key"), F.col("id").alias("dst"))
+    file = paths.select(F.explode(F.array_distinct(F.array("path", stem(F.col("path")), F.element_at(F.split("path", "/"), -1)))).alias("key"), F.concat(F.lit("file::"), "path").alias("dst"))
+    index = name.unionByName(file).where("key is not null").distinct()
+    lower = index.select(F.concat(F.lit("\u0001"), F.lower("key")).alias("key"), "dst").distinct()
+    index = index.unionByName(lower).groupBy("key").agg(F.min("dst").alias("dst"), F.count("*").alias("n")).where("n = 1").drop("n")
+    small = lambda c: F.concat(F.lit("\u0001"), F.lower(c))
+    clean = F.split_part(F.regexp_replace(F.regexp_replace("reference", r"^[./]+", ""), r"\\", "/"), F.lit("#"), F.lit(1))
+    turned = [x for p in DOC_PREFIXES for bare in (F.expr(f"substring(clean, {len(p) + 1})"),) for x in (F.when(F.col("clean").startswith(p), F.array(bare, stem(bare))).otherwise(F.array(F.concat(F.lit(p), F.col("clean")))),)]
+    as_file = F.concat(F.array("clean", stem(F.col("clean"))), *turned, F.array(small(F.col("clean"))))
+    segment = F.element_at(F.split("reference", r"\."), -1)
+    as_name = F.array(F.col("reference"), segment, small(F.col("reference")), small(segment))
+    tried = refs.withColumn("clean", clean).select("src", "reference", F.posexplode(F.when(F.col("kind") == "file", as_file).otherwise(as_name)).alias("priority", "key"))
+    met = tried.join(index, "key")
+    return met.groupBy("src", "reference").agg(F.min_by("dst", "priority").alias("dst"))
 
 
 def stored_function_edges(bodies: DataFrame, functions: DataFrame, models: DataFrame) -> DataFrame:

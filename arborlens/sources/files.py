@@ -11,11 +11,18 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scanners
+from ..functions.lexical import with_code
+from ..operators import blocks as nest
+from ..operators.cascade import normalise
+from ..storage import materialize
+from .ignore import Rules, read_rules
 
 # Directories never scanned, and the largest file.
 EXCLUDED = "node_modules .git __pycache__ .pycache dist build .venv venv .env env .tox .mypy_cache .pytest_cache .ruff_cache egg-info .eggs".split()
 MAX_BYTES = 512_000
 LANGUAGES = {"py": "python", "pyi": "python", "ts": "typescript", "tsx": "typescript", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript", "vue": "vue", "svelte": "svelte", "astro": "astro", "md": "markdown", "mdx": "markdown", "css": "css", "sql": "sql", "prisma": "prisma"}
+#: Files that set aliases of import paths: JSON with comments, no source files of their own.
+ALIAS_FILE = r"(^|/)(jsconfig|tsconfig[^/]*)\.json$"
 TEST_FILE = r"(^|/)(test_[^/]*\.py|[^/]*_test\.py|conftest\.py|[^/]*\.(test|spec)\.[jt]sx?)$|(^|/)(tests|__tests__)/"
 
 
@@ -31,33 +38,15 @@ def decode(content: Column) -> Column:
     return F.regexp_replace(text, "\r\n?", "\n")
 
 
-def ignore_regex(rule: str) -> str:
-    """One ignore rule as a regular expression over relative paths."""
-    anchored, rule = "/" in rule.rstrip("/"), rule.strip()
-    folder, rule = rule.endswith("/"), rule.strip("/")
-    out = ""
-    k = 0
-    while k < len(rule):
-        if rule.startswith("**/", k):
-            out, k = out + "(?:.*/)?", k + 3
-        elif rule.startswith("**", k):
-            out, k = out + ".*", k + 2
-        else:
-            c = rule[k]
-            out += "[^/]*" if c == "*" else "[^/]" if c == "?" else "\\" + c if c in ".+()[]{}^$|\\" else c
-            k += 1
-    return ("^" if anchored else "(?:^|/)") + out + ("/" if folder else "(?:/|$)")
-
-
-def _walk(frames: Iterator[pd.DataFrame], root: str, excluded: list[str], most: int) -> Iterator[pd.DataFrame]:
-    """(path, length) of the files below each given folder, which are never entered if excluded."""
+def _walk(frames: Iterator[pd.DataFrame], root: str, excluded: list[str], most: int, rules: Rules) -> Iterator[pd.DataFrame]:
+    """(path, length) of the files below each given folder; excluded and ignored folders are never entered."""
     store, base = fs.FileSystem.from_uri(root)
     for frame in frames:
         todo, rows = list(frame["path"]), []
         while todo:
             for info in store.get_file_info(fs.FileSelector(f"{base}/{todo.pop()}".rstrip("/"))):
                 path = info.path[len(base) :].lstrip("/")
-                if info.type == fs.FileType.Directory and info.base_name not in excluded:
+                if info.type == fs.FileType.Directory and info.base_name not in excluded and not rules.drops(path + "/"):
                     todo.append(path)
                 elif info.type == fs.FileType.File and info.size <= most:
                     rows.append((path, info.size))
@@ -72,30 +61,30 @@ def _load(frames: Iterator[pd.DataFrame], root: str) -> Iterator[pd.DataFrame]:
             yield part.assign(content=[store.open_input_stream(f"{base}/{p}").readall() for p in part["path"]])
 
 
-def list_files(spark: SparkSession, root: str, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """(path, length), listed by the executors: one task per part of the top folders. Spark's own file sources leave out
+def list_files(spark: SparkSession, root: str, max_bytes: int = MAX_BYTES, rules: Rules | None = None) -> DataFrame:
+    """(path, length) of files that no rule ignores, listed by the executors: one task per part of the top folders. Spark's own file sources leave out
     names that begin with _ or ., which a repository needs."""
     store, base = fs.FileSystem.from_uri(root)
     top = store.get_file_info(fs.FileSelector(base))
     own = [(i.base_name, i.size) for i in top if i.type == fs.FileType.File and i.size <= max_bytes]
-    folders = [(i.base_name,) for i in top if i.type == fs.FileType.Directory and i.base_name not in EXCLUDED]
+    rules = rules or Rules([])
+    folders = [(i.base_name,) for i in top if i.type == fs.FileType.Directory and i.base_name not in EXCLUDED and not rules.drops(i.base_name + "/")]
     rows = spark.createDataFrame(own, "path string, length long")
-    if not folders:
-        return rows
-    below = spark.createDataFrame(folders, "path string").repartition(min(len(folders), 1024))
-    return rows.unionByName(below.mapInPandas(lambda frames: _walk(frames, root, EXCLUDED, max_bytes), "path string, length long"))
+    if folders:
+        below = spark.createDataFrame(folders, "path string").repartition(min(len(folders), 1024))
+        rows = rows.unionByName(below.mapInPandas(lambda frames: _walk(frames, root, EXCLUDED, max_bytes, rules), "path string, length long"))
+    return rows.where(~rules.ignored(F.col("path")))
 
 
 def scan(spark: SparkSession, root: str, ignore: list[str] | None = None, extensions: list[str] | None = None, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """(path, language, config_type, text) of the text files under root (a path or URI) whose extension or name is known."""
+    """(path, language, config_type, text) of the text files under root (a path or URI) whose extension or name is known. The
+    rules of the root's .gitignore hold, then those of `ignore`; the last that fits a path decides."""
     root = root.rstrip("/") if "://" in root else "file://" + os.path.abspath(root)
-    rows = list_files(spark, root, max_bytes)
+    rows = list_files(spark, root, max_bytes, read_rules(root, ignore))
     rows = rows.where(~F.arrays_overlap(F.split(F.regexp_replace("path", "/?[^/]*$", ""), "/"), F.array(*map(F.lit, EXCLUDED))))
-    for rule in ignore or []:
-        if rule.strip() and not rule.startswith("#"):
-            rows = rows.where(~F.col("path").rlike(ignore_regex(rule)))
     known = {k: v for k, v in LANGUAGES.items() if extensions is None or k in extensions}
     language = F.element_at(F.create_map(*(F.lit(x) for p in known.items() for x in p)), F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)))
+    language = F.coalesce(language, F.when(F.col("path").rlike(ALIAS_FILE), "jsonc"))
     config = scanners.config_type(F.col("path"))
     # names decide before contents are read
     head = F.substring("content", 1, 8192)
@@ -107,6 +96,7 @@ def scan(spark: SparkSession, root: str, ignore: list[str] | None = None, extens
 
 
 def file_nodes(files: DataFrame) -> DataFrame:
+    files = files.where(F.coalesce(F.col("language"), F.lit("")) != "jsonc").unionByName(files.where("language = 'jsonc' and config_type is not null").withColumn("language", F.lit(None).cast("string")))
     todo = F.size(F.filter(F.split("text", "\n"), lambda l: l.rlike(r"(#|//|/\*|\*)\s*(TODO|FIXME|HACK|XXX)\b")))
     return files.select(
         F.concat(F.lit("file::"), F.col("path")).alias("id"), F.lit("File").alias("label"), F.element_at(F.split("path", "/"), -1).alias("name"), "path", F.col("path").alias("file_path"), "language", "config_type",
@@ -114,36 +104,48 @@ def file_nodes(files: DataFrame) -> DataFrame:
     )
 
 
+def coded(files: DataFrame) -> DataFrame:
+    """files with the columns `code` and `bare` of functions/lexical.py."""
+    return files if {"code", "bare"} <= set(files.columns) else with_code(files)
+
+
 def markdown_sections(files: DataFrame) -> DataFrame:
     """(path, heading, level, start_line, end_line): headings outside fences; a section ends before the next heading."""
-    rows = scanners.lines(files.where("language = 'markdown'"), "path", "text")
-    inside = F.sum(F.when(F.col("body").rlike(r"^\s*(```|~~~)"), 1).otherwise(0)).over(Window.partitionBy("path").orderBy("line"))
+    rows = scanners.lines(coded(files.where("language = 'markdown'")), "path", "bare")
     last = F.max("line").over(Window.partitionBy("path"))
-    heads = rows.withColumn("fence", inside).withColumn("last", last).where((F.col("fence") % 2 == 0) & F.col("body").rlike(r"^#{1,6}\s+\S"))
+    heads = rows.withColumn("last", last).where(F.col("body").rlike(r"^#{1,6}\s+\S"))
     after = F.lead("line").over(Window.partitionBy("path").orderBy("line"))
     return heads.select("path", F.trim(F.regexp_replace("body", r"^#{1,6}\s+|\s+#*$", "")).alias("heading"), F.length(F.regexp_extract("body", "^(#+)", 1)).alias("level"), F.col("line").alias("start_line"), F.coalesce(after - 1, "last").alias("end_line"))
 
 
 def section_references(files: DataFrame) -> DataFrame:
-    """(path, start_line, reference, kind): inline code names of each section, once."""
-    rows = scanners.lines(files.where("language = 'markdown'"), "path", "text")
-    start = markdown_sections(files).select("path", F.col("start_line").alias("line"), F.lit(1).alias("head"))
-    marked = rows.join(start, ["path", "line"], "left")
+    """(path, start_line, reference, kind): names of each section outside fences, once: inline code, links to source files and
+    bare paths with an extension of source files. What stands before the first heading belongs to line 1."""
+    rows = coded(files.where("language = 'markdown'"))
+    start = markdown_sections(rows).select("path", F.col("start_line").alias("line"), F.lit(1).alias("head"))
+    marked = scanners.lines(rows, "path", "bare").join(start, ["path", "line"], "left")
     section = F.last(F.when(F.col("head") == 1, F.col("line")), ignorenulls=True).over(Window.partitionBy("path").orderBy("line"))
-    refs = marked.withColumn("start_line", section).select("path", "start_line", F.explode(F.regexp_extract_all("body", F.lit("`([^`]+)`"))).alias("reference"))
-    refs = refs.withColumn("reference", F.regexp_replace("reference", r"\(\)$", ""))
-    return refs.withColumn("kind", scanners.reference_kind(F.col("reference"))).where("kind is not null").distinct()
+    marked = marked.withColumn("start_line", F.coalesce(section, F.lit(1)))
+    inline = marked.select("path", "start_line", F.explode(F.regexp_extract_all("body", F.lit("`([^`]+)`"))).alias("reference"))
+    inline = inline.withColumn("reference", F.regexp_replace("reference", r"\(\)$", "")).withColumn("kind", scanners.reference_kind(F.col("reference"))).where("kind is not null")
+    linked = marked.select("path", "start_line", F.explode(F.regexp_extract_all("body", F.lit(r"\[[^\]]*\]\(([^)\s]+)\)"))).alias("reference"))
+    linked = linked.where(~F.col("reference").rlike("^(https?://|mailto:|#)") & F.col("reference").rlike(scanners.SOURCE_LINK)).withColumn("reference", F.regexp_replace("reference", r"^(\./)+|[#?].*$", "")).withColumn("kind", F.lit("file"))
+    return inline.unionByName(linked).distinct()
 
 
 def css_tokens(files: DataFrame) -> DataFrame:
-    """Custom properties with value, category and references; of equal names the shallowest, then first, path stays."""
-    bare = F.regexp_replace("text", r"(?s)/\*.*?\*/", "")
-    decl = F.explode(F.regexp_extract_all(bare, F.lit(r"(--[A-Za-z0-9_-]+\s*:\s*[^;{}]+);"))).alias("decl")
-    rows = files.where("language = 'css'").select("path", decl).select("path", F.trim(F.split_part("decl", F.lit(":"), F.lit(1))).alias("raw_name"), F.trim(F.regexp_replace("decl", r"^--[A-Za-z0-9_-]+\s*:", "")).alias("value"))
-    name = F.regexp_replace("raw_name", "^--", "")
-    rows = rows.select("path", "raw_name", name.alias("name"), "value", scanners.token_category(name, F.col("value")).alias("category"), F.regexp_extract_all("value", F.lit(r"var\(\s*(--[A-Za-z0-9_-]+)")).alias("references"))
-    place = F.row_number().over(Window.partitionBy("name").orderBy(F.size(F.split("path", "/")), "path"))
-    return rows.withColumn("_k", place).where("_k = 1").drop("_k")
+    """Custom properties with value, category and references; of equal names the shallowest, then first, path stays. A
+    declaration inside of a comment or a string is none; `;` and braces inside of strings do not end one."""
+    rows = coded(files.where("language = 'css'"))
+    found = nest.heads(rows, r"(?<![\w-])--[A-Za-z0-9_-]+\s*:", keep=("code", "bare"))
+    end = F.regexp_extract(F.expr("substring(code, stop + 1)"), r"^([^;{}]*)", 1)
+    ends = F.expr("substring(code, stop + 1)").rlike(r"^[^;{}]*[;}]")
+    value = F.trim(F.regexp_replace(nest.between("bare", F.col("stop"), F.col("stop") + F.length(end)), r"\s+", " "))
+    name = F.regexp_replace(F.regexp_replace("head", r"\s*:$", ""), "^--", "")
+    rows = found.where(ends).select("path", F.concat(F.lit("--"), name).alias("raw_name"), name.alias("name"), value.alias("value"), "start").where("value <> ''")
+    rows = rows.withColumn("category", scanners.token_category(F.col("name"), F.col("value"))).withColumn("references", F.regexp_extract_all("value", F.lit(r"var\(\s*(--[A-Za-z0-9_-]+)")))
+    order = F.row_number().over(Window.partitionBy("name").orderBy(F.size(F.split("path", "/")), "path", "start"))
+    return rows.withColumn("_k", order).where("_k = 1").select("path", "raw_name", "name", "value", "category", "references")
 
 
 def flag_registry(files: DataFrame, symbol: str = "featureFlags") -> DataFrame:
@@ -164,41 +166,177 @@ def flag_migrations(files: DataFrame, table: str = "feature_flags") -> tuple[Dat
     return inserted, gone
 
 
+# Scalar types of schema files; column functions of table definitions with their type and database type.
+PRISMA_TYPES = {"String": "string", "Int": "number", "Float": "number", "Decimal": "number", "BigInt": "number", "Boolean": "boolean", "DateTime": "Date", "Json": "object", "Bytes": "bytes"}
+DRIZZLE_TYPES = {
+    "uuid": "string", "varchar": "string", "text": "string", "char": "string", "integer": "number", "serial": "number", "bigint": "number", "smallint": "number", "boolean": "boolean",
+    "timestamp": "Date", "date": "Date", "time": "string", "json": "object", "jsonb": "object", "real": "number", "doublePrecision": "number", "numeric": "number", "decimal": "number",
+}
+
+
+def _names(text: Column, pattern: str) -> Column:
+    """Trimmed names of the comma lists that the pattern's group holds."""
+    lists = F.regexp_extract_all(text, F.lit(pattern))
+    return F.transform(F.flatten(F.transform(lists, lambda l: F.split(l, ","))), lambda n: F.trim(n))
+
+
+def _typed(kinds: dict[str, str], name: Column) -> Column:
+    return F.element_at(F.create_map(*(F.lit(x) for p in kinds.items() for x in p)), name)
+
+
 def prisma_models(files: DataFrame) -> DataFrame:
-    """(path, model, table_name, field, field_type, is_list, is_optional, is_primary, is_unique, has_default, relation)."""
-    block = F.explode(F.regexp_extract_all("text", F.lit(r"(?s)\b(model\s+\w+\s*\{.*?\n\})"))).alias("block")
-    rows = files.where("language = 'prisma'").select("path", block).select("path", F.regexp_extract("block", r"^model\s+(\w+)", 1).alias("model"), F.regexp_extract("block", r"@@map\(\"([^\"]+)\"\)", 1).alias("mapped"), F.explode(F.split("block", "\n")).alias("line"))
-    field = rows.where(F.col("line").rlike(r"^\s+\w+\s+\w+(\[\]|\?)?(\s|$)"))
-    at = lambda n: F.regexp_extract("line", r"^\s+(\w+)\s+(\w+)(\[\]|\?)?", n)
-    has = lambda w: F.contains("line", F.lit(w))
-    table = F.when(F.col("mapped") != "", F.col("mapped")).otherwise(F.concat(F.lower("model"), F.lit("s")))
-    return field.select("path", "model", table.alias("table_name"), at(1).alias("field"), at(2).alias("field_type"), (at(3) == "[]").alias("is_list"), (at(3) == "?").alias("is_optional"), has("@id").alias("is_primary"), has("@unique").alias("is_unique"), has("@default").alias("has_default"), F.regexp_extract("line", r"fields:\s*\[(\w+)", 1).alias("relation"))
+    """(path, model, table_name, line, is_enum, field, field_type, is_list, is_optional, is_primary, is_unique, is_indexed, has_default, default_value,
+    db_type, relation, references): a row per field, and per member of an enumeration. Fields may run over lines inside of brackets; comments do
+    not count; ignored models and fields are left out."""
+    rows = coded(files.where("language = 'prisma'"))
+    found = nest.heads(rows, r"(?m)^(?:model|enum)[ \t]+\w+\s*\{", keep=("code",)).withColumn("line", nest.line_of("code", F.col("start"))).withColumn("open", F.col("stop") - 1).drop("code")
+    found = nest.bodies(found, rows).withColumn("model", F.regexp_extract("head", r"^\w+\s+(\w+)", 1)).withColumn("is_enum", F.col("head").startswith("enum"))
+    found = found.where(F.col("is_enum") | ~F.col("body_code").rlike(r"@@ignore\b"))
+    mapped = F.regexp_extract("body_bare", r"@@map\(\s*(?:name:\s*)?\"([^\"]+)\"", 1)
+    of_all = found.select(
+        "path", "open", "model", "line", "is_enum", F.when(mapped != "", mapped).otherwise(F.concat(F.lower("model"), F.lit("s"))).alias("table_name"), _names(F.col("body_code"), r"@@id\(\s*\[([^\]]+)\]").alias("ids"),
+        _names(F.col("body_code"), r"@@unique\(\s*\[([^\]]+)\]").alias("uniques"), _names(F.col("body_code"), r"@@index\(\s*\[([^\]]+)\]").alias("indexes"),
+    )
+    parts = nest.segments(found, ["path", "open"], "\n").withColumn("s", F.trim(F.regexp_replace("segment", r"\s+", " "))).where(~F.col("s").startswith("@@") & ~F.col("s").rlike(r"@ignore\b"))
+    parts = parts.join(of_all, ["path", "open"])
+    shape = r"^(\w+) (\w+)(\[\])?(\?)?( |$)"
+    at = lambda n: F.regexp_extract("s", shape, n)
+    field = parts.where(~F.col("is_enum") & F.col("s").rlike(shape))
+    has = lambda w: F.col("s").rlike(rf"@{w}\b")
+    listed = lambda of: F.array_contains(of, at(1))
+    some = lambda c: F.when(c != "", c)
+    out = field.select(
+        "path", "model", "table_name", "line", "is_enum", at(1).alias("field"), at(2).alias("field_type"), (at(3) == "[]").alias("is_list"), (at(4) == "?").alias("is_optional"), (has("id") | listed("ids")).alias("is_primary"),
+        (has("unique") | listed("uniques")).alias("is_unique"), listed("indexes").alias("is_indexed"), has("default").alias("has_default"), some(F.regexp_extract("s", r"@default\(([^()]*(?:\([^()]*\))?[^()]*)\)", 1)).alias("default_value"),
+        some(F.lower(F.regexp_extract("s", r"@db\.(\w+(?:\([^)]*\))?)", 1))).alias("db_type"), F.regexp_extract("s", r"fields:\s*\[\s*(\w+)", 1).alias("relation"), F.regexp_extract("s", r"references:\s*\[\s*(\w+)", 1).alias("references"), "at",
+    )
+    member = parts.where(F.col("is_enum") & F.col("s").rlike(r"^[A-Za-z_]\w*( |$)"))
+    no, none = F.lit(False), F.lit(None).cast("string")
+    members = member.select("path", "model", "table_name", "line", "is_enum", F.regexp_extract("s", r"^(\w+)", 1).alias("field"), F.lit("enum_member").alias("field_type"), *(no.alias(c) for c in ("is_list", "is_optional", "is_primary", "is_unique", "is_indexed", "has_default")), none.alias("default_value"), none.alias("db_type"), F.lit("").alias("relation"), F.lit("").alias("references"), "at")
+    return out.unionByName(members).drop("at")
 
 
 def drizzle_tables(files: DataFrame) -> DataFrame:
-    """(path, model, table_name, field, db_name, field_type, is_primary, not_null, is_unique, has_default, references)."""
-    block = F.explode(F.regexp_extract_all("text", F.lit(r"(?s)((?:const|export const)\s+\w+\s*=\s*\w*[tT]able\(\s*[\"'][^\"']+[\"'].*?\n\}[^\n]*\);?)"))).alias("block")
-    rows = files.where(F.contains("text", F.lit("Table("))).select("path", block)
-    rows = rows.select("path", F.regexp_extract("block", r"const\s+(\w+)", 1).alias("model"), F.regexp_extract("block", r"[tT]able\(\s*[\"']([^\"']+)", 1).alias("table_name"), F.explode(F.split("block", "\n")).alias("line"))
-    col = rows.where(F.col("line").rlike(r"^\s+\w+\s*:\s*\w+\("))
-    has = lambda w: F.contains("line", F.lit(w))
-    name = F.regexp_extract("line", r"^\s+(\w+)\s*:", 1)
-    db = F.regexp_extract("line", r":\s*\w+\(\s*[\"']([^\"']+)", 1)
-    return col.select("path", "model", "table_name", name.alias("field"), F.when(db != "", db).otherwise(name).alias("db_name"), F.regexp_extract("line", r":\s*(\w+)\(", 1).alias("field_type"), has(".primaryKey(").alias("is_primary"), has(".notNull(").alias("not_null"), has(".unique(").alias("is_unique"), F.col("line").rlike(r"\.default\w*\(").alias("has_default"), F.regexp_extract("line", r"references\(\s*\(\)\s*=>\s*([\w.]+)", 1).alias("references"))
+    """(path, model, variable, line, field, db_name, field_type, db_type, is_primary, not_null, is_unique, is_indexed, has_default, default_value,
+    references, references_field): a row per column of table definitions; a column may run over lines, and hold objects and calls.
+    The model is the table's name; `references` is the referenced table's, found by its variable in the same file."""
+    rows = coded(files.where(F.contains("text", F.lit("Table(")) & F.col("language").isin("typescript", "javascript")))
+    found = nest.heads(rows, r"\b(?:const|let)\s+\w+\s*=\s*(?:pg|mysql|sqlite)Table\(\s*['\"]\w+['\"]", text="bare", keep=("code",))
+    found = found.withColumn("line", nest.line_of("code", F.col("start"))).withColumn("open", nest.place("code", "{", F.col("stop"))).drop("code").where("open is not null")
+    found = nest.bodies(found, rows).withColumn("variable", F.regexp_extract("head", r"^\w+\s+(\w+)", 1)).withColumn("model", F.regexp_extract("head", r"['\"](\w+)['\"]$", 1))
+    # the block behind the columns, if there is one, holds the indexes
+    after = F.expr("substring(code, close + 2)")
+    tail = found.select("path", "open", "close").join(rows.select("path", "code"), "path").where(after.rlike(r"^\s*,")).withColumn("open2", nest.place("code", "{", F.col("close") + 1)).drop("code").where("open2 is not null")
+    tail = nest.bodies(tail.drop("close"), rows, "open2").select("path", "open", F.regexp_extract_all("body_code", F.lit(r"\.on\(\s*\w+\.(\w+)")).alias("indexes"))
+    parts = nest.segments(found, ["path", "open"]).withColumn("s", F.trim("segment")).where(F.col("s").rlike(r"\w+\s*:\s*\w+\("))
+    parts = parts.join(found.select("path", "open", "variable", "model", "line"), ["path", "open"]).join(tail, ["path", "open"], "left")
+    shape = r"(\w+)\s*:\s*(\w+)\("
+    name, call = F.regexp_extract("s", shape, 1), F.regexp_extract("s", shape, 2)
+    has = lambda w: F.col("s").rlike(rf"\.{w}\(")
+    some = lambda c: F.when(c != "", c)
+    db = some(F.regexp_extract("s", r":\s*\w+\(\s*['\"](\w+)['\"]", 1))
+    default = F.when(has("defaultRandom"), "random()").when(has("defaultNow"), "now()").otherwise(some(F.trim(F.regexp_extract("s", r"\.default\(([^()]*(?:\([^()]*\))?[^()]*)\)", 1))))
+    refers = r"\.references\(\s*\(\)(?:\s*:\s*\w+)?\s*=>\s*(\w+)\.(\w+)"
+    columns = parts.select(
+        "path", "model", "variable", "line", name.alias("field"), F.coalesce(db, name).alias("db_name"), F.coalesce(_typed(DRIZZLE_TYPES, call), F.lit("unknown")).alias("field_type"), F.when(call == "doublePrecision", "double precision").otherwise(call).alias("db_type"),
+        has("primaryKey").alias("is_primary"), has("notNull").alias("not_null"), has("unique").alias("is_unique"), F.coalesce(F.array_contains("indexes", name), F.lit(False)).alias("is_indexed"), F.col("s").rlike(r"\.default\w*\(").alias("has_default"),
+        default.alias("default_value"), F.regexp_extract("s", refers, 1).alias("of"), F.regexp_extract("s", refers, 2).alias("references_field"),
+    )
+    tables = found.select("path", F.col("variable").alias("of"), F.col("model").alias("target")).groupBy("path", "of").agg(F.max("target").alias("target"))
+    return columns.join(tables, ["path", "of"], "left").withColumn("references", F.coalesce("target", "of")).drop("of", "target")
+
+
+# Words that stand where a table's name could.
+SQL_WORDS = "select where set values on as only lateral unnest if then else end loop return into using from join table exists not null when and or limit order group having union all with new old excluded".split()
 
 
 def sql_functions(files: DataFrame) -> DataFrame:
-    """(path, name, table, access): tables that stored functions of the public schema touch; write beats read."""
-    masked = F.regexp_replace(F.regexp_replace("text", r"--[^\n]*", ""), r"(?s)/\*.*?\*/", "")
-    block = F.explode(F.regexp_extract_all(masked, F.lit(r"(?is)(create\s+(?:or\s+replace\s+)?function\s+[\w.\"]+\s*\(.*?\$(\w*)\$.*?\$\2\$)"), F.lit(1))).alias("block")
-    rows = files.where("language = 'sql'").select("path", block)
-    full = F.regexp_replace(F.regexp_extract("block", r"(?i)function\s+([\w.\"]+)", 1), '"', "")
-    rows = rows.withColumn("full", full).where(~F.contains("full", F.lit(".")) | F.col("full").startswith("public.")).withColumn("name", F.element_at(F.split("full", r"\."), -1))
-    ctes = F.regexp_extract_all(F.lower("block"), F.lit(r"(?:with|,)\s*(\w+)\s+as\s*\("))
-    pick = lambda pattern, access: rows.select("path", "name", ctes.alias("ctes"), F.explode(F.regexp_extract_all(F.lower("block"), F.lit(pattern))).alias("table")).where(~F.array_contains("ctes", F.col("table"))).select("path", "name", "table", F.lit(access).alias("access"))
-    writes = pick(r"\b(?:insert\s+into|update|delete\s+from)\s+(?:public\.)?(\w+)", "write")
-    reads = pick(r"\b(?:from|join)\s+(?:public\.)?(\w+)", "read")
-    return writes.unionByName(reads).groupBy("path", "name", "table").agg(F.max("access").alias("access"))
+    """(path, name, line, table, access): tables that stored functions of the public schema touch; write beats read. A function is a definition
+    outside of comments and strings, its body the first dollar-quoted text before the next definition. Comments and
+    strings of the body do not count; tables of other schemas, common table expressions, parameters, declared and loop variables are none."""
+    rows = coded(files.where("language = 'sql'"))
+    found = nest.heads(rows, r"(?i)\bcreate\s+(?:or\s+replace\s+)?function\s+[\w.\"]+\s*\(", keep=("text",))
+    after = F.lead("start").over(Window.partitionBy("path").orderBy("start"))
+    full = F.regexp_replace(F.regexp_extract("head", r"(?i)function\s+([\w.\"]+)", 1), '"', "")
+    found = found.withColumn("until", F.coalesce(after, F.length("text"))).withColumn("full", full).withColumn("line", nest.line_of("text", F.col("start")))
+    body = F.regexp_extract(nest.between("text", F.col("stop"), F.col("until")), r"(?s)\$(\w*)\$(.*?)\$\1\$", 2)
+    found = found.where(~F.contains("full", F.lit(".")) | F.lower("full").startswith("public.")).select("path", "start", "line", (F.col("stop") - 1).alias("open"), F.element_at(F.split("full", r"\."), -1).alias("name"), body.alias("text"))
+    signature = nest.segments(nest.bodies(found.select("path", "open"), rows, kinds="()"), ["path", "open"])
+    parameter = F.lower(F.regexp_extract(F.trim("segment"), r"^(?i:(?:in|out|inout|variadic)\s+)?\"?(\w+)", 1))
+    parameters = signature.groupBy("path", "open").agg(F.collect_set(parameter).alias("parameters"))
+    inner = with_code(found.withColumn("language", F.lit("sql"))).withColumn("c", F.lower("code")).join(parameters, ["path", "open"], "left")
+    declared = F.flatten(F.transform(F.regexp_extract_all("c", F.lit(r"(?s)\bdeclare\b(.*?)\bbegin\b")), lambda d: F.transform(F.split(d, ";"), lambda v: F.regexp_extract(v, r"^\s*\"?(\w+)", 1))))
+    loops, ctes = F.regexp_extract_all("c", F.lit(r"\b(?:for|foreach)\s+(\w+)\s+in\b")), F.regexp_extract_all("c", F.lit(r"(?:\bwith\s+(?:recursive\s+)?|,\s*)\"?(\w+)\"?\s*(?:\([^()]*\)\s*)?as\s+(?:not\s+)?(?:materialized\s+)?\("))
+    local = F.array_union(F.array_union(F.coalesce("parameters", F.array().cast("array<string>")), declared), F.array_union(loops, ctes))
+    inner = inner.select("path", "start", "line", "name", "c", F.array_union(local, F.array(*map(F.lit, SQL_WORDS))).alias("local"))
+    table = r"(?:only\s+)?((?:\"?\w+\"?\s*\.\s*)?\"?\w+\"?)(?!\s*\(|\w|\s*\.)"
+
+    def touched(pattern: str, access: str) -> DataFrame:
+        refs = inner.select("path", "start", "line", "name", "local", F.explode(F.regexp_extract_all("c", F.lit(pattern))).alias("table"))
+        refs = refs.withColumn("table", F.regexp_replace("table", r"[\"\s]", "")).where(~F.contains("table", F.lit(".")) | F.col("table").startswith("public."))
+        return refs.withColumn("table", F.regexp_replace("table", r"^public\.", "")).where(~F.array_contains("local", F.col("table"))).select("path", "start", "line", "name", "table", F.lit(access).alias("access"))
+
+    writes = touched(rf"\binsert\s+into\s+((?:\"?\w+\"?\s*\.\s*)?\"?\w+\"?)", "write").unionByName(touched(rf"(?<!\bfor )(?<!\bdo )(?<!\bon )(?<!\bor )(?<!\bbefore )(?<!\bafter )\bupdate\s+{table}", "write")).unionByName(touched(rf"\bdelete\s+from\s+{table}", "write"))
+    reads = touched(rf"(?<!\bdelete )(?<!\bdistinct )\b(?:from|join)\s+{table}", "read")
+    return writes.unionByName(reads).groupBy("path", "name", "table").agg(F.max("access").alias("access"), F.min("line").alias("line"))
+
+
+def path_aliases(files: DataFrame) -> DataFrame:
+    """(folder, pattern, target, place) of the import aliases that configuration files set: targets are paths from the repository's
+    root, `folder` is the file's own. Comments and commas before a closing bracket are taken out first, but not
+    inside of strings; a file that is no object after that sets none."""
+    rows = coded(files.where(F.col("path").rlike(ALIAS_FILE)).withColumn("language", F.lit("jsonc")))
+    pieces = F.split("code", r"(?=,\s*[}\]])")
+    ends = F.transform(F.slice(pieces, F.lit(1), F.size(pieces) - 1), F.length)
+    # the places of these commas: sums of the lengths before them
+    places = F.aggregate(ends, F.array(F.lit(0)), lambda out, n: F.concat(out, F.array(F.element_at(out, -1) + n)))
+    clean = F.aggregate(F.slice(places, F.lit(2), F.size(places)), F.col("bare"), lambda text, at: F.overlay(text, F.lit(" "), at + 1, F.lit(1)))
+    parsed = rows.select("path", F.from_json(clean, "compilerOptions struct<baseUrl string, paths map<string,array<string>>>").alias("j"))
+    folder = F.regexp_replace("path", r"/?[^/]*$", "")
+    found = parsed.select(folder.alias("folder"), "path", F.coalesce("j.compilerOptions.baseUrl", F.lit(".")).alias("base"), F.posexplode(F.map_entries("j.compilerOptions.paths")).alias("n", "e"))
+    found = found.select("folder", "path", "base", "n", F.col("e.key").alias("pattern"), F.posexplode("e.value").alias("k", "to"))
+    target = normalise(F.split(F.concat_ws("/", "folder", "base", "to"), r"[/\\]"))
+    place = F.row_number().over(Window.partitionBy("folder").orderBy("path", "n", "k")).cast("int")
+    return found.where("to is not null").select("folder", "pattern", target.alias("target"), place.alias("place"))
+
+
+def web_imports(files: DataFrame) -> DataFrame:
+    """(path, line, module_path, names): imports, re-exports, require and import() of web files, read outside of comments and strings;
+    names are pairs "name alias", * for the whole module."""
+    rows = coded(files.where(F.col("language").isin("typescript", "javascript", "vue", "svelte", "astro")))
+    quoted = r"['\"][^'\"\n]+['\"]"
+    form = rf"\b(?:import|export)\b\s*(?:type\s+)?(?:[\w$*{{}},\s]*?\bfrom\s*)?{quoted}|\b(?:require|import)\(\s*{quoted}\s*\)"
+    found = nest.heads(rows, form, text="bare", keep=("code", "bare")).withColumn("line", nest.line_of("code", F.col("start")))
+    found = found.where(~F.trim(nest.between("code", F.greatest(F.lit(0), F.col("start") - 1), F.col("start"))).isin(".", "$"))
+    module = F.regexp_extract("head", rf"({quoted})\s*\)?$", 1)
+    clause = F.regexp_extract("head", r"^(?:import|export)\b\s*(?:type\s+)?([^'\"]*?)\s*\bfrom\b", 1)
+    listed = F.filter(F.transform(F.split(F.regexp_extract(clause, r"\{([^}]*)\}", 1), ","), lambda n: F.trim(n)), lambda n: n != "")
+    listed = F.transform(listed, lambda n: F.regexp_replace(n, r"^type\s+", ""))
+    named = F.transform(listed, lambda n: F.concat(F.regexp_extract(n, r"^([\w$]+)", 1), F.lit(" "), F.regexp_extract(n, r"([\w$]+)$", 1)))
+    star = F.when(F.regexp_extract(clause, r"\*\s*(?:as\s+([\w$]+))?", 0) != "", F.array(F.concat(F.lit("* "), F.coalesce(F.nullif(F.regexp_extract(clause, r"\*\s*as\s+([\w$]+)", 1), F.lit("")), F.lit("*"))))).otherwise(F.array().cast("array<string>"))
+    first = F.regexp_extract(clause, r"^\s*([\w$]+)", 1)
+    default = F.when(first != "", F.array(F.concat(first, F.lit(" "), first))).otherwise(F.array().cast("array<string>"))
+    before = F.regexp_extract(nest.between("code", F.greatest(F.lit(0), F.col("start") - 80), F.col("start")), r"(?:const|let|var)\s+([\w$]+)\s*=\s*(?:await\s+)?$", 1)
+    whole = F.when(before != "", F.array(F.concat(F.lit("* "), before))).otherwise(F.array().cast("array<string>"))
+    return found.select("path", "line", F.substring(module, 2, 1_000_000).alias("m"), F.concat(default, star, named, whole).alias("names")).select("path", "line", F.expr("substring(m, 1, length(m) - 1)").alias("module_path"), "names")
+
+
+def web_routes(files: DataFrame, guards: list[str]) -> tuple[DataFrame, DataFrame]:
+    """((path, line, method, route, handler, middleware) of calls that register a route, (pattern, file_path) of `use` calls whose
+    functions name one of the guards). A route's functions are names: the last is its handler, those before it its middleware."""
+    rows = coded(files.where(F.col("language").isin("typescript", "javascript")))
+    form = r"\b[\w$]+\.(?:get|post|put|delete|patch|all|options|head|use)\(\s*['\"`][/*][^'\"`\n]*['\"`]"
+    found = nest.heads(rows, form, text="bare", keep=("code",)).withColumn("line", nest.line_of("code", F.col("start")))
+    found = found.withColumn("open", nest.place("code", "(", F.col("start"))).drop("code").withColumn("verb", F.regexp_extract("head", r"\.(\w+)\(", 1)).withColumn("route", F.regexp_extract("head", r"['\"`]([^'\"`]*)['\"`]$", 1))
+    found = nest.bodies(found, rows, kinds="()")
+    given = nest.segments(found, ["path", "open"]).where("n > 1").select("path", "open", "n", F.trim(F.regexp_replace("segment", r"\s+", " ")).alias("s"))
+    given = given.select("path", "open", "n", F.regexp_extract("s", r"^([A-Za-z_$][\w$.]*)(?: ?\(.*)?$", 1).alias("name"))
+    names = given.groupBy("path", "open").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "name"))), lambda g: g["name"]).alias("names"))
+    calls = materialize(found.select("path", "open", "line", "verb", "route").join(names, ["path", "open"]))
+    real = lambda of: F.filter(of, lambda n: n != "")
+    routes = calls.where("verb <> 'use'").select("path", "line", F.upper("verb").alias("method"), "route", F.nullif(F.element_at("names", -1), F.lit("")).alias("handler"), real(F.slice("names", F.lit(1), F.size("names") - 1)).alias("middleware"))
+    guard = F.exists("names", lambda n: F.lower(n).rlike("|".join(guards)))
+    return routes, calls.where((F.col("verb") == "use") & guard).select(F.col("route").alias("pattern"), F.col("path").alias("file_path")).distinct()
 
 
 def manifest_dependencies(files: DataFrame) -> DataFrame:

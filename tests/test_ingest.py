@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from arborlens.sources import store
-from arborlens.sources.files import ignore_regex, scan
+from arborlens.sources.files import scan
 from arborlens.sources.ingest import build, from_files
 
 FILES = {
@@ -117,13 +117,6 @@ def test_store_and_changes(graph, spark, tmp_path):
     assert not (tmp_path / "g" / "nodes" / "repo_id=demo").exists()
 
 
-def test_ignore_rules():
-    import re
-
-    assert re.search(ignore_regex("*.log"), "a/b.log") and not re.search(ignore_regex("/x.py"), "a/x.py")
-    assert re.search(ignore_regex("build/"), "a/build/c.py") and re.search(ignore_regex("a/**/z.py"), "a/b/c/z.py")
-
-
 def test_empty_folder(spark, tmp_path):
     (tmp_path / "note.txt").write_text("x")
     assert scan(spark, str(tmp_path)).select(F.count("*")).first()[0] == 0

@@ -15,7 +15,8 @@ def test_dependencies_and_routes(spark):
 
 
 def test_models_tokens_types(spark):
-    calls = spark.createDataFrame([("f", "db.user.findMany"), ("f", "db.user.update"), ("g", "users.getAll"), ("g", "rpc:top"), ("h", "x.user.noop")], "src string, call string")
+    # by the reference's rule a chain's verb is a segment of its own; words within a method's name count for typed fields
+    calls = spark.createDataFrame([("f", "db.user.get"), ("f", "db.user.update"), ("g", "user.all"), ("g", "rpc:top"), ("h", "x.user.noop"), ("h", "user.getAll")], "src string, call string")
     models = spark.createDataFrame([("m", "User", "users")], "id string, name string, table_name string")
     assert rows(links.model_edges(calls, models), "src", "access") == [("f", "write"), ("g", "read")]
     stored = spark.createDataFrame([("d1", "top", "a.sql"), ("d2", "top", "b.sql")], "id string, name string, file_path string")
@@ -42,3 +43,33 @@ def test_tests_and_packages(spark):
     calls = spark.createDataFrame([("f", "a", "requests.get"), ("f", "a", "own")], "src string, file_path string, call string")
     got = links.external_usage(calls, calls.where("call = 'own'"), spark.createDataFrame([("a", "requests", "requests"), ("a", "own", "z")], "file_path string, name string, package string"))
     assert rows(got, "src", "dst") == [("f", "dep::requests")]
+
+
+def test_models_by_place_field_and_table(spark):
+    models = spark.createDataFrame([("u", "User", "users"), ("o", "Order", "orders"), ("p", "Order2", "orders2")], "id string, name string, table_name string")
+    calls = spark.createDataFrame(
+        [("a", "order.user.create"), ("b", "db.insert(user, order)"), ("c", "self.repo.findOne"), ("c", "self.repo.softDelete"), ("d", "self.both.find"), ("e", "select.from('orders')"), ("e", "upsert.from('users')"), ("g", "select.from('user')"), ("h", "self.plain.reload"), ("i", "insert(x)")],
+        "src string, call string",
+    )
+    fields = spark.createDataFrame([("c", "repo", "Repository[Order] | None"), ("d", "both", "dict[User, Order]"), ("h", "plain", "Order"), ("z", "repo", "User")], "src string, field string, type string")
+    got = rows(links.model_edges(calls, models, fields), "src", "dst", "access")
+    assert got == [("a", "o", "write"), ("b", "u", "write"), ("c", "o", "write"), ("e", "o", "read"), ("e", "u", "write")]
+    assert links.model_edges(calls.limit(0), models, fields).count() == 0
+
+
+def test_names_and_document_references(spark):
+    entities = spark.createDataFrame(
+        [("f1", "create_order", "a/svc.py::create_order", None, "a/svc.py"), ("f2", "Svc.run", "a/svc.py::Svc.run", "Svc", "a/svc.py"), ("c1", "Svc", "a/svc.py::Svc", None, "a/svc.py"), ("d1", "twice", "a/x.py::twice", None, "a/x.py"), ("d2", "twice", "b/x.py::twice", None, "b/x.py")],
+        "id string, name string, qualified_name string, class_name string, file_path string",
+    )
+    paths = spark.createDataFrame([("src/app/main.ts",), ("a/svc.py",), ("README.md",), ("a/x.py",), ("b/x.py",)], "path string")
+    refs = spark.createDataFrame(
+        [("s", r, k) for r, k in [("app/main.ts", "file"), ("./src/app/main.ts#L3", "file"), ("SRC/App/Main.ts", "file"), ("src/app/main", "file"), ("x.py", "file"), ("Svc", "entity"), ("svc", "entity"), ("mod.create_order", "entity"), ("twice", "entity"), ("a/svc.py::Svc", "entity"), ("Nothing", "entity")]],
+        "src string, reference string, kind string",
+    )
+    got = dict(rows(links.document_references(refs, entities, paths), "reference", "dst"))
+    main = "file::src/app/main.ts"
+    assert got == {"app/main.ts": main, "./src/app/main.ts#L3": main, "SRC/App/Main.ts": main, "src/app/main": main, "Svc": "c1", "svc": "c1", "mod.create_order": "f1", "a/svc.py::Svc": "c1"}
+    asked = spark.createDataFrame([("r", "a/x.py", "twice"), ("r", "b/y.py", "create_order"), ("q", "b/y.py", "lib.guard"), ("q", "b/y.py", "twice")], "src string, file_path string, name string")
+    known = spark.createDataFrame([("b/y.py", "guard", "g9")], "file_path string, name string, target string")
+    assert rows(links.named_targets(asked, entities, known), "src", "name", "target") == [("q", "lib.guard", "g9"), ("r", "create_order", "f1"), ("r", "twice", "d1")]
