@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import cosine, percent
 from ..schema import confidence
+from .temporal import rollup_totals
 
 
 def counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -66,6 +67,14 @@ def health(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
+def health_totals(nodes: DataFrame, edges: DataFrame, levels: list[str]) -> DataFrame:
+    """Per level, with its coarser ones and over all: nodes, how many have a caller or callee, and their share in percent."""
+    linked = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct().withColumn("_linked", F.lit(True))
+    rows = nodes.join(linked, "id", "left")
+    out = rollup_totals(rows, levels, {"nodes": F.count("*"), "linked": F.count("_linked")})
+    return out.withColumn("connectivity", percent(F.col("linked"), F.col("nodes")))
+
+
 def impact_scores(rows: DataFrame, callers: Column, passers: Column, route: Column, entry: Column, exported: Column, transitive: Column, files: Column, untested: Column) -> DataFrame:
     """rows with direct_score, transitive_score, blast and risk from the given counts and facts."""
     some = lambda c, n: F.when(c, n).otherwise(0)

@@ -3,6 +3,7 @@ classes, nations routes, part types models, event keys flags, part names tokens,
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from ..graph import CodeGraph
 from ..operators.cascade import coverage_edges
 from ..schema import EDGES, NODES, conform, rank
-from ..storage import exists, materialize
+from ..storage import delete, exists, files_state, materialize
 from .projections import table
 
 #: The same projection for DuckDB: functions, calls, tests, files' imports, routes, flags.
@@ -69,63 +70,156 @@ def functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return every.select("*", F.concat_ws("::", "file_path", "name").alias("qualified_name"), F.lit("Function").alias("label"), F.lit(False).alias("is_entry_point"), F.lit("public").alias("visibility"))
 
 
-_built: dict[tuple[str, str], CodeGraph] = {}
+#: Tables that the projection reads.
+TABLES = "region nation customer supplier part orders lineitem events".split()
+#: Parts that take joins or aggregations of large tables; they are written when a query first asks for them.
+HEAVY = ("Function", "CALLS", "TESTS_FUNCTION", "IMPORTS")
 
 
-def code_graph(spark: SparkSession, sf_dir: str) -> CodeGraph:
-    """The projection of the tables in sf_dir, whose two tables are written once per application while they stay."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _built or not (exists(_built[key].nodes) and exists(_built[key].edges)):
-        _built[key] = project(spark, sf_dir)
-    return _built[key]
+class TableGraph(CodeGraph):
+    """The projection with its labels and edge types apart: a query computes and reads those that it asks for. Heavy parts are written
+    at first use and stay while their inputs do; the others are plans over the tables."""
 
+    def __init__(self, spark: SparkSession, parts: dict[str, Callable[[TableGraph], DataFrame]]) -> None:
+        self._spark, self._parts, self._plans, self._written = spark, parts, {}, {}
 
-def project(spark: SparkSession, sf_dir: str) -> CodeGraph:
+    @property
+    def spark(self) -> SparkSession:
+        return self._spark
+
+    def part(self, name: str) -> DataFrame:
+        if name in HEAVY:
+            if name not in self._written or not exists(self._written[name]):
+                made = self._parts[name](self)
+                self._written[name] = materialize(conform(made, EDGES if name in TYPES else NODES))
+            return self._written[name]
+        if name not in self._plans:
+            self._plans[name] = conform(self._parts[name](self), EDGES if name in TYPES else NODES)
+        return self._plans[name]
+
+    def label(self, *labels: str, **columns: str) -> DataFrame:
+        rows = reduce(DataFrame.unionByName, [self.part(n) for n in labels if n in LABELS] or [self.part("File").limit(0)])
+        return rows.select(*(F.col(old).alias(new) for new, old in columns.items())) if columns else rows
+
+    def edge(self, *types: str) -> DataFrame:
+        return reduce(DataFrame.unionByName, [self.part(n) for n in types if n in TYPES] or [self.part("GATES").limit(0)])
+
+    def _all(self, names: tuple[str, ...], schema) -> DataFrame:
+        # calls and functions are what queries over everything look for; other heavy parts stay plans, which Catalyst leaves out
+        # where the query's labels or types exclude them
+        parts = [self.part(n) if n not in HEAVY or n in self._written or n in ("Function", "CALLS") else conform(self._parts[n](self), schema) for n in names]
+        return reduce(DataFrame.unionByName, parts)
+
+    @property
+    def nodes(self) -> DataFrame:
+        return self._all(LABELS, NODES)
+
+    @property
+    def edges(self) -> DataFrame:
+        return self._all(TYPES, EDGES)
+
+    def drop(self) -> None:
+        """Deletes the written parts."""
+        for df in self._written.values():
+            delete(df)
+        self._written.clear()
+
+
+LABELS = ("Function", "File", "Route", "Class", "TypeField", "Model", "ModelField", "Flag", "Token", "Dependency", "Snapshot")
+TYPES = ("CALLS", "TESTS_FUNCTION", "IMPORTS", "EXPORTS", "HANDLES", "HAS_FIELD", "ACCEPTS", "RETURNS", "HAS_MODEL_FIELD", "USES_MODEL", "GATES", "USES_TOKEN", "USES_DEPENDENCY")
+_built: dict[tuple[str, str], tuple[str, TableGraph]] = {}
+
+
+def code_graph(spark: SparkSession, sf_dir: str) -> TableGraph:
+    """The projection of the tables in sf_dir as they are now: what was written of it is used again while the tables' files have the
+    same names, sizes and times, and deleted once they have not."""
+    key, state = (spark.sparkContext.applicationId, sf_dir), files_state(spark, [f"{sf_dir}/{name}.parquet" for name in TABLES])
+    if key in _built and _built[key][0] != state:
+        _built.pop(key)[1].drop()
+    if key not in _built:
+        _built[key] = state, TableGraph(spark, project(spark, sf_dir))
+    return _built[key][1]
+
+
+def project(spark: SparkSession, sf_dir: str) -> dict[str, Callable[[TableGraph], DataFrame]]:
+    """Plans of the parts by label and edge type, made when they are asked for."""
     t = lambda name: table(spark, sf_dir, name)
-    own, called = functions(spark, sf_dir), calls(spark, sf_dir)
-    tests = own.where("is_test").select("id")
-    tested = coverage_edges(called, tests, own.select("id")).where("depth = 1").withColumn("type", F.lit("TESTS_FUNCTION"))
-    own = own.join(tested.groupBy(F.col("dst").alias("id")).agg(F.count_distinct("src").cast("int").alias("tested_by_count")), "id", "left")
-    lines = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("part"), F.col("l_partkey") == F.col("p_partkey"))
-    handler, service, store = _path("handlers", "c_mktsegment"), _path("services", "o_orderpriority"), _path("db", "p_brand")
-    asked = F.collect_set(F.when((F.col("l_quantity") >= 49) & (F.col("l_returnflag") == "R"), _id("p", "p_partkey")))
-    buyers = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey"))
     none = F.array().cast("array<string>")
-    imports = reduce(
-        DataFrame.unionByName,
-        [
-            buyers.select(handler.alias("a"), service.alias("b")).distinct().withColumn("names", F.lit(None).cast("array<string>")),
-            lines.groupBy(service.alias("a"), store.alias("b")).agg(asked.alias("names")),
-            lines.join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).select(handler.alias("a"), store.alias("b")).distinct().withColumn("names", none),
-        ],
-    )
-    imports = imports.select(F.concat(F.lit("file::"), "a").alias("src"), F.concat(F.lit("file::"), "b").alias("dst"), "names", F.lit("IMPORTS").alias("type"))
-    files = own.select("file_path").distinct().select(F.concat(F.lit("file::"), "file_path").alias("id"), F.lit("File").alias("label"), F.col("file_path").alias("path"), "file_path", F.lit("python").alias("language"), F.lit(False).alias("is_test_file"), F.lit(False).alias("is_documentation"))
-    exports = own.where("is_exported").select(F.concat(F.lit("file::"), "file_path").alias("src"), F.col("id").alias("dst"), F.lit("EXPORTS").alias("type"))
-    guard = F.when(F.col("n_regionkey") == 0, F.array(F.lit("auth"))).otherwise(none)
-    routes = t("nation").select(_id("route::n", "n_nationkey").alias("id"), F.lit("Route").alias("label"), F.when(F.col("n_regionkey") < 2, "GET").otherwise("POST").alias("method"), F.concat(F.lit("/"), "n_name").alias("path"), guard.alias("middleware"))
-    handles = t("customer").select(_id("route::n", "c_nationkey").alias("src"), _id("func::c", "c_custkey").alias("dst"), F.lit("HANDLES").alias("type"))
-    classes = t("supplier").select(_id("class::s", "s_suppkey").alias("id"), F.lit("Class").alias("label"), F.col("s_name").alias("name"), F.col("s_name").alias("qualified_name"))
-    fields = t("supplier").select(_id("typefield::s", "s_suppkey").alias("id"), F.lit("TypeField").alias("label"), F.lit("nation").alias("name"), _id("Nation_", "s_nationkey").alias("type_annotation"))
-    has_field = t("supplier").select(_id("class::s", "s_suppkey").alias("src"), _id("typefield::s", "s_suppkey").alias("dst"), F.lit("HAS_FIELD").alias("type"))
-    accepts = t("lineitem").select(_id("func::p", "l_partkey").alias("src"), _id("class::s", "l_suppkey").alias("dst"), F.col("l_returnflag").alias("param_name"), F.lit("ACCEPTS").alias("type")).distinct()
-    returns = t("lineitem").groupBy("l_partkey").agg(F.min("l_suppkey").alias("s")).select(_id("func::p", "l_partkey").alias("src"), _id("class::s", "s").alias("dst"), F.lit("RETURNS").alias("type"))
-    models = t("part").groupBy("p_type").agg(F.count_distinct("p_brand").cast("int").alias("field_count")).select(F.concat(F.lit("model::"), "p_type").alias("id"), F.lit("Model").alias("label"), F.col("p_type").alias("name"), F.lower("p_type").alias("table_name"), "field_count")
-    columns = t("part").select("p_type", "p_brand").distinct()
-    model_fields = columns.select(F.concat_ws("::", F.lit("mf"), "p_type", "p_brand").alias("id"), F.lit("ModelField").alias("label"), F.col("p_brand").alias("name"), F.col("p_type").alias("field_type"))
-    has_model_field = columns.select(F.concat(F.lit("model::"), "p_type").alias("src"), F.concat_ws("::", F.lit("mf"), "p_type", "p_brand").alias("dst"), F.lit("HAS_MODEL_FIELD").alias("type"))
-    uses = t("part").select(_id("func::p", "p_partkey").alias("src"), F.concat(F.lit("model::"), "p_type").alias("dst"), F.when(F.col("p_size") >= 40, "write").otherwise("read").alias("access"), F.lit("USES_MODEL").alias("type"))
-    events = t("events").withColumn("key", F.concat(F.lit("K_"), F.get_json_object("props", "$.k")))
-    when = lambda kind, least: F.bool_or((F.col("event_type") == kind) & (F.col("value") > least))
-    flags = events.groupBy("key").agg(when("signup", 150).alias("in_registry"), when("purchase", 150).alias("in_db"), when("error", 200).alias("retired"))
-    flags = flags.select(F.concat(F.lit("flag::"), "key").alias("id"), F.lit("Flag").alias("label"), F.col("key").alias("name"), "in_registry", "in_db", "retired", F.lit(False).alias("orphan"), F.lit(False).alias("registry_default"))
-    gates = events.where("event_type = 'click' and value > 100").join(t("customer"), F.col("user_id") == F.col("c_custkey"), "left_semi").select(F.concat(F.lit("flag::"), "key").alias("src"), _id("func::c", "user_id").alias("dst"), F.lit("GATES").alias("type")).distinct()
-    tokens = t("part").groupBy("p_name").agg(F.min("p_type").alias("value")).select(F.concat(F.lit("token::"), "p_name").alias("id"), F.lit("Token").alias("label"), F.col("p_name").alias("name"), F.concat(F.lit("--"), "p_name").alias("raw_name"), "value", F.split_part("p_name", F.lit(" "), F.lit(1)).alias("category"))
-    uses_token = t("part").select(_id("func::p", "p_partkey").alias("src"), F.concat(F.lit("token::"), "p_name").alias("dst"), F.lit("USES_TOKEN").alias("type"))
-    dependencies = t("part").groupBy("p_brand").agg(F.count("*").cast("int").alias("import_count"), F.max("p_type").alias("version")).select(F.concat(F.lit("dep::"), "p_brand").alias("id"), F.lit("Dependency").alias("label"), F.col("p_brand").alias("name"), "version", "import_count")
-    uses_dependency = t("part").select(_id("func::p", "p_partkey").alias("src"), F.concat(F.lit("dep::"), "p_brand").alias("dst"), F.lit("USES_DEPENDENCY").alias("type"))
-    days = t("events").groupBy(F.to_date("ts").cast("string").alias("captured_at")).agg(F.count("*").cast("int").alias("file_count"), F.count_distinct("user_id").cast("int").alias("function_count"), F.to_json(F.array_sort(F.collect_set(F.when(F.col("value") > 250, _id("u", "user_id"))))).alias("file_paths_json"))
-    snapshots = days.select(F.concat(F.lit("snapshot::"), "captured_at").alias("id"), F.lit("Snapshot").alias("label"), "captured_at", "file_count", "function_count", "file_paths_json")
-    nodes = [own, files, routes, classes, fields, models, model_fields, flags, tokens, dependencies, snapshots]
-    edges = [called, tested.select("src", "dst", "depth", "type"), imports, exports, handles, has_field, accepts, returns, has_model_field, uses, gates, uses_token, uses_dependency]
-    return CodeGraph(materialize(reduce(DataFrame.unionByName, (conform(n, NODES) for n in nodes))), materialize(reduce(DataFrame.unionByName, (conform(e, EDGES) for e in edges))))
+    edge = lambda df, src, dst, kind, *more: df.select(src.alias("src"), dst.alias("dst"), *more, F.lit(kind).alias("type"))
+
+    def tested(g: TableGraph) -> DataFrame:
+        own = functions(spark, sf_dir)
+        return coverage_edges(g.part("CALLS"), own.where("is_test").select("id"), own.select("id")).where("depth = 1").select("src", "dst", "depth").withColumn("type", F.lit("TESTS_FUNCTION"))
+
+    def own(g: TableGraph) -> DataFrame:
+        counts = g.part("TESTS_FUNCTION").groupBy(F.col("dst").alias("id")).agg(F.count_distinct("src").cast("int").alias("tested_by_count"))
+        return functions(spark, sf_dir).join(counts, "id", "left")
+
+    def imports(g: TableGraph) -> DataFrame:
+        # orders' lines are joined once; files and their pairs are few
+        lines = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("part"), F.col("l_partkey") == F.col("p_partkey"))
+        lines = lines.join(t("customer"), F.col("o_custkey") == F.col("c_custkey"), "left")
+        handler, service, store = _path("handlers", "c_mktsegment"), _path("services", "o_orderpriority"), _path("db", "p_brand")
+        asked = F.collect_set(F.when((F.col("l_quantity") >= 49) & (F.col("l_returnflag") == "R"), _id("p", "p_partkey")))
+        pairs = lines.groupBy(handler.alias("h"), service.alias("s"), store.alias("d")).agg(asked.alias("names"))
+        buyers = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey"))
+        out = buyers.select(handler.alias("a"), service.alias("b")).distinct().withColumn("names", F.lit(None).cast("array<string>"))
+        out = out.unionByName(pairs.groupBy(F.col("s").alias("a"), F.col("d").alias("b")).agg(F.array_distinct(F.flatten(F.collect_list("names"))).alias("names")))
+        out = out.unionByName(pairs.where("h is not null").select(F.col("h").alias("a"), F.col("d").alias("b")).distinct().withColumn("names", none))
+        return edge(out, F.concat(F.lit("file::"), "a"), F.concat(F.lit("file::"), "b"), "IMPORTS", "names")
+
+    def files(g: TableGraph) -> DataFrame:
+        paths = functions(spark, sf_dir).select("file_path").distinct()
+        return paths.select(F.concat(F.lit("file::"), "file_path").alias("id"), F.lit("File").alias("label"), F.col("file_path").alias("path"), "file_path", F.lit("python").alias("language"), F.lit(False).alias("is_test_file"), F.lit(False).alias("is_documentation"))
+
+    def routes(g: TableGraph) -> DataFrame:
+        guard = F.when(F.col("n_regionkey") == 0, F.array(F.lit("auth"))).otherwise(none)
+        return t("nation").select(_id("route::n", "n_nationkey").alias("id"), F.lit("Route").alias("label"), F.when(F.col("n_regionkey") < 2, "GET").otherwise("POST").alias("method"), F.concat(F.lit("/"), "n_name").alias("path"), guard.alias("middleware"))
+
+    def classes(g: TableGraph) -> DataFrame:
+        return t("supplier").select(_id("class::s", "s_suppkey").alias("id"), F.lit("Class").alias("label"), F.col("s_name").alias("name"), F.col("s_name").alias("qualified_name"))
+
+    def fields(g: TableGraph) -> DataFrame:
+        return t("supplier").select(_id("typefield::s", "s_suppkey").alias("id"), F.lit("TypeField").alias("label"), F.lit("nation").alias("name"), _id("Nation_", "s_nationkey").alias("type_annotation"))
+
+    def models(g: TableGraph) -> DataFrame:
+        return t("part").groupBy("p_type").agg(F.count_distinct("p_brand").cast("int").alias("field_count")).select(F.concat(F.lit("model::"), "p_type").alias("id"), F.lit("Model").alias("label"), F.col("p_type").alias("name"), F.lower("p_type").alias("table_name"), "field_count")
+
+    columns = lambda: t("part").select("p_type", "p_brand").distinct()
+    field_id = F.concat_ws("::", F.lit("mf"), "p_type", "p_brand")
+    keyed = lambda: t("events").withColumn("key", F.concat(F.lit("K_"), F.get_json_object("props", "$.k")))
+
+    def flags(g: TableGraph) -> DataFrame:
+        when = lambda kind, least: F.bool_or((F.col("event_type") == kind) & (F.col("value") > least))
+        out = keyed().groupBy("key").agg(when("signup", 150).alias("in_registry"), when("purchase", 150).alias("in_db"), when("error", 200).alias("retired"))
+        return out.select(F.concat(F.lit("flag::"), "key").alias("id"), F.lit("Flag").alias("label"), F.col("key").alias("name"), "in_registry", "in_db", "retired", F.lit(False).alias("orphan"), F.lit(False).alias("registry_default"))
+
+    def gates(g: TableGraph) -> DataFrame:
+        hits = keyed().where("event_type = 'click' and value > 100").join(t("customer"), F.col("user_id") == F.col("c_custkey"), "left_semi")
+        return edge(hits, F.concat(F.lit("flag::"), "key"), _id("func::c", "user_id"), "GATES").distinct()
+
+    def tokens(g: TableGraph) -> DataFrame:
+        return t("part").groupBy("p_name").agg(F.min("p_type").alias("value")).select(F.concat(F.lit("token::"), "p_name").alias("id"), F.lit("Token").alias("label"), F.col("p_name").alias("name"), F.concat(F.lit("--"), "p_name").alias("raw_name"), "value", F.split_part("p_name", F.lit(" "), F.lit(1)).alias("category"))
+
+    def dependencies(g: TableGraph) -> DataFrame:
+        return t("part").groupBy("p_brand").agg(F.count("*").cast("int").alias("import_count"), F.max("p_type").alias("version")).select(F.concat(F.lit("dep::"), "p_brand").alias("id"), F.lit("Dependency").alias("label"), F.col("p_brand").alias("name"), "version", "import_count")
+
+    def snapshots(g: TableGraph) -> DataFrame:
+        days = t("events").groupBy(F.to_date("ts").cast("string").alias("captured_at")).agg(F.count("*").cast("int").alias("file_count"), F.count_distinct("user_id").cast("int").alias("function_count"), F.to_json(F.array_sort(F.collect_set(F.when(F.col("value") > 250, _id("u", "user_id"))))).alias("file_paths_json"))
+        return days.select(F.concat(F.lit("snapshot::"), "captured_at").alias("id"), F.lit("Snapshot").alias("label"), "captured_at", "file_count", "function_count", "file_paths_json")
+
+    part_id, model_id = _id("func::p", "p_partkey"), F.concat(F.lit("model::"), "p_type")
+    return {
+        "Function": own, "File": files, "Route": routes, "Class": classes, "TypeField": fields, "Model": models, "Flag": flags, "Token": tokens, "Dependency": dependencies, "Snapshot": snapshots,
+        "ModelField": lambda g: columns().select(field_id.alias("id"), F.lit("ModelField").alias("label"), F.col("p_brand").alias("name"), F.col("p_type").alias("field_type")),
+        "CALLS": lambda g: calls(spark, sf_dir), "TESTS_FUNCTION": tested, "IMPORTS": imports, "GATES": gates,
+        "EXPORTS": lambda g: edge(functions(spark, sf_dir).where("is_exported"), F.concat(F.lit("file::"), "file_path"), F.col("id"), "EXPORTS"),
+        "HANDLES": lambda g: edge(t("customer"), _id("route::n", "c_nationkey"), _id("func::c", "c_custkey"), "HANDLES"),
+        "HAS_FIELD": lambda g: edge(t("supplier"), _id("class::s", "s_suppkey"), _id("typefield::s", "s_suppkey"), "HAS_FIELD"),
+        "ACCEPTS": lambda g: edge(t("lineitem"), _id("func::p", "l_partkey"), _id("class::s", "l_suppkey"), "ACCEPTS", F.col("l_returnflag").alias("param_name")).distinct(),
+        "RETURNS": lambda g: edge(t("lineitem").groupBy("l_partkey").agg(F.min("l_suppkey").alias("s")), _id("func::p", "l_partkey"), _id("class::s", "s"), "RETURNS"),
+        "HAS_MODEL_FIELD": lambda g: edge(columns(), model_id, field_id, "HAS_MODEL_FIELD"),
+        "USES_MODEL": lambda g: edge(t("part"), part_id, model_id, "USES_MODEL", F.when(F.col("p_size") >= 40, "write").otherwise("read").alias("access")),
+        "USES_TOKEN": lambda g: edge(t("part"), part_id, F.concat(F.lit("token::"), "p_name"), "USES_TOKEN"),
+        "USES_DEPENDENCY": lambda g: edge(t("part"), part_id, F.concat(F.lit("dep::"), "p_brand"), "USES_DEPENDENCY"),
+    }

@@ -79,8 +79,8 @@ def top_called(spark: SparkSession, sf_dir: str) -> DataFrame:
     return code_graph(spark, sf_dir).repo_overview()
 
 
-@query(f"""WITH {SQL} SELECT 'Function' AS label, qualified_name, file_path AS path FROM fq WHERE is_exported AND file_path NOT IN (SELECT dst FROM im WHERE names IS NULL)
-AND NOT EXISTS (SELECT 1 FROM (SELECT dst, unnest(names) AS n FROM im) x WHERE x.dst = fq.file_path AND x.n = fq.name)""")
+@query(f"""WITH {SQL}, im2 AS MATERIALIZED (SELECT * FROM im), wide AS (SELECT DISTINCT dst FROM im2 WHERE names IS NULL), asked AS MATERIALIZED (SELECT DISTINCT dst, n FROM (SELECT dst, unnest(names) AS n FROM im2))
+SELECT 'Function' AS label, qualified_name, file_path AS path FROM fq ANTI JOIN wide ON wide.dst = fq.file_path ANTI JOIN asked ON asked.dst = fq.file_path AND asked.n = fq.name WHERE is_exported""")
 def dead_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return code_graph(spark, sf_dir).dead_exports()
 

@@ -37,10 +37,11 @@ def flow(events: DataFrame) -> DataFrame:
     return rows.groupBy("src", "dst").agg(F.max("rank").alias("rank"), F.count("*").alias("n")).withColumn("type", F.lit("CALLS"))
 
 
-def flow_sparse(events: DataFrame, least: float = 60.0) -> DataFrame:
-    """Edges from purchases above a value only, without self loops."""
-    rows = steps(events).where((F.col("event_type") == "purchase") & (F.col("value") > least) & (F.col("user_id") != F.col("next_user")))
-    return rows.select(user("user_id").alias("src"), user("next_user").alias("dst"), F.lit(6).alias("rank"), F.lit("CALLS").alias("type")).distinct()
+def top_successors(events: DataFrame, most: int = 2) -> DataFrame:
+    """Edges from each user to the `most` users that follow most often, ties to the lesser."""
+    place = Window.partitionBy("src").orderBy(F.desc("n"), "dst")
+    ranked = flow(events).where("src <> dst").withColumn("_k", F.row_number().over(place))
+    return ranked.where(F.col("_k") <= most).select("src", "dst", F.lit(6).alias("rank"), F.lit("CALLS").alias("type"))
 
 
 def users(events: DataFrame) -> DataFrame:

@@ -8,13 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars, scanners
+from ..functions.lexical import with_code
 from ..operators import reports
+from ..operators.blocks import blocks
 from ..operators.cascade import first_of, reexport_closure
+from ..operators.temporal import asof_join
 from ..operators.traverse import closure, longest_chain, reach, shortest_paths, simple_cycles
+from ..operators.vector_index import VectorIndex, temporary_path
 from ..schema import confidence
 from ..storage import materialize
-from ..streaming.changes import latest_per_key, run_available, session_counts, tumbling_counts
-from .projections import flow, flow_sparse, host, links, supply_edges, supply_nodes, table, turns, user, users
+from ..streaming.changes import interval_join, latest_per_key, run_available, session_counts, sliding_counts, tumbling_counts
+from .projections import flow, host, links, supply_edges, supply_nodes, table, top_successors, turns, user, users
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -22,7 +26,6 @@ ORACLES: dict[str, str] = {}
 _STEPS = "st AS (SELECT * FROM (SELECT *, lead(user_id) OVER (PARTITION BY date_trunc('hour', ts) ORDER BY ts, event_id) AS next_user FROM events) WHERE next_user IS NOT NULL)"
 _RANK = "CASE event_type WHEN 'purchase' THEN 6 WHEN 'signup' THEN 5 WHEN 'click' THEN 4 WHEN 'view' THEN 3 WHEN 'error' THEN 2 END"
 _FLOW = _STEPS + f", fl AS (SELECT 'user::' || user_id AS src, 'user::' || next_user AS dst, max({_RANK}) AS rank, count(*) AS n FROM st GROUP BY 1, 2), us AS (SELECT DISTINCT 'user::' || user_id AS id FROM events)"
-_SPARSE = _STEPS + ", sp AS (SELECT DISTINCT 'user::' || user_id AS src, 'user::' || next_user AS dst FROM st WHERE event_type = 'purchase' AND value > 60 AND user_id <> next_user)"
 _SUPPLY = """se AS (
   SELECT 'region::' || n_regionkey AS src, 'nation::' || n_nationkey AS dst, 'HAS_NATION' AS type FROM nation
   UNION ALL SELECT 'nation::' || c_nationkey, 'customer::' || c_custkey, 'HAS_CUSTOMER' FROM customer
@@ -123,23 +126,24 @@ def weakest_edge_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy(confidence(F.col("rank")).alias("confidence"), "depth").agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH RECURSIVE {_SPARSE}, ends AS (SELECT min(src) AS a, max(dst) AS b FROM sp),
-p AS (SELECT [a] AS path, [] :: VARCHAR[] AS used, a AS here, 0 AS hops FROM ends UNION ALL
- SELECT list_append(path, dst), list_append(used, src || '>' || dst), dst, hops + 1 FROM p JOIN sp ON sp.src = p.here WHERE hops < 5 AND NOT list_contains(used, src || '>' || dst))
-SELECT CAST(hops AS INTEGER) AS hops, array_to_string(path, '>') AS path FROM p, ends WHERE hops > 0 AND here = b ORDER BY 1, 2 LIMIT 5""")
+@query(f"""WITH RECURSIVE {_SUPPLY}, e AS (SELECT DISTINCT src, dst FROM se), ends AS (SELECT 'region::' || min(r_regionkey) AS a FROM region), goal AS (SELECT 'supplier::' || min(s_suppkey) AS b FROM supplier),
+p AS (SELECT [a] AS path, a AS here, 0 AS hops FROM ends UNION ALL SELECT list_append(path, dst), dst, hops + 1 FROM p JOIN e ON e.src = p.here WHERE hops < 5)
+SELECT CAST(hops AS INTEGER) AS hops, array_to_string(path, '>') AS path FROM p, goal WHERE hops > 0 AND here = b ORDER BY p.hops, p.path LIMIT 5""")
 def find_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = materialize(flow_sparse(table(spark, sf_dir, "events")))
-    first, last = edges.agg(F.min("src"), F.max("dst")).first()
-    one = lambda v: spark.range(1).select(F.lit(v).cast("string").alias("node"))
-    return shortest_paths(edges, one(first), one(last)).select("hops", F.array_join("path", ">").alias("path"))
+    """The five shortest paths of the whole supply graph from the first region to the first supplier."""
+    edges = materialize(supply_edges(spark, sf_dir).select("src", "dst").distinct().withColumn("rank", F.lit(6)).withColumn("type", F.lit("CALLS")))
+    first = table(spark, sf_dir, "region").agg(F.concat(F.lit("region::"), F.min("r_regionkey").cast("string")).alias("node"))
+    last = table(spark, sf_dir, "supplier").agg(F.concat(F.lit("supplier::"), F.min("s_suppkey").cast("string")).alias("node"))
+    return shortest_paths(edges, first, last).select("hops", F.array_join("path", ">").alias("path"))
 
 
-@query(f"""WITH {_SPARSE},
-c2 AS (SELECT a.src AS x, a.dst AS y FROM sp a JOIN sp b ON a.dst = b.src AND b.dst = a.src WHERE a.src < a.dst),
-c3 AS (SELECT a.src AS x, b.src AS y, c.src AS z FROM sp a JOIN sp b ON a.dst = b.src JOIN sp c ON b.dst = c.src AND c.dst = a.src WHERE a.src < b.src AND a.src < c.src AND b.src <> c.src)
-SELECT 2 AS length, x || '>' || y AS cycle FROM c2 UNION ALL SELECT 3, x || '>' || y || '>' || z FROM c3""")
+@query(f"""WITH RECURSIVE {_FLOW}, best AS (SELECT src, dst FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY n DESC, dst) AS k FROM fl WHERE src <> dst) WHERE k <= 2),
+w AS (SELECT src AS start, [src] AS path, dst AS here, 1 AS length FROM best WHERE dst > src UNION ALL
+ SELECT start, list_append(path, here), best.dst, length + 1 FROM w JOIN best ON best.src = w.here WHERE here <> start AND length < 10 AND best.dst >= start AND NOT list_contains(path[2:], best.dst) AND best.dst <> here)
+SELECT CAST(length AS INTEGER) AS length, array_to_string(path, '>') AS cycle FROM w WHERE here = start""")
 def import_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simple_cycles(flow_sparse(table(spark, sf_dir, "events")), 3).select("length", F.array_join("cycle", ">").alias("cycle"))
+    """Cycles of up to ten users, from each to one of the two that follow most often; every event counts."""
+    return simple_cycles(top_successors(table(spark, sf_dir, "events")), 10).select("length", F.array_join("cycle", ">").alias("cycle"))
 
 
 @query("""WITH k AS (SELECT DISTINCT conv_id, turn FROM conversations), s AS (SELECT conv_id, min(turn) AS turn FROM k GROUP BY 1),
@@ -345,3 +349,83 @@ s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS U
 SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS started, count(*) AS n FROM s GROUP BY user_id, k""")
 def stream_session_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_available(spark, f"{sf_dir}/events*.parquet", table(spark, sf_dir, "events").schema, session_counts)
+
+
+@query("""WITH w AS (SELECT event_type, time_bucket(INTERVAL '30 minutes', ts) - k * INTERVAL '30 minutes' AS start FROM events, range(4) r(k))
+SELECT strftime(start, '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n FROM w GROUP BY 1, 2""")
+def stream_sliding_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_available(spark, f"{sf_dir}/events*.parquet", table(spark, sf_dir, "events").schema, sliding_counts, ["start", "event_type"])
+
+
+@query("""SELECT a.event_id AS click_id, b.event_id AS purchase_id, a.user_id FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL '6 hours'
+WHERE a.event_type = 'click' AND b.event_type = 'purchase'""")
+def stream_interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def plan(events: DataFrame) -> DataFrame:
+        side = lambda kind, name: events.where(F.col("event_type") == kind).select("user_id", F.col("event_id").alias(f"{name}_id"), F.col("ts").cast("timestamp").alias(f"{name}_at"))
+        return interval_join(side("click", "click"), side("purchase", "purchase"), "user_id", "click_at", "purchase_at", "6 hours").select("click_id", "purchase_id", "user_id")
+
+    return run_available(spark, f"{sf_dir}/events*.parquet", table(spark, sf_dir, "events").schema, plan, append=True)
+
+
+# ---------------------------------------------------------------- as-of joins, totals, lexical regions, vector index
+
+
+@query("""WITH o AS (SELECT o_custkey, o_orderdate, max(o_orderkey) AS last_order FROM orders GROUP BY 1, 2),
+l AS (SELECT l_orderkey, l_linenumber, o_custkey AS cust, l_shipdate FROM lineitem JOIN orders ON o_orderkey = l_orderkey)
+SELECT l_orderkey, l_linenumber, CASE WHEN l_shipdate <= o_orderdate + INTERVAL '60 days' THEN last_order END AS last_order, CASE WHEN l_shipdate <= o_orderdate + INTERVAL '60 days' THEN CAST(o_orderdate AS DATE) END AS ordered
+FROM l ASOF LEFT JOIN o ON l.cust = o.o_custkey AND l.l_shipdate >= o.o_orderdate""")
+def asof_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each shipped line with its customer's last order by then, if no older than 60 days."""
+    orders = table(spark, sf_dir, "orders")
+    lines = table(spark, sf_dir, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select("l_orderkey", "l_linenumber", "l_shipdate", F.col("o_custkey").alias("cust"))
+    made = orders.select(F.col("o_custkey").alias("cust"), "o_orderdate", F.col("o_orderkey").alias("last_order"))
+    found = asof_join(lines, made, "cust", "l_shipdate", "o_orderdate", tolerance=60 * 86_400, span=365 * 86_400, tie="last_order")
+    return found.select("l_orderkey", "l_linenumber", "last_order", F.to_date("o_orderdate").alias("ordered"))
+
+
+@query(f"""WITH {_SUPPLY}, d AS (SELECT label, sn.id, (SELECT count(*) FROM se WHERE 1 = 0) AS zero FROM sn),
+i AS (SELECT dst AS id, count(DISTINCT src) AS callers FROM se GROUP BY 1), o AS (SELECT src AS id, count(DISTINCT dst) AS callees FROM se GROUP BY 1),
+x AS (SELECT label, right(sn.id, 1) AS digit, coalesce(callers, 0) > 0 OR coalesce(callees, 0) > 0 AS linked FROM sn LEFT JOIN i USING (id) LEFT JOIN o USING (id))
+SELECT CAST(2 - grouping(label) - grouping(digit) AS INTEGER) AS level, label, digit, count(*) AS nodes, count(*) FILTER (WHERE linked) AS linked, round(100.0::DOUBLE * count(*) FILTER (WHERE linked) / count(*), 1) AS connectivity
+FROM x GROUP BY ROLLUP (label, digit)""")
+def health_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes and the share that is linked, by label and last digit, by label, and in all."""
+    nodes = supply_nodes(spark, sf_dir).withColumn("digit", F.substring("id", -1, 1))
+    return reports.health_totals(nodes, supply_edges(spark, sf_dir), ["label", "digit"])
+
+
+_LONG = r"(?:\\[\s\S]|[^\\])*?"
+_STRINGS = "|".join([q * 3 + _LONG + f"(?:{q * 3}|" + r"\\?$)" for q in "'\""] + [q + rf"(?:\\[\s\S]|[^{q}\\\n])*\\?{q}?" for q in "'\""]).replace("'", "''")
+
+
+@query(rf"""WITH c AS (SELECT doc_id, regexp_replace(text, '({_STRINGS})|#[^\n]*', ' ', 'g') AS code, regexp_replace(text, '({_STRINGS})|#[^\n]*', '\1 ', 'g') AS bare FROM documents)
+SELECT doc_id, md5(trim(regexp_replace(code, '[\x20\x09-\x0D]+', ' ', 'g'), ' ')) AS code_md5, len(regexp_extract_all(code, '[^\x20\x09-\x0D]+')) AS code_words, len(regexp_extract_all(bare, '[^\x20\x09-\x0D]+')) AS bare_words FROM c""")
+def lexical_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document read as a Python file: digest and words of what is neither comment nor string, words of what is no comment."""
+    rows = with_code(table(spark, sf_dir, "documents").select("doc_id", "text", F.lit("python").alias("language")))
+    gap, words = r"[\x20\x09-\x0D]+", F.lit(r"[^\x20\x09-\x0D]+")
+    return rows.select("doc_id", F.md5(F.trim(F.regexp_replace("code", gap, " ")).cast("binary")).alias("code_md5"), F.regexp_count("code", words).cast("long").alias("code_words"), F.regexp_count("bare", words).cast("long").alias("bare_words"))
+
+
+@query("""WITH t AS (SELECT page_id, unnest(range(1, length(html) + 1)) AS pos, unnest(string_split(html, '')) AS c FROM pages), b AS (SELECT * FROM t WHERE c IN ('<', '>')),
+r AS (SELECT *, sum(CASE WHEN c = '<' THEN 1 ELSE -1 END) OVER (PARTITION BY page_id ORDER BY pos) AS run FROM b), l AS (SELECT *, CASE WHEN c = '<' THEN run ELSE run + 1 END AS level FROM r),
+m AS (SELECT *, lead(pos) OVER (PARTITION BY page_id, level ORDER BY pos) AS shut FROM l)
+SELECT page_id, count(*) AS blocks, count(shut) AS closed, CAST(max(shut - pos) AS BIGINT) AS longest FROM m WHERE c = '<' GROUP BY page_id""")
+def page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Balanced angle brackets of every page: how many, how many that close, and the longest."""
+    rows = table(spark, sf_dir, "pages").select("page_id", F.col("html").alias("code"))
+    found = blocks(rows, "page_id", "<>")
+    return found.groupBy("page_id").agg(F.count("*").alias("blocks"), F.count("close").alias("closed"), F.max(F.col("close") - F.col("open")).cast("long").alias("longest"))
+
+
+@query("""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+u AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS norm FROM v), n AS (SELECT * FROM u WHERE norm > 0),
+s AS (SELECT q.vec_id AS query_id, x.vec_id AS vec_id, round(list_dot_product(q.e, x.e) / (q.norm * x.norm), 9) AS s FROM n q JOIN n x ON q.vec_id <> x.vec_id WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, round(s, 6) AS similarity FROM r WHERE rank <= 5""")
+def knn_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest of every vector whose id 20 divides, by an index of all vectors, searched until the answer is exact."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    index = VectorIndex.build(rows, temporary_path(spark))
+    queries = rows.where("id % 20 = 0").select(F.col("id").alias("query_id"), "vector")
+    return index.search(queries, 5).select("query_id", "rank", F.col("id").alias("vec_id"), F.round("similarity", 6).alias("similarity"))

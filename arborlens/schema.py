@@ -46,7 +46,8 @@ LABEL_OF_PREFIX = {
 
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     """df with exactly the columns of schema; missing ones are null."""
-    return df.select(*(F.col(f.name).cast(f.dataType).alias(f.name) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema))
+    have = set(df.columns)
+    return df.selectExpr(*(f"cast({f'`{f.name}`' if f.name in have else 'null'} as {f.dataType.simpleString()}) as `{f.name}`" for f in schema))
 
 
 def rank(resolution: Column) -> Column:

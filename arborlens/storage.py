@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 
@@ -38,3 +39,33 @@ def exists(table: DataFrame) -> bool:
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
         return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
     return False
+
+
+def delete(table: DataFrame) -> None:
+    """Deletes the folders of a materialized table."""
+    spark = table.sparkSession
+    for folder in {name.rpartition("/")[0] for name in table.inputFiles()}:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def files_state(spark: SparkSession, paths: list[str]) -> str:
+    """A digest of the names, sizes and times of all files below the paths, by which a copy of what they hold is known to be up to date."""
+    digest = hashlib.sha256()
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for name in paths:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        store = path.getFileSystem(conf)
+        if not store.exists(path):
+            continue
+        found = store.listFiles(path, True)
+        while found.hasNext():
+            f = found.next()
+            digest.update(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}\n".encode())
+    return digest.hexdigest()
+
+
+def remove(spark: SparkSession, files: list[str]) -> None:
+    for name in files:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, False)
