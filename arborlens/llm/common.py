@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import contextlib
 import contextvars
+import ctypes
+import gc
 import uuid
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
@@ -26,12 +29,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 _folder: contextvars.ContextVar[str | None] = contextvars.ContextVar("folder", default=None)
 
 
-def materialize(df: DataFrame, stays: bool = False) -> DataFrame:
+def materialize(df: DataFrame, stays: bool = False, codec: str | None = None) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: lineage ends here and survives lost executors. With
-    `stays` the end of a scratch block leaves the table."""
+    `stays` the end of a scratch block leaves the table; tables with whole texts are worth a denser codec than Spark's own."""
     spark = df.sparkSession
     path = f"{_folder.get() if _folder.get() and not stays else shared_dir(spark)}/arborlens-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.option("compression", codec) if codec else df.write).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written = path
     return out
@@ -100,6 +103,14 @@ def labelled_texts(base: DataFrame, learned: DataFrame, sample: int) -> DataFram
     return rows.groupBy("doc_id", "_key").agg(F.min("label").alias("label"), F.first("raw").alias("raw")).select("label", "raw")
 
 
+def release() -> None:
+    """Gives what a task has freed back to the system: a worker stays for later tasks, beside those of other functions, and would keep it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def with_text_score(docs: DataFrame, name: str, score: Callable[[], Callable[[list[bytes]], np.ndarray]]) -> DataFrame:
     """docs with a double column of what the function that score() makes in each task gives for the texts; all other columns
     pass through as they are, so that rows can be filtered where they lie."""
@@ -108,11 +119,12 @@ def with_text_score(docs: DataFrame, name: str, score: Callable[[], Callable[[li
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = score()
         for batch in batches:
-            raw = [t or b"" for t in batch.column(text).cast(pa.binary()).to_pylist()]
-            found = [np.zeros(0)]
-            for low, high in groups_of_bytes((len(t) for t in raw), WINDOW):
-                found.append(np.asarray(of(raw[low:high]), float))
+            texts, found = batch.column(text).cast(pa.binary()), [np.zeros(0)]
+            # only one group's texts are Python objects at a time
+            for low, high in groups_of_bytes(pc.fill_null(pc.binary_length(texts), 0).to_pylist(), WINDOW):
+                found.append(np.asarray(of([t or b"" for t in texts.slice(low, high - low).to_pylist()]), float))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(found))], names=[*batch.schema.names, name])
+        release()
 
     docs = docs.withColumn("text", F.col("text").cast("string"))
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))

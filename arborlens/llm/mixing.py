@@ -91,7 +91,7 @@ def mix_sources(docs: DataFrame, **options: object) -> DataFrame:
 def mixed_rows(docs: DataFrame, **options: object) -> DataFrame:
     """The mix itself: rows of docs, each as often as it was taken. Rows go by a number of their own, so ids may repeat or
     be missing."""
-    rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()).withColumn("_size", word_count(F.col("text"))))
+    rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()).withColumn("_size", word_count(F.col("text"))), codec="zstd")
     sizes = rows.select("_row", F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("_size").alias("size"), F.xxhash64("text").alias("hash"))
     chosen = taken_copies(sizes, order=("hash",), **options).where("copies > 0").select("_row", "copies")
     return rows.join(chosen, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, batches_of_texts, connected_components, discard, join_spread, materialize, mix, text_bytes, word_hashes
+from .common import U64, batches_of_texts, connected_components, discard, join_spread, materialize, mix, release, text_bytes, word_hashes
 
 #: Shingles in a fragment, about, once FRAGMENTS of them are full (a set has a row in each fragment); wide fragments in
 #: which pairs are counted; hub rounds at most; sets of one shingle that one task pairs; places of a hub's pairs.
@@ -89,6 +89,7 @@ def _cut(frames: Iterator[pd.DataFrame], fragments: int, width: int) -> Iterator
                 rows.append((int(f), print_[own].tobytes(), size[own].astype(np.int32).tobytes(), count[own].astype(np.int32).tobytes(), low48[a:b].tobytes()))
             serial += 1
             yield pd.DataFrame(rows, columns=["fragment", "keys", "sizes", "counts", "body"])
+    release()
 
 
 CUT = "fragment int, keys binary, sizes binary, counts binary, body binary"
@@ -153,6 +154,7 @@ def _share(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             rows.append((keys, sizes, counts, body))
     if rows:
         yield from _pick(now, rows)
+    release()
 
 
 def count_pairs(pairs: DataFrame, wide: DataFrame) -> DataFrame:

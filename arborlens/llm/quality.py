@@ -131,7 +131,7 @@ def score_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Data
     labels = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("quality").cast("int").alias("label")).where("_id is not null and label in (0, 1)")
     labels = materialize(labels.where(~held_out(F.col("_id"))).groupBy("_id").agg(F.min("label").alias("label")))
     evidence = fit_evidence(docs, labels.withColumnRenamed("_id", "doc_id"), sample)
-    scored = materialize(with_text_score(docs, "_evidence", evidence).withColumn("_site", site_of(F.col("source"), F.col("lang"))))
+    scored = materialize(with_text_score(docs, "_evidence", evidence).withColumn("_site", site_of(F.col("source"), F.col("lang"))), codec="zstd")
     rows = scored.select(F.col("doc_id").cast("long").alias("_id"), F.col("source").cast("string").alias("source"), "_site", "_evidence")
     total = rows.count()
     marked = rows.groupBy("_id").agg(F.count("*").alias("k")).join(labels, "_id")

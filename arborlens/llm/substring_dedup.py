@@ -245,7 +245,7 @@ def _hot_bits(contents: DataFrame, width: int) -> DataFrame:
 
 def repeated_segments(rows: DataFrame, width: int = WIDTH, gram: int = GRAM, kinds: int = KINDS, shard: int = SHARD) -> DataFrame:
     """uid, at, bits for rows (uid, raw), one table: windows at + k of the document repeat somewhere where bit k is set."""
-    found = materialize(rows.select("uid", "raw").mapInArrow(_cut(width, gram), SEGMENTS))
+    found = materialize(rows.select("uid", "raw").mapInArrow(_cut(width, gram), SEGMENTS), codec="zstd")
     key = F.struct("mark", "body").alias("key")
     distinct = materialize(found.groupBy("mark", "body").agg(F.count("*").alias("k"), F.min(F.struct("uid", "at", "n")).alias("one")))
     marks = distinct.groupBy("mark").agg(F.sum("k").alias("times"), F.count("*").alias("kinds")).where("times > 1").drop("times")
@@ -290,6 +290,6 @@ def _keep(width: int):
 def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, kinds: int = KINDS, shard: int = SHARD) -> DataFrame:
     """doc_id, n_words, n_removed and the kept words (joined by one space) of every row of docs."""
     assert _SEPARATOR[[0x20, *range(0x09, 0x0E)]].all() and 1 <= gram <= width and width - gram < 62
-    rows = materialize(docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), text_bytes(F.col("text")).alias("raw")))
+    rows = materialize(docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), text_bytes(F.col("text")).alias("raw")), codec="zstd")
     hits = repeated_segments(rows, width, gram, kinds, shard).groupBy("uid").agg(F.collect_list(F.struct("at", "bits")).alias("hits"))
     return rows.join(hits, "uid", "left").select("doc_id", "raw", "hits").mapInArrow(_keep(width), "doc_id long, n_words long, n_removed long, kept string")
