@@ -26,7 +26,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of linked texts stays, that of least doc_id (rows without id last). Rows are compared as rows,
     whether their ids repeat or are missing; texts without words link with nothing and stay."""
-    rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()))
+    rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), codec="zstd")
     linked = jaccard_join(rows.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group"))
     place = F.struct(F.col("doc_id").isNull(), F.col("doc_id").cast("long"), "_row")
     first = linked.join(rows.select("_row", place.alias("_place")), "_row").groupBy("_group").agg(F.min("_place").alias("_place")).select("_place._row")
