@@ -321,6 +321,49 @@ def web_imports(files: DataFrame) -> DataFrame:
     return found.select("path", "line", F.substring(module, 2, 1_000_000).alias("m"), F.concat(default, star, named, whole).alias("names")).select("path", "line", F.expr("substring(m, 1, length(m) - 1)").alias("module_path"), "names")
 
 
+#: Words before a bracket that call nothing.
+WEB_WORDS = "if for while switch catch function return typeof await new in of do else case delete void yield super import require async throw instanceof".split()
+
+
+def web_functions(files: DataFrame) -> DataFrame:
+    """(path, name, line, end_line, calls, renders, classes, is_exported, is_component, hardcoded_colors, off_scale_values, inline_style_count) of the functions
+    that stand outside of any block of a web file: declarations, and constants that are arrow functions. `calls` are chains before a
+    bracket, `renders` the components its markup names, `classes` its literal class names; colours and values that bypass
+    the design tokens are those written out in class names."""
+    rows = coded(files.where(F.col("language").isin("typescript", "javascript")))
+    declared = r"\bfunction\s*\*?\s+[\w$]+\s*(?:<[^<>()]*>)?\s*\("
+    arrow = r"\b(?:const|let|var)\s+[\w$]+\s*(?::[^=;\n]+)?=\s*(?:async\s+)?(?:<[^<>()]*>\s*)?(?:\([^()]*\)|[\w$]+)\s*(?::\s*[^=;{}\n]+)?=>\s*[\{\(]"
+    nested = nest.blocks(rows, "path", "{}()")
+    first = nest.heads(rows, f"{declared}|{arrow}", keep=("code",)).withColumn("at", F.col("stop") - 1)
+    first = first.withColumn("declared", F.col("head").startswith("function"))
+    # behind the parameters of a declaration its body begins
+    ends = first.where("declared").join(nested.select("path", F.col("open").alias("at"), "close"), ["path", "at"]).withColumn("open", nest.place("code", "{", F.col("close")))
+    found = first.where("not declared").select("path", "start", "head", F.col("at").alias("open")).unionByName(ends.where("open is not null").select("path", "start", "head", "open"))
+    found = found.join(nested, ["path", "open"]).where("depth = 0 and close is not null").drop("depth").join(rows.select("path", "code", "bare"), "path")
+    inside, shown = nest.between("code", F.col("open") + 1, F.col("close")), nest.between("bare", F.col("open"), F.col("close") + 1)
+    before = nest.between("code", F.greatest(F.lit(0), F.col("start") - 24), F.col("start"))
+    name = F.regexp_extract("head", r"^(?:function\s*\*?|const|let|var)\s+([\w$]+)", 1)
+    found = found.select("path", name.alias("name"), nest.line_of("code", F.col("start")).alias("line"), nest.line_of("code", F.col("close")).alias("end_line"), inside.alias("c"), shown.alias("b"), before.rlike(r"\bexport\s+(?:default\s+)?(?:async\s+)?$").alias("is_exported"))
+    calls = F.filter(F.regexp_extract_all("c", F.lit(r"([A-Za-z_$][\w$]*(?:\??\.[A-Za-z_$][\w$]*)*)\s*\(")), lambda n: ~n.isin(WEB_WORDS))
+    calls = F.array_distinct(F.transform(calls, lambda n: F.regexp_replace(F.regexp_replace(n, r"\?\.", "."), r"^this\.", "")))
+    classes = F.flatten(F.transform(F.regexp_extract_all("b", F.lit(r"class(?:Name)?=[\"']([^\"']+)[\"']")), lambda v: F.split(F.trim(v), r"\s+")))
+    colors, values = scanners.style_drift(F.col("b"))
+    markup = F.col("c").rlike(r"<[A-Za-z][\w.]*[\s/>]|<>")
+    return found.select(
+        "path", "name", "line", "end_line", "is_exported", calls.alias("calls"), F.array_distinct(F.regexp_extract_all("c", F.lit(r"<([A-Z][\w.]*)[\s/>]"))).alias("renders"), F.array_distinct(classes).alias("classes"),
+        (F.col("name").rlike("^[A-Z]") & markup).alias("is_component"), colors.alias("hardcoded_colors"), values.alias("off_scale_values"), F.regexp_count("c", F.lit(r"\bstyle=\{\{")).cast("int").alias("inline_style_count"),
+    )
+
+
+def source_slices(files: DataFrame, spans: DataFrame) -> DataFrame:
+    """spans (file_path, start_line, end_line and more) with `source`: these lines of the file, both included; null where the file is not there
+    or no such line is."""
+    lines = F.split("text", "\n")
+    some = F.col("start_line").between(1, F.size(lines)) & (F.col("end_line") >= F.col("start_line"))
+    source = F.when(some, F.array_join(F.slice(lines, F.col("start_line"), F.least("end_line", F.size(lines)) - F.col("start_line") + 1), "\n"))
+    return spans.join(files.select(F.col("path").alias("_path"), "text"), F.col("file_path") == F.col("_path"), "left").select(*spans.columns, source.alias("source"))
+
+
 def web_routes(files: DataFrame, guards: list[str]) -> tuple[DataFrame, DataFrame]:
     """((path, line, method, route, handler, middleware) of calls that register a route, (pattern, file_path) of `use` calls whose
     functions name one of the guards). A route's functions are names: the last is its handler, those before it its middleware."""

@@ -55,12 +55,13 @@ def data_models(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return models, own.dropDuplicates(["model", "field"]), related.distinct()
 
 
-def build(spark: SparkSession, root: str, repo_id: str, ignore: list[str] | None = None) -> CodeGraph:
-    return from_files(materialize(src.scan(spark, root, ignore)), repo_id)
+def build(spark: SparkSession, root: str, repo_id: str, ignore: list[str] | None = None, advisories: DataFrame | None = None) -> CodeGraph:
+    return from_files(materialize(src.scan(spark, root, ignore)), repo_id, advisories)
 
 
-def from_files(files: DataFrame, repo_id: str) -> CodeGraph:
-    """The graph of (path, language, config_type, text) rows."""
+def from_files(files: DataFrame, repo_id: str, advisories: DataFrame | None = None) -> CodeGraph:
+    """The graph of (path, language, config_type, text) rows; advisories (name, latest_version, vulnerabilities) enrich the packages
+    in use."""
     files = materialize(src.coded(files))
     rows = materialize(python_rows(files))
     at = lambda *parts: F.concat(*(F.lit(p) if p.endswith("::") or p == "." else F.col(p) for p in parts))
@@ -74,6 +75,16 @@ def from_files(files: DataFrame, repo_id: str) -> CodeGraph:
         "signature", "docstring", "complexity", "decorators", F.col("returns").alias("return_type"), "calls", F.col("params").alias("parameters"), "annotations", (~private & F.col("class_name").isNull()).alias("is_exported"), is_test.alias("is_test"), fixture.alias("is_fixture"),
         (F.exists(F.coalesce("decorators", F.array().cast("array<string>")), lambda d: d.rlike(ROUTE)) | (F.col("name") == "main")).alias("is_entry_point"), F.when(private, "private").otherwise("public").alias("visibility"), F.exists("calls", lambda c: F.lower(c).rlike("auth|permission|jwt")).alias("calls_auth"),
     )
+    web = materialize(src.web_functions(files))
+    web_name = F.concat_ws("::", "path", "name")
+    functions = functions.unionByName(
+        web.select(
+            F.concat(F.lit("func::"), web_name).alias("id"), F.lit("Function").alias("label"), "name", web_name.alias("qualified_name"), F.col("path").alias("file_path"), F.col("line").alias("start_line"), "end_line", "calls",
+            "is_exported", F.lit(False).alias("is_test"), F.lit(False).alias("is_fixture"), "is_component", F.lit(False).alias("is_entry_point"), F.when(F.col("is_exported"), "public").otherwise("private").alias("visibility"),
+            F.exists("calls", lambda c: F.lower(c).rlike("auth|permission|jwt")).alias("calls_auth"), "hardcoded_colors", "off_scale_values", "inline_style_count",
+        ).dropDuplicates(["id"]),
+        allowMissingColumns=True,
+    )
     lines = scanners.lines(files.where("language is not null"), "path", "text")
     # comments hold no calls
     bare_lines = scanners.lines(files.where("language is not null"), "path", "bare")
@@ -139,6 +150,8 @@ def from_files(files: DataFrame, repo_id: str) -> CodeGraph:
     outside = imports.withColumnRenamed("path", "file_path").join(targets, ["file_path", "line"], "left_anti").where(~F.col("module_path").startswith(".")).select("file_path", scalars.package(F.col("module_path"), F.col("language")).alias("name")).where("name is not null")
     versions = src.manifest_dependencies(files).groupBy("name").agg(F.max_by("version", "path").alias("version"))
     deps = outside.groupBy("name").agg(F.count("*").cast("int").alias("import_count")).join(versions, "name", "left").select(F.concat(F.lit("dep::"), F.col("name")).alias("id"), F.lit("Dependency").alias("label"), "name", "version", "import_count")
+    if advisories is not None:
+        deps = links.enrich_dependencies(deps, advisories)
     depends = edge(outside.distinct().select(F.concat(F.lit("file::"), F.col("file_path")).alias("src"), F.concat(F.lit("dep::"), F.col("name")).alias("dst")), "DEPENDS_ON")
     reads = files.select("path", F.explode(scanners.env_names(F.col("text"), F.col("language"))).alias("name"))
     env = src.env_template(files).withColumn("k", F.lit(1)).unionByName(reads.select("name", F.lit(None).cast("string").alias("default_value"), F.lit(False).alias("required"), F.lit(2).alias("k")))
@@ -157,6 +170,12 @@ def from_files(files: DataFrame, repo_id: str) -> CodeGraph:
     references = edge(links.document_references(mentioned, entities, files.select("path")).select("src", "dst").distinct(), "REFERENCES")
     tokens = src.css_tokens(files).select(F.concat(F.lit("token::"), F.col("name")).alias("id"), F.lit("Token").alias("label"), "name", "raw_name", "value", "category", "references", F.col("path").alias("file_path"))
 
+    # what components render, and the tokens their class names draw from
+    own_web = web.select(F.concat(F.lit("func::"), web_name).alias("src"), F.col("path").alias("file_path"), "renders", "classes")
+    shown = own_web.select("src", "file_path", F.explode("renders").alias("name")).distinct()
+    renders = edge(links.named_targets(shown, entities, imported).where("src <> target").select("src", F.col("target").alias("dst")).distinct(), "RENDERS")
+    uses_token = edge(links.token_usage(own_web.select("src", F.explode("classes").alias("name")).distinct(), tokens), "USES_TOKEN")
+
     # routes, data models, stored functions, flags, packages in use
     marked = functions.select("id", "name", "file_path", "start_line", "decorators", F.explode(F.coalesce("decorators", F.array().cast("array<string>"))).alias("d")).where(F.col("d").rlike(ROUTE))
     route_id = F.concat_ws("::", F.lit("route"), "file_path", F.col("start_line").cast("string"), F.upper(F.regexp_extract("d", ROUTE, 1)), F.regexp_extract("d", ROUTE, 2))
@@ -165,9 +184,9 @@ def from_files(files: DataFrame, repo_id: str) -> CodeGraph:
     guarded = F.flatten(F.transform(F.regexp_extract_all("d", F.lit(r"(?s)dependencies\s*=\s*\[(.*?)\]")), lambda d: F.regexp_extract_all(d, F.lit(r"(?:Depends|Security)\(\s*([A-Za-z_][\w.]*)"))))
     others = F.filter("decorators", lambda d: ~d.rlike(ROUTE))
     mine = marked.select(route_id.alias("id"), F.when(method == "ROUTE", "ALL").otherwise(method).alias("method"), F.regexp_extract("d", ROUTE, 2).alias("path"), F.col("name").alias("handler_name"), "file_path", F.col("start_line").alias("line"), guarded.alias("middleware"), others.alias("decorators"))
-    web, web_guards = src.web_routes(files, scalars.GUARD_WORDS)
+    web_calls, web_guards = src.web_routes(files, scalars.GUARD_WORDS)
     web_id = F.concat_ws("::", F.lit("route"), "path", F.col("line").cast("string"), "method", "route")
-    found_routes = materialize(mine.unionByName(web.select(web_id.alias("id"), F.when(F.col("method") == "ALL", "ALL").otherwise(F.col("method")).alias("method"), F.col("route").alias("path"), F.col("handler").alias("handler_name"), F.col("path").alias("file_path"), "line", "middleware", texts.alias("decorators"))))
+    found_routes = materialize(mine.unionByName(web_calls.select(web_id.alias("id"), F.when(F.col("method") == "ALL", "ALL").otherwise(F.col("method")).alias("method"), F.col("route").alias("path"), F.col("handler").alias("handler_name"), F.col("path").alias("file_path"), "line", "middleware", texts.alias("decorators"))))
     # guards of whole applications and routers, from all files before any route is judged
     app_wide = files.where("language = 'python'").select(F.col("path").alias("file_path"), F.explode(F.regexp_extract_all("bare", F.lit(r"(?s)(?:FastAPI|APIRouter)\([^)]*?dependencies\s*=\s*\[([^\]]*)\]"))).alias("given")).where(F.lower("given").rlike("|".join(scalars.GUARD_WORDS))).select(F.lit("*").alias("pattern"), "file_path")
     patterns = materialize(web_guards.unionByName(app_wide).distinct())
@@ -208,7 +227,7 @@ def from_files(files: DataFrame, repo_id: str) -> CodeGraph:
     holds = edge(fields.select(F.col("_class").alias("src"), F.col("id").alias("dst")), "HAS_FIELD")
 
     nodes = [file_nodes, functions, classes, import_nodes, deps, env_nodes, documents, section_nodes, tokens, routes, models, model_fields, stored, flags, fields]
-    edges = [contains, methods, defined, exports, import_edges, inherits, calls, edge(covered, "TESTS_FUNCTION", "depth"), test_files, edge(fixtures, "USES_FIXTURE"), depends, uses_env, has_section, references, handles, uses_middleware, has_field, relations, uses_model, calls_rpc, edge(gates, "GATES"), uses_package, accepts, holds]
+    edges = [contains, methods, defined, exports, import_edges, inherits, calls, edge(covered, "TESTS_FUNCTION", "depth"), test_files, edge(fixtures, "USES_FIXTURE"), depends, uses_env, has_section, references, handles, uses_middleware, renders, uses_token, has_field, relations, uses_model, calls_rpc, edge(gates, "GATES"), uses_package, accepts, holds]
     own_id = lambda df: df.withColumn("repo_id", F.lit(repo_id))
     all_nodes = reduce(DataFrame.unionByName, (conform(own_id(n), NODES) for n in nodes))
     all_edges = reduce(DataFrame.unionByName, (conform(own_id(e), EDGES) for e in edges))

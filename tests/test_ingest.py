@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from arborlens.sources import store
-from arborlens.sources.files import scan
+from arborlens.sources.files import scan, source_slices
 from arborlens.sources.ingest import build, from_files
 
 FILES = {
@@ -120,3 +120,51 @@ def test_store_and_changes(graph, spark, tmp_path):
 def test_empty_folder(spark, tmp_path):
     (tmp_path / "note.txt").write_text("x")
     assert scan(spark, str(tmp_path)).select(F.count("*")).first()[0] == 0
+
+
+WEB = {
+    "tsconfig.json": '{ // aliases\n "compilerOptions": { "baseUrl": ".", "paths": { "@ui/*": ["app/ui/*"], }, },\n}',
+    "app/ui/button.tsx": "export function Button({ label }: Props) {\n  return <button className=\"bg-primary p-[3px] text-[#ff0000]\" style={{ a: 1 }}>{format(label)}</button>\n}\nfunction format(x) { return x.trim() }\n",
+    "app/page.tsx": "import { Button } from '@ui/button'\nimport { load } from './api'\n// <Gone /> gone()\nexport const Page = async () => {\n  const rows = await load('x')\n  return <Button label={rows} />\n}\n",
+    "app/api.ts": "import express from 'express'\nimport { requireLogin, list as show } from './guards'\nconst router = express.Router()\nrouter.use('/admin/*', requireAuth)\nrouter.get('/admin/users', requireLogin, show)\nrouter.post('/open', save)\nexport async function load(id: string): Promise<string> { return check(id) }\nfunction save(req) { return 1 }\n",
+    "app/guards.ts": "export const requireLogin = (req) => { next() }\nexport function list() { return [] }\n",
+    "app/theme.css": ":root { --color-primary: #00f; /* --color-no: red; */ }\n",
+    "svc.py": "from fastapi import APIRouter, Depends\nfrom guard import current_user\n\nrouter = APIRouter(dependencies=[Depends(current_user_token)])\n\n\n@router.get('/me', dependencies=[Depends(current_user)])\ndef me():\n    # supabase.table('accounts').delete()\n    return supabase.table('accounts').select('*')\n",
+    "guard.py": "def current_user():\n    return 1\n",
+    "schema.prisma": "model Account {\n  id Int @id\n  @@map(\"accounts\")\n}\n",
+    "requirements.txt": "fastapi==0.1\n",
+    ".gitignore": "app/old/\n",
+    "app/old/x.ts": "export function old() {}\n",
+}
+
+
+def test_web_files_aliases_middleware_and_drift(spark, tmp_path):
+    for name, text in WEB.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    known = spark.createDataFrame([("fastapi", "0.2", ["CVE-1"])], "name string, latest_version string, vulnerabilities array<string>")
+    graph = build(spark, str(tmp_path), "web", advisories=known)
+    assert ("file::app/page.tsx", "file::app/ui/button.tsx") in pairs(graph, "IMPORTS") and ("file::app/page.tsx", "file::app/api.ts") in pairs(graph, "IMPORTS")
+    assert not [r for r in graph.label("File").collect() if r["path"].startswith("app/old")]
+    functions = {r["id"]: r for r in graph.label("Function").collect()}
+    button = functions["func::app/ui/button.tsx::Button"]
+    assert (button["is_component"], button["start_line"], button["end_line"], button["hardcoded_colors"], button["off_scale_values"], button["inline_style_count"]) == (True, 1, 3, ["#ff0000"], ["3px"], 1)
+    calls = {(s, d) for s, d in pairs(graph, "CALLS")}
+    assert {("func::app/page.tsx::Page", "func::app/api.ts::load"), ("func::app/ui/button.tsx::Button", "func::app/ui/button.tsx::format")} <= calls
+    assert pairs(graph, "RENDERS") == [("func::app/page.tsx::Page", "func::app/ui/button.tsx::Button")]
+    assert pairs(graph, "USES_TOKEN") == [("func::app/ui/button.tsx::Button", "token::color-primary")]
+    # middleware and handlers of other files, and guards of whole routers
+    routes = {(r["method"], r["path"]): r for r in graph.label("Route").collect()}
+    assert {k: r["has_auth"] for k, r in routes.items()} == {("GET", "/admin/users"): True, ("POST", "/open"): False, ("GET", "/me"): True}
+    assert (routes["GET", "/admin/users"]["id"], "func::app/guards.ts::requireLogin") in pairs(graph, "USES_MIDDLEWARE")
+    assert (routes["GET", "/me"]["id"], "func::guard.py::current_user") in pairs(graph, "USES_MIDDLEWARE")
+    handled = set(pairs(graph, "HANDLES"))
+    assert {(routes["GET", "/admin/users"]["id"], "func::app/guards.ts::list"), (routes["POST", "/open"]["id"], "func::app/api.ts::save"), (routes["GET", "/me"]["id"], "func::svc.py::me")} == handled
+    assert pairs(graph, "USES_MODEL", "access") == [("func::svc.py::me", "model::Account", "read")]
+    package = graph.label("Dependency").where("name = 'fastapi'").first()
+    assert (package["is_outdated"], package["vulnerability_count"]) == (True, 1)
+    assert ("func::app/page.tsx::Page", "dep::express") not in pairs(graph, "USES_DEPENDENCY")
+    spans = graph.label("Function").where("name = 'format'").select("id", "file_path", "start_line", "end_line")
+    files = scan(spark, str(tmp_path))
+    assert source_slices(files, spans).first()["source"] == "function format(x) { return x.trim() }"
+    assert source_slices(files.limit(0), spans).first()["source"] is None
