@@ -97,7 +97,7 @@ def sql_injection(body: Column, language: Column) -> Column:
     """Whether a line puts SQL together from values; comment lines do not count."""
     word = r"\b(?:SELECT|INSERT|UPDATE|DELETE|DROP)\b"
     concat = body.rlike(rf"""(?i)["'].*{word}.*["']\s*\+""")
-    python = body.rlike(rf"""(?i)f["'].*{word}.*\{{""") | body.rlike(rf"""(?i)["'].*{word}.*["']\s*%\s*[^(\s]""") | body.rlike(rf"""(?i)["'].*{word}.*\{{.*\}}.*["']\.format\(""")
+    python = body.rlike(rf"""(?i)f["'].*{word}.*\{{""") | body.rlike(rf"""(?i)["'].*{word}.*["']\s*%\s*(?!\()""") | body.rlike(rf"""(?i)["'].*{word}.*\{{.*\}}.*["']\.format\(""")
     web = body.rlike(rf"(?i)`[^`]*{word}[^`]*\$\{{")
     return ~body.rlike(r"^\s*(#|//|\*)") & (concat | F.when(language == "python", python).otherwise(web))
 
@@ -154,22 +154,22 @@ def token_category(name: Column, value: Column) -> Column:
     )
 
 
-# The namespaces of tokens that utility classes of a prefix draw from.
+# The namespaces of tokens that utility classes of a prefix draw from, nearest first.
 UTILITY_SPACES = {
-    ("color",): ["bg", "border", "ring", "ring-offset", "fill", "stroke", "outline", "decoration", "accent", "caret", "placeholder", "divide", "from", "via", "to"],
-    ("color", "text"): ["text"], ("shadow", "color"): ["shadow"], ("radius",): ["rounded"], ("font",): ["font"], ("leading",): ["leading"], ("tracking",): ["tracking"],
-    ("z",): ["z"], ("animate", "animation"): ["animate"], ("duration",): ["duration"], ("ease",): ["ease"],
-    ("spacing",): [
-        "p", "px", "py", "pt", "pr", "pb", "pl", "ps", "pe", "m", "mx", "my", "mt", "mr", "mb", "ml", "ms", "me", "gap", "gap-x", "gap-y", "space-x", "space-y",
-        "w", "h", "size", "min-w", "max-w", "min-h", "max-h",
-    ],
+    "bg": ["color"], "text": ["color", "text"], "border": ["color"], "ring": ["color"], "ring-offset": ["color"], "fill": ["color"], "stroke": ["color"], "outline": ["color"], "decoration": ["color"],
+    "accent": ["color"], "caret": ["color"], "placeholder": ["color"], "divide": ["color"], "from": ["color"], "via": ["color"], "to": ["color"],
+    "shadow": ["shadow", "color"], "rounded": ["radius"], "font": ["font"], "leading": ["leading"], "tracking": ["tracking"], "z": ["z"], "animate": ["animate", "animation"], "duration": ["duration"], "ease": ["ease"],
+    "p": ["spacing"], "px": ["spacing"], "py": ["spacing"], "pt": ["spacing"], "pr": ["spacing"], "pb": ["spacing"], "pl": ["spacing"], "ps": ["spacing"], "pe": ["spacing"],
+    "m": ["spacing"], "mx": ["spacing"], "my": ["spacing"], "mt": ["spacing"], "mr": ["spacing"], "mb": ["spacing"], "ml": ["spacing"], "ms": ["spacing"], "me": ["spacing"],
+    "gap": ["spacing"], "gap-x": ["spacing"], "gap-y": ["spacing"], "space-x": ["spacing"], "space-y": ["spacing"],
+    "w": ["spacing"], "h": ["spacing"], "size": ["spacing"], "min-w": ["spacing"], "max-w": ["spacing"], "min-h": ["spacing"], "max-h": ["spacing"],
 }
 
 
 def utility_tokens(name: Column) -> Column:
     """Token names a utility class may draw from, nearest first: those of its prefix's namespaces, and for colours the bare
     name. Arbitrary values, fractions and bare utilities draw from none."""
-    spaces = {p: list(k) for k, v in UTILITY_SPACES.items() for p in v}
+    spaces = UTILITY_SPACES
     bare = F.regexp_replace(F.element_at(F.split(name, ":"), -1), "^[!-]+", "")
     shape = "^(" + "|".join(sorted(spaces, key=len, reverse=True)) + ")-(.+)$"
     prefix, rest = F.regexp_extract(bare, shape, 1), F.regexp_extract(bare, shape, 2)

@@ -15,6 +15,7 @@ from .functions import scalars
 from .operators import reports
 from .operators.traverse import closure, longest_chain, reach, shortest_paths, simple_cycles
 from .schema import EDGES, NODES, conform, confidence, rank
+from .sources.files import source_slices
 from .storage import materialize
 
 LIST_CAP = 25
@@ -98,10 +99,17 @@ class CodeGraph:
 
     # ------------------------------------------------------------ entities
 
-    def function_context(self, name: str) -> DataFrame:
+    def function_context(self, name: str, files: DataFrame | None = None) -> DataFrame:
+        """Functions of the name with callers, callees and components; with files (path, text) their source too."""
         base = self.named(name, "Function").select("id", "qualified_name", "name", "signature", "docstring", "start_line", "end_line", "is_async", "complexity", "decorators", "visibility", "return_type", "file_path", "class_name")
         sides = [self._best(["CALLS"], "dst", "src", "callers"), self._best(["CALLS"], "src", "dst", "callees"), self._list(["RENDERS"], "renders", what="qualified_name"), self._list(["RENDERS"], "rendered_by", "dst", "src", "qualified_name")]
-        return self._with(base, *sides).orderBy("qualified_name")
+        rows = self._with(base, *sides)
+        return (source_slices(files, rows) if files is not None else rows).orderBy("qualified_name")
+
+    def source(self, name: str, files: DataFrame) -> DataFrame:
+        """(qualified_name, file_path, start_line, end_line, source) of the functions and classes of the name."""
+        spans = self.named(name, "Function", "Class").select("qualified_name", "file_path", "start_line", "end_line")
+        return source_slices(files, spans).orderBy("qualified_name")
 
     def class_structure(self, name: str) -> DataFrame:
         base = self.named(name, "Class").select("id", "name", "qualified_name", "kind", "bases", "file_path")

@@ -38,7 +38,8 @@ def keep_best_edges(edges: DataFrame) -> DataFrame:
 
 
 def inherited_methods(methods: DataFrame, bases: DataFrame, most: int = 10) -> DataFrame:
-    """(class_id, name, target): methods a class has through its bases, the nearest first, then in base order.
+    """(class_id, name, target): methods a class has through its bases, the nearest first, then in base order; bases more than
+    `most` steps up (a fixed value by default) are not looked at.
     methods (class_id, name, target), bases (class_id, base_id, place)."""
     line = bases.select("class_id", "base_id", F.array("place").alias("order"), F.lit(1).alias("depth"))
     found = [line]

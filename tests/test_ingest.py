@@ -168,3 +168,8 @@ def test_web_files_aliases_middleware_and_drift(spark, tmp_path):
     files = scan(spark, str(tmp_path))
     assert source_slices(files, spans).first()["source"] == "function format(x) { return x.trim() }"
     assert source_slices(files.limit(0), spans).first()["source"] is None
+    assert graph.source("current_user", files).first()["source"] == "def current_user():\n    return 1"
+    context = graph.function_context("Page", files).first()
+    assert context["source"].startswith("export const Page") and [c["name"] for c in context["callees"]] == ["app/api.ts::load"] and context["renders"] == ["app/ui/button.tsx::Button"]
+    drift = {(r["part"], r["item"]): r["n"] for r in graph.drift().collect()}
+    assert drift["colour", "#ff0000"] == 1 and drift["file", "app/ui/button.tsx"] == 3
