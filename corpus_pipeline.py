@@ -3,11 +3,14 @@ kept, which is written as Parquet and read again; all but the last return the co
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arborlens.llm.common import discard, materialize, scratch, table
+from arborlens.llm.common import discard, materialize, release, scratch, table
 from arborlens.llm.mixing import mixed_rows
 from arborlens.llm.ngram_join import jaccard_join
 from arborlens.llm.packing import pack_documents
@@ -15,14 +18,30 @@ from arborlens.llm.quality import keep_quality
 from arborlens.llm.toxicity import keep_clean
 
 
+def lean(stage: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """The stage with the driver's garbage, such as plans of the stage before and what a model was fitted on, given back before and after."""
+
+    @functools.wraps(stage)
+    def run(*args: object) -> DataFrame:
+        release()
+        out = stage(*args)
+        release()
+        return out
+
+    return run
+
+
+@lean
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_quality(docs, table(spark, sf_dir, "labels"))
 
 
+@lean
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_clean(docs, table(spark, sf_dir, "labels"))
 
 
+@lean
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of linked texts stays, that of least doc_id (rows without id last). Rows are compared as rows,
     whether their ids repeat or are missing; texts without words link with nothing and stay."""
@@ -33,10 +52,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return rows.join(first, "_row", "left_semi").select(*docs.columns)
 
 
+@lean
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixed_rows(docs)
 
 
+@lean
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
