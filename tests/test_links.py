@@ -15,7 +15,7 @@ def test_dependencies_and_routes(spark):
 
 
 def test_models_tokens_types(spark):
-    # by the reference's rule a chain's verb is a segment of its own; words within a method's name count for typed fields
+    # a chain's verb is a segment of its own; words within a method's name count for typed fields
     calls = spark.createDataFrame([("f", "db.user.get"), ("f", "db.user.update"), ("g", "user.all"), ("g", "rpc:top"), ("h", "x.user.noop"), ("h", "user.getAll")], "src string, call string")
     models = spark.createDataFrame([("m", "User", "users")], "id string, name string, table_name string")
     assert rows(links.model_edges(calls, models), "src", "access") == [("f", "write"), ("g", "read")]
