@@ -372,7 +372,7 @@ def stream_interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH o AS (SELECT o_custkey, o_orderdate, max(o_orderkey) AS last_order FROM orders GROUP BY 1, 2),
 l AS (SELECT l_orderkey, l_linenumber, o_custkey AS cust, l_shipdate FROM lineitem JOIN orders ON o_orderkey = l_orderkey)
-SELECT l_orderkey, l_linenumber, CASE WHEN l_shipdate <= o_orderdate + INTERVAL '60 days' THEN last_order END AS last_order, CASE WHEN l_shipdate <= o_orderdate + INTERVAL '60 days' THEN CAST(o_orderdate AS DATE) END AS ordered
+SELECT l_orderkey, l_linenumber, CASE WHEN l_shipdate <= o_orderdate + INTERVAL '60 days' THEN last_order END AS last_order, CASE WHEN l_shipdate <= o_orderdate + INTERVAL '60 days' THEN strftime(o_orderdate, '%Y-%m-%d') END AS ordered
 FROM l ASOF LEFT JOIN o ON l.cust = o.o_custkey AND l.l_shipdate >= o.o_orderdate""")
 def asof_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each shipped line with its customer's last order by then, if no older than 60 days."""
@@ -380,7 +380,7 @@ def asof_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select("l_orderkey", "l_linenumber", "l_shipdate", F.col("o_custkey").alias("cust"))
     made = orders.select(F.col("o_custkey").alias("cust"), "o_orderdate", F.col("o_orderkey").alias("last_order"))
     found = asof_join(lines, made, "cust", "l_shipdate", "o_orderdate", tolerance=60 * 86_400, span=365 * 86_400, tie="last_order")
-    return found.select("l_orderkey", "l_linenumber", "last_order", F.to_date("o_orderdate").alias("ordered"))
+    return found.select("l_orderkey", "l_linenumber", "last_order", F.date_format("o_orderdate", "yyyy-MM-dd").alias("ordered"))
 
 
 @query(f"""WITH {_SUPPLY}, d AS (SELECT label, sn.id, (SELECT count(*) FROM se WHERE 1 = 0) AS zero FROM sn),
