@@ -1,12 +1,15 @@
 import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from arborlens.llm.common import labelled_texts, text_bytes, text_key
+from arborlens.llm.common import TERM_GAPS, labelled_texts, text_bytes, text_key, word_hashes
 from arborlens.llm.language import Parser, folded, identify, learn_samples, suffix_automaton
-from arborlens.llm.pseudo_likelihood import Network, classes, score, windows, word_counts
+from arborlens.llm.pseudo_likelihood import Network, classes, cluster, score, windows, word_counts
+from arborlens.llm.pseudo_likelihood import fit as fit_language_model
 from arborlens.llm.quality import score_quality
 from arborlens.llm.toxicity import fit, score_toxicity
 
@@ -168,13 +171,13 @@ def test_pseudo_likelihood_tells_words_of_a_bucket_apart(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     # one frequent class, all others in one bucket: the network cannot tell lomi from odd
     def scores(head):
-        return {r["doc_id"]: r["log_prob"] for r in score(docs, words=1, buckets=1, head=head).collect()}
+        return {r["doc_id"]: r["log_prob"] for r in score(docs, words=1, buckets=1, head=head, clusters=0).collect()}
 
     n = {w: sum(t.split().count(w) for _, t in rows) for w in ("lomi", "odd", "ka")}
     most = max(("lomi", "turben", "silda", "ka"), key=lambda w: sum(t.split().count(w) for _, t in rows))
     assert most == "lomi"
     total = sum(len(t.split()) for _, t in rows) - n["lomi"]
-    alone = score(docs, words=0, buckets=1, rounds=0).collect()
+    alone = score(docs, words=0, buckets=1, rounds=0, clusters=0).collect()
     want = {i: sum(np.log(sum(u.split().count(w) for _, u in rows) / (total + n["lomi"] + 1)) for w in t.split()) for i, t in rows}
     assert all(abs(r["log_prob"] - want[r["doc_id"]]) < 1e-3 for r in alone)
     few, many = scores(1), scores(1000)
@@ -182,6 +185,64 @@ def test_pseudo_likelihood_tells_words_of_a_bucket_apart(spark):
     assert many[1000] > many[1001] + 3
 
 
+def tongues(n=240, seed=4):
+    """Texts of two invented languages that share no word; most words are rare."""
+    draw = random.Random(seed)
+    out = []
+    for k in range(n):
+        small, rare = (("ka", "lo", "mi"), "tur") if k % 2 else (("ze", "vu", "xi"), "bon")
+        out.append((k, " ".join(draw.choice(small) if draw.random() < 0.5 else f"{rare}{int(draw.paretovariate(0.7)) % 900}" for _ in range(draw.choice((1, 3, 40, 90))))))
+    return [*out, (n, ""), (n + 1, None), (n + 2, "?!"), (n + 3, "neverseenelsewhere"), (n + 3, "ka tur1 ze")]
+
+
+def test_pseudo_likelihood_equals_brute_force(spark):
+    rows = tongues()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for settings in ({}, {"head": 40, "words": 5}):
+        model, coded = fit_language_model(docs, **settings)
+        got = sorted((r["doc_id"], r["n_tokens"], r["log_prob"]) for r in model.scored(coded).collect())
+        texts = [(i, re.findall("[a-z0-9]+", (t or "").lower())) for i, t in rows]
+        count = Counter(w for _, t in texts for w in t)
+        names = sorted(count)
+        hashes = word_hashes([w.encode() for w in names], TERM_GAPS)[1]
+        kind = dict(zip(names, model.kinds(hashes).tolist(), strict=True))
+        mass = Counter()
+        for w, n in count.items():
+            mass[kind[w]] += n
+        net, want = Network(model.flat, model.size, model.hidden), []
+        for i, t in texts:
+            total = 0.0
+            for k, w in enumerate(t):
+                around = [kind[t[k + o]] if 0 <= k + o < len(t) else model.size for o in (-2, -1, 1, 2)]
+                h = np.tanh(net.bias + sum(net.embed[o][c] for o, c in enumerate(around)))
+                z = (h @ net.out + net.prior).astype(float)
+                total += z[kind[w]] - np.log(np.exp(z).sum())
+                if kind[w] >= len(model.frequent):
+                    total += np.log(count[w] / (mass[kind[w]] + 1))
+            want.append((i, len(t), total))
+        for (i, n, value), (j, m, other) in zip(got, sorted(want), strict=True):
+            assert (i, n) == (j, m) and abs(value - other) < 1e-3 * max(1, abs(other))
+        # words that were seen once have hash classes, and classes keep the languages apart
+        first = len(model.frequent) + model.clusters
+        assert all(kind[w] >= first for w, n in count.items() if n == 1 and kind[w] >= len(model.frequent))
+        sides = {k: {w[:3] for w in names if kind[w] == k} for k in set(kind.values()) if len(model.frequent) <= k < first}
+        assert sides and sum(len(v & {"tur", "bon"}) > 1 for v in sides.values()) <= len(sides) // 4
+
+
+def test_clusters_make_context_tell(spark):
+    rows = tongues(600)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    mean = lambda **kw: score(docs, words=6, hidden=8, **kw).agg(F.sum("log_prob") / F.sum("n_tokens")).first()[0]
+    assert mean(clusters=6, buckets=2) > mean(clusters=0, buckets=8) + 0.1
+
+
+def test_cluster_of_directions():
+    x = np.array([[1, 0], [0.98, 0.199], [0, 1], [0.199, 0.98]], np.float32)
+    own = cluster(x, np.ones(4), 2)
+    assert own[0] == own[1] != own[2] == own[3]
+    assert len(set(cluster(x[:1].repeat(3, 0), np.ones(3), 4).tolist())) == 1
+
+
 def test_network_sums_to_one_and_sees_both_sides():
     net = Network(Network.fresh(6, 4), 6, 4)
     context = np.array([[0, 1, 2, 3]])
