@@ -205,7 +205,7 @@ def test_pseudo_likelihood_equals_brute_force(spark):
         count = Counter(w for _, t in texts for w in t)
         names = sorted(count)
         hashes = word_hashes([w.encode() for w in names], TERM_GAPS)[1]
-        kind = dict(zip(names, model.kinds(hashes).tolist(), strict=True))
+        kind = dict(zip(names, model.kinds(hashes)[0].tolist(), strict=True))
         mass = Counter()
         for w, n in count.items():
             mass[kind[w]] += n
