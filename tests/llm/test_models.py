@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from arborlens.llm.common import TERM_GAPS, labelled_texts, text_bytes, text_key, word_hashes
 from arborlens.llm.language import Parser, folded, identify, learn_samples, suffix_automaton
-from arborlens.llm.pseudo_likelihood import Network, classes, cluster, score, windows, word_counts
+from arborlens.llm.pseudo_likelihood import Index, Network, classes, cluster, score, windows, word_counts
 from arborlens.llm.pseudo_likelihood import fit as fit_language_model
 from arborlens.llm.quality import score_quality
 from arborlens.llm.toxicity import fit, score_toxicity
@@ -205,7 +205,7 @@ def test_pseudo_likelihood_equals_brute_force(spark):
         count = Counter(w for _, t in texts for w in t)
         names = sorted(count)
         hashes = word_hashes([w.encode() for w in names], TERM_GAPS)[1]
-        kind = dict(zip(names, model.kinds(hashes)[0].tolist(), strict=True))
+        kind = dict(zip(names, model.kinds(hashes, Index(model.heads))[0].tolist(), strict=True))
         mass = Counter()
         for w, n in count.items():
             mass[kind[w]] += n
@@ -236,6 +236,15 @@ def test_clusters_make_context_tell(spark):
     assert mean(clusters=6, buckets=2) > mean(clusters=0, buckets=8) + 0.1
 
 
+def test_index_finds_what_is_there():
+    draw = np.random.Generator(np.random.PCG64(3))
+    for n in (0, 1, 2, 500):
+        own = np.unique(np.concatenate((draw.integers(0, 2**64, n, dtype=np.uint64), np.arange(min(n, 9), dtype=np.uint64))))  # some share a prefix
+        ask = np.concatenate((own, draw.integers(0, 2**64, 50, dtype=np.uint64), np.array([0, 7, 11, 2**64 - 1], np.uint64)))
+        at, found = Index(own).places(ask)
+        assert (found == np.isin(ask, own)).all() and (own[at[found]] == ask[found]).all()
+
+
 def test_cluster_of_directions():
     x = np.array([[1, 0], [0.98, 0.199], [0, 1], [0.199, 0.98]], np.float32)
     own = cluster(x, np.ones(4), 2)
