@@ -1,11 +1,16 @@
 """LM scoring by masked pseudo-likelihood.
 
-P(word | context) = P(class | context) * P(word | class). A window network predicts every word's class from the two words
-before and the two after it: one embedding table per position, summed, tanh, softmax. The classes are the `words` most
-frequent words of all documents, `clusters` classes of words by the company they keep, and `buckets` hash classes for the
-rest. Within a class a word's probability is its exact count in all documents over the class's count plus one; what is left
-belongs to unseen words. Counts of the words that occur most (at most `head` of them) travel to the tasks, those of all
-others are joined.
+P(word | context) = P(class | context) * P(word | class, context). A window network predicts every word's class from the
+two words before and the two after it: one embedding table per position, summed, tanh, softmax. The classes are the `words`
+most frequent words of all documents, `clusters` classes of words by the company they keep, and `buckets` hash classes for
+the rest.
+
+With `branch`, the network goes on to predict the word within its cluster: the words of each cluster are the leaves of a
+binary tree, whose every node chooses a side by the first branch - 1 hidden units and a bias (hierarchical softmax). Trees
+halve a cluster's occurrences again and again, by the direction of company that varies most; biases start from the counts,
+so an untrained tree gives exactly a word's share of the cluster. Words of hash classes, and without `branch` those of
+clusters, have their exact count in all documents over the class's count plus one; what is left belongs to unseen words.
+Counts of the words that occur most (at most `head` of them) travel to the tasks, those of all others are joined.
 
 A word's company are the frequent words up to REACH places away in all texts, each as a fixed vector of DIMS signs, summed.
 Words of the head that occur more than once and have company are clustered by the directions of these sums (spherical
@@ -14,7 +19,8 @@ classes, and context tells about them. All other words, those seen once among th
 
 The network is trained on all word positions (with `rate`, on one in so many), each pack of texts in one of `rounds` rounds,
 whatever the size of the corpus. In a round packs are dealt to groups of about GROUP positions, each group trains from the
-shared weights and Adagrad sums, and the groups' results are averaged. A document's score is the sum of the conditional
+shared weights and Adagrad sums, and the groups' results are averaged, those of a tree's node by how often each group came
+through it. A document's score is the sum of the conditional
 log-probabilities of all its words, and that per word.
 
 Defined results: texts without words, empty and null texts have no tokens, log_prob 0 and score null; words at an end
@@ -36,6 +42,7 @@ from .common import TERM_GAPS, U64, batches_of_texts, materialize, text_bytes, w
 
 WORDS, CLUSTERS, BUCKETS, HIDDEN, RATE, GROUP, ROUNDS = 64, 28, 4, 32, 1, 200_000, 3
 HEAD, PACK, DIMS, REACH = 262_144, 16_384, 12, 8
+BRANCH = 8
 OFFSETS = (-2, -1, 1, 2)
 
 
@@ -89,24 +96,36 @@ class Index:
         return np.minimum(at, max(0, len(self.values) - 1)), found
 
 
-def company(docs: DataFrame, frequent: np.ndarray, heads: np.ndarray) -> DataFrame:
-    """(at, c0, c1, ...): per place in `heads`, the sums of the sign vectors of frequent words up to REACH words away in the same text."""
+def located(docs: DataFrame, frequent: np.ndarray, heads: np.ndarray, buckets: int, meet: bool) -> DataFrame:
+    """Table of rid, doc_id, places (of the words in order: 32-bit places among `frequent`, after these among `heads`, or -1 - bucket)
+    and tail (hashes of the words that are in neither). With `meet`, rows without rid hold in `near` the company of words of the
+    head, as 64-bit numbers in rows of 1 + DIMS: place in `heads`, sums of the sign vectors of frequent words up to REACH words away
+    in the same text."""
     signs = np.zeros((DIMS, len(frequent) + 1), np.int32)
     signs[:, :-1] = np.random.Generator(np.random.PCG64(23)).integers(0, 2, (DIMS, len(frequent))) * 2 - 1
-    names = [f"c{d}" for d in range(DIMS)]
 
-    def gather(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums, met, index = np.zeros((DIMS, len(heads)), np.int64), np.zeros(len(heads), bool), Index(heads)
+    def locate(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums, met, index = np.zeros((len(heads) if meet else 0, 1 + DIMS), np.int64), np.zeros(len(heads), bool), Index(heads)
         for frame in frames:
             for low, high in batches_of_texts(frame):
-                doc, word = word_hashes(list(frame["raw"].iloc[low:high]), TERM_GAPS)
+                part = frame.iloc[low:high]
+                doc, word = word_hashes(list(part["raw"]), TERM_GAPS)
                 kind, often = places(frequent, word)
-                kind[~often] = len(frequent)
                 at, found = index.places(word)
-                here = np.flatnonzero(found & ~often)
-                at = at[here]
+                place = np.where(found, at + len(frequent), -1 - (word % U64(buckets)).astype(np.int64))
+                place = np.where(often, kind, place).astype(np.int32)
                 ends = np.cumsum(np.bincount(doc, minlength=high - low))
-                end = ends[doc[here]]
+                beyond = np.flatnonzero(place < 0)
+                yield part.drop(columns="raw").assign(
+                    places=[k.tobytes() for k in np.split(place, ends[:-1])],
+                    tail=np.split(word[beyond].view(np.int64), np.searchsorted(doc[beyond], np.arange(1, high - low))),
+                    near=None,
+                )
+                if not meet:
+                    continue
+                kind[~often] = len(frequent)
+                here = np.flatnonzero(found & ~often)
+                at, end = at[here], ends[doc[here]]
                 start = np.concatenate(([0], ends))[doc[here]]
                 start, end = np.maximum(here - REACH, start), np.minimum(here + REACH + 1, end)
                 own, slot = np.unique(at, return_inverse=True)
@@ -114,13 +133,28 @@ def company(docs: DataFrame, frequent: np.ndarray, heads: np.ndarray) -> DataFra
                 run = np.zeros(len(word) + 1, np.int32)
                 for d in range(DIMS):
                     np.cumsum(signs[d][kind], out=run[1:])
-                    sums[d, own] += np.bincount(slot, run[end] - run[start], minlength=len(own)).astype(np.int64)
-        some = np.flatnonzero(met)
+                    sums[own, 1 + d] += np.bincount(slot, run[end] - run[start], minlength=len(own)).astype(np.int64)
+        some = np.flatnonzero(met) if meet else []
         for a in range(0, len(some), 20_000):
-            yield pd.DataFrame({"at": some[a : a + 20_000], **{n: sums[d, some[a : a + 20_000]] for d, n in enumerate(names)}})
+            here = some[a : a + 20_000]
+            sums[here, 0] = here
+            yield pd.DataFrame({"rid": [None], "doc_id": [None], "places": [None], "tail": [None], "near": [sums[here].tobytes()]})
 
-    raw = docs.select(text_bytes(F.col("text")).alias("raw"))
-    return raw.mapInPandas(gather, "at long, " + ", ".join(f"{n} long" for n in names)).groupBy("at").agg(*(F.sum(n).alias(n) for n in names))
+    raws = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), text_bytes(F.col("text")).alias("raw"))
+    return materialize(raws.mapInPandas(locate, "rid long, doc_id long, places binary, tail array<long>, near binary"), codec="zstd")
+
+
+def company(rows: DataFrame) -> DataFrame:
+    """(at, c0, c1, ...): the sums in the rows `near` of a table of places, by place in the head."""
+    names = [f"c{d}" for d in range(DIMS)]
+
+    def unfold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for raw in frame["near"]:
+                yield pd.DataFrame(np.frombuffer(raw, np.int64).reshape(-1, 1 + DIMS), columns=["at", *names])
+
+    unfolded = rows.where("near is not null").select("near").mapInPandas(unfold, "at long, " + ", ".join(f"{n} long" for n in names))
+    return unfolded.groupBy("at").agg(*(F.sum(n).alias(n) for n in names))
 
 
 def cluster(x: np.ndarray, weight: np.ndarray, k: int, turns: int = 20) -> np.ndarray:
@@ -144,6 +178,74 @@ def cluster(x: np.ndarray, weight: np.ndarray, k: int, turns: int = 20) -> np.nd
     return own
 
 
+@dataclass(frozen=True)
+class Trees:
+    """Binary trees over the words of clusters: where each leaf's steps begin (and one more, the end), the steps from the root as
+    2 * node + side, and the nodes' weights, of which the last is the bias."""
+
+    first: np.ndarray
+    steps: np.ndarray
+    nodes: np.ndarray
+
+    def ways(self, leaf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(position, node, side) of all steps to the leaves; those below zero have none."""
+        own = np.flatnonzero(leaf >= 0)
+        leaf = leaf.take(own)
+        start = self.first.take(leaf)
+        n = self.first.take(leaf + 1) - start
+        ends = np.cumsum(n)
+        step = np.repeat(start - ends + n, n)
+        step += np.arange(len(step))
+        step = self.steps.take(step)
+        return np.repeat(own, n), step >> 1, step & 1
+
+    def reading(self, h: np.ndarray) -> np.ndarray:
+        """What nodes read of the hidden layer: its first units, and one for the bias."""
+        read = np.ones((len(h), self.nodes.shape[1]), np.float32)
+        read[:, :-1] = h[:, : read.shape[1] - 1]
+        return read
+
+    def log_probs(self, h: np.ndarray, leaf: np.ndarray) -> np.ndarray:
+        """Of every leaf within its cluster."""
+        own, node, side = self.ways(leaf)
+        z = np.einsum("ij,ij->i", self.reading(h).take(own, 0), self.nodes.take(node, 0))
+        z *= (1 - 2 * side).astype(np.float32)
+        return -np.bincount(own, np.log(1 + np.exp(np.clip(z, -80, 80, out=z))), minlength=len(leaf))
+
+
+def grow(x: np.ndarray, weight: np.ndarray, label: np.ndarray, width: int) -> Trees:
+    """One tree for each label over its rows of x: a node halves its rows' weight along the coordinate that varies most; its bias
+    is the log of the sides' odds."""
+    rows, seg, made, found = np.arange(len(x)), label, 0, []
+    bias = [np.zeros(0)]
+    while True:
+        _, seg, n = np.unique(seg, return_inverse=True, return_counts=True)
+        rows = rows[n[seg] > 1]
+        if not len(rows):
+            break
+        _, seg = np.unique(seg[n[seg] > 1], return_inverse=True)
+        w, many = weight[rows], seg.max() + 1
+        whole = np.bincount(seg, w)
+        mean = [np.bincount(seg, w * x[rows, d]) / whole for d in range(x.shape[1])]
+        varies = np.stack([np.bincount(seg, w * (x[rows, d] - mean[d][seg]) ** 2) for d in range(x.shape[1])])
+        order = np.lexsort((x[rows, varies.argmax(0)[seg]], seg))
+        rows, seg, w = rows[order], seg[order], w[order]
+        before = np.cumsum(w) - w
+        side = (before - (np.cumsum(whole) - whole)[seg] + w / 2 > whole[seg] / 2).astype(np.int64)
+        # whatever the rounding, both sides have rows
+        ends = np.flatnonzero(np.diff(seg, append=many))
+        side[ends], side[np.concatenate(([0], ends[:-1] + 1))] = 1, 0
+        right = np.bincount(seg, w * side)
+        bias.append(np.log(right) - np.log(whole - right))
+        found.append((rows, 2 * (made + seg) + side))
+        made, seg = made + many, 2 * seg + side
+    leaf, step = (np.concatenate([f[k] for f in found] or [np.zeros(0, np.int64)]) for k in (0, 1))
+    first = np.concatenate(([0], np.cumsum(np.bincount(leaf, minlength=len(x)))))
+    nodes = np.zeros((made, width), np.float32)
+    nodes[:, -1] = np.concatenate(bias)
+    return Trees(first, step[np.argsort(leaf, kind="stable")].astype(np.int32), nodes)
+
+
 def windows(doc: np.ndarray, kind: np.ndarray, border: int) -> np.ndarray:
     """Context classes (positions x offsets), `border` beyond the ends of a text."""
     out = np.full((len(kind), len(OFFSETS)), border, np.int64)
@@ -154,6 +256,13 @@ def windows(doc: np.ndarray, kind: np.ndarray, border: int) -> np.ndarray:
     return out
 
 
+def sums_of(rows: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Sums of the rows from each beginning to the next; an even number of columns is added in pairs, as complex numbers are."""
+    if rows.shape[1] % 2:
+        return np.add.reduceat(rows, begin, axis=0)
+    return np.add.reduceat(rows.view(np.complex64), begin, axis=0).view(np.float32)
+
+
 class Network:
     """Weights as one flat float32 array: embeddings (offsets x (size + 1) x hidden), bias, output, output bias."""
 
@@ -170,59 +279,99 @@ class Network:
         return np.concatenate(parts).astype(np.float32)
 
     def hidden(self, context: np.ndarray) -> np.ndarray:
-        h = self.bias + self.embed[0][context[:, 0]]
+        h = self.embed[0].take(context[:, 0], 0)
         for k in range(1, len(OFFSETS)):
-            h += self.embed[k][context[:, k]]
-        return np.tanh(h)
+            h += self.embed[k].take(context[:, k], 0)
+        h += self.bias
+        return np.tanh(h, out=h)
 
-    def log_probs(self, context: np.ndarray, target: np.ndarray, step: int = 1024) -> np.ndarray:
-        result = np.empty(len(target))
+    def log_probs(self, context: np.ndarray, target: np.ndarray, step: int = 1024, trees: Trees | None = None, leaf: np.ndarray | None = None) -> np.ndarray:
+        """Of the target classes, and of the leaves within them where they are not below zero."""
+        result, ones = np.empty(len(target)), np.ones(self.size, np.float32)
         for a in range(0, len(target), step):
-            z = self.hidden(context[a : a + step]) @ self.out + self.prior
+            h = self.hidden(context[a : a + step])
+            z = h @ self.out
+            z += self.prior
             own = z[np.arange(len(z)), target[a : a + step]]
-            result[a : a + step] = own - np.log(np.exp(z, out=z).sum(1))
+            result[a : a + step] = own - np.log(np.exp(z, out=z) @ ones)
+            if trees is not None:
+                result[a : a + step] += trees.log_probs(h, leaf[a : a + step])
         return result
 
-    def train(self, context: np.ndarray, target: np.ndarray, seen: np.ndarray, size: int = 1024, rate: float = 0.05) -> None:
-        """One pass of Adagrad over the windows; `seen`, its sums of squares in the order of `flat`, is carried on."""
+    def train(
+        self, context: np.ndarray, target: np.ndarray, seen: np.ndarray, size: int = 1024, rate: float = 0.05, trees: Trees | None = None, leaf: np.ndarray | None = None, past_nodes: np.ndarray | None = None
+    ) -> np.ndarray | None:
+        """One pass of Adagrad over the windows; `seen`, its sums of squares in the order of `flat`, is carried on, and so is
+        `past_nodes` of the trees' nodes. Gives how often each node was passed."""
+        passed = None if trees is None else np.zeros(len(trees.nodes), np.float32)
         past = Network(seen, self.size, self.embed.shape[2])
         rows = (context + np.arange(len(OFFSETS)) * (self.size + 1)).astype(np.int16)  # short keys are sorted by radix
         order = np.random.Generator(np.random.PCG64(len(target))).permutation(len(target))
         embed = np.zeros_like(self.embed)
-        flat = embed.reshape(-1, embed.shape[2])
+        flat, ones, each = embed.reshape(-1, embed.shape[2]), np.ones((self.size, 1), np.float32), np.ones(size, np.float32)
         for a in range(0, len(order), size):
             some = order[a : a + size]
-            c, t = context[some], target[some]
+            c, t = context.take(some, 0), target.take(some)
             h = self.hidden(c)
             p = h @ self.out
             p += self.prior
             np.clip(p, -30, 30, out=p)
             np.exp(p, out=p)
-            p *= 1 / (len(t) * p.sum(1, keepdims=True))
+            p *= 1 / (len(t) * (p @ ones))
             p[np.arange(len(t)), t] -= 1 / len(t)
-            dh = (p @ self.out.T) * (1 - h * h)
+            dh = p @ self.out.T
+            if trees is not None:
+                self.branch(trees, leaf.take(some), h, dh, past_nodes, passed)
+            dh *= 1 - h * h
             # gradients of the embeddings: sums of dh by row, over sorted rows
-            at = rows[some].ravel()
+            at = rows.take(some, 0).ravel()
             by = np.argsort(at, kind="stable")
-            at = at[by]
+            at = at.take(by)
             starts = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
             embed[...] = 0
-            flat[at[starts]] = np.add.reduceat(dh[by // len(OFFSETS)], starts, axis=0)
-            for k, g in {"out": h.T @ p, "prior": p.sum(0), "bias": dh.sum(0), "embed": embed}.items():
+            flat[at[starts]] = sums_of(dh.take(by // len(OFFSETS), 0), starts)
+            for k, g in {"out": h.T @ p, "prior": each[: len(t)] @ p, "bias": each[: len(t)] @ dh, "embed": embed}.items():
                 sums = getattr(past, k)
                 sums += g * g
                 getattr(self, k)[...] -= rate * g / np.sqrt(sums)
+        return passed
 
-
-def packed(frames: Iterator[pd.DataFrame], border: int) -> Iterator[pd.DataFrame]:
-    """Packs of about PACK positions: texts with two borders before and after each; of long texts, pieces that
-    overlap by two words on either side, which are marked as context by negative classes."""
+    @staticmethod
+    def branch(trees: Trees, leaf: np.ndarray, h: np.ndarray, dh: np.ndarray, past: np.ndarray, passed: np.ndarray, rate: float = 0.5) -> None:
+        """One step of the nodes on the way to the leaves; adds their part to dh. Nodes learn from sums over the batch, not means:
+        most are passed a few times. `past` has one sum of squares a node, of the weight that moves most."""
+        own, node, side = trees.ways(leaf)
+        if not len(own):
+            return
+        read, weights = trees.reading(h).take(own, 0), trees.nodes.take(node, 0)
+        z = np.einsum("ij,ij->i", read, weights)
+        np.exp(np.clip(-z, -30, 30, out=z), out=z)
+        g = (1 / (1 + z) - side.astype(np.float32))[:, None]
+        weights *= g
+        read *= g
+        begin = np.flatnonzero(np.diff(own, prepend=-1))
+        dh[own.take(begin), : read.shape[1] - 1] += sums_of(weights, begin)[:, :-1] / len(leaf)
+        by = np.sort(node.astype(np.int64) << 32 | np.arange(len(node)))
+        node = by >> 32
+        begin = np.flatnonzero(np.diff(node, prepend=-1))
+        node, g = node.take(begin), sums_of(read.take(by & 0xFFFFFFFF, 0), begin)
+        sums = past.take(node)
+        sums += (g * g).max(1)
+        past[node] = sums
+        g *= (rate / np.sqrt(sums))[:, None]
+        trees.nodes[node] = trees.nodes.take(node, 0) - g
+        passed[node] += np.diff(begin, append=len(by))
+
+
+def packed(frames: Iterator[pd.DataFrame], codes: np.ndarray, border: int) -> Iterator[pd.DataFrame]:
+    """Packs of about PACK positions, as codes of the words: texts with two borders before and after each; of long texts, pieces
+    that overlap by two words on either side, which are marked as context by negative codes."""
     for frame in frames:
-        edge, out, held = np.full(2, border, np.int16), [], 0
-        for rid, raw in zip(frame["rid"], frame["kinds"], strict=True):
-            kind = np.frombuffer(raw, np.int16)
-            whole = np.concatenate((edge, kind, edge))
-            for at in range(0, len(kind), PACK):
+        edge, out, held = np.full(2, border, np.int32), [], 0
+        for rid, raw in zip(frame["rid"], frame["places"], strict=True):
+            code = codes[np.frombuffer(raw, np.int32)]
+            whole = np.concatenate((edge, code, edge))
+            for at in range(0, len(code), PACK):
                 piece = whole[at : at + PACK + 4].copy()
                 for side in (piece[:2], piece[-2:]):
                     side[side != border] = -1 - side[side != border]
@@ -235,48 +384,82 @@ def packed(frames: Iterator[pd.DataFrame], border: int) -> Iterator[pd.DataFrame
             yield pd.DataFrame({"rows": [np.concatenate(out).tobytes()], "salt": [int(frame["rid"].iloc[-1]) ^ 1 << 62]})
 
 
-def learner(start: np.ndarray, size: int, hidden: int, rate: int):
+#: What a group has learnt: how many groups, the sum of their weights, numbers of nodes, and for each of these how often it
+#: was passed and the sums, as often, of its weights and sums of squares.
+LEARNT = "part int, n long, w array<double>, node binary, learnt binary"
+PARTS = 8
+
+
+def learner(start: np.ndarray, kinds: np.ndarray, size: int, hidden: int, rate: int, trees: Trees | None, past: np.ndarray | None):
     """One group's training from the shared weights and sums of squares."""
 
     def learn(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        stream = np.concatenate([np.frombuffer(r, np.int16) for r in frame.sort_values("salt")["rows"]]).astype(np.int64)
+        stream = np.concatenate([np.frombuffer(r, np.int32) for r in frame.sort_values("salt")["rows"]]).astype(np.int64)
         at = np.flatnonzero((stream >= 0) & (stream != size))
         if rate > 1:
             at = at[np.random.Generator(np.random.PCG64(len(at))).integers(0, rate, len(at)) == 0]
-        stream = np.where(stream < 0, -1 - stream, stream)
+        leaf = np.maximum(stream[at] - size, 0) - 1
+        stream = kinds[np.where(stream < 0, -1 - stream, stream)].astype(np.int64)
         context = np.stack([stream[at + o] for o in OFFSETS], 1)
         weights, sums = np.split(start.copy(), 2)
-        Network(weights, size, hidden).train(context, stream[at], sums)
-        return pd.DataFrame({"n": [1], "w": [np.concatenate((weights, sums)).astype(float)]})
+        net, node, learnt = Network(weights, size, hidden), np.zeros(0, np.int32), np.zeros(0, np.float32)
+        if trees is None:
+            net.train(context, stream[at], sums)
+        else:
+            own, squares = Trees(trees.first, trees.steps, trees.nodes.copy()), past.copy()
+            passed = net.train(context, stream[at], sums, trees=own, leaf=leaf, past_nodes=squares)
+            node = np.flatnonzero(passed)
+            often = passed[node, None]
+            learnt = np.concatenate((often, often * own.nodes[node], often * squares[node, None]), 1)
+        return pd.DataFrame({"part": [0], "n": [1], "w": [np.concatenate((weights, sums)).astype(float)], "node": [node.astype(np.int32).tobytes()], "learnt": [learnt.tobytes()]})
 
     return learn
 
 
-def average(learned: DataFrame) -> np.ndarray | None:
-    """Mean of the rows' vectors w: added up per partition, then in a few tasks, whose sums come to the driver."""
+def adder(nodes: int, width: int):
+    """Sums of what groups have learnt, nodes dealt to PARTS rows."""
 
     def add(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n, sums = 0, None
+        n, sums, rows = 0, np.zeros(0), None
         for frame in frames:
-            for k, w in zip(frame["n"], frame["w"], strict=True):
-                n, sums = n + int(k), np.array(w, float) if sums is None else sums + w
-        if n:
-            yield pd.DataFrame({"n": [n], "w": [sums]})
-
-    schema = "n long, w array<double>"
-    rows = learned.mapInPandas(add, schema).repartition(8).mapInPandas(add, schema).collect()
-    return sum(np.array(r["w"]) for r in rows) / sum(r["n"] for r in rows) if rows else None
-
-
-def train(coded: DataFrame, total: int, size: int, hidden: int, rate: int, group: int, rounds: int) -> np.ndarray:
-    """Weights learnt from the class sequences `coded` of `total` positions."""
+            for k, w, node, learnt in zip(frame["n"], frame["w"], frame["node"], frame["learnt"], strict=True):
+                rows = np.zeros((nodes, 2 + width)) if rows is None else rows
+                if k:
+                    n, sums = n + int(k), np.array(w, float) if n == 0 else sums + w
+                if len(node):
+                    rows[np.frombuffer(node, np.int32)] += np.frombuffer(learnt, np.float32).reshape(-1, 2 + width)
+        if rows is not None:
+            passed = np.flatnonzero(rows[:, 0])
+            for part in range(PARTS):
+                node = passed[passed % PARTS == part]
+                yield pd.DataFrame({"part": [part], "n": [n if part == 0 else 0], "w": [sums if part == 0 else np.zeros(0)], "node": [node.astype(np.int32).tobytes()], "learnt": [rows[node].astype(np.float32).tobytes()]})
+
+    return add
+
+
+def average(learned: DataFrame, trees: Trees | None, past: np.ndarray | None) -> np.ndarray | None:
+    """Mean of the rows' vectors w: added up per partition, then in a few tasks, whose sums come to the driver. The nodes that were
+    passed get their means in place."""
+    nodes, width = (0, 0) if trees is None else trees.nodes.shape
+    rows = learned.mapInPandas(adder(nodes, width), LEARNT).repartition(PARTS, "part").mapInPandas(adder(nodes, width), LEARNT).collect()
+    for r in rows:
+        if len(r["node"]):
+            node, sums = np.frombuffer(r["node"], np.int32), np.frombuffer(r["learnt"], np.float32).reshape(-1, 2 + width)
+            mean = sums[:, 1:] / sums[:, :1]
+            trees.nodes[node], past[node] = mean[:, :width], mean[:, width]
+    n = sum(r["n"] for r in rows)
+    return sum(np.array(r["w"]) for r in rows if r["n"]) / n if n else None
+
+
+def train(packs: DataFrame, total: int, kinds: np.ndarray, size: int, hidden: int, rate: int, group: int, rounds: int, trees: Trees | None) -> np.ndarray:
+    """Weights learnt from the codes in `packs`, of `total` positions; `kinds` has the class of each code. Nodes learn in place."""
     groups = max(1, -(-total // (max(1, rounds) * rate * group)))
     weights = Network.fresh(size, hidden)
     flat = np.concatenate((weights, np.full(len(weights), 1e-4, np.float32)))
-    packs = coded.select("rid", "kinds").mapInPandas(lambda frames: packed(frames, size), "rows binary, salt long")
+    past = None if trees is None else np.ones(len(trees.nodes), np.float32)
     for turn in range(rounds if total else 0):
-        dealt = packs.where(F.pmod(F.xxhash64("salt"), F.lit(rounds)) == turn).withColumn("group", F.pmod(F.xxhash64("salt", F.lit(turn)), F.lit(groups)))
-        mean = average(dealt.groupBy("group").applyInPandas(learner(flat, size, hidden, rate), "n long, w array<double>"))
+        dealt = packs.where(F.col("turn") == turn).withColumn("group", F.pmod(F.xxhash64("salt", F.lit(turn)), F.lit(groups)))
+        mean = average(dealt.groupBy("group").applyInPandas(learner(flat, kinds, size, hidden, rate, trees, past), LEARNT), trees, past)
         flat = flat if mean is None else mean.astype(np.float32)
     return flat[: len(weights)]
 
@@ -289,7 +472,8 @@ def bucket_of(word, buckets: int):
 @dataclass(frozen=True)
 class Model:
     """What fit() learns: sorted frequent words, sorted words of the head with their counts and clusters (-1: none), the
-    counts of the clusters and buckets, the network, and the table of all counts with the least level of the head in it."""
+    counts of the clusters and buckets, the network, the trees with the leaf of each word of the head (-1: none), and the table of
+    all counts with the least level of the head in it."""
 
     frequent: np.ndarray
     heads: np.ndarray
@@ -300,6 +484,8 @@ class Model:
     buckets: int
     hidden: int
     flat: np.ndarray
+    trees: Trees | None
+    leaf: np.ndarray
     counts: DataFrame
     least: int
 
@@ -307,6 +493,36 @@ class Model:
     def size(self) -> int:
         return len(self.frequent) + self.clusters + self.buckets
 
+    def classes(self) -> np.ndarray:
+        """Class of each word of the head that is not frequent."""
+        first = len(self.frequent)
+        return first + np.where(self.labels >= 0, self.labels, self.clusters + (self.heads % U64(self.buckets)).astype(np.int64))
+
+    def codes(self) -> np.ndarray:
+        """By place (see located(); places below zero count from the end): the class, or for leaves the number of classes, plus one,
+        plus the leaf."""
+        first, own = len(self.frequent), self.classes()
+        if self.trees is not None:
+            own = np.where(self.leaf >= 0, self.size + 1 + self.leaf, own)
+        return np.concatenate((np.arange(first), own, first + self.clusters + np.arange(self.buckets)[::-1])).astype(np.int32)
+
+    def class_of_codes(self) -> np.ndarray:
+        """Class of each code; the border is the code after the last class."""
+        leaves = np.zeros(0, np.int64)
+        if self.trees is not None:
+            some = np.flatnonzero(self.leaf >= 0)
+            leaves = np.empty(len(some), np.int64)
+            leaves[self.leaf[some]] = self.classes()[some]
+        return np.concatenate((np.arange(self.size + 1), leaves)).astype(np.int16)
+
+    def inner(self) -> np.ndarray:
+        """By place: what counts tell of log P(word | class); for words beyond the head the log of their count is to be added."""
+        first, spread = len(self.frequent), np.log(self.mass + 1)
+        own = np.log(self.seen.astype(float)) - spread[self.classes() - first]
+        if self.trees is not None:
+            own[self.leaf >= 0] = 0
+        return np.concatenate((np.zeros(first), own, -spread[self.clusters :][::-1]))
+
     def kinds(self, word: np.ndarray, index: Index) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Class of each word, its place in the head (of which `index` is the index), and whether it is in there."""
         kind = classes(word, self.frequent, self.buckets, self.clusters)
@@ -318,22 +534,26 @@ class Model:
 
     def score(self, docs: DataFrame) -> DataFrame:
         """doc_id, n_tokens, log_prob, score for every row of docs."""
-        return self.scored(coded(docs, self))
+        return self.scored(located(docs, self.frequent, self.heads, self.buckets, False))
 
     def scored(self, rows: DataFrame) -> DataFrame:
-        flat, size, hidden = self.flat, self.size, self.hidden
+        """The same for a table of places."""
+        rows = rows.where("near is null")
+        flat, size, hidden, trees, codes, kinds, inner = self.flat, self.size, self.hidden, self.trees, self.codes(), self.class_of_codes(), self.inner()
 
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             net = Network(flat, size, hidden)
             for frame in frames:
-                for low, high in batches_of_texts(frame, "kinds", 1 << 19):
+                for low, high in batches_of_texts(frame, "places", 1 << 19):
                     part = frame.iloc[low:high]
-                    n = np.array([len(k) // 2 for k in part["kinds"]])
-                    doc, kind = np.repeat(np.arange(high - low), n), np.frombuffer(b"".join(part["kinds"]), np.int16).astype(np.int64)
-                    value = net.log_probs(windows(doc, kind, size), kind)
-                    yield part.drop(columns=["kinds", "inner"]).assign(n_tokens=n, log_prob=np.bincount(doc, value, minlength=high - low) + part["inner"])
-
-        out = rows.select("rid", "doc_id", "kinds", "inner").mapInPandas(run, "rid long, doc_id long, n_tokens long, log_prob double")
+                    n = np.array([len(k) // 4 for k in part["places"]])
+                    doc, place = np.repeat(np.arange(high - low), n), np.frombuffer(b"".join(part["places"]), np.int32)
+                    code = codes[place]
+                    kind = kinds[code].astype(np.int64)
+                    value = net.log_probs(windows(doc, kind, size), kind, trees=trees, leaf=np.maximum(code - size, 0) - 1)
+                    yield part.drop(columns="places").assign(n_tokens=n, log_prob=np.bincount(doc, value + inner[place], minlength=high - low))
+
+        out = rows.select("rid", "doc_id", "places").mapInPandas(run, "rid long, doc_id long, n_tokens long, log_prob double")
         if self.least:
             # words beyond the head; those seen once or never add log 1
             tail = rows.select("rid", F.explode("tail").alias("word")).join(self.counts.where((level() < self.least) & (F.col("n") > 1)), "word")
@@ -346,40 +566,10 @@ def level(n: str = "n") -> Column:
     return F.floor(F.log2(n) * 16)
 
 
-def coded(docs: DataFrame, model: Model) -> DataFrame:
-    """Table of rid, doc_id, kinds (classes of the words in order), inner (sum of the log P(word | class) that the head knows) and
-    tail (hashes of the other words, whose log of the count is still to be added)."""
-    frequent = model.frequent
-    known = Model(**{**vars(model), "flat": None, "counts": None})
-    logs, spread = np.log(model.seen.astype(float)), np.log(model.mass + 1)
-
-    def code(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index = Index(known.heads)
-        for frame in frames:
-            for low, high in batches_of_texts(frame):
-                part = frame.iloc[low:high]
-                doc, word = word_hashes(list(part["raw"]), TERM_GAPS)
-                kind, at, found = known.kinds(word, index)
-                rare = np.flatnonzero(kind >= len(frequent))
-                w, at, found = word[rare], at[rare], found[rare]
-                inner = -spread[kind[rare] - len(frequent)]
-                inner[found] += logs[at[found]]
-                cut = np.searchsorted(doc, np.arange(1, high - low))
-                tail_cut = np.searchsorted(doc[rare[~found]], np.arange(1, high - low))
-                yield part.drop(columns="raw").assign(
-                    kinds=[k.tobytes() for k in np.split(kind.astype(np.int16), cut)],
-                    inner=np.bincount(doc[rare], inner, minlength=high - low),
-                    tail=np.split(w[~found].view(np.int64), tail_cut),
-                )
-
-    raws = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), text_bytes(F.col("text")).alias("raw"))
-    return materialize(raws.mapInPandas(code, "rid long, doc_id long, kinds binary, inner double, tail array<long>"))
-
-
 def fit(
-    docs: DataFrame, words: int = WORDS, buckets: int = BUCKETS, hidden: int = HIDDEN, rate: int = RATE, group: int = GROUP, rounds: int = ROUNDS, head: int = HEAD, clusters: int = CLUSTERS
+    docs: DataFrame, words: int = WORDS, buckets: int = BUCKETS, hidden: int = HIDDEN, rate: int = RATE, group: int = GROUP, rounds: int = ROUNDS, head: int = HEAD, clusters: int = CLUSTERS, branch: int = 0
 ) -> tuple[Model, DataFrame]:
-    """The model of docs (doc_id, text), and docs coded by it."""
+    """The model of docs (doc_id, text), and docs as a table of places."""
     counts = materialize(word_counts(docs))
     top = counts.orderBy(F.desc("n"), "word").limit(words).collect()
     frequent = np.sort(np.array([r["word"] for r in top], np.int64).view(U64))
@@ -400,9 +590,11 @@ def fit(
     word = known["word"].to_numpy().view(U64)
     order = np.argsort(word)
     heads, seen = word[order], known["n"].to_numpy()[order]
-    labels = np.full(len(heads), -1, np.int64)
-    if clusters and len(heads) and len(frequent):
-        near = company(docs, frequent, heads).toPandas().astype("int64").sort_values("at")
+    meet = bool(clusters and len(heads) and len(frequent))
+    rows = located(docs, frequent, heads, buckets, meet)
+    labels, leaf, trees = np.full(len(heads), -1, np.int64), np.full(len(heads), -1, np.int32), None
+    if meet:
+        near = company(rows).toPandas().astype("int64").sort_values("at")
         at, x = near["at"].to_numpy(), near.drop(columns="at").to_numpy(np.float32)
         length = np.linalg.norm(x, axis=1)
         good = (length > 0) & (seen[at] > 1)
@@ -411,14 +603,22 @@ def fit(
             labels[at] = cluster(x, seen[at].astype(float), clusters)
             np.add.at(mass, labels[at], seen[at])
             np.subtract.at(mass, clusters + (heads[at] % U64(buckets)).astype(np.int64), seen[at])
-    model = Model(frequent, heads, seen, labels, mass, clusters, buckets, hidden, Network.fresh(len(frequent) + clusters + buckets, hidden), counts, least)
-    rows = coded(docs, model)
-    return Model(**{**vars(model), "flat": train(rows, total, model.size, hidden, rate, group, rounds)}), rows
+            if branch:
+                leaf[at] = np.arange(len(at))
+                trees = grow(x, seen[at].astype(float), labels[at], min(branch, hidden + 1))
+    size = len(frequent) + clusters + buckets
+    model = Model(frequent, heads, seen, labels, mass, clusters, buckets, hidden, Network.fresh(size, hidden), trees, leaf, counts, least)
+    if not rounds or not total:
+        return model, rows
+    codes = model.codes()
+    packs = rows.where("near is null").select("rid", "places").mapInPandas(lambda frames: packed(frames, codes, size), "rows binary, salt long")
+    packs = materialize(packs.withColumn("turn", F.pmod(F.xxhash64("salt"), F.lit(rounds))), codec="zstd")
+    return Model(**{**vars(model), "flat": train(packs, total, model.class_of_codes(), size, hidden, rate, group, rounds, trees)}), rows
 
 
 def score(
-    docs: DataFrame, words: int = WORDS, buckets: int = BUCKETS, hidden: int = HIDDEN, rate: int = RATE, group: int = GROUP, rounds: int = ROUNDS, head: int = HEAD, clusters: int = CLUSTERS, learn_from: DataFrame | None = None
+    docs: DataFrame, words: int = WORDS, buckets: int = BUCKETS, hidden: int = HIDDEN, rate: int = RATE, group: int = GROUP, rounds: int = ROUNDS, head: int = HEAD, clusters: int = CLUSTERS, learn_from: DataFrame | None = None, branch: int = 0
 ) -> DataFrame:
     """doc_id, n_tokens, log_prob, score for every row of docs; counts, classes and network come from `learn_from` or, by default, from docs."""
-    model, rows = fit(docs if learn_from is None else learn_from, words, buckets, hidden, rate, group, rounds, head, clusters)
+    model, rows = fit(docs if learn_from is None else learn_from, words, buckets, hidden, rate, group, rounds, head, clusters, branch)
     return model.scored(rows) if learn_from is None else model.score(docs)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from arborlens.llm.common import TERM_GAPS, labelled_texts, text_bytes, text_key, word_hashes
 from arborlens.llm.language import Parser, folded, identify, learn_samples, suffix_automaton
-from arborlens.llm.pseudo_likelihood import Index, Network, classes, cluster, score, windows, word_counts
+from arborlens.llm.pseudo_likelihood import BRANCH, Index, Network, classes, cluster, grow, score, windows, word_counts
 from arborlens.llm.pseudo_likelihood import fit as fit_language_model
 from arborlens.llm.quality import score_quality
 from arborlens.llm.toxicity import fit, score_toxicity
@@ -236,6 +236,76 @@ def test_clusters_make_context_tell(spark):
     assert mean(clusters=6, buckets=2) > mean(clusters=0, buckets=8) + 0.1
 
 
+def test_words_of_a_cluster_follow_their_context(spark):
+    draw = random.Random(6)
+    rows = [(k, " ".join(f"{lead} {lead}{draw.randrange(20)}x" for lead in draw.choices(("ka", "ze"), k=60))) for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    # one cluster holds all words but ka and ze; what stands before each of them says which half of it can come
+    mean = lambda branch: score(docs, words=2, clusters=1, buckets=1, branch=branch).agg(F.sum("log_prob") / F.sum("n_tokens")).first()[0]
+    assert mean(BRANCH) > mean(0) + 0.2
+
+
+def test_trees_equal_brute_force(spark):
+    rows = tongues()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    texts = [(i, re.findall("[a-z0-9]+", (t or "").lower())) for i, t in rows]
+    count = Counter(w for _, t in texts for w in t)
+    names = sorted(count)
+    hashes = word_hashes([w.encode() for w in names], TERM_GAPS)[1]
+    for settings in ({"rounds": 0}, {}, {"head": 40, "words": 5}):
+        model, rows_ = fit_language_model(docs, branch=BRANCH, **settings)
+        kind, at, found = model.kinds(hashes, Index(model.heads))
+        leaf = np.where(found & (kind >= len(model.frequent)), model.leaf[at] if len(at) else -1, -1)
+        kind, leaf = (dict(zip(names, x.tolist(), strict=True)) for x in (kind, leaf))
+        assert {w for w in names if leaf[w] >= 0} == {w for w in names if len(model.frequent) <= kind[w] < len(model.frequent) + model.clusters}
+        mass = Counter()
+        for w, n in count.items():
+            mass[kind[w]] += n
+        trees, net = model.trees, Network(model.flat, model.size, model.hidden)
+
+        def inside(w, h):
+            total = 0.0
+            for step in trees.steps[trees.first[leaf[w]] : trees.first[leaf[w] + 1]].tolist():
+                z = float(np.append(h[: BRANCH - 1], 1) @ trees.nodes[step // 2])
+                total -= np.log1p(np.exp(-z if step % 2 else z))
+            return total
+
+        want = []
+        for i, t in texts:
+            total = 0.0
+            for k, w in enumerate(t):
+                around = [kind[t[k + o]] if 0 <= k + o < len(t) else model.size for o in (-2, -1, 1, 2)]
+                h = np.tanh(net.bias + sum(net.embed[o][c] for o, c in enumerate(around)))
+                z = (h @ net.out + net.prior).astype(float)
+                total += z[kind[w]] - np.log(np.exp(z).sum())
+                if leaf[w] >= 0:
+                    total += inside(w, h)
+                elif kind[w] >= len(model.frequent):
+                    total += np.log(count[w] / (mass[kind[w]] + 1))
+            want.append((i, len(t), total))
+        got = sorted((r["doc_id"], r["n_tokens"], r["log_prob"]) for r in model.scored(rows_).collect())
+        for (i, n, value), (j, m, other) in zip(got, sorted(want), strict=True):
+            assert (i, n) == (j, m) and abs(value - other) < 1e-3 * max(1, abs(other))
+        # a cluster's words have all of its probability, in an untrained tree their shares of its counts
+        for k in range(len(model.frequent), len(model.frequent) + model.clusters):
+            own = [w for w in names if kind[w] == k]
+            share = {w: np.exp(inside(w, h)) for w in own}
+            assert not own or abs(sum(share.values()) - 1) < 1e-4
+            assert settings != {"rounds": 0} or all(abs(share[w] - count[w] / mass[k]) < 1e-4 for w in own)
+
+
+def test_trees_split_by_weight_and_direction():
+    x = np.array([[1, 0], [0, 1], [0.9, 0.1], [0.1, 0.9], [1, 0]], np.float32)
+    trees = grow(x, np.array([1, 2, 3, 4, 5.0]), np.array([0, 0, 0, 0, 1]), 3)
+    _, node, side = trees.ways(np.arange(5))
+    assert np.diff(trees.first).tolist() == [2, 2, 2, 2, 0] and len(trees.nodes) == 3
+    first = dict(zip((0, 1, 2, 3), side[::2].tolist(), strict=True))
+    assert first[0] == first[2] != first[1] == first[3] and set(node[::2].tolist()) == {0}
+    same = grow(np.ones((3, 2), np.float32), np.ones(3), np.zeros(3, np.int64), 3)
+    assert np.exp(same.log_probs(np.zeros((3, 2), np.float32), np.arange(3))).round(5).tolist() == [0.33333] * 3
+    assert len(grow(x[:0], np.zeros(0), np.zeros(0, np.int64), 3).nodes) == 0
+
+
 def test_index_finds_what_is_there():
     draw = np.random.Generator(np.random.PCG64(3))
     for n in (0, 1, 2, 500):
