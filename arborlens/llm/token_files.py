@@ -127,7 +127,7 @@ class Model:
         state += self.hit
         new = np.where(KEPT.take(state), self.guess, self.twice)
         new |= NEXT.take(state)
-        self.seen[self.key] = new
+        self.seen.put(self.key, new, mode="clip")  # no key is outside; this mode alone does not look for any
         if self.step < 16 or not self.step % 8:
             self.hits *= 0.97
             n = self.lanes
@@ -149,15 +149,15 @@ def encode_lanes(ids: np.ndarray, vocabulary: int) -> tuple[np.ndarray, np.ndarr
     steps, lanes = ids.shape
     model = Model(lanes, vocabulary)
     low, size = np.zeros(lanes, np.int64), np.full(lanes, (1 << 48) - 1, np.int64)
-    width = 2 * steps + 8
-    base = np.arange(lanes) * width
-    out, at = np.zeros(lanes * width, np.int32), base.copy()
+    every = np.arange(lanes)
+    owners, words = [], []  # in the order of coding; the words of a lane are put together at the end
 
     def shift_out(k: np.ndarray, tops: np.ndarray) -> None:
-        out[at.take(k)] = tops
-        at[k] += 1
+        owners.append(k.astype(np.uint16))
+        words.append(tops.astype("<u4"))
 
     for row in ids:
+        row = row.astype(np.int64)
         model.spread()
         start, span = model.span(row)
         model.learn(row)
@@ -167,12 +167,10 @@ def encode_lanes(ids: np.ndarray, vocabulary: int) -> tuple[np.ndarray, np.ndarr
         size *= span
         _flush(low, size, shift_out)
     for shift in (WORD, 0):
-        out[at] = (low >> shift) & 0xFFFFFF
-        at += 1
-    counts = at - base
-    kept = np.arange(width)[None, :] < counts[:, None]
-    words = out.reshape(lanes, width)[kept].astype("<u4")
-    return counts, words.view(np.uint8).reshape(-1, 4)[:, :3].ravel()
+        shift_out(every, (low >> shift) & 0xFFFFFF)
+    owner = np.concatenate(owners)
+    out = np.concatenate(words).take(np.argsort(owner, kind="stable"))  # short keys are sorted by radix
+    return np.bincount(owner, minlength=lanes), out.view(np.uint8).reshape(-1, 4)[:, :3].ravel()
 
 
 def _flush(low: np.ndarray, size: np.ndarray, shift_out) -> None:
@@ -229,7 +227,7 @@ def write_block(doc_ids: list[int | None], documents: list[np.ndarray], vocabula
     ids = np.concatenate(documents) if documents else np.zeros(0, np.uint16)
     lanes = int(min(LANES, max(1, -(-len(ids) // STEPS))))
     steps = -(-len(ids) // lanes)
-    laid = np.zeros(lanes * steps, np.int64)
+    laid = np.zeros(lanes * steps, np.uint16)
     laid[: len(ids)] = ids
     counts, words = encode_lanes(np.ascontiguousarray(laid.reshape(lanes, steps).T), vocabulary)
     keys = zlib.compress(np.array([0 if k is None else k for k in doc_ids], "<i8").tobytes() + np.array([k is None for k in doc_ids], "<u1").tobytes(), 1)

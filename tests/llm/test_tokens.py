@@ -38,6 +38,13 @@ def test_block_round_trip_and_damage():
         read_block(bytes(broken))
 
 
+def test_block_of_all_lanes_round_trips():
+    draw = np.random.default_rng(2)
+    docs = [draw.zipf(1.2, 70_000).clip(0, 49_000).astype(np.uint16) for _ in range(60)]
+    keys, back = read_block(write_block(list(range(60)), docs, 49_408))
+    assert keys == list(range(60)) and all(np.array_equal(a, b) for a, b in zip(docs, back, strict=True))
+
+
 def texts(seed=2):
     draw = random.Random(seed)
     words = ["".join(draw.choices("abcdeé", k=draw.randint(1, 7))) for _ in range(300)]
