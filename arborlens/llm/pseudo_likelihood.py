@@ -35,10 +35,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import TERM_GAPS, U64, batches_of_texts, materialize, text_bytes, word_hashes
+from .common import TERM_GAPS, U64, batches_of_texts, brief_shuffles, discard, materialize, text_bytes, word_hashes
 
 WORDS, CLUSTERS, BUCKETS, HIDDEN, RATE, GROUP, ROUNDS = 64, 28, 4, 32, 1, 200_000, 3
 HEAD, PACK, DIMS, REACH = 262_144, 16_384, 12, 8
@@ -187,6 +188,35 @@ class Trees:
     steps: np.ndarray
     nodes: np.ndarray
 
+    def __getstate__(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The last step to every leaf and to every node (-1: none) and the weights, which take a fraction of the bytes: leaves
+        share the steps to the nodes above them."""
+        to_leaf, to_node = np.full(len(self.first) - 1, -1, np.int32), np.full(len(self.nodes), -1, np.int32)
+        some = np.diff(self.first) > 0
+        to_leaf[some] = self.steps[self.first[1:][some] - 1]
+        inner = np.ones(len(self.steps), bool)
+        inner[self.first[:-1][some]] = False  # a leaf's first step begins at a root
+        inner = np.flatnonzero(inner)
+        to_node[self.steps[inner] >> 1] = self.steps[inner - 1]
+        return to_leaf, to_node, self.nodes
+
+    def __setstate__(self, state: tuple[np.ndarray, np.ndarray, np.ndarray]) -> None:
+        step, to_node, nodes = state
+        leaf, way = np.flatnonzero(step >= 0), []
+        n, step = np.zeros(len(step), np.int64), step[step >= 0]
+        while len(leaf):
+            way.append((leaf, step))
+            n[leaf] += 1
+            above = to_node[step >> 1]
+            leaf, step = leaf[above >= 0], above[above >= 0]
+        first = np.concatenate(([0], np.cumsum(n)))
+        steps, at = np.empty(first[-1], np.int32), first[1:].copy()
+        for leaf, step in way:
+            at[leaf] -= 1
+            steps[at[leaf]] = step
+        for name, value in (("first", first), ("steps", steps), ("nodes", nodes)):
+            object.__setattr__(self, name, value)
+
     def ways(self, leaf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(position, node, side) of all steps to the leaves; those below zero have none."""
         own = np.flatnonzero(leaf >= 0)
@@ -390,10 +420,11 @@ LEARNT = "part int, n long, w array<double>, node binary, learnt binary"
 PARTS = 8
 
 
-def learner(start: np.ndarray, kinds: np.ndarray, size: int, hidden: int, rate: int, trees: Trees | None, past: np.ndarray | None):
-    """One group's training from the shared weights and sums of squares."""
+def learner(shared: Broadcast, known: Broadcast, size: int, hidden: int, rate: int):
+    """One group's training from the shared weights, nodes and sums of squares; `known` has the classes of codes and the trees."""
 
     def learn(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        (start, nodes, past), (kinds, trees) = shared.value, known.value
         stream = np.concatenate([np.frombuffer(r, np.int32) for r in frame.sort_values("salt")["rows"]]).astype(np.int64)
         at = np.flatnonzero((stream >= 0) & (stream != size))
         if rate > 1:
@@ -406,7 +437,7 @@ def learner(start: np.ndarray, kinds: np.ndarray, size: int, hidden: int, rate:
         if trees is None:
             net.train(context, stream[at], sums)
         else:
-            own, squares = Trees(trees.first, trees.steps, trees.nodes.copy()), past.copy()
+            own, squares = Trees(trees.first, trees.steps, nodes.copy()), past.copy()
             passed = net.train(context, stream[at], sums, trees=own, leaf=leaf, past_nodes=squares)
             node = np.flatnonzero(passed)
             often = passed[node, None]
@@ -456,11 +487,16 @@ def train(packs: DataFrame, total: int, kinds: np.ndarray, size: int, hidden: in
     groups = max(1, -(-total // (max(1, rounds) * rate * group)))
     weights = Network.fresh(size, hidden)
     flat = np.concatenate((weights, np.full(len(weights), 1e-4, np.float32)))
-    past = None if trees is None else np.ones(len(trees.nodes), np.float32)
+    nodes, past = (None, None) if trees is None else (trees.nodes, np.ones(len(trees.nodes), np.float32))
+    share = packs.sparkSession.sparkContext.broadcast
+    known = share((kinds, None if trees is None else Trees(trees.first, trees.steps, nodes[:, :0])))
     for turn in range(rounds if total else 0):
+        shared = share((flat, nodes, past))  # for this round alone: its copies on all machines go at the end
         dealt = packs.where(F.col("turn") == turn).withColumn("group", F.pmod(F.xxhash64("salt", F.lit(turn)), F.lit(groups)))
-        mean = average(dealt.groupBy("group").applyInPandas(learner(flat, kinds, size, hidden, rate, trees, past), LEARNT), trees, past)
+        mean = average(dealt.groupBy("group").applyInPandas(learner(shared, known, size, hidden, rate), LEARNT), trees, past)
+        shared.destroy()
         flat = flat if mean is None else mean.astype(np.float32)
+    known.destroy()
     return flat[: len(weights)]
 
 
@@ -613,12 +649,15 @@ def fit(
     codes = model.codes()
     packs = rows.where("near is null").select("rid", "places").mapInPandas(lambda frames: packed(frames, codes, size), "rows binary, salt long")
     packs = materialize(packs.withColumn("turn", F.pmod(F.xxhash64("salt"), F.lit(rounds))), codec="zstd")
-    return Model(**{**vars(model), "flat": train(packs, total, model.class_of_codes(), size, hidden, rate, group, rounds, trees)}), rows
+    flat = train(packs, total, model.class_of_codes(), size, hidden, rate, group, rounds, trees)
+    discard(packs)
+    return Model(**{**vars(model), "flat": flat}), rows
 
 
 def score(
     docs: DataFrame, words: int = WORDS, buckets: int = BUCKETS, hidden: int = HIDDEN, rate: int = RATE, group: int = GROUP, rounds: int = ROUNDS, head: int = HEAD, clusters: int = CLUSTERS, learn_from: DataFrame | None = None, branch: int = 0
 ) -> DataFrame:
     """doc_id, n_tokens, log_prob, score for every row of docs; counts, classes and network come from `learn_from` or, by default, from docs."""
-    model, rows = fit(docs if learn_from is None else learn_from, words, buckets, hidden, rate, group, rounds, head, clusters, branch)
+    with brief_shuffles(docs.sparkSession):
+        model, rows = fit(docs if learn_from is None else learn_from, words, buckets, hidden, rate, group, rounds, head, clusters, branch)
     return model.scored(rows) if learn_from is None else model.score(docs)

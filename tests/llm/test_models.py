@@ -1,5 +1,7 @@
+import pickle
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -294,6 +296,28 @@ def test_trees_equal_brute_force(spark):
             assert settings != {"rounds": 0} or all(abs(share[w] - count[w] / mass[k]) < 1e-4 for w in own)
 
 
+def test_trees_are_sent_by_their_last_steps():
+    draw = np.random.default_rng(3)
+    label = np.append(draw.integers(0, 5, 3000), 5)  # the last leaf is alone and has no steps
+    trees = grow(draw.normal(size=(3001, 4)).astype(np.float32), draw.random(3001) + 0.1, label, 8)
+    sent = pickle.dumps(trees, 5)
+    back = pickle.loads(sent)
+    assert all((getattr(back, k) == getattr(trees, k)).all() for k in ("first", "steps", "nodes"))
+    assert len(sent) < trees.nodes.nbytes + trees.steps.nbytes // 3
+    assert len(pickle.loads(pickle.dumps(grow(np.zeros((1, 2), np.float32), np.ones(1), np.zeros(1, np.int64), 3))).steps) == 0
+
+
+def test_training_leaves_no_shuffle_files(spark):
+    store = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {f.getName() for f in map(store.getAllFiles().apply, range(store.getAllFiles().size())) if f.getName().startswith("shuffle_")}
+    before = files()
+    docs = spark.createDataFrame(tongues(), "doc_id long, text string").repartition(3)
+    got = score(docs, branch=BRANCH)
+    time.sleep(2)  # blocks go in the background
+    assert not files() - before
+    assert got.count() == len(tongues())
+
+
 def test_trees_split_by_weight_and_direction():
     x = np.array([[1, 0], [0, 1], [0.9, 0.1], [0.1, 0.9], [1, 0]], np.float32)
     trees = grow(x, np.array([1, 2, 3, 4, 5.0]), np.array([0, 0, 0, 0, 1]), 3)
