@@ -25,9 +25,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc32_ids, materialize
+from .common import crc32_ids, groups_of_bytes, materialize
 from .mixing import prefix_sums
-from .tokens import encoder
+from .tokens import GROUP, encoder
 
 LANES, STEPS, TOKENS = 8192, 512, 4_000_000
 MAGIC, HEAD = b"ACM1", "<4sQIIIIII"
@@ -268,13 +268,16 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 2, block: i
             return pd.DataFrame({"part": [part], "number": [number], "tokens": [size], "block": [write_block(keys, held, vocabulary)]})
 
         for frame in frames:
-            for part, doc_id, text in zip(frame["part"], frame["doc_id"], frame["text"], strict=True):
-                keys.append(None if pd.isna(doc_id) else int(doc_id))
-                held.append(np.append(own.ids(text or ""), np.uint16(end_id)))
-                size += len(held[-1])
-                if size >= block:
-                    yield out()
-                    keys, held, size, number = [], [], 0, number + 1
+            texts = [t or "" for t in frame["text"]]
+            for low, high in groups_of_bytes(map(len, texts), GROUP):
+                rows = frame.iloc[low:high]
+                for part, doc_id, ids in zip(rows["part"], rows["doc_id"], own.all_ids(texts[low:high]), strict=True):
+                    keys.append(None if pd.isna(doc_id) else int(doc_id))
+                    held.append(np.append(ids, np.uint16(end_id)))
+                    size += len(held[-1])
+                    if size >= block:
+                        yield out()
+                        keys, held, size, number = [], [], 0, number + 1
         if held:
             yield out()
 

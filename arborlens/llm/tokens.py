@@ -5,6 +5,11 @@ cross: at single blanks and line feeds between two non-space characters, and, fo
 any blanks and line feeds. A worker remembers encoded pieces in two generations of at most ROOM bytes for each of its two
 memos (160 MB at most, about half in practice); pieces of more than LONGEST characters are encoded anew whenever they come,
 others are remembered from the second time on, since most pieces come once.
+
+For vocabularies that lower-case and drop white space, texts are taken in groups: the distinct pieces of a group are found by
+Arrow and split into a plain word and punctuation after it, each distinct word in lower case is encoded or remembered, in two
+generations of at most WORDS bytes, and the ids are laid out by numpy. So capitals and punctuation make no new words, and
+a word's ids are looked up once a group, not whenever it comes.
 """
 
 from __future__ import annotations
@@ -16,16 +21,25 @@ import string
 from array import array
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+from .common import groups_of_bytes
 
-#: Bytes of one generation, what a piece takes besides its characters and ids, the longest piece remembered, and the
-#: places that note which pieces have come before (by their hash; two pieces in one place do no harm).
-ROOM, EACH, LONGEST, NOTES = 64_000_000, 200, 64, 1 << 22
+#: Bytes of one generation of pieces and of words, what each takes besides its characters and ids, the longest one remembered,
+#: and the places that note which pieces have come before (by their hash; two pieces in one place do no harm).
+ROOM, WORDS, EACH, LONGEST, NOTES = 64_000_000, 96_000_000, 200, 64, 1 << 22
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 #: White space other than blank and line feed: texts that hold any are cut at single blanks only.
 _RARE = re.compile(r"[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 #: Words of Latin letters: one token run each for both kinds of tokenizer, whatever stands around them. U+0130 is none of
 #: them: lower-cased it is two characters, of which the second is no letter.
-_PLAIN = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+").fullmatch
+_LETTERS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+"
+_PLAIN = re.compile(_LETTERS).fullmatch
+#: A plain word and the ASCII punctuation after it: no token crosses from one to the other.
+_SPLIT = f"^(?P<word>{_LETTERS})(?P<tail>[!-/:-@\\[-`{{-~]*)$"
+#: Bytes of text in a group.
+GROUP = 1 << 23
 
 
 def _byte_characters() -> dict[int, str]:
@@ -41,6 +55,33 @@ _BLANK = _BYTES[32]
 PUNCTUATION = string.punctuation
 
 
+class Words(dict):
+    """Encoded plain words; a missing one is encoded when it is asked for. Full generations are handled as in `Memo`."""
+
+    def __init__(self, encoder: Encoder) -> None:
+        self.encoder, self.old, self.used = encoder, {}, 0
+
+    def __missing__(self, word: str) -> bytes:
+        found = self.old.get(word)
+        if found is None:
+            found = self.encoder.word(word, "")
+            if len(word) > LONGEST:
+                return found
+        if self.used >= WORDS:
+            self.old, self.used = dict(self), 0
+            self.clear()
+        self[word] = found
+        self.used += EACH + len(word) + len(found)
+        return found
+
+
+def laid_out(flat: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The runs of flat from each start, of n items, one after the other."""
+    at = np.repeat(start - (np.cumsum(n) - n), n)
+    at += np.arange(len(at))
+    return flat.take(at)
+
+
 class Memo(dict):
     """Encoded pieces, each with `lead` before it; a missing one is encoded when it is asked for. When a generation is
     full it becomes the old one, from which pieces that still come are taken over."""
@@ -92,6 +133,7 @@ class Encoder:
         self.folds = self.pipeline(" Ab") == self.pipeline("ab")  # lower-cases and drops white space
         self.tails: dict[str, bytes] = {}
         self.line = self.pipeline("\n")
+        self.words = Words(self)
         self.first, self.later = Memo(self, ""), Memo(self, "" if self.folds else " ")
 
     def pipeline(self, text: str) -> bytes:
@@ -120,7 +162,7 @@ class Encoder:
         if not text:
             return np.zeros(0, self.kind)
         if self.folds:
-            return np.frombuffer(b"".join(map(self.later.__getitem__, text.replace("\n", " ").split(" "))), self.kind)
+            return self.folded([text])[0]
         if text[0] == " " or text[-1] == " " or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or _RARE.search(text):
             head, *tail = _CUT.split(text)
             return np.frombuffer(b"".join([self.first[head], *map(self.later.__getitem__, tail)]), self.kind)
@@ -132,6 +174,41 @@ class Encoder:
         return np.frombuffer(b"".join(out[1:]), self.kind)
 
 
+    def all_ids(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each whole text, without special tokens added."""
+        if not self.folds:
+            return [self.ids(t) for t in texts]
+        return [ids for low, high in groups_of_bytes(map(len, texts), GROUP) for ids in self.folded(texts[low:high])]
+
+    def folded(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text of a group, for a vocabulary that lower-cases and drops white space."""
+        split = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " "), " ")
+        pieces = pc.list_flatten(split).dictionary_encode()
+        found = pc.extract_regex(pieces.dictionary, _SPLIT)
+        plain = found.is_valid()
+        words = pc.utf8_lower(pc.struct_field(found, 0).filter(plain)).dictionary_encode()
+        tails = pc.struct_field(found, 1).filter(plain).dictionary_encode()
+        plain = plain.to_numpy(zero_copy_only=False)
+        # words, punctuation and all other pieces, each encoded once
+        known = [*map(self.words.__getitem__, words.dictionary.to_numpy(zero_copy_only=False)), *map(self.tail, tails.dictionary.to_pylist())]
+        other = pieces.dictionary.filter(pa.array(~plain)).to_pylist()
+        known += map(self.later.__getitem__, other)
+        n = np.fromiter(map(len, known), np.int64, len(known)) // self.kind.itemsize
+        flat, start = np.frombuffer(b"".join(known), self.kind), np.cumsum(n) - n
+        # every distinct piece is two of these: a word and its punctuation, or nothing (the last) and another piece
+        n, start = np.append(n, 0), np.append(start, 0)
+        part = np.full((len(plain), 2), len(known))
+        part[plain, 0] = words.indices.to_numpy()
+        part[plain, 1] = tails.indices.to_numpy() + len(words.dictionary)
+        part[~plain, 1] = np.arange(len(known) - len(other), len(known))
+        flat, n = laid_out(flat, start.take(part.ravel()), n.take(part.ravel())), n.take(part).sum(1)
+        start = np.cumsum(n) - n
+        at = pieces.indices.to_numpy()
+        n = n.take(at)
+        ends = np.append(0, np.cumsum(n)).take(np.cumsum(pc.list_value_length(split).to_numpy()))
+        return np.split(laid_out(flat, start.take(at), n), ends[:-1])
+
+
 @functools.lru_cache(maxsize=1)
 def encoder(path: str) -> Encoder:
     return Encoder(path)

@@ -9,9 +9,10 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from arborlens.llm import tokens
 from arborlens.llm.packing import cut, intervals, pack_documents, plan
 from arborlens.llm.token_files import Damaged, read_block, token_file_digest, write_block
-from arborlens.llm.tokens import encoder
+from arborlens.llm.tokens import Encoder, encoder
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 LIBRARY = {p: Tokenizer.from_file(p) for p in (BYTE, WORD)}
@@ -113,6 +114,23 @@ def test_pack_documents(spark):
     assert pack_documents(frame.limit(0), BYTE).count() == 0
 
 
+def test_a_word_is_encoded_once_whatever_its_capitals_and_punctuation(monkeypatch):
+    own = Encoder(WORD)
+    asked = []
+    monkeypatch.setattr(own, "word", lambda word, lead, known=own.word: asked.append(word) or known(word, lead))
+    got = own.all_ids(["Kalor, kalor KALOR.\nkalor; mild", "", "«kalor» (Mild) mild!? Ärger ärger-", "  \t kalor\n\n", "١٢ ǅ ÅÉ... ...", "x" * 100 + " " + "X" * 100])
+    want = ["Kalor, kalor KALOR.\nkalor; mild", "", "«kalor» (Mild) mild!? Ärger ärger-", "  \t kalor\n\n", "١٢ ǅ ÅÉ... ...", "x" * 100 + " " + "X" * 100]
+    assert [g.tolist() for g in got] == [LIBRARY[WORD].encode(t, add_special_tokens=False).ids for t in want]
+    assert sorted(asked) == sorted(set(asked)) and {"kalor", "mild", "ärger"} <= set(asked)
+
+
+def test_groups_of_texts_give_the_library_ids(monkeypatch):
+    monkeypatch.setattr(tokens, "GROUP", 50)
+    own, rows = Encoder(WORD), [t or "" for _, t in texts()]
+    assert [g.tolist() for g in own.all_ids(rows)] == [LIBRARY[WORD].encode(t, add_special_tokens=False).ids for t in rows]
+    assert own.all_ids([]) == []
+
+
 def test_every_letter_of_the_fast_path_gives_the_library_ids():
     letters = [chr(c) for c in range(0xC0, 0x250)]
     text = " ".join(w for c in letters for w in (c, f"{c}stanbul", f"a{c}b", f"x{c},"))
