@@ -32,6 +32,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -43,6 +44,7 @@ from .common import TERM_GAPS, U64, batches_of_texts, brief_shuffles, discard, m
 
 WORDS, CLUSTERS, BUCKETS, HIDDEN, RATE, GROUP, ROUNDS = 64, 28, 4, 32, 1, 200_000, 3
 HEAD, PACK, DIMS, REACH = 262_144, 16_384, 12, 8
+SPAN, PARTS = 16_384, 8
 BRANCH = 8
 OFFSETS = (-2, -1, 1, 2)
 
@@ -99,11 +101,12 @@ class Index:
 
 def located(docs: DataFrame, frequent: np.ndarray, heads: np.ndarray, buckets: int, meet: bool) -> DataFrame:
     """Table of rid, doc_id, places (of the words in order: 32-bit places among `frequent`, after these among `heads`, or -1 - bucket)
-    and tail (hashes of the words that are in neither). With `meet`, rows without rid hold in `near` the company of words of the
+    and tail (hashes of the words that are in neither). With `meet`, further rows hold in `near` the company of words of the
     head, as 64-bit numbers in rows of 1 + DIMS: place in `heads`, sums of the sign vectors of frequent words up to REACH words away
-    in the same text."""
-    signs = np.zeros((DIMS, len(frequent) + 1), np.int32)
+    in the same text; their rid is the number of the span of SPAN places."""
+    signs = np.zeros((DIMS, len(frequent) + 1), np.int64)
     signs[:, :-1] = np.random.Generator(np.random.PCG64(23)).integers(0, 2, (DIMS, len(frequent))) * 2 - 1
+    signs = signs[::2] + (signs[1::2] << 32)  # summed two at a time
 
     def locate(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums, met, index = np.zeros((len(heads) if meet else 0, 1 + DIMS), np.int64), np.zeros(len(heads), bool), Index(heads)
@@ -131,31 +134,45 @@ def located(docs: DataFrame, frequent: np.ndarray, heads: np.ndarray, buckets: i
                 start, end = np.maximum(here - REACH, start), np.minimum(here + REACH + 1, end)
                 own, slot = np.unique(at, return_inverse=True)
                 met[own] = True
-                run = np.zeros(len(word) + 1, np.int32)
-                for d in range(DIMS):
-                    np.cumsum(signs[d][kind], out=run[1:])
-                    sums[own, 1 + d] += np.bincount(slot, run[end] - run[start], minlength=len(own)).astype(np.int64)
-        some = np.flatnonzero(met) if meet else []
-        for a in range(0, len(some), 20_000):
-            here = some[a : a + 20_000]
-            sums[here, 0] = here
-            yield pd.DataFrame({"rid": [None], "doc_id": [None], "places": [None], "tail": [None], "near": [sums[here].tobytes()]})
+                run, both = np.zeros(len(word) + 1, np.int64), np.zeros((len(signs), len(own)), np.int64)
+                for pair, total in zip(signs, both, strict=True):
+                    np.cumsum(pair.take(kind), out=run[1:])
+                    np.add.at(total, slot, run.take(end) - run.take(start))
+                low = both.astype(np.int32)
+                near = np.stack((low, (both - low) >> 32), 1).reshape(DIMS, -1)
+                sums[own, 1:] += near.T
+        for span in range(-(-len(heads) // SPAN) if meet else 0):
+            here = span * SPAN + np.flatnonzero(met[span * SPAN : (span + 1) * SPAN])
+            if len(here):
+                sums[here, 0] = here
+                yield pd.DataFrame({"rid": [span], "doc_id": [None], "places": [None], "tail": [None], "near": [sums[here].tobytes()]})
 
     raws = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), text_bytes(F.col("text")).alias("raw"))
     return materialize(raws.mapInPandas(locate, "rid long, doc_id long, places binary, tail array<long>, near binary"), codec="zstd")
 
 
-def company(rows: DataFrame) -> DataFrame:
-    """(at, c0, c1, ...): the sums in the rows `near` of a table of places, by place in the head."""
-    names = [f"c{d}" for d in range(DIMS)]
+def company(rows: DataFrame) -> np.ndarray:
+    """The sums in the rows `near` of a table of places, as rows of 1 + DIMS ordered by place in the head: added up per partition,
+    then for each span of places, whose sums come to the driver."""
 
-    def unfold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def add(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = {}
         for frame in frames:
-            for raw in frame["near"]:
-                yield pd.DataFrame(np.frombuffer(raw, np.int64).reshape(-1, 1 + DIMS), columns=["at", *names])
-
-    unfolded = rows.where("near is not null").select("near").mapInPandas(unfold, "at long, " + ", ".join(f"{n} long" for n in names))
-    return unfolded.groupBy("at").agg(*(F.sum(n).alias(n) for n in names))
+            for span, raw in zip(frame["span"], frame["near"], strict=True):
+                near = np.frombuffer(raw, np.int64).reshape(-1, 1 + DIMS)
+                own = sums.setdefault(span, np.zeros((SPAN, 1 + DIMS), np.int64))  # in the first column: how many sums
+                at = near[:, 0] - span * SPAN
+                own[at, 0] += 1
+                own[at, 1:] += near[:, 1:]
+        for span, own in sums.items():
+            at = np.flatnonzero(own[:, 0])
+            own = own[at]
+            own[:, 0] = at + span * SPAN
+            yield pd.DataFrame({"span": [span], "near": [own.tobytes()]})
+
+    near = rows.where("near is not null").select(F.col("rid").cast("int").alias("span"), "near").mapInPandas(add, "span int, near binary")
+    found = sorted(near.repartition(PARTS, "span").mapInPandas(add, "span int, near binary").collect())
+    return np.concatenate([np.zeros((0, 1 + DIMS), np.int64), *(np.frombuffer(r["near"], np.int64).reshape(-1, 1 + DIMS) for r in found)])
 
 
 def cluster(x: np.ndarray, weight: np.ndarray, k: int, turns: int = 20) -> np.ndarray:
@@ -223,10 +240,9 @@ class Trees:
         leaf = leaf.take(own)
         start = self.first.take(leaf)
         n = self.first.take(leaf + 1) - start
-        ends = np.cumsum(n)
-        step = np.repeat(start - ends + n, n)
+        step = np.repeat(start - np.cumsum(n) + n, n)
         step += np.arange(len(step))
-        step = self.steps.take(step)
+        step = self.steps.take(step).astype(np.int64)
         return np.repeat(own, n), step >> 1, step & 1
 
     def reading(self, h: np.ndarray) -> np.ndarray:
@@ -238,9 +254,11 @@ class Trees:
     def log_probs(self, h: np.ndarray, leaf: np.ndarray) -> np.ndarray:
         """Of every leaf within its cluster."""
         own, node, side = self.ways(leaf)
-        z = np.einsum("ij,ij->i", self.reading(h).take(own, 0), self.nodes.take(node, 0))
+        z = dots(self.reading(h).take(own, 0), self.nodes.take(node, 0))
         z *= (1 - 2 * side).astype(np.float32)
-        return -np.bincount(own, np.log(1 + np.exp(np.clip(z, -80, 80, out=z))), minlength=len(leaf))
+        np.exp(np.clip(z, -80, 80, out=z), out=z)
+        z += 1
+        return -np.bincount(own, np.log(z, out=z), minlength=len(leaf))
 
 
 def grow(x: np.ndarray, weight: np.ndarray, label: np.ndarray, width: int) -> Trees:
@@ -286,6 +304,63 @@ def windows(doc: np.ndarray, kind: np.ndarray, border: int) -> np.ndarray:
     return out
 
 
+def dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products of the rows of a with those of b."""
+    return (a * b) @ np.ones(a.shape[1], a.dtype)
+
+
+def tanh(x: np.ndarray) -> np.ndarray:
+    """In place, by way of exp, which takes half the time; off by less than 1e-6."""
+    x *= 2
+    with np.errstate(over="ignore"):
+        np.exp(x, out=x)
+    x += 1
+    np.divide(-2, x, out=x)
+    x += 1
+    return x
+
+
+def add_rows(out: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
+    """Adds each of the rows to the row of `out` at its place; places may repeat. An even number of columns is added in pairs."""
+    kind = np.float32 if out.shape[1] % 2 else np.complex64
+    out, rows = out.view(kind), rows.view(kind)
+    np.add.at(out.reshape(-1), np.arange(out.size).reshape(out.shape).take(at, 0).reshape(-1), rows.reshape(-1))
+
+
+def numbered(keys: np.ndarray, mark: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the different keys in any order, the place of every key among them), without sorting; `mark` is scratch with an item for
+    each possible key."""
+    step = np.arange(len(keys))
+    mark[keys] = step
+    chosen = mark.take(keys)  # of every key, one step
+    own = np.flatnonzero(chosen == step)
+    step[own] = np.arange(len(own))
+    return keys.take(own), step.take(chosen)
+
+
+def keys_of(context: np.ndarray, base: int) -> np.ndarray:
+    """One number for each context; all classes are below `base`."""
+    key = np.zeros(len(context), np.int64)
+    for column in context.T:
+        key = key * base + column
+    return key
+
+
+def alike(key: np.ndarray, below: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions ordered by their keys, for each of these the number of its key, and where each key begins (and the end); all
+    keys are under `below`."""
+    bits = len(key).bit_length()
+    if below < 1 << 63 - bits:  # with the position in one number, which sorts faster
+        key = np.sort(key << bits | np.arange(len(key)))
+        order, key = key & (1 << bits) - 1, key >> bits
+    else:
+        order = np.argsort(key, kind="stable")
+        key = key.take(order)
+    new = np.ones(len(key) + 1, bool)
+    np.not_equal(key[1:], key[:-1], out=new[1:-1])
+    return order, np.cumsum(new[:-1]) - 1, np.flatnonzero(new)
+
+
 def sums_of(rows: np.ndarray, begin: np.ndarray) -> np.ndarray:
     """Sums of the rows from each beginning to the next; an even number of columns is added in pairs, as complex numbers are."""
     if rows.shape[1] % 2:
@@ -313,84 +388,103 @@ class Network:
         for k in range(1, len(OFFSETS)):
             h += self.embed[k].take(context[:, k], 0)
         h += self.bias
-        return np.tanh(h, out=h)
+        return tanh(h)
 
     def log_probs(self, context: np.ndarray, target: np.ndarray, step: int = 1024, trees: Trees | None = None, leaf: np.ndarray | None = None) -> np.ndarray:
-        """Of the target classes, and of the leaves within them where they are not below zero."""
+        """Of the target classes, and of the leaves within them where they are not below zero. Few frequent words and clusters make
+        most contexts, so the network is asked once for each different one."""
         result, ones = np.empty(len(target)), np.ones(self.size, np.float32)
-        for a in range(0, len(target), step):
-            h = self.hidden(context[a : a + step])
-            z = h @ self.out
+        room = np.empty((step, self.size), np.float32)
+        base = self.size + 1
+        order, number, begin = alike(keys_of(context, base), base ** len(OFFSETS))
+        once, wide = order.take(begin[:-1]), 0 if trees is None else trees.nodes.shape[1] - 1
+        units = np.empty((len(once), wide), np.float32)
+        for a in range(0, len(once), step):
+            h = self.hidden(context.take(once[a : a + step], 0))
+            units[a : a + step] = h[:, :wide]
+            z = np.matmul(h, self.out, out=room[: len(h)])
             z += self.prior
-            own = z[np.arange(len(z)), target[a : a + step]]
-            result[a : a + step] = own - np.log(np.exp(z, out=z) @ ones)
-            if trees is not None:
-                result[a : a + step] += trees.log_probs(h, leaf[a : a + step])
+            low, high = begin[a], begin[a + len(h)]
+            some, row = order[low:high], number[low:high] - a
+            own = z[row, target.take(some)]
+            result[some] = own - np.log(np.exp(z, out=z) @ ones).take(row)
+        if trees is not None:
+            for a in range(0, len(order), step):
+                some = order[a : a + step]
+                result[some] += trees.log_probs(units.take(number[a : a + step], 0), leaf.take(some))
         return result
 
     def train(
         self, context: np.ndarray, target: np.ndarray, seen: np.ndarray, size: int = 1024, rate: float = 0.05, trees: Trees | None = None, leaf: np.ndarray | None = None, past_nodes: np.ndarray | None = None
     ) -> np.ndarray | None:
-        """One pass of Adagrad over the windows; `seen`, its sums of squares in the order of `flat`, is carried on, and so is
+        """One pass of Adagrad over the windows, in batches that ask the network once for each different context; `seen`, its sums of squares in the order of `flat`, is carried on, and so is
         `past_nodes` of the trees' nodes. Gives how often each node was passed."""
-        passed = None if trees is None else np.zeros(len(trees.nodes), np.float32)
+        passed, mark = (None, None) if trees is None else (np.zeros(len(trees.nodes), np.float32), np.zeros(len(trees.nodes), np.int64))
         past = Network(seen, self.size, self.embed.shape[2])
-        rows = (context + np.arange(len(OFFSETS)) * (self.size + 1)).astype(np.int16)  # short keys are sorted by radix
         order = np.random.Generator(np.random.PCG64(len(target))).permutation(len(target))
         embed = np.zeros_like(self.embed)
-        flat, ones, each = embed.reshape(-1, embed.shape[2]), np.ones((self.size, 1), np.float32), np.ones(size, np.float32)
+        ones, each = np.ones((self.size, 1), np.float32), np.ones(size, np.float32)
+        base = self.size + 1
+        keys = keys_of(context, base)
+        room = np.empty((size, self.size), np.float32)
         for a in range(0, len(order), size):
             some = order[a : a + size]
-            c, t = context.take(some, 0), target.take(some)
+            by, number, begin = alike(keys.take(some), base ** len(OFFSETS))
+            some = some.take(by)
+            c, t = context.take(some.take(begin[:-1]), 0), target.take(some)
             h = self.hidden(c)
-            p = h @ self.out
+            p = np.matmul(h, self.out, out=room[: len(h)])
             p += self.prior
             np.clip(p, -30, 30, out=p)
             np.exp(p, out=p)
-            p *= 1 / (len(t) * (p @ ones))
-            p[np.arange(len(t)), t] -= 1 / len(t)
+            p *= np.diff(begin).astype(np.float32)[:, None] / (len(t) * (p @ ones))
+            np.subtract.at(p.reshape(-1), number * self.size + t, np.float32(1 / len(t)))
             dh = p @ self.out.T
             if trees is not None:
-                self.branch(trees, leaf.take(some), h, dh, past_nodes, passed)
+                self.branch(trees, leaf.take(some), number, h, dh, past_nodes, passed, mark)
             dh *= 1 - h * h
-            # gradients of the embeddings: sums of dh by row, over sorted rows
-            at = rows.take(some, 0).ravel()
-            by = np.argsort(at, kind="stable")
-            at = at.take(by)
-            starts = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
             embed[...] = 0
-            flat[at[starts]] = sums_of(dh.take(by // len(OFFSETS), 0), starts)
-            for k, g in {"out": h.T @ p, "prior": each[: len(t)] @ p, "bias": each[: len(t)] @ dh, "embed": embed}.items():
+            for k in range(len(OFFSETS)):
+                add_rows(embed[k], c[:, k], dh)
+            for k, g in {"out": h.T @ p, "prior": each[: len(h)] @ p, "bias": each[: len(h)] @ dh, "embed": embed}.items():
                 sums = getattr(past, k)
                 sums += g * g
                 getattr(self, k)[...] -= rate * g / np.sqrt(sums)
         return passed
 
     @staticmethod
-    def branch(trees: Trees, leaf: np.ndarray, h: np.ndarray, dh: np.ndarray, past: np.ndarray, passed: np.ndarray, rate: float = 0.5) -> None:
-        """One step of the nodes on the way to the leaves; adds their part to dh. Nodes learn from sums over the batch, not means:
-        most are passed a few times. `past` has one sum of squares a node, of the weight that moves most."""
+    def branch(trees: Trees, leaf: np.ndarray, number: np.ndarray, h: np.ndarray, dh: np.ndarray, past: np.ndarray, passed: np.ndarray, mark: np.ndarray, rate: float = 0.5) -> None:
+        """One step of the nodes on the way to the leaves, whose rows of h (in ascending order) `number` has; adds their part to dh. Nodes learn from sums over the batch, not means:
+        most are passed a few times. `past` has one sum of squares a node, of the weight that moves most; `mark` is scratch."""
         own, node, side = trees.ways(leaf)
         if not len(own):
             return
+        own = number.take(own)
+        begin = np.append(0, np.flatnonzero(own[1:] != own[:-1]) + 1)
         read, weights = trees.reading(h).take(own, 0), trees.nodes.take(node, 0)
-        z = np.einsum("ij,ij->i", read, weights)
-        np.exp(np.clip(-z, -30, 30, out=z), out=z)
-        g = (1 / (1 + z) - side.astype(np.float32))[:, None]
-        weights *= g
-        read *= g
-        begin = np.flatnonzero(np.diff(own, prepend=-1))
-        dh[own.take(begin), : read.shape[1] - 1] += sums_of(weights, begin)[:, :-1] / len(leaf)
-        by = np.sort(node.astype(np.int64) << 32 | np.arange(len(node)))
-        node = by >> 32
-        begin = np.flatnonzero(np.diff(node, prepend=-1))
-        node, g = node.take(begin), sums_of(read.take(by & 0xFFFFFFFF, 0), begin)
+        g = np.negative(dots(read, weights))
+        np.exp(np.clip(g, -30, 30, out=g), out=g)
+        g += 1
+        np.divide(1, g, out=g)
+        g -= side.astype(np.float32)
+        each = np.repeat(g, read.shape[1]).reshape(read.shape)
+        weights *= each
+        read *= each
+        part = np.zeros((len(h), read.shape[1]), np.float32)
+        part[own.take(begin)] = sums_of(weights, begin)
+        part /= len(leaf)
+        dh[:, : part.shape[1] - 1] += part[:, :-1]
+        np.add.at(passed, node, np.float32(1))
+        node, slot = numbered(node, mark)
+        g = np.zeros((len(node), read.shape[1]), np.float32)
+        add_rows(g, slot, read)
         sums = past.take(node)
-        sums += (g * g).max(1)
+        sums += reduce(np.maximum, (g * g).T)
         past[node] = sums
-        g *= (rate / np.sqrt(sums))[:, None]
-        trees.nodes[node] = trees.nodes.take(node, 0) - g
-        passed[node] += np.diff(begin, append=len(by))
+        g *= np.repeat(rate / np.sqrt(sums), g.shape[1]).reshape(g.shape)
+        np.subtract(trees.nodes.take(node, 0), g, out=g)
+        whole = f"V{g.itemsize * g.shape[1]}"  # a row is one item
+        np.put(trees.nodes.view(whole), node, g.view(whole))
 
 
 def packed(frames: Iterator[pd.DataFrame], codes: np.ndarray, border: int) -> Iterator[pd.DataFrame]:
@@ -417,7 +511,6 @@ def packed(frames: Iterator[pd.DataFrame], codes: np.ndarray, border: int) -> It
 #: What a group has learnt: how many groups, the sum of their weights, numbers of nodes, and for each of these how often it
 #: was passed and the sums, as often, of its weights and sums of squares.
 LEARNT = "part int, n long, w array<double>, node binary, learnt binary"
-PARTS = 8
 
 
 def learner(shared: Broadcast, known: Broadcast, size: int, hidden: int, rate: int):
@@ -440,8 +533,9 @@ def learner(shared: Broadcast, known: Broadcast, size: int, hidden: int, rate: i
             own, squares = Trees(trees.first, trees.steps, nodes.copy()), past.copy()
             passed = net.train(context, stream[at], sums, trees=own, leaf=leaf, past_nodes=squares)
             node = np.flatnonzero(passed)
-            often = passed[node, None]
-            learnt = np.concatenate((often, often * own.nodes[node], often * squares[node, None]), 1)
+            often = passed.take(node)[:, None]
+            learnt = np.concatenate((often, own.nodes.take(node, 0), squares.take(node)[:, None]), 1)
+            learnt[:, 1:] *= often
         return pd.DataFrame({"part": [0], "n": [1], "w": [np.concatenate((weights, sums)).astype(float)], "node": [node.astype(np.int32).tobytes()], "learnt": [learnt.tobytes()]})
 
     return learn
@@ -580,7 +674,7 @@ class Model:
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             net = Network(flat, size, hidden)
             for frame in frames:
-                for low, high in batches_of_texts(frame, "places", 1 << 19):
+                for low, high in batches_of_texts(frame, "places", 1 << 20):
                     part = frame.iloc[low:high]
                     n = np.array([len(k) // 4 for k in part["places"]])
                     doc, place = np.repeat(np.arange(high - low), n), np.frombuffer(b"".join(part["places"]), np.int32)
@@ -630,8 +724,8 @@ def fit(
     rows = located(docs, frequent, heads, buckets, meet)
     labels, leaf, trees = np.full(len(heads), -1, np.int64), np.full(len(heads), -1, np.int32), None
     if meet:
-        near = company(rows).toPandas().astype("int64").sort_values("at")
-        at, x = near["at"].to_numpy(), near.drop(columns="at").to_numpy(np.float32)
+        near = company(rows)
+        at, x = near[:, 0], near[:, 1:].astype(np.float32)
         length = np.linalg.norm(x, axis=1)
         good = (length > 0) & (seen[at] > 1)
         if good.any():
@@ -640,6 +734,8 @@ def fit(
             np.add.at(mass, labels[at], seen[at])
             np.subtract.at(mass, clusters + (heads[at] % U64(buckets)).astype(np.int64), seen[at])
             if branch:
+                often = np.argsort(-seen[at], kind="stable")  # what frequent words need lies together in memory
+                at, x = at[often], x[often]
                 leaf[at] = np.arange(len(at))
                 trees = grow(x, seen[at].astype(float), labels[at], min(branch, hidden + 1))
     size = len(frequent) + clusters + buckets

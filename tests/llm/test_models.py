@@ -398,3 +398,49 @@ def test_language_sample_takes_a_share_of_every_document(spark):
     assert 3500 < len(train["xx"]) <= 4000 and len(unseen["xx"]) <= 1000
     one, rest = learn_samples(docs, 4000, most=1)
     assert one["xx"] and rest["xx"]
+
+
+def test_each_context_is_asked_once(monkeypatch):
+    draw = np.random.default_rng(8)
+    size, hidden, n = 12, 9, 500
+    trees = grow(draw.normal(size=(40, 4)).astype(np.float32), draw.random(40) + 0.1, draw.integers(0, 2, 40), BRANCH)
+    trees.nodes[:] += draw.normal(size=trees.nodes.shape)
+    net = Network(Network.fresh(size, hidden), size, hidden)
+    some = draw.integers(0, size + 1, (5, 4))
+    context, target, leaf = some[draw.integers(0, 5, n)], draw.integers(0, size, n), draw.integers(-1, 40, n)
+    asked, hidden_of = [], Network.hidden
+    monkeypatch.setattr(Network, "hidden", lambda self, c: asked.append(len(c)) or hidden_of(self, c))
+    got = net.log_probs(context, target, 64, trees, leaf)
+    assert sum(asked) == len(np.unique(some, axis=0)) < n
+    # position by position: log-probabilities and the gradients of one batch
+    embed, out, nodes = net.embed.astype(float), net.out.astype(float), trees.nodes.astype(float)
+    grad = Network(np.zeros(len(net.flat)), size, hidden)
+    inner, often = np.zeros_like(nodes), np.zeros(len(nodes))
+    for k in range(n):
+        h = np.tanh(net.bias + sum(embed[o][c] for o, c in enumerate(context[k])))
+        z = h @ out + net.prior
+        p = np.exp(z) / np.exp(z).sum()
+        want, dz = np.log(p[target[k]]), (p - np.eye(size)[target[k]]) / n
+        dh, read = out @ dz, np.append(h[: BRANCH - 1], 1)
+        for step in trees.steps[trees.first[leaf[k]] : trees.first[leaf[k] + 1]].tolist() if leaf[k] >= 0 else []:
+            node, side = step // 2, step % 2
+            right = 1 / (1 + np.exp(-nodes[node] @ read))
+            want += np.log(1 - right if not side else right)
+            dh[: BRANCH - 1] += (right - side) * nodes[node][:-1] / n
+            inner[node] += (right - side) * read
+            often[node] += 1
+        assert abs(got[k] - want) < 1e-4
+        dh *= 1 - h * h
+        grad.out[...] += np.outer(h, dz)
+        grad.prior[...] += dz
+        grad.bias[...] += dh
+        for o, c in enumerate(context[k]):
+            grad.embed[o][c] += dh
+    flat = net.flat - 0.05 * grad.flat / np.sqrt(1e-4 + grad.flat**2)
+    nodes -= 0.5 * inner / np.sqrt(1 + (inner**2).max(1))[:, None]
+    asked.clear()
+    passed = net.train(context, target, np.full(len(flat), 1e-4, np.float32), trees=trees, leaf=leaf, past_nodes=np.ones(len(nodes), np.float32))
+    assert sum(asked) == len(np.unique(some, axis=0))
+    assert (passed == often).all()
+    assert np.abs(net.flat - flat).max() < 1e-3 and np.abs(trees.nodes - nodes).max() < 1e-3
+    assert len(net.log_probs(context[:0], target[:0], trees=trees, leaf=leaf[:0])) == 0
