@@ -205,7 +205,7 @@ class CodeGraph:
 
     def hubs(self, limit: int = 10) -> DataFrame:
         d = reports.degrees(self.label("Function", "Class", id="id"), self.edge("CALLS", "RENDERS"))
-        return d.join(self.nodes.select("id", "qualified_name"), "id").orderBy(F.desc("callers"), "qualified_name").limit(limit)
+        return d.join(self.label("Function", "Class", id="id", qualified_name="qualified_name"), "id").orderBy(F.desc("callers"), "qualified_name").limit(limit)
 
     def dark_orphans(self) -> DataFrame:
         """Functions that are no entry, test or export and that nothing calls, renders, passes or routes to."""

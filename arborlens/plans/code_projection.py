@@ -88,14 +88,28 @@ class TableGraph(CodeGraph):
         return self._spark
 
     def part(self, name: str) -> DataFrame:
-        if name in HEAVY:
-            if name not in self._written or not exists(self._written[name]):
-                made = self._parts[name](self)
-                self._written[name] = materialize(conform(made, EDGES if name in TYPES else NODES))
-            return self._written[name]
-        if name not in self._plans:
-            self._plans[name] = conform(self._parts[name](self), EDGES if name in TYPES else NODES)
-        return self._plans[name]
+        if name in HEAVY and (name not in self._written or not exists(self._written[name])):
+            # columns that are null or the same in all rows are not written: Spark takes a selection of columns for that share of a
+            # file that they have of its columns, so they would make ends of joins look small enough to send to every executor
+            self._written[name] = materialize(self._parts[name](self).drop("label", "type"))
+        return self.plan(name)
+
+    def plan(self, name: str) -> DataFrame:
+        """The part as it was written or, if it was not, its plan over the tables."""
+        edge = name in TYPES
+        if name in self._written:
+            rows = self._written[name].withColumn("type" if edge else "label", F.lit(name))
+        elif name in self._plans:
+            return self._plans[name]
+        else:
+            rows = self._parts[name](self)
+        if name == "Function":
+            # Catalyst leaves this join out where the number is not asked for
+            rows = rows.join(self.plan("TESTS_FUNCTION").groupBy(F.col("dst").alias("id")).agg(F.count_distinct("src").cast("int").alias("tested_by_count")), "id", "left")
+        rows = conform(rows, EDGES if edge else NODES)
+        if name not in HEAVY:
+            self._plans[name] = rows
+        return rows
 
     def label(self, *labels: str, **columns: str) -> DataFrame:
         rows = reduce(DataFrame.unionByName, [self.part(n) for n in labels if n in LABELS] or [self.part("File").limit(0)])
@@ -104,19 +118,18 @@ class TableGraph(CodeGraph):
     def edge(self, *types: str) -> DataFrame:
         return reduce(DataFrame.unionByName, [self.part(n) for n in types if n in TYPES] or [self.part("GATES").limit(0)])
 
-    def _all(self, names: tuple[str, ...], schema) -> DataFrame:
+    def _all(self, names: tuple[str, ...]) -> DataFrame:
         # calls and functions are what queries over everything look for; other heavy parts stay plans, which Catalyst leaves out
         # where the query's labels or types exclude them
-        parts = [self.part(n) if n not in HEAVY or n in self._written or n in ("Function", "CALLS") else conform(self._parts[n](self), schema) for n in names]
-        return reduce(DataFrame.unionByName, parts)
+        return reduce(DataFrame.unionByName, [self.part(n) if n in ("Function", "CALLS") else self.plan(n) for n in names])
 
     @property
     def nodes(self) -> DataFrame:
-        return self._all(LABELS, NODES)
+        return self._all(LABELS)
 
     @property
     def edges(self) -> DataFrame:
-        return self._all(TYPES, EDGES)
+        return self._all(TYPES)
 
     def drop(self) -> None:
         """Deletes the written parts."""
@@ -149,11 +162,7 @@ def project(spark: SparkSession, sf_dir: str) -> dict[str, Callable[[TableGraph]
 
     def tested(g: TableGraph) -> DataFrame:
         own = functions(spark, sf_dir)
-        return coverage_edges(g.part("CALLS"), own.where("is_test").select("id"), own.select("id")).where("depth = 1").select("src", "dst", "depth").withColumn("type", F.lit("TESTS_FUNCTION"))
-
-    def own(g: TableGraph) -> DataFrame:
-        counts = g.part("TESTS_FUNCTION").groupBy(F.col("dst").alias("id")).agg(F.count_distinct("src").cast("int").alias("tested_by_count"))
-        return functions(spark, sf_dir).join(counts, "id", "left")
+        return coverage_edges(g.plan("CALLS"), own.where("is_test").select("id"), own.select("id")).where("depth = 1").select("src", "dst", "depth").withColumn("type", F.lit("TESTS_FUNCTION"))
 
     def imports(g: TableGraph) -> DataFrame:
         # orders' lines are joined once; files and their pairs are few
@@ -210,7 +219,7 @@ def project(spark: SparkSession, sf_dir: str) -> dict[str, Callable[[TableGraph]
 
     part_id, model_id = _id("func::p", "p_partkey"), F.concat(F.lit("model::"), "p_type")
     return {
-        "Function": own, "File": files, "Route": routes, "Class": classes, "TypeField": fields, "Model": models, "Flag": flags, "Token": tokens, "Dependency": dependencies, "Snapshot": snapshots,
+        "Function": lambda g: functions(spark, sf_dir), "File": files, "Route": routes, "Class": classes, "TypeField": fields, "Model": models, "Flag": flags, "Token": tokens, "Dependency": dependencies, "Snapshot": snapshots,
         "ModelField": lambda g: columns().select(field_id.alias("id"), F.lit("ModelField").alias("label"), F.col("p_brand").alias("name"), F.col("p_type").alias("field_type")),
         "CALLS": lambda g: calls(spark, sf_dir), "TESTS_FUNCTION": tested, "IMPORTS": imports, "GATES": gates,
         "EXPORTS": lambda g: edge(functions(spark, sf_dir).where("is_exported"), F.concat(F.lit("file::"), "file_path"), F.col("id"), "EXPORTS"),
