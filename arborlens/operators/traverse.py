@@ -57,20 +57,21 @@ def closure(edges: DataFrame, seeds: DataFrame, reverse: bool = False) -> DataFr
 
 def shortest_paths(edges: DataFrame, start: DataFrame, end: DataFrame, most: int = 5, limit: int = 5) -> DataFrame:
     """(hops, path): up to `limit` shortest trails (no edge twice) from a start node to an end node, in order of hops
-    and path. Nodes that cannot reach an end in the steps left are cut off before they are expanded."""
-    steps = ranked(edges).select("a", "b")
-    back = [end.select("node").distinct()]
-    for _ in range(most):
-        back.append(back[-1].join(steps, F.col("node") == F.col("b")).select(F.col("a").alias("node")).unionByName(back[-1]).distinct())
+    and path. Nodes that cannot reach an end in the steps left are cut off before they are expanded. Parallel edges are told apart
+    only where they are met, so the edges themselves are neither sorted nor written; what is written are the nodes near an end and the paths."""
+    steps = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))
+    new = materialize(end.select("node").distinct())
+    back = [new]
+    for _ in range(most - 1):
+        new = materialize(steps.join(new, F.col("node") == F.col("b")).select(F.col("a").alias("node")).distinct().join(back[-1], "node", "left_anti"))
+        back.append(back[-1].unionByName(new))
     rows = start.select(F.array("node").alias("path"), F.array().cast("array<string>").alias("used"))
     found = []
     for hop in range(1, most + 1):
         rows = rows.withColumn("at", F.element_at("path", -1)).join(steps, F.col("at") == F.col("a")).withColumn("edge", F.concat_ws(">", "a", "b"))
         rows = rows.where(~F.array_contains("used", F.col("edge"))).join(back[most - hop], F.col("b") == F.col("node"), "left_semi")
-        rows = rows.select(F.concat("path", F.array("b")).alias("path"), F.concat("used", F.array("edge")).alias("used"))
-        if most > DEEP:
-            rows = materialize(rows)
-        found.append(rows.join(end.select("node").distinct(), F.element_at("path", -1) == F.col("node"), "left_semi").select(F.lit(hop).alias("hops"), "path"))
+        rows = materialize(rows.select(F.concat("path", F.array("b")).alias("path"), F.concat("used", F.array("edge")).alias("used")).distinct())
+        found.append(rows.join(back[0], F.element_at("path", -1) == F.col("node"), "left_semi").select(F.lit(hop).alias("hops"), "path"))
     return reduce(DataFrame.unionByName, found).orderBy("hops", "path").limit(limit)
 
 
