@@ -126,6 +126,21 @@ def reexport_closure(exports: DataFrame, forwards: DataFrame, most: int = 5) ->
     return have
 
 
+def forward_whole(offers: DataFrame, pairs: DataFrame, passes: int) -> DataFrame:
+    """(file, name, target): names a file offers, its own (file, name, target; one row each) and all that the files offer which it forwards
+    as a whole, pairs (file, origin), over so many passes; the first target found stays, the least of one pass. The offers are
+    dealt out by name once: what a pass finds for a name is summed up where it is found, and no pass moves rows."""
+    name_of = offers.where("file is not null and name is not null").select("file", "name", "target").repartition("name")
+    ways = pairs.where("file is not null and origin is not null and file <> origin").select("file", "origin", F.lit(1).alias("way"))
+    ways = materialize(ways.distinct().unionByName(offers.where("file is not null").select("file", F.col("file").alias("origin"), F.lit(0).alias("way")).distinct()))
+    ways = F.broadcast(ways) if ways.count() <= 1 << 17 else ways  # about 10 MB; more of them are joined as Spark thinks best
+    for _ in range(passes):
+        met = name_of.withColumnRenamed("file", "origin").join(ways, "origin")
+        own, least = F.max(F.col("way") == 0), lambda way: F.min(F.when(F.col("way") == way, F.col("target")))
+        name_of = met.groupBy("name", "file").agg(F.when(own, least(0)).otherwise(least(1)).alias("target")).select("file", "name", "target")
+    return name_of.unionByName(offers.where("file is null and name is not null").select("file", "name", "target"))
+
+
 def source_root_paths(paths: DataFrame) -> DataFrame:
     """(path, target): Python files below a source root by their path without it. A source root is a top folder that is no
     package and holds packages at any depth; paths that exist as they are stay theirs."""

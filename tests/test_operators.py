@@ -1,5 +1,6 @@
 import itertools
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -142,3 +143,35 @@ def test_watch_applies_the_last_change_per_path(spark, tmp_path):
     query.processAllAvailable()
     assert watches.stop("r") and not watches.stop("r")
     assert sorted(seen, key=str) == [("a", "new"), ("b", None)]
+
+
+def test_shortest_paths_neither_sort_nor_write_the_edges(spark, monkeypatch):
+    from arborlens.operators import traverse
+    from arborlens.plans import projections
+
+    kept, plans, plain = [], [], traverse.materialize
+    monkeypatch.setattr(traverse, "materialize", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or kept.append(plain(df)) or kept[-1])
+    edges = projections.supply_edges(spark, "/root/testdata/sf0.001")
+    ends = [spark.createDataFrame([(n,)], "node string") for n in ("region::0", "supplier::1")]
+    got = [tuple(r) for r in traverse.shortest_paths(edges.unionByName(edges), *ends).collect()]
+    assert [h for h, _ in got] == [5] * 5 and len({tuple(p) for _, p in got}) == 5 and got == sorted(got)
+    assert plans and not any(re.search(r"Aggregate \[(a|src)#\d+, (b|dst)#", p) for p in plans)
+    assert sum(df.count() for df in kept) < edges.count()
+    assert got == [tuple(r) for r in traverse.shortest_paths(edges.distinct(), *ends).collect()]
+
+
+def test_whole_files_are_forwarded_without_a_row_for_each_name_and_pair(spark, tmp_path):
+    import duckdb
+
+    from arborlens.plans import queries
+
+    draw = random.Random(2)
+    rows = [(k, draw.choice([f"http://h{draw.randint(1, 6)}/x", "http://alone/y", "no host", None]), draw.choice([f"<title>t{draw.randint(1, 9)}</title>", "", None, "<title>t1</title>"])) for k in [*range(60), *range(40, 70, 3), None, None]]
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    found = queries.QUERIES["reexport"](spark, str(tmp_path))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(name") <= 1 and "SortMergeJoin" not in plan
+    key = lambda r: tuple((x is not None, x) for x in r)
+    assert sorted(map(tuple, found.collect()), key=key) == sorted(con.execute(queries.ORACLES["reexport"]).fetchall(), key=key)
